@@ -5,23 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, minhash_forest
+from . import additive_quantisation, block_pruning, huffman_files, language_id, merge_replay, minhash_forest, packing, passages, secret_scan, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_collinear_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(table(spark, sf_dir, "documents"))
+
+
 def op2_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
+
+
+def op4_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def op5_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive_quantisation.search(table(spark, sf_dir, "embeddings"))
+
+
+def op6_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_replay.digests(table(spark, sf_dir, "documents"))
+
+
+def op7_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.learn(docs.where(~language_id.held_out()))
     return language_id.identify(docs, model).select("doc_id", language_id.held_out(), "lang_pred", "score")
 
 
+def op9_huffman_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman_files.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op10_block_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_pruning.search(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
