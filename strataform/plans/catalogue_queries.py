@@ -1,9 +1,575 @@
-"""The registered queries over the reference tables, and their SQL."""
+"""The registered queries and their SQL.
 
+Each runs over whole tables. Where a table has none of the vocabulary of recipes, a
+stand-in that occurs there is the parameter: short lines are headings, for instance.
+"""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strataform.functions import text as tx
+from strataform.operators import catalogue, lines, scoring, segments
+from strataform.sources import sinks
+from strataform.sources.tables import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+# ---- search, filters, facets, paging -------------------------------------------------
+
+
+@query("""SELECT p_partkey, p_name, p_brand, p_type, p_size FROM part WHERE contains(lower(p_name), 'widget') AND p_type = 'ECONOMY'
+          ORDER BY p_partkey DESC LIMIT 12 OFFSET 12""")
+def search_page(spark, d):
+    """The second page of a filtered search, newest first."""
+    part = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    found = catalogue.filtered(part.where(catalogue.matches("  WIDGET ", F.col("p_name"))), {"p_type", "p_brand"}, p_type="ECONOMY", p_brand=None)
+    return catalogue.page(found, [F.desc("p_partkey")], offset=12)
+
+
+@query("""SELECT p_type, count(*) FILTER (contains(lower(p_name), 'widget')) AS n FROM part GROUP BY p_type""")
+def search_count(spark, d):
+    """The number of matches of a search, for each type."""
+    hit = catalogue.matches("widget", F.col("p_name"))
+    return table(spark, d, "part").groupBy("p_type").agg(F.count_if(hit).alias("n"))
+
+
+@query("""WITH t AS (SELECT p_type, count(*) AS total FROM part GROUP BY p_type),
+          p AS (SELECT *, greatest(1, ceil(total / 12.0))::BIGINT AS pages FROM t)
+          SELECT p_type, total, pages, 2::BIGINT AS page, 0::BIGINT AS prev_offset, least((pages - 1) * 12, 24)::BIGINT AS next_offset, ((pages - 1) * 12)::BIGINT AS last_offset FROM p""")
+def page_offsets(spark, d):
+    """The pager of each type at offset 12."""
+    total = table(spark, d, "part").groupBy("p_type").agg(F.count("*").alias("total"))
+    return total.select("p_type", "total", *catalogue.pager(F.col("total"), F.lit(12)))
+
+
+@query("SELECT DISTINCT trim(p_brand) AS value FROM part WHERE trim(p_brand) <> ''")
+def facet_values(spark, d):
+    """The distinct values of a column."""
+    return catalogue.facet(table(spark, d, "part"), "p_brand")
+
+
+@query("""SELECT DISTINCT value FROM (SELECT trim(p_type) AS value FROM part UNION ALL SELECT unnest(['ECONOMY', 'LUXURY', 'Other']))""")
+def facet_union_known(spark, d):
+    """H1: observed values with those known beforehand."""
+    return catalogue.facet(table(spark, d, "part"), "p_type", known=["ECONOMY", "LUXURY", "Other"])
+
+
+@query("SELECT p_brand AS value FROM part UNION SELECT p_type FROM part")
+def facet_of_two_columns(spark, d):
+    """H2: the distinct values of two columns together."""
+    part = table(spark, d, "part")
+    return part.select(F.col("p_brand").alias("value")).union(part.select("p_type")).distinct()
+
+
+@query("""SELECT p_type, p_brand, count(*) AS n FROM part WHERE p_type IN ('ECONOMY', 'STANDARD') AND (p_brand = 'Brand#11' OR p_size <= 10) AND p_retailprice > 0 GROUP BY ALL""")
+def combined_filters(spark, d):
+    """A list, a disjunction of two columns and a flag, all at once."""
+    part = table(spark, d, "part").where(F.col("p_type").isin("ECONOMY", "STANDARD")).where((F.col("p_brand") == "Brand#11") | (F.col("p_size") <= 10))
+    return part.where(F.col("p_retailprice") > 0).groupBy("p_type", "p_brand").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT d.doc_id, l.quality::BIGINT AS quality FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.quality IS NULL OR l.quality = 1""")
+def null_or_status(spark, d):
+    """C4: no status, or the wanted one."""
+    joined = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id", F.col("quality").cast("long")), "doc_id", "left")
+    return joined.where(catalogue.null_or(F.col("quality"), 1)).select("doc_id", "quality")
+
+
+@query("""SELECT d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.quality IS NOT NULL AND d.lang = 'en'""")
+def labelled_drafts(spark, d):
+    """A status that isn't null, and an equality."""
+    joined = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id", "left")
+    return joined.where(F.col("quality").isNotNull() & (F.col("lang") == "en")).select("doc_id")
+
+
+@query("""SELECT page_id FROM pages WHERE contains(lower(regexp_replace(html, '<[^>]*>', ' ', 'g')), 'the') OR contains(lower(url), 'blog')""")
+def text_contains_flatten(spark, d):
+    """A term in any of a document's texts, markup aside."""
+    bare = F.regexp_replace("html", "<[^>]*>", " ")
+    return table(spark, d, "pages").where(catalogue.matches("the", bare) | catalogue.matches("blog", F.col("url"))).select("page_id")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'Inactive' WHEN c_acctbal > 5000 THEN 'Active' ELSE 'Pending sign-in' END AS status FROM customer""")
+def status_label(spark, d):
+    """A label by conditions."""
+    label = F.when(F.col("c_acctbal") < 0, "Inactive").when(F.col("c_acctbal") > 5000, "Active").otherwise("Pending sign-in")
+    return table(spark, d, "customer").select("c_custkey", label.alias("status"))
+
+
+@query("""SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))::BIGINT AS lines, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[0-9]'))) > 0 AS any_digit FROM documents""")
+def array_predicates(spark, d):
+    """Blanks dropped, and whether any element passes a test."""
+    split = F.split("text", "\n")
+    return table(spark, d, "documents").select("doc_id", F.size(F.filter(split, lambda x: F.trim(x) != "")).cast("long").alias("lines"), F.exists(split, lambda x: x.rlike("[0-9]")).alias("any_digit"))
+
+
+@query("""SELECT event_id, (props->>'$.k')::BIGINT AS k, coalesce((props->>'$.k')::BIGINT > 50, false) AS large FROM events""")
+def json_unwrap(spark, d):
+    """A value inside a JSON text, and a predicate on it."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    return table(spark, d, "events").select("event_id", k.alias("k"), F.coalesce(k > 50, F.lit(False)).alias("large"))
+
+
+@query("""SELECT event_type, user_id, min(event_id) AS event_id FROM events GROUP BY ALL""")
+def queue_distinct(spark, d):
+    """C17: the first of each key in a queue."""
+    return catalogue.latest(table(spark, d, "events"), ["event_type", "user_id"], [F.asc("event_id")]).select("event_type", "user_id", "event_id")
+
+
+@query("""SELECT page_id, CASE WHEN regexp_matches(lower(url), '\\.(png|jpe?g)$') THEN 'image' WHEN regexp_matches(lower(url), '\\.pdf$') THEN 'pdf' WHEN regexp_matches(lower(url), '\\.(txt|md|csv)$') THEN 'text' ELSE 'other' END AS kind FROM pages""")
+def file_kinds(spark, d):
+    """A kind by extension."""
+    from strataform.sources.tables import file_kind
+
+    return table(spark, d, "pages").select("page_id", file_kind(F.col("url"), F.lit(None).cast("string")).alias("kind"))
+
+
+# ---- joins ---------------------------------------------------------------------------
+
+
+@query("""SELECT o_orderkey, coalesce(c_name, '') AS creator FROM orders LEFT JOIN customer ON o_custkey = c_custkey""")
+def lookup_creator(spark, d):
+    """Each record with its creator's name."""
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    return catalogue.looked_up(orders, table(spark, d, "customer"), "c_custkey", "c_name", "creator").select("o_orderkey", "creator")
+
+
+@query("""SELECT l_orderkey, l_linenumber::BIGINT AS sort_order, l_partkey, coalesce(nullif(CASE WHEN l_returnflag = 'R' THEN 'returned' ELSE '' END, ''), p_name, 'Item') AS label
+          FROM lineitem LEFT JOIN part ON l_partkey = p_partkey""")
+def items_with_label(spark, d):
+    """Ordered items with their own label, else the name of what they refer to."""
+    items = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("sort_order"), "l_partkey", F.when(F.col("l_returnflag") == "R", "returned").otherwise("").alias("own"))
+    joined = items.join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey", "left")
+    return joined.select("l_orderkey", "sort_order", "l_partkey", tx.first_filled(F.col("own"), F.col("p_name"), F.lit("Item")).alias("label"))
+
+
+@query("""SELECT s_suppkey, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def record_map(spark, d):
+    """D3: rows with the record of their id."""
+    nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    return table(spark, d, "supplier").join(nation, "s_nationkey").select("s_suppkey", "s_name", "n_name")
+
+
+SLUG = "trim(regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def incoming(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source", tx.slug(F.element_at(F.split("text", "\n"), 1)).alias("slug"))
+    return docs.where("source = 'src1'").select("doc_id", "slug"), docs.where("source <> 'src1'").select("doc_id", "slug")
+
+
+@query(f"""SELECT doc_id FROM documents n WHERE source = 'src1' AND NOT EXISTS (SELECT 1 FROM documents o WHERE o.source <> 'src1' AND {SLUG.replace('text', 'o.text')} = {SLUG.replace('text', 'n.text')} AND {SLUG.replace('text', 'o.text')} <> '')""")
+def new_only_anti(spark, d):
+    """Incoming records whose name nothing in the catalogue has."""
+    new, old = incoming(spark, d)
+    return new.join(old.select("slug"), "slug", "left_anti").select("doc_id")
+
+
+@query(f"""SELECT doc_id FROM documents n WHERE source = 'src1' AND EXISTS (SELECT 1 FROM documents o WHERE o.source <> 'src1' AND {SLUG.replace('text', 'o.text')} = {SLUG.replace('text', 'n.text')} AND {SLUG.replace('text', 'o.text')} <> '')""")
+def dupes_semi(spark, d):
+    """Incoming records whose name the catalogue has."""
+    new, old = incoming(spark, d)
+    return new.join(old.select("slug"), "slug", "left_semi").select("doc_id")
+
+
+@query(f"""SELECT doc_id, {SLUG} IN (SELECT {SLUG} FROM documents WHERE source <> 'src1' AND {SLUG} <> '') AS duplicate FROM documents WHERE source = 'src1'""")
+def dup_flag(spark, d):
+    """Incoming records with a flag."""
+    new, old = incoming(spark, d)
+    return catalogue.flagged(new, old, F.col("slug"), "duplicate").select("doc_id", "duplicate")
+
+
+@query("""SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
+def latest_per_key(spark, d):
+    """The latest record of each key."""
+    return catalogue.latest(table(spark, d, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
+
+
+@query("""SELECT c_custkey, coalesce(
+            (SELECT max(o_orderkey) FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT'),
+            (SELECT max(o_orderkey) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O'),
+            (SELECT max(o_orderkey) FROM orders WHERE o_custkey = c_custkey)) AS found FROM customer""")
+def priority_match(spark, d):
+    """The match of the first of three rules that has one."""
+    orders = table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    tiers = [(["c_custkey"], F.col("o_orderpriority") == "1-URGENT"), (["c_custkey"], F.col("o_orderstatus") == "O"), (["c_custkey"], F.lit(True))]
+    return catalogue.by_priority(table(spark, d, "customer").select("c_custkey"), orders, tiers, F.col("o_orderkey"), "found")
+
+
+@query("""SELECT conv_id, turn, role, coalesce(
+            last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+            lag(turn) OVER (PARTITION BY conv_id ORDER BY turn)) AS base FROM conversations""")
+def nearest_base(spark, d):
+    """The nearest earlier turn of the user, by default the turn before."""
+    turns = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("pos"), "role")
+    return lines.preceding(turns, "conv_id", F.col("role") == "user", F.col("pos"), "base").select("conv_id", F.col("pos").alias("turn"), "role", "base")
+
+
+@query("""WITH t AS (SELECT DISTINCT p_name AS name, list_distinct(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM part)
+          SELECT a.name AS a, b.name AS b, len(list_intersect(a.w, b.w)) / greatest(len(a.w), len(b.w))::DOUBLE AS score FROM t a JOIN t b ON a.name < b.name
+          WHERE len(list_intersect(a.w, b.w)) / greatest(len(a.w), len(b.w))::DOUBLE >= 0.5""")
+def token_similarity(spark, d):
+    """Names that share half of their tokens."""
+    return catalogue.similar_names(table(spark, d, "part").select("p_name", F.col("p_name").alias("text")).distinct(), "p_name", "text", 0.5)
+
+
+@query("""SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS target FROM pages""")
+def link_refs(spark, d):
+    """The targets of a page's links."""
+    return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("target"))
+
+
+@query("""SELECT p_partkey, len(list_filter(['red', 'steel', 'small', 'widget'], lambda t: contains(lower(p_name), t)))::BIGINT AS hits FROM part
+          WHERE len(list_filter(['red', 'steel', 'small', 'widget'], lambda t: contains(lower(p_name), t))) > 0 AND p_size BETWEEN 5 AND 40 ORDER BY hits DESC, p_partkey LIMIT 8""")
+def image_ranking(spark, d):
+    """Candidates within bounds, by how many terms their title has."""
+    terms = F.array(*(F.lit(t) for t in ("red", "steel", "small", "widget")))
+    hits = F.size(F.filter(terms, lambda t: F.contains(F.lower("p_name"), t))).cast("long")
+    return table(spark, d, "part").where(F.col("p_size").between(5, 40)).select("p_partkey", hits.alias("hits")).where("hits > 0").orderBy(F.desc("hits"), "p_partkey").limit(8)
+
+
+@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+def orphan_parents(spark, d):
+    """Parents without a child."""
+    return sinks.orphans(table(spark, d, "customer"), table(spark, d, "orders"), "c_custkey", "o_custkey").select("c_custkey")
+
+
+@query("""SELECT DISTINCT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'""")
+def missing_ids_except(spark, d):
+    """H4: requested ids that aren't in the cache."""
+    return table(spark, d, "orders").select("o_custkey").subtract(table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey"))
+
+
+# ---- writes --------------------------------------------------------------------------
+
+
+@query("""SELECT p_partkey, CASE WHEN l_partkey IS NULL THEN p_retailprice ELSE top END AS price FROM part LEFT JOIN (SELECT l_partkey, max(l_extendedprice) AS top FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON p_partkey = l_partkey""")
+def update_by_key(spark, d):
+    """Values replaced where a key is there."""
+    new = table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max("l_extendedprice").alias("price"))
+    return sinks.updated(table(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("price")), "p_partkey", new, ["price"])
+
+
+@query("""SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')""")
+def delete_by_key(spark, d):
+    """Rows without those of a list of keys."""
+    keys = table(spark, d, "lineitem").where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return sinks.deleted(table(spark, d, "orders").select("o_orderkey"), keys, ["o_orderkey"])
+
+
+@query("""SELECT doc_id, 'gold' AS state FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, 'raw' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)""")
+def upsert(spark, d):
+    """Found by key: replaced; else kept or inserted."""
+    old = table(spark, d, "documents").select("doc_id", F.lit("raw").alias("state"))
+    new = table(spark, d, "labels").where("quality = 1").select("doc_id", F.lit("gold").alias("state"))
+    return sinks.upserted(old, new, ["doc_id"])
+
+
+@query(f"""WITH n AS (SELECT doc_id, {SLUG} AS slug, row_number() OVER (PARTITION BY {SLUG} ORDER BY doc_id) AS turn FROM documents WHERE source = 'src1')
+          SELECT doc_id, turn > 1 OR slug IN (SELECT {SLUG} FROM documents WHERE source <> 'src1') AS skipped FROM n WHERE slug <> ''""")
+def insert_ignore(spark, d):
+    """Rows inserted, and rows skipped for a name that's there already."""
+    new, old = incoming(spark, d)
+    saved, skipped = sinks.inserted_unless_there(old, new.where("slug IS NOT NULL"), F.col("slug"), "doc_id")
+    return saved.select("doc_id", F.lit(False).alias("skipped")).union(skipped.select("doc_id", F.lit(True)))
+
+
+@query("""SELECT o_orderkey + 1000000000 AS o_orderkey, l_partkey, l_linenumber::BIGINT AS sort_order FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P'""")
+def menu_copy(spark, d):
+    """Copies of records with new ids and the same item references."""
+    head = table(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderkey")
+    items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", F.col("l_linenumber").cast("long").alias("sort_order"))
+    return head.join(items, "o_orderkey").withColumn("o_orderkey", F.col("o_orderkey") + 1_000_000_000)
+
+
+# ---- aggregates ----------------------------------------------------------------------
+
+
+@query("""SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS selected, count(*) AS all_rows, bool_and(o_orderstatus = 'F') AS every, bool_or(o_orderstatus = 'F') AND NOT bool_and(o_orderstatus = 'F') AS some FROM orders GROUP BY 1""")
+def selection_tally(spark, d):
+    """Selected, all, or in between."""
+    hit = F.col("o_orderstatus") == "F"
+    return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count_if(hit).alias("selected"), F.count("*").alias("all_rows"), F.bool_and(hit).alias("every"), (F.bool_or(hit) & ~F.bool_and(hit)).alias("some"))
+
+
+@query("""SELECT l_returnflag, min(l_extendedprice) AS low, max(l_extendedprice) AS high, min(l_quantity) AS least, max(l_quantity) AS most FROM lineitem GROUP BY 1""")
+def bounding_boxes(spark, d):
+    """The smallest and largest values of each group."""
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"), F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"))
+
+
+@query("""WITH r AS (SELECT l_returnflag, l_quantity, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) - 1 AS k, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem)
+          SELECT l_returnflag, l_quantity AS median FROM r WHERE k = n // 2""")
+def upper_median(spark, d):
+    """sorted[floor(n / 2)]."""
+    return catalogue.upper_median(table(spark, d, "lineitem"), ["l_returnflag"], "l_quantity", "median")
+
+
+@query("""SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY 1""")
+def transcripts(spark, d):
+    """Texts joined in order."""
+    rows = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("pos"), F.concat_ws(": ", "role", "text").alias("line"))
+    return lines.ordered_text(rows, ["conv_id"], "line", "\n", "transcript")
+
+
+@query("""SELECT doc_id, (length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / greatest(1, length(text))::DOUBLE) AS letters, (5 * len(regexp_extract_all(text, '[0-9]')) + 2 * len(regexp_extract_all(text, '[.]')) - len(regexp_extract_all(text, '[|%#$]')))::BIGINT AS score FROM documents""")
+def weighted_scores(spark, d):
+    """Shares and weighted sums of counts in a text."""
+    n = lambda p: F.regexp_count("text", F.lit(p))
+    share = F.length(F.regexp_replace("text", "[^A-Za-z]", "")) / F.greatest(F.lit(1), F.length("text"))
+    return table(spark, d, "documents").select("doc_id", share.alias("letters"), (5 * n("[0-9]") + 2 * n("[.]") - n("[|%#$]")).cast("long").alias("score"))
+
+
+# ---- order ---------------------------------------------------------------------------
+
+
+@query("""SELECT d.doc_id, row_number() OVER (ORDER BY l.quality DESC NULLS LAST, d.doc_id DESC) AS place FROM documents d LEFT JOIN labels l USING (doc_id) QUALIFY place <= 500""")
+def order_nulls_last(spark, d):
+    """G1, A5: the first rows by a value that can be null, then by the newest."""
+    rows = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    top = rows.orderBy(F.desc_nulls_last("quality"), F.desc("doc_id")).limit(500)
+    return top.select("doc_id", F.row_number().over(Window.orderBy(F.desc_nulls_last("quality"), F.desc("doc_id"))).cast("long").alias("place"))
+
+
+@query("""SELECT name, rank() OVER (ORDER BY lower(name)) AS place FROM (SELECT DISTINCT p_name AS name FROM part)""")
+def collated_names(spark, d):
+    """Names in the order of a language, case aside."""
+    names = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
+    return names.select("name", F.rank().over(Window.orderBy(F.collate(F.col("name"), "UNICODE_CI"))).cast("long").alias("place"))
+
+
+@query("""SELECT o_orderpriority, o_orderkey, mode FROM (
+            SELECT o_orderpriority, o_orderkey, 'latest' AS mode, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey) AS k FROM orders
+            UNION ALL SELECT o_orderpriority, o_orderkey, 'oldest', row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) FROM orders) WHERE k <= 12""")
+def sort_modes(spark, d):
+    """The first page of each group, latest or oldest first."""
+    orders = table(spark, d, "orders")
+    def mode(name, key):
+        w = Window.partitionBy("o_orderpriority").orderBy(key, "o_orderkey")
+        return orders.withColumn("k", F.row_number().over(w)).where("k <= 12").select("o_orderpriority", "o_orderkey", F.lit(name).alias("mode"))
+    return mode("latest", F.desc("o_orderdate")).union(mode("oldest", F.asc("o_orderdate")))
+
+
+@query("""SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey = 7""")
+def point_lookup(spark, d):
+    """The one row of a key; an error if there isn't exactly one."""
+    one = table(spark, d, "supplier").where("s_suppkey = 7").groupBy().agg(F.count("*").alias("n"), F.max(F.struct("s_suppkey", "s_name")).alias("r"))
+    return one.where(F.assert_true(F.col("n") == 1, F.lit("exactly one row is wanted")).isNull()).select("r.s_suppkey", "r.s_name")
+
+
+# ---- texts as lines ------------------------------------------------------------------
+
+LINES = """l AS (SELECT doc_id, (k - 1)::INT AS pos, trim(regexp_replace(line, '[ \\t\\r\\n\\f\\x0b\\xa0]+', ' ', 'g')) AS line
+  FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS line FROM documents)
+  WHERE trim(regexp_replace(line, '[ \\t\\r\\n\\f\\x0b\\xa0]+', ' ', 'g')) <> '')"""
+
+
+def document_lines(spark, d):
+    return lines.exploded(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+
+
+def short():
+    """A line that can play a heading."""
+    return F.length("line") <= 30
+
+
+@query(f"""WITH {LINES} SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, lower(line) FROM l) GROUP BY 1""")
+def doc_line_distinct_ci(spark, d):
+    """A document's distinct lines, case aside, the first of each kept."""
+    return lines.first_of_each(document_lines(spark, d), "doc_id", F.col("line")).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {LINES} SELECT doc_id, (count(*) - count(DISTINCT lower(line)))::BIGINT AS repeats FROM l GROUP BY 1""")
+def doc_repeats(spark, d):
+    """Occurrences of lines beyond the first."""
+    return lines.repeats(document_lines(spark, d), "doc_id", F.col("line"))
+
+
+@query(f"""WITH {LINES}, s AS (SELECT *, last_value(CASE WHEN length(line) <= 30 THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM l)
+          SELECT doc_id, pos, coalesce(section, '') AS section FROM s""")
+def section_carry_forward(spark, d):
+    """each line with the heading above it; short lines are headings."""
+    rows = lines.carried(document_lines(spark, d), "doc_id", F.when(short(), F.col("line")), "section")
+    return rows.select("doc_id", "pos", F.coalesce("section", F.lit("")).alias("section"))
+
+
+@query(f"""WITH {LINES} SELECT doc_id, pos, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS next_pos FROM l WHERE length(line) <= 30""")
+def segment_bounds(spark, d):
+    """where each segment begins and the next one does."""
+    return lines.bounded(document_lines(spark, d).where(short()), "doc_id").select("doc_id", "pos", "next_pos")
+
+
+@query(f"""WITH {LINES}, f AS (SELECT doc_id, min(pos) FILTER (length(line) <= 30) AS first_pos FROM l GROUP BY 1)
+          SELECT f.doc_id, first_pos, min(pos) FILTER (regexp_matches(line, '[0-9]') AND pos > first_pos) AS second_pos FROM f JOIN l USING (doc_id) GROUP BY ALL""")
+def first_heading_after(spark, d):
+    """the first heading, and the first line with a digit below it."""
+    return lines.first_after(document_lines(spark, d), "doc_id", short(), F.col("line").rlike("[0-9]"))
+
+
+@query(f"""WITH {LINES}, g AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^(The|An|In|Es|La|De)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS item FROM l)
+          SELECT doc_id, item::BIGINT AS item, string_agg(line, ' ' ORDER BY pos) AS text FROM g GROUP BY 1, 2""")
+def numbered_join(spark, d):
+    """lines that begin an item, each with the lines up to the next one."""
+    return lines.joined_items(document_lines(spark, d), "doc_id", F.col("line").rlike("^(The|An|In|Es|La|De)"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, CASE WHEN role IS NOT DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 0 ELSE 1 END AS new FROM conversations),
+          r AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM t) SELECT conv_id, run::BIGINT AS run, role, count(*) AS n FROM r GROUP BY ALL""")
+def same_tag_runs(spark, d):
+    """runs of rows with the same tag."""
+    return lines.runs(table(spark, d, "conversations").select("conv_id", F.col("turn").alias("pos"), "role"), "conv_id", "role")
+
+
+@query(f"""WITH {LINES}, b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos DESC) AS back FROM l) SELECT doc_id, pos, line FROM b WHERE back <= 3""")
+def last_lines(spark, d):
+    """the last lines of each document."""
+    return lines.at_end(document_lines(spark, d), "doc_id", 3).select("doc_id", "pos", "line")
+
+
+@query(f"""WITH {LINES}, n AS (SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos DESC) - 1 AS distance, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM l),
+          c AS (SELECT doc_id, pos * 2 AS pos, line, distance, 0.0 AS bonus FROM n UNION ALL SELECT doc_id, pos * 2 + 1, line || ' ' || nxt, distance, 1.5 FROM n WHERE nxt IS NOT NULL),
+          w AS (SELECT *, list_filter(string_split(line, ' '), lambda x: x <> '') AS ws FROM c),
+          s AS (SELECT *, 10 - 0.35 * least(distance, 12) + CASE WHEN len(ws) BETWEEN 2 AND 9 THEN 3 ELSE 0 END
+                 + CASE WHEN len(list_filter(ws, lambda x: regexp_matches(x, '^\\p{{Lu}}'))) >= greatest(2, ceil(len(ws) / 2.0)) THEN 5 ELSE 0 END
+                 - CASE WHEN regexp_matches(line, '[.!?;:]') THEN 1 ELSE 0 END + bonus AS score FROM w)
+          SELECT doc_id, (pos // 2)::INT AS pos, line AS title, round(score::DOUBLE, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score::DOUBLE, 6) DESC, s.pos) = 1""")
+def title_argmax(spark, d):
+    """The best title among lines and pairs of lines; the first wins ties."""
+    rows = scoring.title_candidates(document_lines(spark, d), "doc_id")
+    rows = rows.withColumn("score", F.round((scoring.title_score(F.col("line"), F.col("distance")) + F.col("bonus")).cast("double"), 6))
+    rows = rows.withColumn("pos", F.col("pos") * 2 + F.when(F.col("bonus") > 0, 1).otherwise(0))
+    return lines.best(rows, "doc_id", F.col("score")).select("doc_id", F.floor(F.col("pos") / 2).cast("int").alias("pos"), F.col("line").alias("title"), "score")
+
+
+@query("""WITH s AS (SELECT doc_id, generate_subscripts(string_split(text, '. '), 1) - 1 AS pos, unnest(string_split(text, '. ')) AS line FROM documents),
+          t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(line) DESC, pos) AS k FROM s) SELECT doc_id, string_agg(line, ' ' ORDER BY pos) AS summary FROM t WHERE k <= 3 GROUP BY 1""")
+def top3_sentences(spark, d):
+    """the three best sentences in the order of the text; longer is better."""
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", r"\. ")).alias("pos", "line"))
+    return lines.best_in_order(rows, "doc_id", F.length("line"), 3)
+
+
+@query(r"""WITH w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[ \t\r\n\f\x0b\xa0]+'), lambda x: x <> '') AS ws FROM documents),
+          s AS (SELECT *, array_to_string(ws[1:100], ' ') AS short FROM w), e AS (SELECT *, length(short) - length(regexp_extract(short, '[^.!?]*$')) AS cut FROM s)
+          SELECT doc_id, CASE WHEN len(ws) <= 100 THEN text WHEN cut >= length(short) * 0.65 THEN substring(short, 1, cut) ELSE short || '…' END AS short FROM e""")
+def word_cap(spark, d):
+    """at most 100 words, cut at a sentence's end if there's one late enough."""
+    return table(spark, d, "documents").select("doc_id", tx.capped(F.col("text")).alias("short"))
+
+
+# ---- scalar functions over tables ----------------------------------------------------
+
+
+@query(r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(
+            regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<noscript[^>]*>.*?</noscript>', ' ', 'gis'), '<template[^>]*>.*?</template>', ' ', 'gis'),
+            '<!--.*?-->', ' ', 'gs'), '<br[ ]*/?>|</(p|div|li|h[1-6]|tr|section|article|header|footer|ul|ol)>|<li[^>]*>', chr(10), 'gi'), '<[^>]*>', ' ', 'g'),
+            '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'),
+            '[ \t\r\f\xa0]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{2,}', chr(10), 'g'), '^[ \t\r\n\f\x0b\xa0]+|[ \t\r\n\f\x0b\xa0]+$', '', 'g') AS text FROM pages""")
+def html_to_text(spark, d):
+    """Pages as lines of text."""
+    return table(spark, d, "pages").select("page_id", tx.html_text(F.col("html")).alias("text"))
+
+
+@query(r"""SELECT page_id, len(regexp_extract_all(html, '(?i)<li[ >]'))::BIGINT AS items FROM pages WHERE regexp_matches(html, '(?i)<li[ >]')""")
+def html_list_items(spark, d):
+    """The list items of each page, none of which is empty."""
+    return segments.html_lists(table(spark, d, "pages"), "page_id").groupBy("page_id").agg(F.count("*").alias("items"))
+
+
+@query(r"""SELECT page_id, replace(trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '[ \t\r\n\f\x0b\xa0]+', ' ', 'g')), '&amp;', '&') AS heading FROM pages WHERE regexp_matches(html, '(?is)<h1[^>]*>.*?</h1>')""")
+def html_headings(spark, d):
+    """Each page's first heading."""
+    rows = segments.html_sections(table(spark, d, "pages"), "page_id", tag="h1")
+    return rows.where("pos = 1").select("page_id", "heading")
+
+
+@query(r"""SELECT doc_id, CASE WHEN regexp_matches(text, '[\x{0900}-\x{097F}]') THEN 'Hindi' WHEN regexp_matches(text, '[\x{0400}-\x{04FF}]') THEN 'Russian' WHEN regexp_matches(text, '[\x{4E00}-\x{9FFF}]') THEN 'Chinese' ELSE 'English' END AS language FROM documents""")
+def lang_by_block(spark, d):
+    """The language by Unicode block."""
+    return table(spark, d, "documents").select("doc_id", tx.language_by_block(F.col("text")).alias("language"))
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%d-%m-%Y') AS shown, o_orderdate::DATE AS day, try_strptime(strftime(o_orderdate, '%d-%m-%Y'), '%d-%m-%Y')::DATE = o_orderdate::DATE AS same FROM orders""")
+def date_roundtrip(spark, d):
+    """A date written as DD-MM-YYYY and read again."""
+    day = F.col("o_orderdate").cast("date")
+    shown = tx.shown_date(day)
+    return table(spark, d, "orders").select("o_orderkey", shown.alias("shown"), day.alias("day"), (tx.iso_date(shown) == day).alias("same"))
+
+
+@query("""SELECT p_partkey, CASE WHEN regexp_matches(lower(p_name), 'widget') THEN 'tools' WHEN regexp_matches(lower(p_name), 'red|blue|green') THEN 'colours' ELSE 'other' END AS category FROM part""")
+def image_category(spark, d):
+    """The category of the first rule whose words occur."""
+    return table(spark, d, "part").select("p_partkey", tx.category(F.col("p_name"), [("widget", "tools"), ("red|blue|green", "colours")], "other").alias("category"))
+
+
+@query("""SELECT p_partkey, nullif(trim(regexp_replace(lower(p_name || ' (' || p_brand || ')'), '[^a-z0-9]+', ' ', 'g')), '') AS slug, replace(replace(replace(p_brand, '&', '&amp;'), '<', '&lt;'), '#', '#') AS escaped, repeat('★', least(5, p_size // 10)::INT) || repeat('☆', (5 - least(5, p_size // 10))::INT) AS stars FROM part""")
+def scalar_names(spark, d):
+    """Slugs, escaped text and stars."""
+    rating = F.floor(F.col("p_size") / 10)
+    slug = tx.slug(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")")))
+    return table(spark, d, "part").select("p_partkey", slug.alias("slug"), tx.escaped(F.col("p_brand")).alias("escaped"), tx.stars(rating).alias("stars"))
+
+
+@query("""SELECT page_id, regexp_replace(url, '^https:', 'http:') AS variant, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host FROM pages""")
+def url_variants(spark, d):
+    """Another protocol, and the host."""
+    return table(spark, d, "pages").select("page_id", F.regexp_replace("url", "^https:", "http:").alias("variant"), F.parse_url("url", F.lit("HOST")).alias("host"))
+
+
+@query(rf"""WITH {LINES}, r AS (SELECT doc_id, first(line ORDER BY pos) AS name, coalesce(list(line ORDER BY pos) FILTER (length(line) <= 30), []) AS ing, coalesce(list(line ORDER BY pos) FILTER (length(line) > 30), []) AS met FROM l GROUP BY 1),
+          t AS (SELECT *, array_to_string(met, ' ') AS steps, concat_ws(' ', name, array_to_string(ing, ' '), array_to_string(met, ' ')) AS whole FROM r),
+          c AS (SELECT doc_id, length(trim(steps)) > 0 AS m,
+            len(string_split(name, ' ')) >= 1 AND length(name) BETWEEN 3 AND 160 AS c1, len(ing) >= 3 AS c2,
+            len(list_filter(ing, lambda x: regexp_matches(x, '[0-9]') OR regexp_matches(x, '(?i)\b(of|de)\b') OR (len(string_split(x, ' ')) BETWEEN 1 AND 8 AND NOT regexp_matches(x, '(?i)\b(the|la|der|el)\b')))) >= least(3, len(ing)) AS c4,
+            len(list_filter(string_split(steps, ' '), lambda x: x <> '')) >= 8 OR length(steps) >= 60 AS c5, len(list_filter(met, lambda x: regexp_matches(x, '(?i)\b(the|la|der|el)\b'))) >= 1 AS c6,
+            length(regexp_replace(whole, '[^\p{{L}}]', '', 'g')) / greatest(1, length(whole))::DOUBLE >= 0.45 AS c7, NOT regexp_matches(whole, '[|~^]') AS c8,
+            len(ing) = len(list_distinct(list_transform(ing, lambda x: lower(x)))) AND len(met) = len(list_distinct(list_transform(met, lambda x: lower(x)))) AS c9, length(name) <= 70 AS c10,
+            len(list_filter(ing, lambda x: length(x) >= 8 AND (regexp_matches(x, '[0-9]') OR regexp_matches(x, '(?i)\b(of|de)\b')) AND contains(lower(steps), lower(x)))) = 0 AS c11 FROM t),
+          s AS (SELECT *, (CASE WHEN c1 THEN 20 ELSE 0 END + CASE WHEN c2 THEN 20 ELSE 0 END + CASE WHEN c4 THEN 15 ELSE 0 END + CASE WHEN NOT m OR c5 THEN 15 ELSE 0 END + CASE WHEN m AND c6 THEN 10 ELSE 0 END
+              + CASE WHEN c7 THEN 10 ELSE 0 END + CASE WHEN c8 THEN 5 ELSE 0 END + CASE WHEN c9 THEN 5 ELSE 0 END)::BIGINT AS score, c1 AND c2 AND c4 AND (NOT m OR (c5 AND c6)) AND c7 AND c8 AND c9 AND c10 AND c11 AS fine FROM c)
+          SELECT doc_id, score, fine AND score >= 85 AS good FROM s""")
+def quality_verdict(spark, d):
+    """§2.9: points and verdict of each document; short lines play ingredients, long ones the method."""
+    from strataform.operators import quality
+
+    v = quality.Vocabulary(unit=r"(?i)\b(of|de)\b", quantity="[0-9]", instruction=r"(?i)\b(the|la|der|el)\b", section="(?i)unused", promotion="(?i)(unused)", junk="[|~^]", credit="^unused$")
+    of = lambda test: F.array_sort(F.filter(F.collect_list(F.when(test, F.struct("pos", "line"))), lambda x: x.isNotNull()))["line"]
+    rows = document_lines(spark, d).groupBy("doc_id").agg(F.min_by("line", "pos").alias("name"), of(short()).alias("ingredients"), of(~short()).alias("method"))
+    rows = rows.withColumns({"description": F.lit(""), "mode": F.lit("text")})
+    return quality.checked(rows, v).select("doc_id", "score", "good")
+
+
+@query(rf"""WITH {LINES}, h AS (SELECT *, CASE WHEN length(line) <= 30 THEN 1 ELSE 0 END AS head FROM l), g AS (SELECT *, sum(head) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM h)
+          SELECT doc_id, section::BIGINT AS section, coalesce(max(line) FILTER (head = 1), '') AS heading, count(*) FILTER (head = 0) AS n_lines, coalesce(string_agg(line, ' ' ORDER BY pos) FILTER (head = 0), '') AS body FROM g GROUP BY 1, 2""")
+def sections(spark, d):
+    """Each heading with the lines below it as one text."""
+    rows = document_lines(spark, d).withColumn("head", short())
+    rows = rows.withColumn("section", F.sum(F.col("head").cast("int")).over(lines.along("doc_id").rowsBetween(Window.unboundedPreceding, 0)))
+    body = F.array_sort(F.filter(F.collect_list(F.when(~F.col("head"), F.struct("pos", "line"))), lambda x: x.isNotNull()))["line"]
+    out = rows.groupBy("doc_id", "section").agg(F.coalesce(F.max(F.when(F.col("head"), F.col("line"))), F.lit("")).alias("heading"), F.count_if(~F.col("head")).alias("n_lines"), F.array_join(body, " ").alias("body"))
+    return out.select("doc_id", "section", "heading", "n_lines", "body")
