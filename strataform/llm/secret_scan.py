@@ -63,54 +63,100 @@ def two_sided(z: Column) -> Column:
     return F.least(F.lit(1.0), 2 * below(-F.abs(z)))
 
 
-def battery(hit: Column) -> Column:
-    """struct(random, ordinary): p-values of one run under "uniform symbols" and under "ordinary writing"."""
-    bare = F.regexp_replace(F.regexp_replace(hit, "-", "+"), "_", "/")
-    is_hex = hit.rlike("^([0-9a-f]+|[0-9A-F]+)$") & hit.rlike("[0-9]") & hit.rlike("[A-Fa-f]")
-    lower, upper, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    cases = [
-        (hit.rlike("^[0-9+/_-]+$"), "", bare),
-        (is_hex, digit + "abcdef", F.lower(bare)),
-        (hit.rlike("^([A-Z]?[a-z]+|[A-Z]+)$"), lower, F.lower(bare)),
-        (hit.rlike("^[A-Z2-7]+$"), upper + "234567", bare),
-        (hit.rlike("^([a-z0-9]+|[A-Z0-9]+)$"), lower + digit, F.lower(bare)),
-        (hit.rlike("^[A-Za-z]+$"), upper + lower, bare),
-    ]
-    alphabet, symbols = F.lit(upper + lower + digit + "+/"), bare
-    for test, letters, value in reversed(cases):
-        alphabet, symbols = F.when(test, F.lit(letters)).otherwise(alphabet), F.when(test, value).otherwise(symbols)
-    size = F.length(alphabet).cast("double")
-    values = F.transform(F.split(symbols, ""), lambda c: F.instr(alphabet, c).cast("double") - 1)
-    return F.struct(values.alias("v"), size.alias("size"), F.when(is_hex, HEX_ALIKE).otherwise(LETTERS_ALIKE).alias("alike"))
-
-
-def tested(run: Column) -> Column:
-    """struct(random, ordinary) of a run's symbol values, alphabet size and ordinary chance of equal symbols."""
-    v, size = run["v"], run["size"]
-    n = F.size(v).cast("double")
-    total = lambda array: F.aggregate(array, F.lit(0.0), lambda a, x: a + x)
-    squares = total(F.transform(F.array_distinct(v), lambda s: F.pow(F.size(F.filter(v, lambda x: x == s)).cast("double"), F.lit(2.0))))
-    free = size - 1
-    chi = squares * size / n - n
-    spread = 2 / (9 * free)
-    p_uniform = two_sided((F.pow(chi / free, F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread))
-    high = F.transform(v, lambda x: F.when(x * 2 >= size, 1.0).otherwise(0.0))
-    n1 = total(high)
-    n0 = n - n1
-    shift = lambda array: F.zip_with(F.slice(array, 1, F.size(array) - 1), F.slice(array, 2, F.size(array) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    runs = 1 + total(F.transform(shift(high), lambda x: F.when(x["a"] != x["b"], 1.0).otherwise(0.0)))
-    mean_runs = 2 * n0 * n1 / n + 1
-    var_runs = (mean_runs - 1) * (mean_runs - 2) / (n - 1)
-    p_runs = F.when(var_runs > 0, two_sided((runs - mean_runs) / F.sqrt(var_runs))).otherwise(F.pow(F.lit(2.0), 1 - n))
-    mean = total(v) / n
-    var = total(F.transform(v, lambda x: (x - mean) * (x - mean)))
-    lag = total(F.transform(shift(v), lambda x: (x["a"] - mean) * (x["b"] - mean)))
-    p_serial = F.when(var > 0, two_sided((lag / var + 1 / n) * F.sqrt(n))).otherwise(0.0)
-    half = -(F.log(F.greatest(p_uniform, F.lit(1e-300))) + F.log(F.greatest(p_runs, F.lit(1e-300))) + F.log(F.greatest(p_serial, F.lit(1e-300))))
-    combined = F.exp(-half) * (1 + half + half * half / 2)
-    excess = F.greatest(size * run["alike"] - 1, F.lit(0.0)) * n
-    ordinary = below((chi - free - excess) / F.sqrt(2 * (free + 2 * excess)))
-    return F.when(size > 1, F.struct(combined.alias("random"), ordinary.alias("ordinary"))).otherwise(F.struct(F.lit(0.0).alias("random"), F.lit(1.0).alias("ordinary")))
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+#: Encodings, the first that a run fits counts: pattern, alphabet, whether case is folded.
+ENCODINGS = [
+    ("^[0-9+/_-]+$", "", False),
+    ("^(?=.*[0-9])(?=.*[A-Fa-f])([0-9a-f]+|[0-9A-F]+)$", DIGITS + "abcdef", True),
+    ("^([A-Z]?[a-z]+|[A-Z]+)$", LOWER, True),
+    ("^[A-Z2-7]+$", UPPER + "234567", False),
+    ("^([a-z0-9]+|[A-Z0-9]+)$", LOWER + DIGITS, True),
+    ("^[A-Za-z]+$", UPPER + LOWER, False),
+    ("", UPPER + LOWER + DIGITS + "+/", False),
+]
+
+
+def total(array: Column) -> Column:
+    return F.aggregate(array, F.lit(0.0), lambda a, x: a + x)
+
+
+def neighbours(array: Column) -> Column:
+    """Pairs of neighbouring elements, as structs of a and b."""
+    n = F.size(array) - 1
+    return F.zip_with(F.slice(array, F.lit(1), n), F.slice(array, F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+
+def battery(runs: Column) -> Column:
+    """Runs (start, hit) as (start, end, random, ordinary): p-values under "uniform symbols" and "ordinary writing".
+
+    One step adds what the next one needs, so that nothing is computed twice.
+    """
+
+    def step(array: Column, **made) -> Column:
+        return F.transform(array, lambda x: F.struct(*(f(x).alias(k) for k, f in made.items())))
+
+    keep = lambda *names: {n: (lambda x, n=n: x[n]) for n in names}
+
+    def encoding(x: Column) -> Column:
+        out = F.lit(len(ENCODINGS) - 1)
+        for k, (pattern, _, _) in reversed(list(enumerate(ENCODINGS[:-1]))):
+            out = F.when(x["hit"].rlike(pattern), k).otherwise(out)
+        return out
+
+    of_encoding = lambda x, values: F.get(F.array(*(F.lit(v) for v in values)), x["encoding"])
+    r = step(runs, start=lambda x: x["start"], end=lambda x: x["start"] + F.length(x["hit"]), bare=lambda x: F.translate(x["hit"], "-_", "+/"), encoding=encoding)
+    r = step(
+        r,
+        **keep("start", "end"),
+        alphabet=lambda x: of_encoding(x, [a for _, a, _ in ENCODINGS]),
+        alike=lambda x: F.when(x["encoding"] == 1, HEX_ALIKE).otherwise(LETTERS_ALIKE),
+        symbols=lambda x: F.when(of_encoding(x, [fold for _, _, fold in ENCODINGS]), F.lower(x["bare"])).otherwise(x["bare"]),
+    )
+    r = F.filter(r, lambda x: x["alphabet"] != "")
+    r = step(r, **keep("start", "end", "alike"), size=lambda x: F.length(x["alphabet"]).cast("double"), v=lambda x: F.transform(F.split(x["symbols"], ""), lambda c: F.instr(x["alphabet"], c).cast("double") - 1))
+    r = step(
+        r,
+        **keep("start", "end", "alike", "size", "v"),
+        n=lambda x: F.size(x["v"]).cast("double"),
+        mean=lambda x: total(x["v"]) / F.size(x["v"]),
+        squares=lambda x: total(F.transform(F.array_distinct(x["v"]), lambda s: F.pow(F.size(F.filter(x["v"], lambda y: y == s)).cast("double"), F.lit(2.0)))),
+        high=lambda x: F.transform(x["v"], lambda y: F.when(y * 2 >= x["size"], 1.0).otherwise(0.0)),
+    )
+    r = step(
+        r,
+        **keep("start", "end", "alike", "n"),
+        free=lambda x: x["size"] - 1,
+        chi=lambda x: x["squares"] * x["size"] / x["n"] - x["n"],
+        excess=lambda x: F.greatest(x["size"] * x["alike"] - 1, F.lit(0.0)) * x["n"],
+        n1=lambda x: total(x["high"]),
+        changes=lambda x: total(F.transform(neighbours(x["high"]), lambda y: F.when(y["a"] != y["b"], 1.0).otherwise(0.0))),
+        var=lambda x: total(F.transform(x["v"], lambda y: (y - x["mean"]) * (y - x["mean"]))),
+        lag=lambda x: total(F.transform(neighbours(x["v"]), lambda y: (y["a"] - x["mean"]) * (y["b"] - x["mean"]))),
+    )
+    r = step(
+        r,
+        **keep("start", "end", "n", "free", "var", "changes"),
+        uniform_z=lambda x: (F.pow(x["chi"] / x["free"], F.lit(1 / 3)) - (1 - 2 / (9 * x["free"]))) / F.sqrt(2 / (9 * x["free"])),
+        ordinary_z=lambda x: (x["chi"] - x["free"] - x["excess"]) / F.sqrt(2 * (x["free"] + 2 * x["excess"])),
+        expected=lambda x: 2 * (x["n"] - x["n1"]) * x["n1"] / x["n"],
+        serial_z=lambda x: F.when(x["var"] > 0, (x["lag"] / x["var"] + 1 / x["n"]) * F.sqrt(x["n"])),
+    )
+    r = step(
+        r,
+        **keep("start", "end", "uniform_z", "ordinary_z", "serial_z", "n"),
+        runs_z=lambda x: F.when(x["expected"] > 1, (x["changes"] - x["expected"]) / F.sqrt(x["expected"] * (x["expected"] - 1) / (x["n"] - 1))),
+    )
+    least = F.lit(1e-300)
+    r = step(
+        r,
+        **keep("start", "end", "ordinary_z"),
+        half=lambda x: -(
+            F.log(F.greatest(two_sided(x["uniform_z"]), least))
+            + F.log(F.coalesce(F.greatest(two_sided(x["runs_z"]), least), F.pow(F.lit(2.0), 1 - x["n"])))
+            + F.log(F.greatest(F.coalesce(two_sided(x["serial_z"]), F.lit(0.0)), least))
+        ),
+    )
+    return step(r, **keep("start", "end"), random=lambda x: F.exp(-x["half"]) * (1 + x["half"] + x["half"] * x["half"] / 2), ordinary=lambda x: below(x["ordinary_z"]))
 
 
 def candidates(rows: DataFrame, text: str) -> DataFrame:
@@ -122,15 +168,12 @@ def candidates(rows: DataFrame, text: str) -> DataFrame:
     rows = rows.withColumn("_base", F.expr(f"CASE WHEN size(_p0) + size(_p1) + size(_p2) > 0 THEN {base} ELSE cast(array() AS {SPANS}) END"))
     alone = F.expr("filter(_p3, x -> NOT exists(_base, b -> b.start < x.start + length(x.hit) AND x.start < b.end))")
     rows = rows.withColumn("_alone", alone).drop("_p0", "_p1", "_p2", "_p3")
-    encoded = F.transform("_alone", lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["hit"])).alias("end"), battery(x["hit"]).alias("run")))
-    rows = rows.withColumn("_encoded", encoded)
-    judged = F.transform("_encoded", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), tested(x["run"]).alias("p")))
-    rows = rows.withColumn("_judged", judged)
+    rows = rows.withColumn("_judged", battery(F.col("_alone")))
     binned = F.transform(
-        F.filter("_judged", lambda x: x["p"]["random"] >= REJECT),
-        lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.least(F.lit(BINS), F.floor(-10 * F.log10(F.greatest(x["p"]["ordinary"], F.lit(1e-300)))).cast("int")).alias("bin")),
+        F.filter("_judged", lambda x: x["random"] >= REJECT),
+        lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.least(F.lit(BINS), F.floor(-10 * F.log10(F.greatest(x["ordinary"], F.lit(1e-300)))).cast("int")).alias("bin")),
     )
-    return rows.withColumn("_tests", F.size("_judged")).withColumn("_runs", binned).drop("_alone", "_encoded", "_judged")
+    return rows.withColumn("_tests", F.size("_judged")).withColumn("_runs", binned).drop("_alone", "_judged")
 
 
 def threshold(found: DataFrame, rate: float) -> int:
