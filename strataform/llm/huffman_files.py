@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pieces, saved, shared_dir, text_of
-from .subwords import WordIds
+from .subwords import BLOCK_BYTES, WordIds
 
 END, LONGEST = 2, 16
 #: Ids of a block, and between two checkpoints.
@@ -106,8 +106,8 @@ def tokenized(docs: DataFrame, end: int = END) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, last = WordIds(), np.array([end], "<u2").tobytes()
-        for batch in pieces(batches, 4 << 20):
-            ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() + last for x in encode.of(batch.column("text").to_pylist())]
+        for batch in pieces(batches, BLOCK_BYTES, 20_000):
+            ids = [x.astype("<u2").tobytes() + last for x in encode.of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return text_of(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary")

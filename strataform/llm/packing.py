@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces, saved, text_of
-from .subwords import WordIds
+from .subwords import BLOCK_BYTES, WordIds
 
 LENGTH, END = 2048, 0
 #: Sequences with at most so many places left are nearly full.
@@ -31,14 +31,14 @@ def pieced(docs: DataFrame, length: int = LENGTH, end: int = END) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): a document's ids, its end id included, cut only if there are too many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last = WordIds(), np.array([end], "<u4").tobytes()
-        for batch in pieces(batches, 4 << 20):
+        encode, last = WordIds(), np.array([end], np.uint32)
+        for batch in pieces(batches, BLOCK_BYTES, 20_000):
             rows = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode.of(batch.column("text").to_pylist())):
-                ids += last
-                for k, at in enumerate(range(0, len(ids), 4 * length)):
-                    part = ids[at : at + 4 * length]
-                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode.of(batch)):
+                ids = np.concatenate([ids, last]).astype("<u4", copy=False)
+                for k, at in enumerate(range(0, len(ids), length)):
+                    part = ids[at : at + length]
+                    rows.append((doc, k, at, len(part), zlib.crc32(part.data)))
             columns = list(zip(*rows))
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])

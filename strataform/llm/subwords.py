@@ -1,16 +1,18 @@
-"""Ids of the word-level tokenizer file for many texts, each distinct word encoded once a task."""
+"""Ids of the word-level tokenizer file for many texts, each distinct word encoded once a block."""
 
 from __future__ import annotations
 
 import os
-import re
-import unicodedata
 
 import numpy as np
+import pyarrow as pa
+
+from .common import Words, bytes_of, pieces
+from .pretokens import gathered
 
 VOCABULARY = "word_bpe_49k.json"
-#: Distinct words that a task remembers; it starts anew beyond them, which changes nothing but speed.
-REMEMBERED = 400_000
+#: Bytes of text whose distinct words are encoded together.
+BLOCK_BYTES = 24 << 20
 
 
 def vocabulary(name: str) -> str:
@@ -21,11 +23,12 @@ def vocabulary(name: str) -> str:
 
 
 class WordIds:
-    """Ids as bytes, little-endian unsigned 32-bit, equal to the library's for the whole text.
+    """Ids of texts, equal to the library's for the whole text.
 
-    Texts of plain Latin characters are lower-cased and cut into the file's own words
-    here; words that aren't known yet go through the library together. Any other text
-    goes through the library whole.
+    Texts of plain Latin characters are cut where the file's pattern cuts them: between
+    letters, single digits, other characters and white space. Equal words, told apart by
+    64-bit hashes, go through the library once, many together; the tokens that end a word
+    show where each one ends. Any other text goes through the library whole.
     """
 
     def __init__(self, path: str | None = None) -> None:
@@ -33,30 +36,92 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path or vocabulary(VOCABULARY))
-        plain = [chr(c) for c in (9, 10, 13, *range(32, 127), *range(0xA1, 0x180)) if chr(c) != "İ"]
-        kinds = {k: "".join(re.escape(c) for c in plain if not c.isspace() and unicodedata.category(c)[0] == k) for k in "LN"}
-        self.odd = re.compile("[^" + "".join(re.escape(c) for c in plain) + r"]|<\|")
-        self.word = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{kinds['L']}]+|[{kinds['N']}]|[^\\s{kinds['L']}{kinds['N']}]+")
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        new: set[str] = set()
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        for text in texts:
-            words = None if self.odd.search(text) else self.word.findall(text.lower())
-            if words:
-                new.update(words)
-            split.append(words)
-        fresh = [w for w in new if w not in known]
-        for at in range(0, len(fresh), 4096):
-            some = fresh[at : at + 4096]
-            for word, got in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                known[word] = np.array(got.ids, "<u4").tobytes()
-        take = known.__getitem__
-        return [self.whole(text) if words is None else b"".join(map(take, words)) for text, words in zip(texts, split)]
+        tokens = self.library.get_vocab()
+        self.ends_word = np.zeros(max(tokens.values()) + 1, bool)
+        self.ends_word[[k for token, k in tokens.items() if token.endswith("</w>")]] = True
+        self.words = Words()
+        self.kind = np.full(256, 3, np.uint8)  # space 0, letter 1, digit 2, other 3
+        self.kind[[9, 10, 13, 32]] = 0
+        self.kind[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+        self.kind[48:58] = 2
+        self.odd = np.zeros(256, bool)  # controls, and characters before U+00C0 and from U+0180 on
+        self.odd[[*range(9), 11, 12, *range(14, 32), 127, 0xC2, *range(0xC6, 256)]] = True
+
+    def cut(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(lower-case bytes, starts, ends, hashes, first word of each text and the end, texts for the library)."""
+        data, offsets = bytes_of(array)
+        n = len(data)
+        self.words.powers(n + 1)
+        low = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+        begins = np.zeros(n + 1, bool)
+        begins[offsets] = True
+        two = lambda a, b: (data[:-1] == a) & (data[1:] == b)
+        bad = self.odd[data]
+        if n > 1:
+            bad[:-1] |= two(0x3C, 0x7C) | two(0xC3, 0x97) | two(0xC3, 0xB7) | two(0xC4, 0xB0)  # <| and signs among the letters
+        count = np.concatenate([[0], np.cumsum(bad)])[offsets]
+        whole = count[1:] > count[:-1]
+        kind = self.kind[data]
+        changes = np.ones(n, bool)
+        changes[1:] = kind[1:] != kind[:-1]
+        starts = (kind != 0) & (changes | (kind == 2) | begins[:-1])
+        # A piece with an apostrophe before a letter stays whole: it may hold a contraction.
+        quote = np.flatnonzero((low[:-1] == 39) & (kind[1:] == 1)) if n > 1 else np.zeros(0, np.int64)
+        if len(quote):
+            piece = (kind != 0) & ((changes & (np.concatenate([[0], kind[:-1]]) == 0)) | begins[:-1])
+            number = np.cumsum(piece)
+            marked = np.zeros(number[-1] + 1, bool)
+            marked[number[quote]] = True
+            starts &= piece | ~marked[number]
+        at = np.flatnonzero(starts)
+        stop = np.zeros(n + 1, bool)
+        stop[:-1] = starts | (kind == 0)
+        stop |= begins
+        stops = np.flatnonzero(stop)
+        ends = stops[np.searchsorted(stops, at, "right")] if len(at) else at
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.words.values[low] * self.words.up[:n], out=sums[1:])
+        hashes = (sums[ends] - sums[at]) * self.words.down[at]
+        return low, at, ends, hashes, np.searchsorted(at, offsets), whole
+
+    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, first id of each word and the end)."""
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), 8192):
+            some = words[at : at + 8192]
+            got = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends_word[got]) + 1
+            if len(ends) != len(some):  # contractions are several words
+                several = [w for w in some if "'" in w]
+                parts = dict(zip(several, (int(self.ends_word[e.ids].sum()) for e in self.library.encode_batch_fast(several, add_special_tokens=False))))
+                ends = ends[np.cumsum([parts.get(w, 1) for w in some]) - 1]
+            ids.append(got)
+            sizes.append(np.diff(ends, prepend=0))
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+    def of(self, batch: pa.RecordBatch) -> list[np.ndarray]:
+        """The ids of each text of a batch, unsigned 32-bit."""
+        hashes, spans, firsts, whole = [], [], [np.zeros(1, np.int64)], []
+        lows, base, words = [], 0, 0
+        for part in pieces(iter([batch])):
+            low, at, ends, own, first, odd = self.cut(part.column("text"))
+            hashes.append(own), spans.append((at + base, ends + base)), firsts.append(first[1:] + words), whole.append(odd), lows.append(low)
+            base, words = base + len(low), words + len(own)
+        if not hashes:
+            return []
+        low, first = np.concatenate(lows).tobytes(), np.concatenate(firsts)
+        starts, ends = (np.concatenate(x) for x in zip(*spans))
+        every, whole = np.concatenate(hashes), np.concatenate(whole)
+        used = np.repeat(~whole, np.diff(first))
+        _, sample, number = np.unique(every[used], return_index=True, return_inverse=True)
+        sample = np.flatnonzero(used)[sample]
+        flat, at = self.encoded([low[a:b].decode() for a, b in zip(starts[sample].tolist(), ends[sample].tolist())])
+        sizes = np.zeros(len(every), np.int64)
+        sizes[used] = np.diff(at)[number]
+        ids = gathered(flat, at[:-1][number], sizes[used])
+        cut = np.concatenate([[0], np.cumsum(sizes)])[first].tolist()
+        out = [ids[a:b] for a, b in zip(cut, cut[1:])]
+        texts = batch.column("text")
+        for k in np.flatnonzero(whole).tolist():
+            out[k] = np.array(self.library.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32)
+        return out
