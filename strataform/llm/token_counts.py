@@ -69,28 +69,41 @@ class PrefixCounts:
             known = self.follows[a, b] = self.encoded(a + b) == [a, b]
         return known
 
-    def prefixes(self, word: bytes) -> np.ndarray | bytes:
-        """The number of tokens of word[:1], word[:2] and so on."""
-        n = len(word)
-        last, count = [b""] * (n + 1), [0] * (n + 1)
+    def prefixes(self, words: list[bytes]) -> Iterator[np.ndarray | bytes]:
+        """For each of the words, in ascending order, the number of tokens of word[:1], word[:2] and so on.
+
+        What a word shares with the one before it is known already.
+        """
         tokens, longest, follows, alone = self.vocabulary, self.longest, self.follows, self.alone
-        for i in range(1, n + 1):
-            for j in range(max(0, i - longest), i):
-                token = word[j:i]
-                if token in tokens and (alone[token] if token in alone else self.stands(token)):
-                    before = last[j]
-                    if not j or (follows[before, token] if (before, token) in follows else self.fits(before, token)):
-                        last[i], count[i] = token, count[j] + 1
-                        break
-        return bytes(count[1:]) if n < 256 else np.array(count[1:])
+        last, count, before_it = [b""], [0], b""
+        for word in words:
+            n, same = len(word), 0
+            for a, b in zip(word, before_it):
+                if a != b:
+                    break
+                same += 1
+            del last[same + 1 :], count[same + 1 :]
+            for i in range(same + 1, n + 1):
+                for j in range(max(0, i - longest), i):
+                    token = word[j:i]
+                    if token in tokens and (alone[token] if token in alone else self.stands(token)):
+                        left = last[j]
+                        if not j or (follows[left, token] if (left, token) in follows else self.fits(left, token)):
+                            last.append(token)
+                            count.append(count[j] + 1)
+                            break
+            before_it = word
+            yield bytes(count[1:]) if n < 256 else np.array(count[1:])
 
     def of_words(self, words: list[str]) -> list:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         known = self.known
-        for w in words:
-            if w not in known:
-                known[w] = self.prefixes(w.encode())
+        if len(known) > REMEMBERED:
+            known.clear()
+        for mark in self.special:
+            known[mark] = bytes([1] * len(mark.encode()))
+        new = sorted(w.encode() for w in words if w not in known)
+        for word, found in zip(new, self.prefixes(new)):
+            known[word.decode()] = found
         return [known[w] for w in words]
 
 
@@ -120,14 +133,8 @@ def counts(docs: DataFrame, limit: int = LIMIT, path: str | None = None) -> Data
                     return plain.findall(text)
                 return [w for k, part in enumerate(split.split(text)) for w in ([part] if k % 2 else plain.findall(part))]
 
-        for mark in table.special:
-            table.known[mark] = bytes([1] * len(mark.encode()))
         for batch in pieces(batches, BLOCK_BYTES, 20_000):
             words, codes, offsets = lexicon((x.as_py() for x in batch.column("text")), Pattern)
-            if len(table.known) > REMEMBERED:
-                table.known.clear()
-                for mark in table.special:
-                    table.known[mark] = bytes([1] * len(mark.encode()))
             prefix = table.of_words(words)
             each = np.array([int(p[-1]) for p in prefix], np.int64)
             size = np.array([len(p) for p in prefix], np.int64)
