@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vector_blocks import QUERIES, ROWS, blocks, matrix, met, usual_length, vectors
+from .vector_blocks import QUERIES, ROWS, blocks, matrix, met, usual_length, vectors, whole_blocks
 
 BOOKS, WORDS, BEAM = 16, 256, 4
 #: Vectors that codebooks are fitted on: those with the smallest hashes of vec_id.
@@ -104,11 +104,17 @@ def search(rows: DataFrame, every: int = 50, nearest: int = NEAREST, rerank: int
     def asked(ids: np.ndarray, v: np.ndarray) -> tuple:
         return ((v / np.sqrt((v * v).sum(1))[:, None]).astype(np.float32),)
 
-    data = blocks(good, ROWS, coded, d, ["codes", "norms"])
-    queries = blocks(good.where(F.col("vec_id") % every == 0), QUERIES, asked, d, ["v"])
+    data = blocks(whole_blocks(good, ROWS), 2 * ROWS, coded, d, ["codes", "norms"])
+    queries = blocks(whole_blocks(good.where(F.col("vec_id") % every == 0), QUERIES), 2 * QUERIES, asked, d, ["v"])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books = shared.value
+        books, asking, held = shared.value, None, None
+
+        def out() -> pa.RecordBatch:
+            ids, score = held
+            rows = pa.RecordBatch.from_arrays([pa.array(np.repeat(asking, ids.shape[1])), pa.array(ids.ravel()), pa.array(score.ravel().astype(float))], ["query_id", "vec_id", "near"])
+            return rows.filter(pa.array(np.isfinite(score.ravel())))
+
         for batch in batches:
             for ids, codes, norms, q_ids, q in zip(*(batch.column(c).to_pylist() for c in ("ids", "codes", "norms", "q_ids", "q_v"))):
                 ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
@@ -119,10 +125,17 @@ def search(rows: DataFrame, every: int = 50, nearest: int = NEAREST, rerank: int
                     score += tables[:, j * WORDS : (j + 1) * WORDS][:, codes[:, j]]
                 score = 2 * score - np.frombuffer(norms, np.float32)
                 score[q_ids[:, None] == ids[None, :]] = -np.inf
-                top = np.argpartition(-score, rerank - 1, axis=1)[:, :rerank] if len(ids) > rerank else np.tile(np.arange(len(ids)), (len(q_ids), 1))
-                value = np.take_along_axis(score, top, 1).ravel()
-                out = pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, top.shape[1])), pa.array(ids[top].ravel()), pa.array(value.astype(float))], ["query_id", "vec_id", "near"])
-                yield out.filter(pa.array(np.isfinite(value)))
+                ids = np.broadcast_to(ids, score.shape)
+                if asking is not None and np.array_equal(asking, q_ids):
+                    ids, score = np.concatenate([held[0], ids], 1), np.concatenate([held[1], score], 1)
+                elif asking is not None:
+                    yield out()
+                if score.shape[1] > rerank:
+                    top = np.argpartition(-score, rerank - 1, axis=1)[:, :rerank]
+                    ids, score = np.take_along_axis(ids, top, 1), np.take_along_axis(score, top, 1)
+                asking, held = q_ids, (ids, score)
+        if asking is not None:
+            yield out()
 
     found = met(data, queries).select("ids", "codes", "norms", "q_ids", "q_v").mapInArrow(scored, "query_id long, vec_id long, near double")
     best = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vector_blocks import QUERIES, ROWS, blocks, met, usual_length, vectors
+from .vector_blocks import QUERIES, ROWS, blocks, met, usual_length, vectors, whole_blocks
 
 SCALE, HIGHEST, RANGE = 256, 5, 64
 
@@ -26,9 +26,10 @@ def bounds(v: np.ndarray, size: int = RANGE) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum.reduceat(v, edges), np.minimum.reduceat(v, edges)
 
 
-def top_of(ids: np.ndarray, v: np.ndarray, high: np.ndarray, low: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int, size: int = RANGE) -> tuple[np.ndarray, np.ndarray]:
-    """(scores, ids) of the k highest rows of each query; missing ones have the id -1.
+def top_of(ids: np.ndarray, v: np.ndarray, high: np.ndarray, low: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int, size: int = RANGE, before: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, ids) of the k highest rows of each query, those found before included.
 
+    A missing one has the least score of 64 bits.
     Queries advance together: in each round, those that still can gain score their next range.
     """
     small = np.finfo(float).max if not len(v) else float(np.abs(v).max()) * float(np.abs(q).max()) * v.shape[1]
@@ -37,11 +38,11 @@ def top_of(ids: np.ndarray, v: np.ndarray, high: np.ndarray, low: np.ndarray, q_
     most = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
     order = np.argsort(-most, axis=1, kind="stable")
     none = np.iinfo(np.int64).min
-    score, who = np.full((len(q), k), none, np.int64), np.full((len(q), k), -1, np.int64)
+    score, who = before if before else (np.full((len(q), k), none, np.int64), np.full((len(q), k), -1, np.int64))
     active = np.arange(len(q))
     for turn in range(most.shape[1]):
         block = order[active, turn]
-        more = (most[active, block] >= score[active, -1]) | (who[active, -1] < 0)
+        more = (most[active, block] >= score[active, -1]) | (score[active, -1] == none)
         active, block = active[more], block[more]
         if not len(active):
             break
@@ -51,9 +52,8 @@ def top_of(ids: np.ndarray, v: np.ndarray, high: np.ndarray, low: np.ndarray, q_
             got = (q[rows] @ v[some].T).astype(np.int64)
             names = np.broadcast_to(ids[some], got.shape)
             got = np.where(names == q_ids[rows][:, None], none, got)
-            names = np.where(got == none, -1, names)
             got, names = np.concatenate([score[rows], got], 1), np.concatenate([who[rows], names], 1)
-            top = np.lexsort((np.where(names < 0, np.iinfo(np.int64).max, names), -got.clip(none + 1)), axis=1)[:, :k]
+            top = np.lexsort((names, -got.clip(none + 1)), axis=1)[:, :k]
             score[rows], who[rows] = np.take_along_axis(got, top, 1), np.take_along_axis(names, top, 1)
     return score, who
 
@@ -63,8 +63,7 @@ def search(rows: DataFrame, every: int = 50, highest: int = HIGHEST, scale: int
 
     Components are floor(scale * x). Which vectors take part: see vectors(); zero vectors
     do. Ties go to the smaller vec_id; with fewer other rows all are returned. An empty
-    table, or one without queries, gives no rows. Negative vec_ids other than -1 are
-    ordinary; scores fit 64 bits.
+    table, or one without queries, gives no rows. Scores fit 64 bits.
     """
     spark = rows.sparkSession
     good = vectors(rows, nonzero=False)
@@ -80,19 +79,28 @@ def search(rows: DataFrame, every: int = 50, highest: int = HIGHEST, scale: int
         terms = whole(v)
         return (terms, *bounds(terms))
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    in_order = good.repartitionByRange(parts, "vec_id").sortWithinPartitions("vec_id")
-    data = blocks(in_order, ROWS, indexed, d, ["terms", "high", "low"])
-    queries = blocks(good.where(F.col("vec_id") % every == 0), QUERIES, lambda ids, v: (whole(v),), d, ["terms"])
+    data = blocks(whole_blocks(good, ROWS, "vec_id"), 2 * ROWS, indexed, d, ["terms", "high", "low"])
+    queries = blocks(whole_blocks(good.where(F.col("vec_id") % every == 0), QUERIES), 2 * QUERIES, lambda ids, v: (whole(v),), d, ["terms"])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("ids", "terms", "high", "low", "q_ids", "q_terms")
+        asking, held = None, None
+
+        def out() -> pa.RecordBatch:
+            score, who = (x.ravel() for x in held)
+            rows = pa.RecordBatch.from_arrays([pa.array(np.repeat(asking, highest)), pa.array(who), pa.array(score)], ["query_id", "vec_id", "score"])
+            return rows.filter(pa.array(score > np.iinfo(np.int64).min))
+
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in names)):
                 ids, terms, high, low, q_ids, q = (np.frombuffer(x, np.int64) for x in row)
-                score, who = top_of(ids, terms.reshape(-1, d), high.reshape(-1, d), low.reshape(-1, d), q_ids, q.reshape(-1, d), highest)
-                found = (who >= 0) | (score > np.iinfo(np.int64).min)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, highest)), pa.array(who.ravel()), pa.array(score.ravel())], ["query_id", "vec_id", "score"]).filter(pa.array(found.ravel()))
+                same = asking is not None and np.array_equal(asking, q_ids)
+                if asking is not None and not same:
+                    yield out()
+                held = top_of(ids, terms.reshape(-1, d), high.reshape(-1, d), low.reshape(-1, d), q_ids, q.reshape(-1, d), highest, before=held if same else None)
+                asking = q_ids
+        if asking is not None:
+            yield out()
 
     found = met(data, queries).select("ids", "terms", "high", "low", "q_ids", "q_terms").mapInArrow(scored, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .common import saved
 
 ROWS, QUERIES = 4096, 256
+#: Tasks among which the blocks of data are dealt for each block of queries.
+GROUPS = 4
 
 
 def vectors(rows: DataFrame, nonzero: bool) -> DataFrame:
@@ -38,6 +40,12 @@ def matrix(column: pa.Array, d: int) -> np.ndarray:
     return flat.reshape(-1, d)
 
 
+def whole_blocks(rows: DataFrame, size: int, order: str | None = None) -> DataFrame:
+    """Rows dealt to as many partitions as blocks of that size need; by ranges if an order is given."""
+    parts = max(1, -(-rows.count() // size))
+    return rows.repartitionByRange(parts, order).sortWithinPartitions(order) if order else rows.repartition(parts, "vec_id")
+
+
 def blocks(rows: DataFrame, size: int, make: Callable[[np.ndarray, np.ndarray], tuple], d: int, names: list[str]) -> DataFrame:
     """A row for each block of up to size vectors: block number, ids, and what make(ids, vectors) returns, as bytes."""
 
@@ -57,8 +65,13 @@ def met(data: DataFrame, queries: DataFrame) -> DataFrame:
     """Each block of data with each block of queries; the columns of queries begin with q_.
 
     Both are blocks, so rows here are blocks times blocks and not vectors times queries.
+    The rows of one block of queries that a task has follow one another, so the task can
+    keep what it has found so far and return it once.
     """
     numbers = [r["block"] for r in queries.select("block").collect()]  # one for each QUERIES queries
-    named = queries.select(*(F.col(c).alias(f"q_{c}") for c in queries.columns))
-    wide = data.withColumn("q_block", F.explode(F.array(*(F.lit(n).cast("long") for n in numbers)))) if numbers else data.withColumn("q_block", F.lit(None).cast("long")).limit(0)
-    return wide.repartition("block", "q_block").join(named, "q_block")
+    groups = F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))).alias("part")
+    named = queries.select(*(F.col(c).alias(f"q_{c}") for c in queries.columns), groups)
+    every = F.explode(F.array(*(F.lit(n).cast("long") for n in numbers))) if numbers else F.lit(None).cast("long")
+    wide = data.withColumn("q_block", every).withColumn("part", F.pmod(F.xxhash64("block"), F.lit(GROUPS)).cast("int"))
+    wide = wide.repartition(max(1, GROUPS * len(numbers)), "q_block", "part").sortWithinPartitions("q_block", "part")
+    return wide.join(named.hint("merge"), ["q_block", "part"])
