@@ -178,10 +178,12 @@ def candidates(rows: DataFrame, text: str) -> DataFrame:
 
 def threshold(found: DataFrame, rate: float) -> int:
     """The least bin that is reported: Benjamini and Hochberg over all runs, p-values rounded up to their bin."""
-    tests = found.agg(F.sum(F.col("_tests").cast("long"))).first()[0] or 0
-    counts = found.where(F.size("_runs") > 0).select(F.explode("_runs.bin").alias("bin")).groupBy("bin").count().collect()  # at most BINS + 1 rows
+    marks = F.concat("_runs.bin", F.array_repeat(F.lit(-1), F.col("_tests")))  # -1 for each run that was tested
+    rows = found.where(F.size(marks) > 0).select(F.explode(marks).alias("bin")).groupBy("bin").count().collect()  # at most BINS + 2 rows
+    counts = {r["bin"]: r["count"] for r in rows}
+    tests = counts.pop(-1, 0)
     least, above = BINS + 1, 0
-    for bin_, count in sorted(((r["bin"], r["count"]) for r in counts), reverse=True):
+    for bin_, count in sorted(counts.items(), reverse=True):
         above += count
         if 10 ** (-bin_ / 10) * tests <= rate * above:
             least = bin_
