@@ -102,3 +102,10 @@ def title_before(df: DataFrame, key: str, anchor: Column, is_title: Column, barr
     rows = df.withColumn("_wall", F.coalesce(F.last(F.when(barrier, F.col("pos")), ignorenulls=True).over(w), F.lit(-1)))
     titles = F.collect_list(F.when(is_title, F.col("pos"))).over(along(key).rangeBetween(-reach, -1))
     return rows.withColumn("_titles", titles).where(anchor).select(key, "pos", F.array_min(F.filter("_titles", lambda p: p > F.col("_wall"))).alias("title_pos"))
+
+
+def joined_sentences(df: DataFrame, key: str, ends: Column | None = None) -> DataFrame:
+    """(key, item, text): lines joined until one ends a sentence."""
+    ends = F.col("line").rlike("[.!?]$") if ends is None else ends
+    done = F.sum(F.when(ends, 1).otherwise(0)).over(along(key).rowsBetween(Window.unboundedPreceding, -1))
+    return ordered_text(df.withColumn("item", F.coalesce(done, F.lit(0))), [key, "item"], "line", " ", "text")

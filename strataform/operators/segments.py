@@ -155,3 +155,34 @@ def menu_blocks(text: Column) -> Column:
 
 def lines_of(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return exploded(df, key, text)
+
+
+def best_block(lines: DataFrame, key: str, headings: Headings = Headings(), quantity: str = "[0-9]", verb: str = r"(?i)\b(add|bake|boil|cook|fry|mix|pour|serve|stir)\b", prose: int = 80) -> DataFrame:
+    """(key, block, score, ingredients, method): of the parts that begin with an ingredients heading and hold a method
+    heading before a stop, the one with the highest 5 * lines + 4 * lines with a quantity + 2 * min(verbs, 8) - long lines."""
+    kind = headings.kind(F.col("line"))
+    rows = lines.withColumn("_kind", kind)
+    upto = along(key).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("block", F.sum(F.when(F.col("_kind") == "ingredients", 1).otherwise(0)).over(upto)).where("block > 0")
+    inside = Window.partitionBy(key, "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("section", F.last("_kind", ignorenulls=True).over(inside)).withColumn("_stopped", F.count_if(F.col("_kind") == "stop").over(inside) > 0)
+    rows = rows.where("NOT _stopped AND _kind IS NULL")
+    of = lambda name: F.array_sort(F.filter(F.collect_list(F.when(F.col("section") == name, F.struct("pos", "line"))), lambda x: x.isNotNull()))["line"]
+    out = rows.groupBy(key, "block").agg(of("ingredients").alias("ingredients"), of("method").alias("method")).where((F.size("ingredients") > 0) & (F.size("method") > 0))
+    count = lambda c, test: F.size(F.filter(c, test))
+    score = 5 * F.size("ingredients") + 4 * count("ingredients", lambda x: x.rlike(quantity)) + 2 * F.least(count("method", lambda x: x.rlike(verb)), F.lit(8)) - count("ingredients", lambda x: F.length(x) > prose)
+    turn = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "block"))
+    return out.withColumn("score", score).withColumn("_turn", turn).where("_turn = 1").select(key, "block", "score", "ingredients", "method")
+
+
+def repaired(ingredients: Column, method: Column, label: str = r"(?<=[a-z.]) (?=\p{Lu}[a-z]+( [a-z]+)?: )", instruction: str = r"(?i)^(add|bake|boil|cook|fry|heat|mix|pour|serve|stir)\b.*\.$") -> list[Column]:
+    """[ingredients, method]: lines with several labels split before each, instructions moved to the method, both distinct."""
+    split = F.flatten(F.transform(ingredients, lambda x: F.split(x, label)))
+    moved = F.filter(split, lambda x: x.rlike(instruction))
+    return [F.array_distinct(F.filter(split, lambda x: ~x.rlike(instruction))), F.array_distinct(F.concat(method, moved))]
+
+
+def intro(lines: DataFrame, key: str, headings: Headings = Headings(), least: int = 80, most: int = 500) -> DataFrame:
+    """(key, intro): the first line of a document that is a paragraph and not a heading."""
+    good = F.length("line").between(least, most) & headings.kind(F.col("line")).isNull()
+    return lines.where(good).groupBy(key).agg(F.min_by("line", "pos").alias("intro"))

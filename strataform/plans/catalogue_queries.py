@@ -573,3 +573,24 @@ def sections(spark, d):
     body = F.array_sort(F.filter(F.collect_list(F.when(~F.col("head"), F.struct("pos", "line"))), lambda x: x.isNotNull()))["line"]
     out = rows.groupBy("doc_id", "section").agg(F.coalesce(F.max(F.when(F.col("head"), F.col("line"))), F.lit("")).alias("heading"), F.count_if(~F.col("head")).alias("n_lines"), F.array_join(body, " ").alias("body"))
     return out.select("doc_id", "section", "heading", "n_lines", "body")
+
+
+@query(rf"""WITH {LINES}, e AS (SELECT *, coalesce(sum(CASE WHEN regexp_matches(line, '[.!?]$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS item FROM l)
+          SELECT doc_id, item::BIGINT AS item, string_agg(line, ' ' ORDER BY pos) AS text FROM e GROUP BY 1, 2""")
+def sentence_join(spark, d):
+    """lines joined until one ends a sentence."""
+    return lines.joined_sentences(document_lines(spark, d), "doc_id")
+
+
+@query(rf"""WITH {LINES}, b AS (SELECT *, coalesce(max(pos) FILTER (contains(line, '|')) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS wall FROM l)
+          SELECT b.doc_id, b.pos, min(t.pos) AS title_pos FROM b LEFT JOIN l t ON t.doc_id = b.doc_id AND length(t.line) <= 30 AND t.pos BETWEEN b.pos - 60 AND b.pos - 1 AND t.pos > b.wall
+          WHERE regexp_matches(b.line, '[0-9]') GROUP BY 1, 2""")
+def title_lookback(spark, d):
+    """For each line with a digit the first short line at most 60 above it and below the last barrier."""
+    return lines.title_before(document_lines(spark, d), "doc_id", F.col("line").rlike("[0-9]"), short(), F.contains("line", F.lit("|")))
+
+
+@query(rf"""WITH {LINES} SELECT doc_id, first(line ORDER BY pos) AS intro FROM l WHERE length(line) BETWEEN 80 AND 500 GROUP BY 1""")
+def intro_paragraph(spark, d):
+    """Each document's first paragraph."""
+    return segments.intro(document_lines(spark, d), "doc_id")

@@ -205,3 +205,15 @@ def test_sources(spark, tmp_path):
     (tmp_path / "b.csv").write_text("x,y\n1,2")
     assert sorted(r["text"] for r in tables.whole_texts(spark, str(tmp_path)).collect()) == ["one\ntwo", "x,y\n1,2"]
     assert [r["length"] for r in tables.objects(spark, str(tmp_path), "*.txt").collect()] == [7]
+
+
+def test_best_block(spark):
+    text = "Ingredients\nnothing\nShare this\nMethod\nno\nIngredients\n1 egg\n2 eggs\nMethod\nMix.\nFry.\nShare this\nx"
+    r = segments.best_block(segments.lines_of(spark.createDataFrame([(1, text)], "id int, text string"), "id"), "id").collect()
+    assert [(x["block"], x["score"], x["ingredients"], x["method"]) for x in r] == [(2, 22, ["1 egg", "2 eggs"], ["Mix.", "Fry."])]
+
+
+def test_repaired(spark):
+    given = [F.array(F.lit("Dough: flour Filling: cheese"), F.lit("salt"), F.lit("salt"), F.lit("Mix it well.")), F.array(F.lit("Bake."))]
+    r = spark.range(1).select(*(c.alias(n) for c, n in zip(segments.repaired(*given), "im"))).first()
+    assert (r["i"], r["m"]) == (["Dough: flour", "Filling: cheese", "salt"], ["Bake.", "Mix it well."])
