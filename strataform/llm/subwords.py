@@ -1,4 +1,4 @@
-"""Ids of the word-level tokenizer file for many texts, each distinct word encoded once a block."""
+"""Ids of the word-level tokenizer file for many texts, each distinct word encoded once a task."""
 
 from __future__ import annotations
 
@@ -11,8 +11,9 @@ from .common import Words, bytes_of, pieces
 from .pretokens import gathered
 
 VOCABULARY = "word_bpe_49k.json"
-#: Bytes of text whose distinct words are encoded together.
-BLOCK_BYTES = 24 << 20
+#: Bytes of text whose distinct words are encoded together, and words that a task
+#: remembers from earlier blocks; beyond them it starts anew, which changes nothing but speed.
+BLOCK_BYTES, REMEMBERED = 8 << 20, 1_500_000
 
 
 def vocabulary(name: str) -> str:
@@ -40,6 +41,7 @@ class WordIds:
         self.ends_word = np.zeros(max(tokens.values()) + 1, bool)
         self.ends_word[[k for token, k in tokens.items() if token.endswith("</w>")]] = True
         self.words = Words()
+        self.forget()
         self.kind = np.full(256, 3, np.uint8)  # space 0, letter 1, digit 2, other 3
         self.kind[[9, 10, 13, 32]] = 0
         self.kind[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
@@ -99,29 +101,46 @@ class WordIds:
             sizes.append(np.diff(ends, prepend=0))
         return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
+    def forget(self) -> None:
+        self.hashes, self.first, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Remember the ids of words, by their hashes."""
+        ids, at = self.encoded(words)
+        every = np.concatenate([self.hashes, hashes])
+        order = np.argsort(every)
+        self.hashes = every[order]
+        self.first = np.concatenate([self.first, at[:-1] + len(self.flat)])[order]
+        self.size = np.concatenate([self.size, np.diff(at)])[order]
+        self.flat = np.concatenate([self.flat, ids])
+
     def of(self, batch: pa.RecordBatch) -> list[np.ndarray]:
         """The ids of each text of a batch, unsigned 32-bit."""
-        hashes, spans, firsts, whole = [], [], [np.zeros(1, np.int64)], []
-        lows, base, words = [], 0, 0
-        for part in pieces(iter([batch])):
-            low, at, ends, own, first, odd = self.cut(part.column("text"))
-            hashes.append(own), spans.append((at + base, ends + base)), firsts.append(first[1:] + words), whole.append(odd), lows.append(low)
-            base, words = base + len(low), words + len(own)
-        if not hashes:
-            return []
-        low, first = np.concatenate(lows).tobytes(), np.concatenate(firsts)
-        starts, ends = (np.concatenate(x) for x in zip(*spans))
-        every, whole = np.concatenate(hashes), np.concatenate(whole)
-        used = np.repeat(~whole, np.diff(first))
-        _, sample, number = np.unique(every[used], return_index=True, return_inverse=True)
-        sample = np.flatnonzero(used)[sample]
-        flat, at = self.encoded([low[a:b].decode() for a, b in zip(starts[sample].tolist(), ends[sample].tolist())])
-        sizes = np.zeros(len(every), np.int64)
-        sizes[used] = np.diff(at)[number]
-        ids = gathered(flat, at[:-1][number], sizes[used])
-        cut = np.concatenate([[0], np.cumsum(sizes)])[first].tolist()
-        out = [ids[a:b] for a, b in zip(cut, cut[1:])]
+        parts, fresh = [], {}
+        for low, at, ends, hashes, first, whole in (self.cut(p.column("text")) for p in pieces(iter([batch]))):
+            used = np.repeat(~whole, np.diff(first))
+            distinct, sample, number = np.unique(hashes[used], return_index=True, return_inverse=True)
+            parts.append((used, distinct, number.astype(np.int32), first, whole))
+            sample = np.flatnonzero(used)[sample]
+            place = np.searchsorted(self.hashes, distinct)
+            known = place < len(self.hashes)
+            known[known] = self.hashes[place[known]] == distinct[known]
+            raw, new = low.tobytes(), sample[~known]
+            for h, a, b in zip(distinct[~known].tolist(), at[new].tolist(), ends[new].tolist()):
+                if h not in fresh:
+                    fresh[h] = raw[a:b].decode()
+        self.learn(np.array(list(fresh), np.uint64), list(fresh.values()))
+        out: list[np.ndarray] = []
+        for used, distinct, number, first, _ in parts:
+            place = np.searchsorted(self.hashes, distinct)[number]
+            sizes = np.zeros(len(used), np.int64)
+            sizes[used] = self.size[place]
+            ids = gathered(self.flat, self.first[place], sizes[used])
+            cut = np.concatenate([[0], np.cumsum(sizes)])[first].tolist()
+            out += [ids[a:b] for a, b in zip(cut, cut[1:])]
+        if len(self.hashes) > REMEMBERED:
+            self.forget()
         texts = batch.column("text")
-        for k in np.flatnonzero(whole).tolist():
+        for k in np.flatnonzero(np.concatenate([np.zeros(0, bool), *(x[-1] for x in parts)])).tolist():
             out[k] = np.array(self.library.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32)
         return out

@@ -189,7 +189,7 @@ def test_packing(docs, empty):
 
 
 def test_packing_over_many_partitions(spark, monkeypatch):
-    monkeypatch.setattr(packing, "ITEMS", 40)
+    monkeypatch.setattr(packing, "ITEMS", 100)
     rows = [(i, prose(i, 1 + i * 7 % 90)) for i in range(300)]
     got = packing.packed(spark.createDataFrame(rows, "doc_id long, text string"), length=256).collect()
     sequences = collections.defaultdict(list)
