@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Words of this library are separated by these bytes: space and 0x09 to 0x0D.
 SHINGLE = 5
+#: Bytes of rows that a Python worker gets at once.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,8 +41,19 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """The same rows; from here on, the session sends Python at most BATCH_BYTES at a time, however long the rows are."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    unit = df.sparkSession.conf.get(name).strip().lower()
+    now = int(re.sub(r"\D", "", unit)) << {"k": 10, "m": 20, "g": 30}.get(unit.rstrip("b")[-1:], 0)
+    if not 0 < now <= BATCH_BYTES:
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def text_of(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id long, text string), a null text as empty; other columns are dropped."""
+    bounded(docs)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
@@ -57,6 +71,20 @@ def pieces(batches: Iterator[pa.RecordBatch], most_bytes: int = 1 << 20, most_ro
             at = end
 
 
+def joined(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive batches put together until they hold about so many bytes."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= most_bytes:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def bytes_of(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array without nulls; offsets start at 0."""
     offsets = np.frombuffer(array.buffers()[1], np.int32)[array.offset : array.offset + len(array) + 1].astype(np.int64)

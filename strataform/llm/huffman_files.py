@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, saved, shared_dir, text_of
+from .common import joined, saved, shared_dir, text_of
 from .subwords import BLOCK_BYTES, WordIds
 
 END, LONGEST = 2, 16
@@ -106,7 +106,7 @@ def tokenized(docs: DataFrame, end: int = END) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, last = WordIds(), np.array([end], "<u2").tobytes()
-        for batch in pieces(batches, BLOCK_BYTES, 20_000):
+        for batch in joined(batches, BLOCK_BYTES):
             ids = [x.astype("<u2").tobytes() + last for x in encode.of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, pieces
+from .common import bounded, bytes_of, pieces
 
 #: The training sample: at most so many documents of each language, and so many characters of each of them.
 SAMPLE_DOCS, SAMPLE_CHARS = 64, 600
@@ -134,7 +134,7 @@ def labelled(docs: DataFrame, model: dict) -> DataFrame:
     give repeated results; an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_LANGUAGES and the sample
-    docs = docs.drop("lang_pred", "score")
+    docs = bounded(docs).drop("lang_pred", "score")
     text, letters = "_text_to_parse", "_has_letters"
     rows = docs.withColumn(text, F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn(letters, F.col(text).rlike(r"\p{L}"))
     kept = docs.columns

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pieces, text_of
+from .common import joined, text_of
 from .pretokens import gathered, lexicon, sums
 from .subwords import vocabulary
 
@@ -141,7 +141,7 @@ def digests(docs: DataFrame, path: str | None = None, block_bytes: int = BLOCK_B
 
         merges, pattern = Merges(path), regex.compile(public_tokenizers.PATTERN)
         take = merges.tokens.__getitem__
-        for batch in pieces(batches, block_bytes, 20_000):
+        for batch in joined(batches, block_bytes):
             ids, first = encode_batch((x.as_py() for x in batch.column("text")), merges, pattern)
             raw = memoryview(ids.astype("<u4")).cast("B")
             ends = first.tolist()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, saved, text_of
+from .common import joined, saved, text_of
 from .subwords import BLOCK_BYTES, WordIds
 
 LENGTH, END = 2048, 0
@@ -32,7 +32,7 @@ def pieced(docs: DataFrame, length: int = LENGTH, end: int = END) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, last = WordIds(), np.array([end], np.uint32)
-        for batch in pieces(batches, BLOCK_BYTES, 20_000):
+        for batch in joined(batches, BLOCK_BYTES):
             rows = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encode.of(batch)):
                 ids = np.concatenate([ids, last]).astype("<u4", copy=False)

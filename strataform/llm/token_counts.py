@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pieces, text_of
+from .common import joined, text_of
 from .pretokens import lexicon, sums
 from .subwords import vocabulary
 
@@ -133,7 +133,7 @@ def counts(docs: DataFrame, limit: int = LIMIT, path: str | None = None) -> Data
                     return plain.findall(text)
                 return [w for k, part in enumerate(split.split(text)) for w in ([part] if k % 2 else plain.findall(part))]
 
-        for batch in pieces(batches, BLOCK_BYTES, 20_000):
+        for batch in joined(batches, BLOCK_BYTES):
             words, codes, offsets = lexicon((x.as_py() for x in batch.column("text")), Pattern)
             prefix = table.of_words(words)
             each = np.array([int(p[-1]) for p in prefix], np.int64)

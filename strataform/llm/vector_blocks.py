@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import bounded, joined, saved
 
 ROWS, QUERIES = 4096, 256
 #: Tasks among which the blocks of data are dealt for each block of queries.
@@ -26,7 +26,7 @@ def vectors(rows: DataFrame, nonzero: bool) -> DataFrame:
     good = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     if nonzero:
         good &= F.exists(v, lambda x: x != 0)
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & good)
+    rows = bounded(rows).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & good)
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
@@ -50,7 +50,7 @@ def blocks(rows: DataFrame, size: int, make: Callable[[np.ndarray, np.ndarray],
     """A row for each block of up to size vectors: block number, ids, and what make(ids, vectors) returns, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in joined(batches, 128 << 20):  # a partition holds about one block
             for at in range(0, batch.num_rows, size):
                 part = batch.slice(at, size)
                 ids, v = part.column("vec_id").to_numpy(), matrix(part.column("v"), d)
