@@ -71,6 +71,16 @@ def pieces(batches: Iterator[pa.RecordBatch], most_bytes: int = 1 << 20, most_ro
             at = end
 
 
+def whole_rows(df: DataFrame) -> F.Column:
+    """All columns as one, named row, so that no name of theirs meets one that's added."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+
+
+def restored(df: DataFrame, like: DataFrame, **new: F.Column) -> DataFrame:
+    """The columns that whole_rows() put together, some of them new."""
+    return df.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in like.columns))
+
+
 def joined(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Consecutive batches put together until they hold about so many bytes."""
     held, size = [], 0

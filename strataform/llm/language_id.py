@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, bytes_of, pieces
+from .common import bounded, bytes_of, pieces, whole_rows
 
 #: The training sample: at most so many documents of each language, and so many characters of each of them.
 SAMPLE_DOCS, SAMPLE_CHARS = 64, 600
@@ -135,24 +135,23 @@ def labelled(docs: DataFrame, model: dict) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_LANGUAGES and the sample
     docs = bounded(docs).drop("lang_pred", "score")
-    text, letters = "_text_to_parse", "_has_letters"
-    rows = docs.withColumn(text, F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn(letters, F.col(text).rlike(r"\p{L}"))
-    kept = docs.columns
+    rows = docs.select(whole_rows(docs), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("letters", F.col("text").rlike(r"\p{L}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         names = np.array([*model["langs"], UNKNOWN], object)
-        for batch in pieces(batches, column=text):
-            count = phrases(batch.column(text), model).astype(float)
-            known = batch.column(letters).to_numpy(zero_copy_only=False).astype(bool)
+        for batch in pieces(batches):
+            count = phrases(batch.column("text"), model).astype(float)
+            known = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool)
             score, best = np.zeros(batch.num_rows), np.full(batch.num_rows, len(names) - 1)
             if len(count):
                 best = np.where(known, count.argmin(0), best)
                 two = np.sort(count, 0)[:2]
                 score = np.where(known, 1 - two[0] / np.maximum(two[1], 1) if len(count) > 1 else 1.0, 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(names[best], pa.string()), pa.array(score, pa.float64())], [*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(names[best], pa.string()), pa.array(score, pa.float64())], ["row", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)}).schema)
+    out = rows.mapInArrow(run, rows.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score")).schema)
+    return out.select("row.*", "lang_pred", "score")
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:

@@ -15,6 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import restored, whole_rows
+
 #: Fixed patterns (fixed values): kind, pattern, group that is measured, its least length.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -222,7 +224,7 @@ def secrets(docs: DataFrame) -> DataFrame:
 
 def masked(docs: DataFrame, mask: str = MASK) -> DataFrame:
     """The documents with every span of a secret replaced by a mark; columns as they were, n_chars counted anew."""
-    rows = scanned(docs)
+    rows = scanned(docs.select(whole_rows(docs), F.col("text").cast("string").alias("text")))
     merged = F.expr(
         """aggregate(_spans, cast(array() AS array<struct<start:int,end:int>>), (acc, x) ->
              CASE WHEN size(acc) > 0 AND element_at(acc, -1).end >= x.start
@@ -235,7 +237,9 @@ def masked(docs: DataFrame, mask: str = MASK) -> DataFrame:
               (acc, x) -> named_struct('at', x.end, 'out', concat(acc.out, substring(text, acc.at + 1, x.start - acc.at), '{mask}')),
               acc -> concat(acc.out, substring(text, acc.at + 1)))"""
     )
-    rows = rows.withColumn("text", F.when(F.col("_merged").isNotNull(), built).otherwise(F.col("text")))
+    changed = F.col("_merged").isNotNull()
+    rows = rows.withColumn("text", F.when(changed, built).otherwise(F.col("row.text")))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_merged").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        new["n_chars"] = F.when(changed, F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return restored(rows, docs, **new)

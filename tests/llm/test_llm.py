@@ -16,7 +16,7 @@ from strataform.llm import additive_quantisation, block_pruning, common, huffman
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, start int, kept string, score double"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, start int, kept string, score double, row string, _text string, _spans int, id string, letters string, `a.b` int"
 
 
 def prose(seed, n):
@@ -38,7 +38,7 @@ def odd_texts():
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(i, t, "en" if i % 2 else None, f"s{i % 3}", len(t or ""), 7, "clash", 0.5) for i, t in enumerate(odd_texts())]
+    rows = [(i, t, "en" if i % 2 else None, f"s{i % 3}", len(t or ""), 7, "clash", 0.5, "r", "t", 1, "i", "l", 2) for i, t in enumerate(odd_texts())]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
@@ -104,7 +104,9 @@ def test_passages(spark, docs, empty):
     cut = {r["doc_id"]: r["text"] for r in passages.without_passages(df, passages.passages(df)).collect()}
     assert cut[2] == rows[1][1].split(" ", 60)[60] and cut[1] == rows[0][1] and cut[8] is None and cut[None] == shared
     assert passages.passages(empty).count() == 0 and passages.without_passages(empty, passages.passages(empty)).count() == 0
-    pairs = {(r["doc_id"], r["other_id"]) for r in passages.passages(docs).collect()}
+    found = passages.passages(docs)
+    assert passages.without_passages(docs, found).columns == docs.columns and passages.without_passages(docs, found).where("doc_id in (7, 15)").count() == 2
+    pairs = {(r["doc_id"], r["other_id"]) for r in found.collect()}
     assert {(8, 7), (9, 7), (10, 7), (11, 7), (14, 7)} <= pairs and not any(a in (15, 16, 18) for a, _ in pairs)
 
 
@@ -319,6 +321,8 @@ def test_language_on_held_out_text(spark, empty):
     assert [got[i]["lang_pred"] for i in (900, 901, 902)] == ["und"] * 3 and got[903]["lang_pred"] == "aa"
     assert all(0 <= r["score"] <= 1 for r in got.values())
     none = language_id.learn(empty)
+    extra = language_id.labelled(empty, none)
+    assert extra.columns == [*(c for c in empty.columns if c != "score"), "lang_pred", "score"] and extra.count() == 0
     assert language_id.identify(df, none).where("lang_pred <> 'und'").count() == 0
 
 
