@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from .vector_blocks import QUERIES, ROWS, blocks, matrix, met, usual_length, vectors, whole_blocks
 
-BOOKS, WORDS, BEAM = 16, 256, 4
+BOOKS, WORDS, BEAM = 32, 256, 4
 #: Vectors that codebooks are fitted on: those with the smallest hashes of vec_id.
-SAMPLE = 8192
+SAMPLE = 16384
 #: Candidates of a query that are ranked by their original vectors.
 RERANK = 200
 NEAREST = 5
@@ -66,15 +66,42 @@ def fit(sample: np.ndarray, m: int = BOOKS, k: int = WORDS, steps: int = 6, seed
             words[full] = np.add.reduceat(rest[order], np.concatenate([[0], np.cumsum(count)])[full], axis=0) / count[full, None]
         near = ((words * words).sum(1) - 2 * rest @ words.T).argmin(1)
         books[j], rest = words, rest - words[near]
-    codes = encode(sample.astype(np.float32), books)
-    gram, right = np.zeros((m * k, m * k)), np.zeros((m * k, sample.shape[1]))
-    flat = codes.astype(np.int64) + np.arange(m) * k
-    for i in range(m):
-        np.add.at(right, flat[:, i], sample)
-        for j in range(m):
-            np.add.at(gram, (flat[:, i], flat[:, j]), 1.0)
-    gram[np.arange(m * k), np.arange(m * k)] += 1.0
-    return (books.reshape(m * k, -1) + np.linalg.solve(gram, right - gram @ books.reshape(m * k, -1) + books.reshape(m * k, -1))).reshape(books.shape).astype(np.float32)
+    codes = encode(sample.astype(np.float32), books).astype(np.int64) + np.arange(m) * k
+    return refined(books.reshape(m * k, -1).astype(float), codes, sample).reshape(books.shape).astype(np.float32)
+
+
+def refined(words: np.ndarray, codes: np.ndarray, sample: np.ndarray, rounds: int = 10) -> np.ndarray:
+    """All words moved together to lessen the squared error of the sums: conjugate gradients on the normal equations.
+
+    A word that few codes use stays near its place.
+    """
+    m = codes.shape[1]
+    orders = [np.argsort(codes[:, j], kind="stable") for j in range(m)]
+    edges = []
+    for j, order in enumerate(orders):
+        mine = codes[order, j]
+        edges.append((np.flatnonzero(np.diff(mine, prepend=-1)), mine))
+
+    def gathered(x: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(words)
+        for order, (at, mine) in zip(orders, edges):
+            out[mine[at]] = np.add.reduceat(x[order], at, axis=0)
+        return out
+
+    def added(x: np.ndarray) -> np.ndarray:
+        return sum(x[codes[:, j]] for j in range(m))
+
+    moved = np.zeros_like(words)
+    rest = gathered(sample - added(words))
+    step, size = rest.copy(), (rest * rest).sum(0)
+    for _ in range(rounds):
+        turned = gathered(added(step)) + step
+        rate = size / np.maximum((step * turned).sum(0), 1e-30)
+        moved += rate * step
+        rest -= rate * turned
+        size, before = (rest * rest).sum(0), size
+        step = rest + size / np.maximum(before, 1e-30) * step
+    return words + moved
 
 
 def search(rows: DataFrame, every: int = 50, nearest: int = NEAREST, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
