@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import joined, saved, shared_dir, text_of
+from .common import bytes_of, joined, saved, shared_dir, text_of
 from .subwords import BLOCK_BYTES, WordIds
 
 END, LONGEST = 2, 16
 #: Ids of a block, and between two checkpoints.
-BLOCK, EVERY = 1 << 18, 256
+BLOCK, EVERY = 1 << 20, 256
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -70,17 +70,19 @@ def codes_of(lengths: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarray, n
 
 def encoded(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray, every: int = EVERY) -> tuple[bytes, bytes]:
     """(bits, checkpoints): the codes one after another, and the bit offset of every so many ids."""
-    width = lengths[ids].astype(np.int64)
-    at = np.concatenate([[0], np.cumsum(width)])
+    width = lengths.astype(np.int64)
+    aligned = codes.astype(np.uint64) << (64 - width).clip(0, 63).astype(np.uint64)
+    at = np.zeros(len(ids) + 1, np.int64)
+    np.cumsum(width[ids], out=at[1:])
     total, at = int(at[-1]), at[:-1]
+    # A code of up to 16 bits lies in one or two words of 32 bits: put it into 64 from its first one on.
+    value, where = aligned[ids] >> (at & 31).astype(np.uint64), at >> 5
     words = np.zeros(total // 32 + 2, np.uint64)
-    # A code of up to 16 bits lies in one or two words of 32 bits.
-    value = codes[ids].astype(np.uint64) << (np.uint64(64) - width.astype(np.uint64) - (at & 31).astype(np.uint64))
-    where = at >> 5
-    for part, to in ((value >> np.uint64(32), where), (value & np.uint64(0xFFFFFFFF), where + 1)):
-        edge = np.flatnonzero(np.diff(to, prepend=-1)) if len(to) else np.zeros(0, np.int64)
-        if len(edge):
-            words[to[edge]] |= np.bitwise_or.reduceat(part, edge)
+    edge = np.flatnonzero(np.diff(where, prepend=-1)) if len(ids) else np.zeros(0, np.int64)
+    if len(edge):
+        both, to = np.bitwise_or.reduceat(value, edge), where[edge]
+        words[to] = both >> np.uint64(32)
+        words[to + 1] |= both & np.uint64(0xFFFFFFFF)
     return words.astype(">u4").tobytes()[: -(-total // 8)], at[::every].astype("<u4").tobytes()
 
 
@@ -119,8 +121,7 @@ def counted(ids: DataFrame, size: int = 1 << 16) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for x in batch.column("ids"):
-                total += np.bincount(np.frombuffer(x.as_buffer(), "<u2"), minlength=size)
+            total += np.bincount(bytes_of(batch.column("ids"))[0].view("<u2"), minlength=size)  # all rows of the batch at once
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], ["id", "n"])
 
