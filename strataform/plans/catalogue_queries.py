@@ -41,15 +41,22 @@ def oracle_sql() -> dict[str, str]:
 # ---- search, filters, facets, paging -------------------------------------------------
 
 
-@query("""SELECT p_partkey, p_name, p_brand, p_type, p_size FROM part WHERE contains(lower(p_name), 'widget') AND p_type = 'ECONOMY'
+@query("""SELECT p_partkey, p_name, p_brand, p_type, p_size FROM part WHERE contains(lower(p_name), 'widget')
           ORDER BY p_partkey DESC LIMIT 12 OFFSET 12""")
 def search_page(spark, d):
     """The second page of a filtered search, newest first."""
     part = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    found = catalogue.filtered(part.where(catalogue.matches("  WIDGET ", F.col("p_name"))), {"p_type", "p_brand"}, p_type="ECONOMY", p_brand=None)
+    found = catalogue.filtered(part.where(catalogue.matches("  WIDGET ", F.col("p_name"))), {"p_type", "p_brand"}, p_type=None, p_brand=None)
     return catalogue.page(found, [F.desc("p_partkey")], offset=12)
 
 
+@query("""SELECT p_partkey, p_name, p_retailprice FROM part WHERE p_type = 'ECONOMY' AND contains(lower(p_name), 'widget')""")
+def search_filtered(spark, d):
+    """All matches of a search with a filter on a permitted column."""
+    part = table(spark, d, "part").where(catalogue.matches("widget", F.col("p_name")))
+    return catalogue.filtered(part, {"p_type", "p_brand"}, p_type="ECONOMY").select("p_partkey", "p_name", "p_retailprice")
+
+
 @query("""SELECT p_type, count(*) FILTER (contains(lower(p_name), 'widget')) AS n FROM part GROUP BY p_type""")
 def search_count(spark, d):
     """The number of matches of a search, for each type."""
@@ -545,11 +552,11 @@ def url_variants(spark, d):
           t AS (SELECT *, array_to_string(met, ' ') AS steps, concat_ws(' ', name, array_to_string(ing, ' '), array_to_string(met, ' ')) AS whole FROM r),
           c AS (SELECT doc_id, length(trim(steps)) > 0 AS m,
             len(string_split(name, ' ')) >= 1 AND length(name) BETWEEN 3 AND 160 AS c1, len(ing) >= 3 AS c2,
-            len(list_filter(ing, lambda x: regexp_matches(x, '[0-9]') OR regexp_matches(x, '(?i)\b(of|de)\b') OR (len(string_split(x, ' ')) BETWEEN 1 AND 8 AND NOT regexp_matches(x, '(?i)\b(the|la|der|el)\b')))) >= least(3, len(ing)) AS c4,
-            len(list_filter(string_split(steps, ' '), lambda x: x <> '')) >= 8 OR length(steps) >= 60 AS c5, len(list_filter(met, lambda x: regexp_matches(x, '(?i)\b(the|la|der|el)\b'))) >= 1 AS c6,
+            len(list_filter(ing, lambda x: regexp_matches(x, '[0-9]') OR regexp_matches(x, '(?i)(^| )(of|de)( |$)') OR (len(string_split(x, ' ')) BETWEEN 1 AND 8 AND NOT regexp_matches(x, '(?i)(^| )(the|la|der|el)( |$)')))) >= least(3, len(ing)) AS c4,
+            len(list_filter(string_split(steps, ' '), lambda x: x <> '')) >= 8 OR length(steps) >= 60 AS c5, len(list_filter(met, lambda x: regexp_matches(x, '(?i)(^| )(the|la|der|el)( |$)'))) >= 1 AS c6,
             length(regexp_replace(whole, '[^\p{{L}}]', '', 'g')) / greatest(1, length(whole))::DOUBLE >= 0.45 AS c7, NOT regexp_matches(whole, '[|~^]') AS c8,
             len(ing) = len(list_distinct(list_transform(ing, lambda x: lower(x)))) AND len(met) = len(list_distinct(list_transform(met, lambda x: lower(x)))) AS c9, length(name) <= 70 AS c10,
-            len(list_filter(ing, lambda x: length(x) >= 8 AND (regexp_matches(x, '[0-9]') OR regexp_matches(x, '(?i)\b(of|de)\b')) AND contains(lower(steps), lower(x)))) = 0 AS c11 FROM t),
+            len(list_filter(ing, lambda x: length(x) >= 8 AND (regexp_matches(x, '[0-9]') OR regexp_matches(x, '(?i)(^| )(of|de)( |$)')) AND contains(lower(steps), lower(x)))) = 0 AS c11 FROM t),
           s AS (SELECT *, (CASE WHEN c1 THEN 20 ELSE 0 END + CASE WHEN c2 THEN 20 ELSE 0 END + CASE WHEN c4 THEN 15 ELSE 0 END + CASE WHEN NOT m OR c5 THEN 15 ELSE 0 END + CASE WHEN m AND c6 THEN 10 ELSE 0 END
               + CASE WHEN c7 THEN 10 ELSE 0 END + CASE WHEN c8 THEN 5 ELSE 0 END + CASE WHEN c9 THEN 5 ELSE 0 END)::BIGINT AS score, c1 AND c2 AND c4 AND (NOT m OR (c5 AND c6)) AND c7 AND c8 AND c9 AND c10 AND c11 AS fine FROM c)
           SELECT doc_id, score, fine AND score >= 85 AS good FROM s""")
@@ -557,7 +564,7 @@ def quality_verdict(spark, d):
     """§2.9: points and verdict of each document; short lines play ingredients, long ones the method."""
     from strataform.operators import quality
 
-    v = quality.Vocabulary(unit=r"(?i)\b(of|de)\b", quantity="[0-9]", instruction=r"(?i)\b(the|la|der|el)\b", section="(?i)unused", promotion="(?i)(unused)", junk="[|~^]", credit="^unused$")
+    v = quality.Vocabulary(unit=r"(?i)(^| )(of|de)( |$)", quantity="[0-9]", instruction=r"(?i)(^| )(the|la|der|el)( |$)", section="(?i)unused", promotion="(?i)(unused)", junk="[|~^]", credit="^unused$")
     of = lambda test: F.array_sort(F.filter(F.collect_list(F.when(test, F.struct("pos", "line"))), lambda x: x.isNotNull()))["line"]
     rows = document_lines(spark, d).groupBy("doc_id").agg(F.min_by("line", "pos").alias("name"), of(short()).alias("ingredients"), of(~short()).alias("method"))
     rows = rows.withColumns({"description": F.lit(""), "mode": F.lit("text")})
