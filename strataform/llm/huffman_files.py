@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bytes_of, joined, saved, shared_dir, text_of
-from .subwords import BLOCK_BYTES, WordIds
+from .subwords import BLOCK_BYTES, of_worker
 
 END, LONGEST = 2, 16
 #: Ids of a block, and between two checkpoints.
@@ -107,7 +107,7 @@ def tokenized(docs: DataFrame, end: int = END) -> DataFrame:
     """(doc_id, n_tokens, ids): ids of whole texts and the end id, two bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last = WordIds(), np.array([end], "<u2").tobytes()
+        encode, last = of_worker(), np.array([end], "<u2").tobytes()
         for batch in joined(batches, BLOCK_BYTES):
             ids = [x.astype("<u2").tobytes() + last for x in encode.of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])

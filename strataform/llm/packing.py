@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import joined, saved, text_of
-from .subwords import BLOCK_BYTES, WordIds
+from .subwords import BLOCK_BYTES, of_worker
 
 LENGTH, END = 2048, 0
 #: Sequences with at most so many places left are nearly full.
@@ -31,7 +31,7 @@ def pieced(docs: DataFrame, length: int = LENGTH, end: int = END) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): a document's ids, its end id included, cut only if there are too many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last = WordIds(), np.array([end], np.uint32)
+        encode, last = of_worker(), np.array([end], np.uint32)
         for batch in joined(batches, BLOCK_BYTES):
             rows = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encode.of(batch)):

@@ -1,8 +1,10 @@
-"""Ids of the word-level tokenizer file for many texts, each distinct word encoded once a task."""
+"""Ids of the word-level tokenizer file for many texts, each distinct word encoded once a Python worker."""
 
 from __future__ import annotations
 
 import os
+import sys
+import types
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +13,9 @@ from .common import Words, bytes_of, pieces
 from .pretokens import gathered
 
 VOCABULARY = "word_bpe_49k.json"
-#: Bytes of text whose distinct words are encoded together, and words that a task
+#: Bytes of text whose distinct words are encoded together, and words that a Python worker
 #: remembers from earlier blocks; beyond them it starts anew, which changes nothing but speed.
-BLOCK_BYTES, REMEMBERED = 8 << 20, 1_500_000
+BLOCK_BYTES, REMEMBERED = 8 << 20, 2_000_000
 
 
 def vocabulary(name: str) -> str:
@@ -107,11 +109,11 @@ class WordIds:
     def learn(self, hashes: np.ndarray, words: list[str]) -> None:
         """Remember the ids of words, by their hashes."""
         ids, at = self.encoded(words)
-        every = np.concatenate([self.hashes, hashes])
-        order = np.argsort(every)
-        self.hashes = every[order]
-        self.first = np.concatenate([self.first, at[:-1] + len(self.flat)])[order]
-        self.size = np.concatenate([self.size, np.diff(at)])[order]
+        order = np.argsort(hashes)
+        place = np.searchsorted(self.hashes, hashes[order])
+        self.hashes = np.insert(self.hashes, place, hashes[order])
+        self.first = np.insert(self.first, place, (at[:-1] + len(self.flat))[order])
+        self.size = np.insert(self.size, place, np.diff(at)[order])
         self.flat = np.concatenate([self.flat, ids])
 
     def of(self, batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -144,3 +146,12 @@ class WordIds:
         for k in np.flatnonzero(np.concatenate([np.zeros(0, bool), *(x[-1] for x in parts)])).tolist():
             out[k] = np.array(self.library.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32)
         return out
+
+
+def of_worker(path: str | None = None) -> WordIds:
+    """The encoder of this Python worker: Spark reuses workers, so what a task has learned serves the next one."""
+    store = sys.modules.setdefault("_strataform_worker", types.ModuleType("_strataform_worker"))
+    encoders = store.__dict__.setdefault("encoders", {})
+    if path not in encoders:
+        encoders[path] = WordIds(path)
+    return encoders[path]
