@@ -22,7 +22,7 @@ from .subwords import BLOCK_BYTES, of_worker
 
 END, LONGEST = 2, 16
 #: Ids of a block, and between two checkpoints.
-BLOCK, EVERY = 1 << 20, 256
+BLOCK, EVERY = 1 << 19, 256
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:

@@ -14,8 +14,8 @@ from .pretokens import gathered
 
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes of text whose distinct words are encoded together, and words that a Python worker
-#: remembers from earlier blocks; beyond them it starts anew, which changes nothing but speed.
-BLOCK_BYTES, REMEMBERED = 8 << 20, 2_000_000
+#: remembers from earlier blocks; later ones are encoded in each block, which changes nothing but speed.
+BLOCK_BYTES, REMEMBERED = 8 << 20, 600_000
 
 
 def vocabulary(name: str) -> str:
@@ -43,7 +43,7 @@ class WordIds:
         self.ends_word = np.zeros(max(tokens.values()) + 1, bool)
         self.ends_word[[k for token, k in tokens.items() if token.endswith("</w>")]] = True
         self.words = Words()
-        self.forget()
+        self.keep(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32))
         self.kind = np.full(256, 3, np.uint8)  # space 0, letter 1, digit 2, other 3
         self.kind[[9, 10, 13, 32]] = 0
         self.kind[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
@@ -103,8 +103,8 @@ class WordIds:
             sizes.append(np.diff(ends, prepend=0))
         return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
-    def forget(self) -> None:
-        self.hashes, self.first, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+    def keep(self, hashes: np.ndarray, first: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
+        self.hashes, self.first, self.size, self.flat = hashes, first, size, flat
 
     def learn(self, hashes: np.ndarray, words: list[str]) -> None:
         """Remember the ids of words, by their hashes."""
@@ -113,7 +113,7 @@ class WordIds:
         place = np.searchsorted(self.hashes, hashes[order])
         self.hashes = np.insert(self.hashes, place, hashes[order])
         self.first = np.insert(self.first, place, (at[:-1] + len(self.flat))[order])
-        self.size = np.insert(self.size, place, np.diff(at)[order])
+        self.size = np.insert(self.size, place, np.diff(at)[order].astype(np.int32))
         self.flat = np.concatenate([self.flat, ids])
 
     def of(self, batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -131,7 +131,9 @@ class WordIds:
             for h, a, b in zip(distinct[~known].tolist(), at[new].tolist(), ends[new].tolist()):
                 if h not in fresh:
                     fresh[h] = raw[a:b].decode()
+        before = self.hashes, self.first, self.size, self.flat
         self.learn(np.array(list(fresh), np.uint64), list(fresh.values()))
+        del fresh
         out: list[np.ndarray] = []
         for used, distinct, number, first, _ in parts:
             place = np.searchsorted(self.hashes, distinct)[number]
@@ -141,7 +143,7 @@ class WordIds:
             cut = np.concatenate([[0], np.cumsum(sizes)])[first].tolist()
             out += [ids[a:b] for a, b in zip(cut, cut[1:])]
         if len(self.hashes) > REMEMBERED:
-            self.forget()
+            self.keep(*before)
         texts = batch.column("text")
         for k in np.flatnonzero(np.concatenate([np.zeros(0, bool), *(x[-1] for x in parts)])).tolist():
             out[k] = np.array(self.library.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32)
