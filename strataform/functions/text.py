@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 SPACE = r"[ \t\r\n\f\x0b\xa0]"
 
 
+def let(value: Column, then) -> Column:
+    """then(value), the value computed once a row however often it's used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def squeezed(text: Column) -> Column:
     """Runs of white space as one blank, none at the ends."""
     return F.regexp_replace(F.regexp_replace(text, f"{SPACE}+", " "), "^ | $", "")
@@ -164,6 +169,6 @@ def category(name: Column, rules: list[tuple[str, str]], default: str) -> Column
 
 def capped(text: Column, most: int = 100, share: float = 0.65) -> Column:
     """At most so many words: cut at the last sentence end if that keeps enough, else with an ellipsis."""
-    short = F.array_join(F.slice(words(text), 1, most), " ")
-    end = F.length(short) - F.length(F.regexp_extract(short, r"[^.!?]*$", 0))
-    return F.when(F.size(words(text)) <= most, text).when(end >= F.length(short) * share, F.substring(short, F.lit(1), end)).otherwise(F.concat(short, F.lit("…")))
+    end = lambda short: F.length(short) - F.length(F.regexp_extract(short, r"[^.!?]*$", 0))
+    cut = lambda short: let(end(short), lambda n: F.when(n >= F.length(short) * share, F.substring(short, F.lit(1), n)).otherwise(F.concat(short, F.lit("…"))))
+    return let(words(text), lambda w: F.when(F.size(w) <= most, text).otherwise(let(F.array_join(F.slice(w, F.lit(1), F.lit(most)), " "), cut)))

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataform.functions.text import html_text, squeezed, without_citations, without_marker
+from strataform.functions.text import html_text, let, squeezed, without_citations, without_marker
 from strataform.operators.lines import along, carried, exploded
 
 
@@ -25,12 +25,14 @@ class Headings:
     stop: str = r"(?i)^(nutrition.*|comments?|share.*|subscribe.*|related.*)$"
 
     def kind(self, line: Column) -> Column:
-        bare = F.regexp_replace(without_marker(line), r"[ :]+$", "")
-        out = None
-        for name in ("ingredients", "method", "notes", "description", "stop"):
-            hit = bare.rlike(getattr(self, name))
-            out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
-        return out
+        def named(bare: Column) -> Column:
+            out = None
+            for name in ("ingredients", "method", "notes", "description", "stop"):
+                hit = bare.rlike(getattr(self, name))
+                out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
+            return out
+
+        return let(F.regexp_replace(without_marker(line), r"[ :]+$", ""), named)
 
 
 def labelled(lines: DataFrame, key: str, headings: Headings = Headings()) -> DataFrame:
