@@ -15,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, bytes_of, pieces, whole_rows
+from .common import bounded, bytes_of, joined, pieces, whole_rows
 
 #: The training sample: at most so many documents of each language, and so many characters of each of them.
 SAMPLE_DOCS, SAMPLE_CHARS = 64, 600
-#: Languages with the most labelled documents; more than this are not learned.
-MOST_LANGUAGES = 64
+#: Bytes of automata that travel and are held at once: languages are scored in blocks of about this size.
+TABLE_BYTES = 128 << 20
+#: Bytes of rows that meet one block after another, if there are several.
+SCORED_BYTES = 32 << 20
 UNKNOWN = "und"
 LANE = 256
 
@@ -79,23 +81,36 @@ def automaton(texts: list[list[int]], width: int) -> np.ndarray:
 def learn(docs: DataFrame, label: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict:
     """A model from rows with doc_id, text and a label; rows with neither text nor label are left out.
 
-    The sample is the rows of each label with the smallest hashes of doc_id.
+    The sample is the rows of each label with the smallest hashes of doc_id. Every label
+    with such rows is learned; the driver holds the samples.
     """
     sample = docs.select(
         F.col(label).cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.col("text").cast("string"), 1, sample_chars).alias("text")
     ).where("lang is not null and text rlike '\\\\p{L}'")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    rows = sample.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs).orderBy("rank", "lang").limit(MOST_LANGUAGES * sample_docs).collect()
+    rows = sample.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs).orderBy("lang", "rank").collect()
     texts: dict[str, list[np.ndarray]] = {}
     for r in rows:
         texts.setdefault(r["lang"], []).append(folded(np.frombuffer(r["text"].encode(), np.uint8)))
-    langs = sorted(texts)[:MOST_LANGUAGES]
+    langs = sorted(texts)
     seen = np.unique(np.concatenate([x for k in langs for x in texts[k]])) if langs else np.zeros(0, np.uint8)
     codes = np.zeros(256, np.uint8)  # 0: a byte that no sample has
     codes[seen] = np.arange(1, len(seen) + 1)
     width = len(seen) + 2
-    tables = [automaton([codes[x].tolist() for x in texts[k]], width) for k in langs]
-    return {"langs": langs, "codes": codes, "width": width, "tables": tables}
+    return {"langs": langs, "codes": codes, "width": width, "samples": [[codes[x] for x in texts[k]] for k in langs]}
+
+
+def blocks_of(model: dict, most_bytes: int) -> Iterator[dict]:
+    """The model in parts of consecutive languages, each with automata of about so many bytes or one language."""
+    langs, tables = [], []
+    for lang, sample in zip(model["langs"], model["samples"]):
+        langs.append(lang)
+        tables.append(automaton([x.tolist() for x in sample], model["width"]))
+        if sum(x.nbytes for x in tables) >= most_bytes:
+            yield {"langs": langs, "codes": model["codes"], "width": model["width"], "tables": tables}
+            langs, tables = [], []
+    if langs:
+        yield {"langs": langs, "codes": model["codes"], "width": model["width"], "tables": tables}
 
 
 def phrases(array: pa.Array, model: dict) -> np.ndarray:
@@ -133,22 +148,36 @@ def labelled(docs: DataFrame, model: dict) -> DataFrame:
     or empty text, one without a letter, or a model without languages. Repeated rows
     give repeated results; an empty table gives none.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_LANGUAGES and the sample
+    shared = [docs.sparkSession.sparkContext.broadcast(x) for x in blocks_of(model, TABLE_BYTES)]  # each bounded by TABLE_BYTES or one language
+    names = np.array([*model["langs"], UNKNOWN], object)
     docs = bounded(docs).drop("lang_pred", "score")
     rows = docs.select(whole_rows(docs), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("letters", F.col("text").rlike(r"\p{L}"))
 
+    def two_best(parts: list[pa.RecordBatch]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(phrases, language) of the two best languages of each text, for each part; equal ones by name."""
+        held, at = [(np.zeros((0, x.num_rows)), np.zeros((0, x.num_rows), np.int64)) for x in parts], 0
+        for block in shared:
+            some = block.value
+            for k, part in enumerate(parts):
+                count = np.concatenate([held[k][0], phrases(part.column("text"), some)])
+                which = np.concatenate([held[k][1], np.repeat(np.arange(at, at + len(some["langs"]))[:, None], part.num_rows, 1)])
+                top = np.argsort(count, axis=0, kind="stable")[:2]
+                held[k] = np.take_along_axis(count, top, 0), np.take_along_axis(which, top, 0)
+            at += len(some["langs"])
+            if len(shared) > 1:
+                block.__dict__.pop("_value", None)  # a worker holds one block at a time
+        return held
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        names = np.array([*model["langs"], UNKNOWN], object)
-        for batch in pieces(batches):
-            count = phrases(batch.column("text"), model).astype(float)
-            known = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool)
-            score, best = np.zeros(batch.num_rows), np.full(batch.num_rows, len(names) - 1)
-            if len(count):
-                best = np.where(known, count.argmin(0), best)
-                two = np.sort(count, 0)[:2]
-                score = np.where(known, 1 - two[0] / np.maximum(two[1], 1) if len(count) > 1 else 1.0, 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(names[best], pa.string()), pa.array(score, pa.float64())], ["row", "lang_pred", "score"])
+        for whole in joined(batches, SCORED_BYTES) if len(shared) > 1 else batches:
+            parts = list(pieces(iter([whole])))
+            for batch, (count, which) in zip(parts, two_best(parts)):
+                known = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool)
+                score, best = np.zeros(batch.num_rows), np.full(batch.num_rows, len(names) - 1)
+                if len(count):
+                    best = np.where(known, which[0], best)
+                    score = np.where(known, 1 - count[0] / np.maximum(count[1], 1) if len(count) > 1 else 1.0, 0.0)
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(names[best], pa.string()), pa.array(score, pa.float64())], ["row", "lang_pred", "score"])
 
     out = rows.mapInArrow(run, rows.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score")).schema)
     return out.select("row.*", "lang_pred", "score")

@@ -326,6 +326,19 @@ def test_language_on_held_out_text(spark, empty):
     assert language_id.identify(df, none).where("lang_pred <> 'und'").count() == 0
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    vocabulary = {f"l{k:02}": prose(1000 + k, 12).split() for k in range(70)}
+    rows = [(i * 70 + k, " ".join(random.Random(i * 70 + k).choices(words, k=40)), lang) for i in range(3) for k, (lang, words) in enumerate(vocabulary.items())]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(df)
+    assert model["langs"] == sorted(vocabulary)
+    whole = sorted(language_id.identify(df, model).collect())
+    assert {r["doc_id"]: r["lang_pred"] for r in whole} == {i: lang for i, _, lang in rows}
+    monkeypatch.setattr(language_id, "TABLE_BYTES", 1 << 20)
+    assert len(list(language_id.blocks_of(model, 1 << 20))) > 2
+    assert sorted(language_id.identify(df, model).collect()) == whole
+
+
 def test_phrases_equal_a_greedy_parse():
     r = random.Random(8)
     sample = ["".join(r.choice("abc ") for _ in range(40)) for _ in range(5)]
