@@ -4,7 +4,8 @@ A vector is the sum of one word from each of several full-dimensional codebooks,
 on a bounded sample to what the books before leave over, then jointly by least squares.
 Codes come from a beam search; with each code the norm of its sum is stored. A query
 scores all codes through tables of its products with every word, and the best are ranked
-anew on the original vectors.
+anew on the original vectors. Equal vectors are coded and searched as one, which then
+stands for as many of their smallest ids as a query can return.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import saved
 from .vector_blocks import QUERIES, ROWS, blocks, matrix, met, usual_length, vectors, whole_blocks
 
 BOOKS, WORDS, BEAM = 32, 256, 4
@@ -104,6 +106,21 @@ def refined(words: np.ndarray, codes: np.ndarray, sample: np.ndarray, rounds: in
     return words + moved
 
 
+def alike(good: DataFrame, most: int) -> DataFrame:
+    """(vec_id, v, one): of equal vectors those with the most smallest vec_ids; one is the smallest."""
+    order = Window.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, 0)
+    return good.withColumn("one", F.first("vec_id").over(order)).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
+
+
+def largest(score: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
+    """Places of the most largest scores of each row; of equal ones those of the smaller ids."""
+    top = np.argpartition(-score, most - 1, axis=1)[:, :most]
+    least = np.take_along_axis(score, top, 1).min(1)
+    for k in np.flatnonzero((score >= least[:, None]).sum(1) > most):
+        top[k] = np.lexsort((ids[k], -score[k]))[:most]
+    return top
+
+
 def search(rows: DataFrame, every: int = 50, nearest: int = NEAREST, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): for vec_ids divisible by every, the nearest other vectors by cosine.
 
@@ -117,7 +134,10 @@ def search(rows: DataFrame, every: int = 50, nearest: int = NEAREST, rerank: int
     if not d:
         return spark.createDataFrame([], schema)
     good = good.where(F.size("v") == d)
-    some = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
+    members = saved(alike(good, nearest + 1), "alike")  # one more than are returned, as a query leaves itself out
+    distinct = members.where("vec_id = one").select("vec_id", "v")
+    most = rerank + 1  # a query's own vector is one of them
+    some = distinct.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
     unit = np.stack(some["v"].to_numpy())
     unit = unit / np.sqrt((unit * unit).sum(1))[:, None]
     shared = spark.sparkContext.broadcast(fit(unit))  # BOOKS * WORDS * d floats
@@ -131,7 +151,7 @@ def search(rows: DataFrame, every: int = 50, nearest: int = NEAREST, rerank: int
     def asked(ids: np.ndarray, v: np.ndarray) -> tuple:
         return ((v / np.sqrt((v * v).sum(1))[:, None]).astype(np.float32),)
 
-    data = blocks(whole_blocks(good, ROWS), 2 * ROWS, coded, d, ["codes", "norms"])
+    data = blocks(whole_blocks(distinct, ROWS), 2 * ROWS, coded, d, ["codes", "norms"])
     queries = blocks(whole_blocks(good.where(F.col("vec_id") % every == 0), QUERIES), 2 * QUERIES, asked, d, ["v"])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,8 +159,7 @@ def search(rows: DataFrame, every: int = 50, nearest: int = NEAREST, rerank: int
 
         def out() -> pa.RecordBatch:
             ids, score = held
-            rows = pa.RecordBatch.from_arrays([pa.array(np.repeat(asking, ids.shape[1])), pa.array(ids.ravel()), pa.array(score.ravel().astype(float))], ["query_id", "vec_id", "near"])
-            return rows.filter(pa.array(np.isfinite(score.ravel())))
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(asking, ids.shape[1])), pa.array(ids.ravel()), pa.array(score.ravel().astype(float))], ["query_id", "vec_id", "near"])
 
         for batch in batches:
             for ids, codes, norms, q_ids, q in zip(*(batch.column(c).to_pylist() for c in ("ids", "codes", "norms", "q_ids", "q_v"))):
@@ -151,14 +170,13 @@ def search(rows: DataFrame, every: int = 50, nearest: int = NEAREST, rerank: int
                 for j in range(len(books)):
                     score += tables[:, j * WORDS : (j + 1) * WORDS][:, codes[:, j]]
                 score = 2 * score - np.frombuffer(norms, np.float32)
-                score[q_ids[:, None] == ids[None, :]] = -np.inf
                 ids = np.broadcast_to(ids, score.shape)
                 if asking is not None and np.array_equal(asking, q_ids):
                     ids, score = np.concatenate([held[0], ids], 1), np.concatenate([held[1], score], 1)
                 elif asking is not None:
                     yield out()
-                if score.shape[1] > rerank:
-                    top = np.argpartition(-score, rerank - 1, axis=1)[:, :rerank]
+                if score.shape[1] > most:
+                    top = largest(score, ids, most)
                     ids, score = np.take_along_axis(ids, top, 1), np.take_along_axis(score, top, 1)
                 asking, held = q_ids, (ids, score)
         if asking is not None:
@@ -166,8 +184,8 @@ def search(rows: DataFrame, every: int = 50, nearest: int = NEAREST, rerank: int
 
     found = met(data, queries).select("ids", "codes", "norms", "q_ids", "q_v").mapInArrow(scored, "query_id long, vec_id long, near double")
     best = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
-    found = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= rerank)
-    pairs = found.select("query_id", "vec_id").join(good, "vec_id").join(good.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    found = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most)
+    pairs = found.select("query_id", "vec_id").join(distinct, "vec_id").join(good.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,5 +195,6 @@ def search(rows: DataFrame, every: int = 50, nearest: int = NEAREST, rerank: int
                 yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(cosine)], ["query_id", "vec_id", "score"])
 
     ranked = pairs.select("query_id", "vec_id", "v", "q").mapInArrow(exact, "query_id long, vec_id long, score double")
+    ranked = ranked.withColumnRenamed("vec_id", "one").join(members.select("one", "vec_id"), "one").where("vec_id <> query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")

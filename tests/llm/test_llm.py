@@ -247,6 +247,23 @@ def test_additive_quantisation_recall(spark, vectors):
     assert additive_quantisation.search(vectors.limit(0)).count() == 0
 
 
+def test_additive_quantisation_of_many_copies(spark):
+    v = unit_vectors(600, seed=3)
+    rows = [(i, v[0 if i % 3 else i // 3].tolist()) for i in range(1800)]
+    got = collections.defaultdict(list)
+    for r in additive_quantisation.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), sample=600).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"]))
+    copies = [i for i in range(1800) if i % 3 or i == 0]
+    assert len(got) == 36
+    for q in (q for q in got if q in copies):
+        assert [k for _, k in sorted(got[q])] == [k for k in copies[:6] if k != q][:5]
+
+
+def test_largest_of_equal_scores():
+    score, ids = np.array([[1, 2, 2, 2, 0], [5, 4, 3, 2, 1]], np.float32), np.array([[9, 8, 3, 5, 1], [1, 2, 3, 4, 5]])
+    assert [sorted(x) for x in additive_quantisation.largest(score, ids, 2).tolist()] == [[2, 3], [0, 1]]
+
+
 def test_block_pruning_equals_brute_force(spark, vectors):
     ids, v = taking_part(vectors, True)
     terms, want = np.floor(256 * v).astype(int), []
