@@ -110,6 +110,17 @@ def test_passages(spark, docs, empty):
     assert {(8, 7), (9, 7), (10, 7), (11, 7), (14, 7)} <= pairs and not any(a in (15, 16, 18) for a, _ in pairs)
 
 
+def test_passages_of_two_stock_sentences(spark):
+    one, two = prose(31, 30), prose(32, 30)
+    texts = {1: one, 2: one, 3: two, 4: two, 10: one + " " + two, 20: one + " " + two}
+    rows = [(k, prose(100 + k, 60) + " " + t + " " + prose(200 + k, 60)) for k, t in texts.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = passages.passages(df)
+    assert [(r["doc_id"], r["start"], r["end"], r["other_id"], r["other_start"], r["n_matched"]) for r in found.collect()] == [(20, 60, 120, 10, 60, 60)]
+    cut = {r["doc_id"]: r["text"] for r in passages.without_passages(df, found).collect()}
+    assert cut == {k: t for k, t in rows} | {20: prose(120, 60) + " " + prose(220, 60)}
+
+
 def test_chain_scores_equal_brute_force():
     r = random.Random(5)
     for _ in range(100):
