@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import hashlib
 import re
 import tempfile
 import uuid
@@ -41,12 +43,43 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Saved tables of one run of an operator, which go as soon as what is made from them is written."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.folder, self.paths = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", {}
+
+    def saved(self, df: DataFrame, name: str = "table", over: tuple[DataFrame, ...] = ()) -> DataFrame:
+        """Write ``df``, read it back, and delete the tables in ``over``: nothing needs them any more."""
+        path = f"{self.folder}/{len(self.paths)}-{name}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        self.drop(*over)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables of this run, and let Spark clean up shuffles that no plan holds any more."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        for table in tables:
+            path, _ = self.paths[id(table)]
+            where = hadoop(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        if tables:
+            gc.collect()
+            self.spark._jvm.System.gc()
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Delete all tables of this run but these."""
+        self.drop(*(t for k, (_, t) in self.paths.items() if k not in {id(x) for x in tables}))
+
+
 def bounded(df: DataFrame) -> DataFrame:
     """The same rows; from here on, the session sends Python at most BATCH_BYTES at a time, however long the rows are."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    unit = df.sparkSession.conf.get(name).strip().lower()
-    now = int(re.sub(r"\D", "", unit)) << {"k": 10, "m": 20, "g": 30}.get(unit.rstrip("b")[-1:], 0)
-    if not 0 < now <= BATCH_BYTES:
+    value = df.sparkSession.conf.get(name).strip().lower()
+    now = int(re.sub(r"[^0-9-]", "", value)) << {"k": 10, "m": 20, "g": 30}.get(value.rstrip("b")[-1:], 0)
+    if not 0 < now <= BATCH_BYTES:  # -1: no bound at all
         df.sparkSession.conf.set(name, str(BATCH_BYTES))
     return df
 
@@ -110,26 +143,37 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Words:
-    """Words of a slice of texts: byte spans, 64-bit hashes, and each text's first word.
+def lowered(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with A-Z in lower case."""
+    return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+
+
+#: Words of more bytes are hashed one by one.
+LONG = 256
+FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 
-    A-Z are lower-cased. The hash is a polynomial over random byte values modulo
-    2**64, mixed; it's taken for all words at once from prefix sums.
-    """
 
-    BASE, INVERSE = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes: the length, then eight bytes after another, each step mixed.
+
+    Spans of equal length up to eight bytes never share a hash. Spans over LONG bytes get the
+    first 64 bits of BLAKE2.
+    """
+    size = ends - starts
+    wide = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    out = mixed(mixed(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (wide[starts] & FIRST_BYTES[np.minimum(size, 8)]))
+    rows, at = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(rows):
+        left = size[rows] - at
+        out[rows] = mixed(out[rows] * np.uint64(0xD1342543DE82EF95) ^ (wide[starts[rows] + at] & FIRST_BYTES[np.minimum(left, 8)]))
+        rows, at = rows[left > 8], at + 8
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
-    def __init__(self) -> None:
-        self.values = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-        self.up = self.down = np.zeros(0, np.uint64)
 
-    def powers(self, n: int) -> None:
-        if len(self.up) < n:
-            ones = np.ones(n, np.uint64)
-            ones[1:] = np.uint64(self.BASE)
-            self.up = np.multiply.accumulate(ones)
-            ones[1:] = np.uint64(self.INVERSE)
-            self.down = np.multiply.accumulate(ones)
+class Words:
+    """Words of a slice of texts, A-Z lower-cased: byte spans, 64-bit hashes, and each text's first word."""
 
     def of(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(word starts, word ends, word hashes, first word of each text and the end)."""
@@ -138,7 +182,6 @@ class Words:
         if not n:
             none = np.zeros(0, np.int64)
             return none, none, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-        self.powers(n + 1)
         inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
         before = np.zeros(n, bool)
         before[1:] = inside[:-1]
@@ -147,10 +190,7 @@ class Words:
         after[:-1] = inside[1:]
         after[offsets[1:][offsets[1:] > 0] - 1] = False
         starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-        low = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.values[low] * self.up[:n], out=sums[1:])
-        return starts, ends, mixed((sums[ends] - sums[starts]) * self.down[starts]), np.searchsorted(starts, offsets)
+        return starts, ends, span_hashes(lowered(data), starts, ends), np.searchsorted(starts, offsets)
 
 
 def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -162,23 +202,27 @@ def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
     return mixed(out)
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, tables: Tables | None = None) -> DataFrame:
     """(node, component): each node of (a, b) edges with the smallest node it can reach.
 
     Alternating large-star and small-star steps over saved tables; every step is an
-    aggregate over the edges, so no component is ever held in one task.
+    aggregate over the edges, so no component is ever held in one task. A step's table
+    goes when the next one is written; the caller's tables hold the last.
     """
-    links = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
+    tables = tables or Tables(edges.sparkSession, "components")
+    links = tables.saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
+    sums = lambda x: x.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v"))).first()
+    before = sums(links)
     while True:
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = saved(large, name)
+        large = tables.saved(large, "large", (links,))
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = saved(small, name)
-        after, before = (x.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v"))).first() for x in (small, links))
-        links = small
+        links = tables.saved(small, "small", (large,))
+        after = sums(links)
         if after == before:
             break
+        before = after
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select("v", "v").distinct())

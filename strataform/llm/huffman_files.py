@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, joined, saved, shared_dir, text_of
-from .subwords import BLOCK_BYTES, of_worker
+from .common import Tables, bytes_of, joined, shared_dir, text_of
+from .subwords import BLOCK_BYTES, WordIds
 
 END, LONGEST = 2, 16
 #: Ids of a block, and between two checkpoints.
@@ -107,7 +107,7 @@ def tokenized(docs: DataFrame, end: int = END) -> DataFrame:
     """(doc_id, n_tokens, ids): ids of whole texts and the end id, two bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last = of_worker(), np.array([end], "<u2").tobytes()
+        encode, last = WordIds(), np.array([end], "<u2").tobytes()
         for batch in joined(batches, BLOCK_BYTES):
             ids = [x.astype("<u2").tobytes() + last for x in encode.of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
@@ -139,7 +139,8 @@ def write_files(docs: DataFrame, path: str, end: int = END, block: int = BLOCK,
     beside them, as codes of 65,536 bytes, so that the folder can be read by itself.
     """
     spark = docs.sparkSession
-    rows = saved(tokenized(docs, end), "ids")
+    tables = Tables(spark, "ids")
+    rows = tables.saved(tokenized(docs, end))
     lengths = code_lengths(counted(rows))
     codes, _, _ = codes_of(lengths)
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codes")
@@ -169,10 +170,13 @@ def write_files(docs: DataFrame, path: str, end: int = END, block: int = BLOCK,
         if docs:
             yield out()
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Ranges of about 64 MB of ids.
+    total = rows.agg(F.sum("n_tokens")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (32 << 20)))
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
     schema = "part int, block int, doc_ids array<long>, counts array<long>, n_ids long, bits binary, checkpoints binary"
     ordered.select("doc_id", "ids").mapInArrow(run, schema).write.parquet(f"{path}/blocks")
+    tables.drop(rows)
     return lengths
 
 

@@ -1,9 +1,10 @@
 """Best-fit packing by hierarchical residuals.
 
 Documents become pieces of at most 2048 ids. Each partition packs its pieces best-fit,
-longest first; sequences that are nearly full are done. Underfull ones travel on as
-single items to fewer partitions, as few as hold ITEMS each, and are packed best-fit again. Only lengths
-travel: a piece's sequence and place follow from where its items went.
+longest first; sequences that are nearly full are done. The emptiest of the others travel
+on as single items, FAN partitions into one, and are packed best-fit again, up to one
+partition at the root. Only lengths travel: a piece's sequence and place follow from
+where its items went.
 """
 
 from __future__ import annotations
@@ -17,21 +18,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, saved, text_of
-from .subwords import BLOCK_BYTES, of_worker
+from .common import Tables, joined, text_of
+from .subwords import BLOCK_BYTES, WordIds
 
 LENGTH, END = 2048, 0
 #: Sequences with at most so many places left are nearly full.
 SLACK = 8
-#: Items of a partition, and the share of underfull sequences that a round must save for another one to follow.
-ITEMS, LEAST_GAIN = 20_000, 0.02
+#: Items of a partition, and partitions whose emptiest sequences, as many as make up ITEMS again, meet in one.
+#: (Best-fit leaves at most one sequence of a partition half empty, so fuller ones have little to meet.)
+ITEMS, FAN = 20_000, 16
 
 
 def pieced(docs: DataFrame, length: int = LENGTH, end: int = END) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): a document's ids, its end id included, cut only if there are too many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last = of_worker(), np.array([end], np.uint32)
+        encode, last = WordIds(), np.array([end], np.uint32)
         for batch in joined(batches, BLOCK_BYTES):
             rows = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encode.of(batch)):
@@ -73,8 +75,8 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets
 
 
-def packed_once(items: DataFrame, parts: int, turn: int, capacity: int) -> DataFrame:
-    """(item, length, target, base, fill): each item's new bin, its place there, and what that bin holds in all."""
+def packed_once(items: DataFrame, parts: int, turn: int, capacity: int, slack: int, most: int) -> DataFrame:
+    """(item, target, base, fill, again): each item's new bin, its place there, what that bin holds in all, and whether it is underfull and one of the most emptiest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [b for b in batches if b.num_rows]
@@ -88,10 +90,13 @@ def packed_once(items: DataFrame, parts: int, turn: int, capacity: int) -> DataF
         names = np.full(bins.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(names, bins, ids)  # a bin is named by its smallest item
         fill = np.bincount(bins, lengths).astype(np.int64)
-        out = pa.table({"item": ids, "length": lengths, "target": names[bins], "base": base, "fill": fill[bins]})
+        again = np.zeros(len(fill), bool)
+        again[np.lexsort((names, fill))[:most]] = True
+        again &= fill < capacity - slack
+        out = pa.table({"item": ids, "target": names[bins], "base": base, "fill": fill[bins], "again": again[bins]})
         yield from out.to_batches()
 
-    return items.repartition(parts, F.xxhash64("item", F.lit(turn))).mapInArrow(run, "item long, length long, target long, base long, fill long")
+    return items.repartition(parts, F.xxhash64("item", F.lit(turn))).mapInArrow(run, "item long, target long, base long, fill long, again boolean")
 
 
 def packed(docs: DataFrame, length: int = LENGTH, end: int = END, slack: int = SLACK) -> DataFrame:
@@ -100,26 +105,23 @@ def packed(docs: DataFrame, length: int = LENGTH, end: int = END, slack: int = S
     A null or empty text is its end id alone. Rows that repeat a doc_id are pieces of
     their own, as are those of null doc_ids.
     """
-    name = "packing"
-    pieces_ = saved(pieced(docs, length, end).withColumn("item", F.monotonically_increasing_id()), name)
-    items = pieces_.select("item", "length")
-    short = items.where(F.col("length") < length)
-    count, turn, place = short.count(), 0, None
+    tables = Tables(docs.sparkSession, "packing")
+    pieces_ = tables.saved(pieced(docs, length, end).withColumn("item", F.monotonically_increasing_id()), "pieces")
+    items = pieces_.where(F.col("length") < length).select("item", "length")
+    count, turn, place = items.count(), 0, None
+    parts = -(-count // ITEMS)
     while count:
-        parts = -(-count // ITEMS)
-        moved = saved(packed_once(short, parts, turn, length), name)
+        moved = tables.saved(packed_once(items, parts, turn, length, slack, max(1, ITEMS // FAN)), "moved")
         if place is None:
             place = moved.select("item", F.col("target").alias("sequence"), F.col("base").alias("at"))
         else:
             step = moved.select(F.col("item").alias("sequence"), "target", "base")
             place = place.join(step, "sequence", "left").select("item", F.coalesce("target", "sequence").alias("sequence"), (F.col("at") + F.coalesce("base", F.lit(0))).alias("at"))
-            place = saved(place, name)
-        short = moved.where(F.col("fill") < length - slack).groupBy(F.col("target").alias("item")).agg(F.max("fill").alias("length"))
-        left, before = short.count(), count
-        count, turn = left, turn + 1
-        # One partition is the root of the tree; before that, stop when meeting others no longer helps.
-        if parts == 1 or (turn > 1 and left > before * (1 - LEAST_GAIN)):
+            place = tables.saved(place, "place")
+        if parts == 1:
             break
+        items = moved.where("again").groupBy(F.col("target").alias("item")).agg(F.max("fill").alias("length"))
+        count, turn, parts = items.count(), turn + 1, -(-parts // FAN)
     if place is None:
         return pieces_.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     out = pieces_.join(place.select("item", "sequence", "at"), "item", "left")

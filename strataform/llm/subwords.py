@@ -1,21 +1,20 @@
-"""Ids of the word-level tokenizer file for many texts, each distinct word encoded once a Python worker."""
+"""Ids of the word-level tokenizer file for many texts, each distinct word encoded once a task."""
 
 from __future__ import annotations
 
+import functools
 import os
-import sys
-import types
 
 import numpy as np
 import pyarrow as pa
 
-from .common import Words, bytes_of, pieces
+from .common import FIRST_BYTES, LONG, bytes_of, lowered, pieces, span_hashes
 from .pretokens import gathered
 
 VOCABULARY = "word_bpe_49k.json"
-#: Bytes of text whose distinct words are encoded together, and words that a Python worker
-#: remembers from earlier blocks; later ones are encoded in each block, which changes nothing but speed.
-BLOCK_BYTES, REMEMBERED = 8 << 20, 600_000
+#: Bytes of text whose distinct words are encoded together, and words that a task
+#: remembers from its earlier blocks; later ones are encoded in each block, which changes nothing but speed.
+BLOCK_BYTES, REMEMBERED = 8 << 20, 400_000
 
 
 def vocabulary(name: str) -> str:
@@ -25,25 +24,49 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@functools.cache
+def library(path: str) -> tuple:
+    """(tokenizer of the library, for each id whether it ends a word): the fixed file, read once a Python worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    tokens = found.get_vocab()
+    ends_word = np.zeros(max(tokens.values()) + 1, bool)
+    ends_word[[k for token, k in tokens.items() if token.endswith("</w>")]] = True
+    return found, ends_word
+
+
+def same_spans(x: np.ndarray, x_at: np.ndarray, x_end: np.ndarray, y: np.ndarray, y_at: np.ndarray, y_end: np.ndarray) -> np.ndarray:
+    """Whether each span of bytes x equals the span of y in the same row; both arrays end with eight more bytes."""
+    size = x_end - x_at
+    wide_x, wide_y = (np.ndarray((len(v) - 7,), "<u8", v, strides=(1,)) for v in (x, y))
+    equal = (size == y_end - y_at) & (((wide_x[x_at] ^ wide_y[y_at]) & FIRST_BYTES[np.minimum(size, 8)]) == 0)
+    rows, at = np.flatnonzero(equal & (size > 8) & (size <= LONG)), 8
+    while len(rows):
+        left = size[rows] - at
+        good = ((wide_x[x_at[rows] + at] ^ wide_y[y_at[rows] + at]) & FIRST_BYTES[np.minimum(left, 8)]) == 0
+        equal[rows[~good]] = False
+        rows, at = rows[good & (left > 8)], at + 8
+    for k in np.flatnonzero(equal & (size > LONG)).tolist():
+        equal[k] = np.array_equal(x[x_at[k] : x_end[k]], y[y_at[k] : y_end[k]])
+    return equal
+
+
 class WordIds:
     """Ids of texts, equal to the library's for the whole text.
 
     Texts of plain Latin characters are cut where the file's pattern cuts them: between
-    letters, single digits, other characters and white space. Equal words, told apart by
-    64-bit hashes, go through the library once, many together; the tokens that end a word
-    show where each one ends. Any other text goes through the library whole.
+    letters, single digits, other characters and white space. Equal words go through the
+    library once, many together; the tokens that end a word show where each one ends.
+    Words are looked up by their hashes and then compared byte by byte; a text with a word
+    whose hash belongs to another word, like any other text, goes through the library whole.
     """
 
     def __init__(self, path: str | None = None) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path or vocabulary(VOCABULARY))
-        tokens = self.library.get_vocab()
-        self.ends_word = np.zeros(max(tokens.values()) + 1, bool)
-        self.ends_word[[k for token, k in tokens.items() if token.endswith("</w>")]] = True
-        self.words = Words()
-        self.keep(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32))
+        self.library, self.ends_word = library(path or vocabulary(VOCABULARY))
+        none = np.zeros(0, np.int64)
+        self.keep(np.zeros(0, np.uint64), none, np.zeros(0, np.int32), np.zeros(0, np.uint32), none, none, np.zeros(8, np.uint8))
         self.kind = np.full(256, 3, np.uint8)  # space 0, letter 1, digit 2, other 3
         self.kind[[9, 10, 13, 32]] = 0
         self.kind[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
@@ -52,11 +75,10 @@ class WordIds:
         self.odd[[*range(9), 11, 12, *range(14, 32), 127, 0xC2, *range(0xC6, 256)]] = True
 
     def cut(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(lower-case bytes, starts, ends, hashes, first word of each text and the end, texts for the library)."""
+        """(lower-case bytes and eight more, starts, ends, hashes, first word of each text and the end, texts for the library)."""
         data, offsets = bytes_of(array)
         n = len(data)
-        self.words.powers(n + 1)
-        low = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+        low = lowered(data)
         begins = np.zeros(n + 1, bool)
         begins[offsets] = True
         two = lambda a, b: (data[:-1] == a) & (data[1:] == b)
@@ -83,10 +105,7 @@ class WordIds:
         stop |= begins
         stops = np.flatnonzero(stop)
         ends = stops[np.searchsorted(stops, at, "right")] if len(at) else at
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.words.values[low] * self.words.up[:n], out=sums[1:])
-        hashes = (sums[ends] - sums[at]) * self.words.down[at]
-        return low, at, ends, hashes, np.searchsorted(at, offsets), whole
+        return np.concatenate([low, np.zeros(8, np.uint8)]), at, ends, span_hashes(low, at, ends), np.searchsorted(at, offsets), whole
 
     def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, first id of each word and the end)."""
@@ -103,57 +122,59 @@ class WordIds:
             sizes.append(np.diff(ends, prepend=0))
         return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
-    def keep(self, hashes: np.ndarray, first: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
-        self.hashes, self.first, self.size, self.flat = hashes, first, size, flat
+    def keep(self, hashes: np.ndarray, first: np.ndarray, size: np.ndarray, flat: np.ndarray, begin: np.ndarray, end: np.ndarray, raw: np.ndarray) -> None:
+        """Words remembered, by ascending hashes: the place and number of their ids in flat, and of their bytes in raw."""
+        self.hashes, self.first, self.size, self.flat, self.begin, self.end, self.raw = hashes, first, size, flat, begin, end, raw
 
-    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
+    def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
         """Remember the ids of words, by their hashes."""
-        ids, at = self.encoded(words)
+        ids, at = self.encoded([w.decode() for w in words])
         order = np.argsort(hashes)
         place = np.searchsorted(self.hashes, hashes[order])
-        self.hashes = np.insert(self.hashes, place, hashes[order])
-        self.first = np.insert(self.first, place, (at[:-1] + len(self.flat))[order])
-        self.size = np.insert(self.size, place, np.diff(at)[order].astype(np.int32))
-        self.flat = np.concatenate([self.flat, ids])
+        ends = len(self.raw) - 8 + np.cumsum([0, *map(len, words)])
+        into = lambda old, new: np.insert(old, place, new[order])
+        raw = np.concatenate([self.raw[:-8], np.frombuffer(b"".join(words), np.uint8), np.zeros(8, np.uint8)])
+        self.keep(into(self.hashes, hashes), into(self.first, at[:-1] + len(self.flat)), into(self.size, np.diff(at).astype(np.int32)), np.concatenate([self.flat, ids]), into(self.begin, ends[:-1]), into(self.end, ends[1:]), raw)
 
     def of(self, batch: pa.RecordBatch) -> list[np.ndarray]:
         """The ids of each text of a batch, unsigned 32-bit."""
         parts, fresh = [], {}
         for low, at, ends, hashes, first, whole in (self.cut(p.column("text")) for p in pieces(iter([batch]))):
-            used = np.repeat(~whole, np.diff(first))
-            distinct, sample, number = np.unique(hashes[used], return_index=True, return_inverse=True)
-            parts.append((used, distinct, number.astype(np.int32), first, whole))
-            sample = np.flatnonzero(used)[sample]
+            used = np.flatnonzero(np.repeat(~whole, np.diff(first)))
+            order = used[np.argsort(hashes[used], kind="stable")]
+            new = np.ones(len(order), bool)
+            new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+            number = np.zeros(len(hashes), np.int32)  # of the word among the distinct ones
+            number[order] = np.cumsum(new) - 1
+            sample = order[new]
+            distinct = hashes[sample]
             place = np.searchsorted(self.hashes, distinct)
             known = place < len(self.hashes)
             known[known] = self.hashes[place[known]] == distinct[known]
-            raw, new = low.tobytes(), sample[~known]
-            for h, a, b in zip(distinct[~known].tolist(), at[new].tolist(), ends[new].tolist()):
+            raw = low.tobytes()
+            for h, a, b in zip(distinct[~known].tolist(), at[sample[~known]].tolist(), ends[sample[~known]].tolist()):
                 if h not in fresh:
-                    fresh[h] = raw[a:b].decode()
-        before = self.hashes, self.first, self.size, self.flat
+                    fresh[h] = raw[a:b]
+            parts.append((low, at, ends, used, distinct, number, first, whole))
+        before = self.hashes, self.first, self.size, self.flat, self.begin, self.end, self.raw
         self.learn(np.array(list(fresh), np.uint64), list(fresh.values()))
         del fresh
         out: list[np.ndarray] = []
-        for used, distinct, number, first, _ in parts:
-            place = np.searchsorted(self.hashes, distinct)[number]
-            sizes = np.zeros(len(used), np.int64)
-            sizes[used] = self.size[place]
-            ids = gathered(self.flat, self.first[place], sizes[used])
+        other = []
+        for low, at, ends, used, distinct, number, first, whole in parts:
+            place = np.searchsorted(self.hashes, distinct)[number[used]]
+            alike = same_spans(low, at[used], ends[used], self.raw, self.begin[place], self.end[place])
+            if not alike.all():
+                whole[np.searchsorted(first, used[~alike], "right") - 1] = True
+            sizes, starts = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+            sizes[used], starts[used] = self.size[place], self.first[place]
+            ids = gathered(self.flat, starts, sizes)
             cut = np.concatenate([[0], np.cumsum(sizes)])[first].tolist()
             out += [ids[a:b] for a, b in zip(cut, cut[1:])]
+            other.append(whole)
         if len(self.hashes) > REMEMBERED:
             self.keep(*before)
         texts = batch.column("text")
-        for k in np.flatnonzero(np.concatenate([np.zeros(0, bool), *(x[-1] for x in parts)])).tolist():
+        for k in np.flatnonzero(np.concatenate([np.zeros(0, bool), *other])).tolist():
             out[k] = np.array(self.library.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32)
         return out
-
-
-def of_worker(path: str | None = None) -> WordIds:
-    """The encoder of this Python worker: Spark reuses workers, so what a task has learned serves the next one."""
-    store = sys.modules.setdefault("_strataform_worker", types.ModuleType("_strataform_worker"))
-    encoders = store.__dict__.setdefault("encoders", {})
-    if path not in encoders:
-        encoders[path] = WordIds(path)
-    return encoders[path]

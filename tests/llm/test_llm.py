@@ -177,6 +177,34 @@ def test_word_ids_equal_the_library():
     assert [x.tolist() for x in got] == want
 
 
+def thue_morse(n, flip=False):
+    return "".join("ba"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+def test_words_that_polynomial_hashes_confuse():
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    words = [thue_morse(n, flip) for n in (8, 16, 256, 1024, 2048) for flip in (False, True)] + [thue_morse(1024) + thue_morse(1024), thue_morse(1024) + thue_morse(1024, True)]
+    starts, ends, hashes, _ = common.Words().of(pa.array([" ".join(words)]))
+    assert len(starts) == len(words) and len(set(hashes.tolist())) == len(set(words))
+    got = subwords.WordIds().of(pa.RecordBatch.from_arrays([pa.array(words)], ["text"]))
+    assert [x.tolist() for x in got] == [whole.encode(t, add_special_tokens=False).ids for t in words]
+
+
+def test_words_that_share_a_hash(monkeypatch):
+    from tokenizers import Tokenizer
+
+    whole, r = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), random.Random(6)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.choice([1, 5, 8, 9, 20, 300]))) for _ in range(200)]
+    texts = [" ".join(r.choices(words, k=20)) for _ in range(60)]
+    monkeypatch.setattr(subwords, "span_hashes", lambda data, starts, ends: np.array([int(data[a:b].sum()) % 40 for a, b in zip(starts, ends)], np.uint64))
+    encoder = subwords.WordIds()
+    for some in (texts[:30], texts[30:]):
+        got = encoder.of(pa.RecordBatch.from_arrays([pa.array(some)], ["text"]))
+        assert [x.tolist() for x in got] == [whole.encode(t, add_special_tokens=False).ids for t in some]
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
