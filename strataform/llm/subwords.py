@@ -14,7 +14,7 @@ from .pretokens import gathered
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes of text whose distinct words are encoded together, and words that a task
 #: remembers from its earlier blocks; later ones are encoded in each block, which changes nothing but speed.
-BLOCK_BYTES, REMEMBERED = 8 << 20, 400_000
+BLOCK_BYTES, REMEMBERED = 4 << 20, 300_000
 
 
 def vocabulary(name: str) -> str:
