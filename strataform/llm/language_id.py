@@ -1,9 +1,12 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton of a bounded sample of labelled text is built.
-A text is parsed greedily into the longest pieces that occur in that sample; the
-language that needs the fewest phrases a byte wins. Whole texts are parsed, in lanes
-of a fixed length that advance together, so that each step is a table lookup.
+A text is parsed greedily into the longest pieces that occur in that sample. Each phrase
+costs the bits that name its place in the sample and its length, so that a language with
+a smaller sample, which needs more phrases, pays less for each; the language with the
+fewest bits a byte wins. Whole texts are parsed, in lanes of a fixed length that advance
+together, so that each step is a table lookup; where a lane begins inside a phrase, it's
+parsed again from there until both parses agree.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ TABLE_BYTES = 128 << 20
 #: Bytes of rows that meet one block after another, if there are several.
 SCORED_BYTES = 32 << 20
 UNKNOWN = "und"
-LANE = 256
+#: Bytes of a lane, and rounds in which lanes may be parsed again before the rest of a text is parsed byte by byte.
+LANE, AGAIN = 256, 4
 
 
 def folded(data: np.ndarray) -> np.ndarray:
@@ -97,20 +101,61 @@ def learn(docs: DataFrame, label: str = "lang", sample_docs: int = SAMPLE_DOCS,
     codes = np.zeros(256, np.uint8)  # 0: a byte that no sample has
     codes[seen] = np.arange(1, len(seen) + 1)
     width = len(seen) + 2
-    return {"langs": langs, "codes": codes, "width": width, "samples": [[codes[x] for x in texts[k]] for k in langs]}
+    return {"langs": langs, "codes": codes, "width": width, "samples": [[codes[x] for x in texts[k]] for k in langs]}  # codes of each sample text
 
 
 def blocks_of(model: dict, most_bytes: int) -> Iterator[dict]:
     """The model in parts of consecutive languages, each with automata of about so many bytes or one language."""
-    langs, tables = [], []
+    langs, tables, sizes = [], [], []
+    block = lambda: {"langs": langs, "codes": model["codes"], "width": model["width"], "tables": tables, "sizes": np.array(sizes)}
     for lang, sample in zip(model["langs"], model["samples"]):
         langs.append(lang)
+        sizes.append(sum(map(len, sample)))
         tables.append(automaton([x.tolist() for x in sample], model["width"]))
         if sum(x.nbytes for x in tables) >= most_bytes:
-            yield {"langs": langs, "codes": model["codes"], "width": model["width"], "tables": tables}
-            langs, tables = [], []
+            yield block()
+            langs, tables, sizes = [], [], []
     if langs:
-        yield {"langs": langs, "codes": model["codes"], "width": model["width"], "tables": tables}
+        yield block()
+
+
+def parsed(table: np.ndarray, width: int, steps: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """Phrases that end in each lane; steps has a row for each place in the lanes, follows tells which lanes go on with the text of the lane before."""
+    state = np.zeros(steps.shape[1], np.int32)
+    states, ended = np.empty(steps.shape, np.int32), np.empty(steps.shape, np.uint8)
+    for k, row in enumerate(steps):
+        to = table[state * width + row]
+        ended[k] = to < 0
+        states[k] = state = to & 0x7FFFFFFF
+    entry = np.zeros(steps.shape[1], np.int32)
+    for turn in range(AGAIN + 1):
+        true = np.where(follows, np.concatenate([[0], states[-1, :-1]]), 0)
+        lanes = np.flatnonzero(true != entry)
+        if not len(lanes):
+            break
+        if turn < AGAIN:
+            entry, state = true, true[lanes]
+            for k in range(len(steps)):
+                to = table[state * width + steps[k, lanes]]
+                state = to & 0x7FFFFFFF
+                differ = state != states[k, lanes]
+                ended[k, lanes], states[k, lanes] = to < 0, state
+                lanes, state = lanes[differ], state[differ]
+                if not len(lanes):
+                    break
+            continue
+        # Texts like one letter again and again: parses never meet.
+        lane, quick = int(lanes[0]), table.tolist()
+        while lane < steps.shape[1]:
+            now = int(states[-1, lane - 1]) if follows[lane] else 0
+            if now != entry[lane]:
+                entry[lane] = now
+                for k, c in enumerate(steps[:, lane].tolist()):
+                    to = quick[now * width + c]
+                    now = to & 0x7FFFFFFF
+                    ended[k, lane], states[k, lane] = to < 0, now
+            lane += 1
+    return ended.sum(0, dtype=np.int64)
 
 
 def phrases(array: pa.Array, model: dict) -> np.ndarray:
@@ -131,19 +176,21 @@ def phrases(array: pa.Array, model: dict) -> np.ndarray:
     steps = np.where(where < ends[None, :], codes[np.minimum(where, len(codes) - 1)], pad)
     full = np.flatnonzero(n)
     for k, table in enumerate(model["tables"]):
-        state, count = np.zeros(first[-1], np.int32), np.zeros(first[-1], np.int32)
-        for row in steps:
-            to = table[state * width + row]
-            count -= to >> 31
-            state = to & 0x7FFFFFFF
-        out[k, full] = np.add.reduceat(count + 1, first[:-1][full])
+        out[k, full] = np.add.reduceat(parsed(table, width, steps, within > 0), first[:-1][full]) + 1
     return out
 
 
+def entropy(count: np.ndarray, n: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bits a byte: each phrase names one of the sample's bytes and its own length, twice the logarithm of the mean length and a bit."""
+    n = np.maximum(n, 1)
+    mean = n / np.maximum(count, 1)
+    return count * (np.log2(sizes + 1)[:, None] + 2 * np.log2(np.maximum(mean, 1)) + 1) / n
+
+
 def labelled(docs: DataFrame, model: dict) -> DataFrame:
     """The rows of docs with lang_pred and score; columns of these names are replaced.
 
-    score is 1 - phrases of the best / phrases of the second language (1 if only one
+    score is 1 - bits of the best / bits of the second language (1 if only one
     is learned). Ties go to the first language by name. ``und`` with score 0: a null
     or empty text, one without a letter, or a model without languages. Repeated rows
     give repeated results; an empty table gives none.
@@ -154,12 +201,13 @@ def labelled(docs: DataFrame, model: dict) -> DataFrame:
     rows = docs.select(whole_rows(docs), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("letters", F.col("text").rlike(r"\p{L}"))
 
     def two_best(parts: list[pa.RecordBatch]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(phrases, language) of the two best languages of each text, for each part; equal ones by name."""
+        """(bits a byte, language) of the two best languages of each text, for each part; equal ones by name."""
         held, at = [(np.zeros((0, x.num_rows)), np.zeros((0, x.num_rows), np.int64)) for x in parts], 0
         for block in shared:
             some = block.value
             for k, part in enumerate(parts):
-                count = np.concatenate([held[k][0], phrases(part.column("text"), some)])
+                bits = entropy(phrases(part.column("text"), some), np.diff(bytes_of(part.column("text"))[1]), some["sizes"])
+                count = np.concatenate([held[k][0], bits])
                 which = np.concatenate([held[k][1], np.repeat(np.arange(at, at + len(some["langs"]))[:, None], part.num_rows, 1)])
                 top = np.argsort(count, axis=0, kind="stable")[:2]
                 held[k] = np.take_along_axis(count, top, 0), np.take_along_axis(which, top, 0)
@@ -176,7 +224,7 @@ def labelled(docs: DataFrame, model: dict) -> DataFrame:
                 score, best = np.zeros(batch.num_rows), np.full(batch.num_rows, len(names) - 1)
                 if len(count):
                     best = np.where(known, which[0], best)
-                    score = np.where(known, 1 - count[0] / np.maximum(count[1], 1) if len(count) > 1 else 1.0, 0.0)
+                    score = np.where(known, 1 - count[0] / np.maximum(count[1], 1e-9) if len(count) > 1 else 1.0, 0.0)
                 yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(names[best], pa.string()), pa.array(score, pa.float64())], ["row", "lang_pred", "score"])
 
     out = rows.mapInArrow(run, rows.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score")).schema)
