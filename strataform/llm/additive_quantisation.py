@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
-from .vector_blocks import QUERIES, ROWS, blocks, matrix, met, usual_length, vectors, whole_blocks
+from .common import Tables
+from .vector_blocks import asked, blocks, matrix, usual_length, vectors
 
 BOOKS, WORDS, BEAM = 32, 256, 4
 #: Vectors that codebooks are fitted on: those with the smallest hashes of vec_id.
@@ -26,6 +26,8 @@ SAMPLE = 16384
 #: Candidates of a query that are ranked by their original vectors.
 RERANK = 200
 NEAREST = 5
+#: Queries that a task scores at once.
+TOGETHER = 256
 
 
 def encode(v: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
@@ -128,13 +130,14 @@ def search(rows: DataFrame, every: int = 50, nearest: int = NEAREST, rerank: int
     other vectors all are returned. An empty table, or one without queries, gives no rows.
     """
     spark = rows.sparkSession
+    tables = Tables(spark, "additive-quantisation")
     schema = "query_id long, rank int, vec_id long, score double"
-    good = vectors(rows, nonzero=True)
+    good = tables.saved(vectors(rows, nonzero=True), "vectors")
     d = usual_length(good)
     if not d:
         return spark.createDataFrame([], schema)
     good = good.where(F.size("v") == d)
-    members = saved(alike(good, nearest + 1), "alike")  # one more than are returned, as a query leaves itself out
+    members = tables.saved(alike(good, nearest + 1), "alike")  # one more than are returned, as a query leaves itself out
     distinct = members.where("vec_id = one").select("vec_id", "v")
     most = rerank + 1  # a query's own vector is one of them
     some = distinct.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
@@ -146,46 +149,22 @@ def search(rows: DataFrame, every: int = 50, nearest: int = NEAREST, rerank: int
         unit = (v / np.sqrt((v * v).sum(1))[:, None]).astype(np.float32)
         codes = encode(unit, shared.value)
         x = summed(codes, shared.value)
-        return codes, (x * x).sum(1)
-
-    def asked(ids: np.ndarray, v: np.ndarray) -> tuple:
-        return ((v / np.sqrt((v * v).sum(1))[:, None]).astype(np.float32),)
-
-    data = blocks(whole_blocks(distinct, ROWS), 2 * ROWS, coded, d, ["codes", "norms"])
-    queries = blocks(whole_blocks(good.where(F.col("vec_id") % every == 0), QUERIES), 2 * QUERIES, asked, d, ["v"])
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books, asking, held = shared.value, None, None
-
-        def out() -> pa.RecordBatch:
-            ids, score = held
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(asking, ids.shape[1])), pa.array(ids.ravel()), pa.array(score.ravel().astype(float))], ["query_id", "vec_id", "near"])
-
-        for batch in batches:
-            for ids, codes, norms, q_ids, q in zip(*(batch.column(c).to_pylist() for c in ("ids", "codes", "norms", "q_ids", "q_v"))):
-                ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-                codes = np.frombuffer(codes, np.uint8).reshape(-1, len(books))
-                tables = np.frombuffer(q, np.float32).reshape(-1, d) @ books.reshape(-1, d).T
-                score = np.zeros((len(q_ids), len(ids)), np.float32)
-                for j in range(len(books)):
-                    score += tables[:, j * WORDS : (j + 1) * WORDS][:, codes[:, j]]
-                score = 2 * score - np.frombuffer(norms, np.float32)
-                ids = np.broadcast_to(ids, score.shape)
-                if asking is not None and np.array_equal(asking, q_ids):
-                    ids, score = np.concatenate([held[0], ids], 1), np.concatenate([held[1], score], 1)
-                elif asking is not None:
-                    yield out()
-                if score.shape[1] > most:
-                    top = largest(score, ids, most)
-                    ids, score = np.take_along_axis(ids, top, 1), np.take_along_axis(score, top, 1)
-                asking, held = q_ids, (ids, score)
-        if asking is not None:
-            yield out()
-
-    found = met(data, queries).select("ids", "codes", "norms", "q_ids", "q_v").mapInArrow(scored, "query_id long, vec_id long, near double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
-    found = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most)
-    pairs = found.select("query_id", "vec_id").join(distinct, "vec_id").join(good.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+        return ids, codes, (x * x).sum(1)
+
+    data = blocks(tables, distinct, coded, d, ["codes", "norms"])
+    passes = []
+    for ids, v in asked(tables, good, every, d):
+        asking = spark.sparkContext.broadcast((ids, (v / np.sqrt((v * v).sum(1))[:, None]).astype(np.float32)))  # one pass of queries
+        found = data.select("ids", "codes", "norms").mapInArrow(scored_by(shared, asking, most, d), "query_id long, vec_id long, near double")
+        best = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
+        found = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most)
+        passes.append(tables.saved(found.select("query_id", "vec_id"), "candidates"))
+    if not passes:
+        return spark.createDataFrame([], schema)
+    found = passes[0]
+    for more in passes[1:]:
+        found = found.union(more)
+    pairs = found.join(distinct, "vec_id").join(good.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,4 +176,36 @@ def search(rows: DataFrame, every: int = 50, nearest: int = NEAREST, rerank: int
     ranked = pairs.select("query_id", "vec_id", "v", "q").mapInArrow(exact, "query_id long, vec_id long, score double")
     ranked = ranked.withColumnRenamed("vec_id", "one").join(members.select("one", "vec_id"), "one").where("vec_id <> query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
+    out = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
+    out = tables.saved(out, "found")
+    tables.keep_only(out)
+    return out
+
+
+def scored_by(books, asking, most: int, d: int):
+    """A task's work: for each query the most candidates with the highest approximate scores among the codes that the task sees."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, (q_ids, q) = books.value.reshape(-1, d), asking.value
+        n = len(books.value)
+        held = [(np.zeros((len(x), 0), np.int64), np.zeros((len(x), 0), np.float32)) for x in np.split(q, range(TOGETHER, len(q), TOGETHER))]
+        for batch in batches:
+            for ids, codes, norms in zip(*(batch.column(c).to_pylist() for c in ("ids", "codes", "norms"))):
+                ids, codes, norms = np.frombuffer(ids, np.int64), np.frombuffer(codes, np.uint8).reshape(-1, n), np.frombuffer(norms, np.float32)
+                places = codes.T.astype(np.int64) + np.arange(n)[:, None] * WORDS
+                for k, (names, score) in enumerate(held):
+                    table = q[k * TOGETHER : (k + 1) * TOGETHER] @ words.T
+                    near = np.zeros((len(table), len(ids)), np.float32)
+                    for place in places:
+                        near += table[:, place]
+                    near = 2 * near - norms
+                    names, score = np.concatenate([names, np.broadcast_to(ids, near.shape)], 1), np.concatenate([score, near], 1)
+                    if score.shape[1] > most:
+                        top = largest(score, names, most)
+                        names, score = np.take_along_axis(names, top, 1), np.take_along_axis(score, top, 1)
+                    held[k] = names, score
+        for k, (names, score) in enumerate(held):
+            who = np.repeat(q_ids[k * TOGETHER : (k + 1) * TOGETHER], names.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(names.ravel()), pa.array(score.ravel().astype(float))], ["query_id", "vec_id", "near"])
+
+    return run

@@ -1,4 +1,4 @@
-"""Vectors and queries in blocks: a stated set of queries meets all rows block by block."""
+"""Vectors in blocks, and a stated set of queries in passes over them: each pass meets all blocks where they lie."""
 
 from __future__ import annotations
 
@@ -9,11 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, joined, saved
+from .common import Tables, bounded, joined
 
-ROWS, QUERIES = 4096, 256
-#: Tasks among which the blocks of data are dealt for each block of queries.
-GROUPS = 4
+#: Rows of a block, and bytes of the queries of one pass.
+ROWS, PASS_BYTES = 4096, 8 << 20
 
 
 def vectors(rows: DataFrame, nonzero: bool) -> DataFrame:
@@ -40,38 +39,28 @@ def matrix(column: pa.Array, d: int) -> np.ndarray:
     return flat.reshape(-1, d)
 
 
-def whole_blocks(rows: DataFrame, size: int, order: str | None = None) -> DataFrame:
-    """Rows dealt to as many partitions as blocks of that size need; by ranges if an order is given."""
-    parts = max(1, -(-rows.count() // size))
-    return rows.repartitionByRange(parts, order).sortWithinPartitions(order) if order else rows.repartition(parts, "vec_id")
-
-
-def blocks(rows: DataFrame, size: int, make: Callable[[np.ndarray, np.ndarray], tuple], d: int, names: list[str]) -> DataFrame:
-    """A row for each block of up to size vectors: block number, ids, and what make(ids, vectors) returns, as bytes."""
+def blocks(tables: Tables, rows: DataFrame, make: Callable[[np.ndarray, np.ndarray], tuple], d: int, names: list[str], size: int = ROWS) -> DataFrame:
+    """A row for each block of up to size vectors: its number, the ids, and what make(ids, vectors) returns, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in joined(batches, 128 << 20):  # a partition holds about one block
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                ids, v = part.column("vec_id").to_numpy(), matrix(part.column("v"), d)
-                made = [np.ascontiguousarray(x).tobytes() for x in make(ids, v)]
-                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), *(pa.array([x], pa.binary()) for x in made)], ["ids", *names])
+        for batch in joined(batches, size * d * 8):
+            for at in range(0, batch.num_rows, 2 * size):
+                part = batch.slice(at, 2 * size)
+                made = make(part.column("vec_id").to_numpy(), matrix(part.column("v"), d))
+                yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in made], ["ids", *names])
 
     out = rows.mapInArrow(run, ", ".join(f"{n} binary" for n in ["ids", *names]))
-    return saved(out.withColumn("block", F.monotonically_increasing_id()), "blocks")
-
-
-def met(data: DataFrame, queries: DataFrame) -> DataFrame:
-    """Each block of data with each block of queries; the columns of queries begin with q_.
-
-    Both are blocks, so rows here are blocks times blocks and not vectors times queries.
-    The rows of one block of queries that a task has follow one another, so the task can
-    keep what it has found so far and return it once.
-    """
-    numbers = [r["block"] for r in queries.select("block").collect()]  # one for each QUERIES queries
-    groups = F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))).alias("part")
-    named = queries.select(*(F.col(c).alias(f"q_{c}") for c in queries.columns), groups)
-    every = F.explode(F.array(*(F.lit(n).cast("long") for n in numbers))) if numbers else F.lit(None).cast("long")
-    wide = data.withColumn("q_block", every).withColumn("part", F.pmod(F.xxhash64("block"), F.lit(GROUPS)).cast("int"))
-    wide = wide.repartition(max(1, GROUPS * len(numbers)), "q_block", "part").sortWithinPartitions("q_block", "part")
-    return wide.join(named.hint("merge"), ["q_block", "part"])
+    return tables.saved(out.withColumn("block", F.monotonically_increasing_id()), "blocks")
+
+
+def asked(tables: Tables, rows: DataFrame, every: int, d: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of the queries, the rows whose vec_id is divisible by every, in passes of at most about PASS_BYTES."""
+    queries = rows.where(F.col("vec_id") % every == 0)
+    most = max(1, PASS_BYTES // (8 * d))
+    passes = max(1, -(-queries.count() // most))
+    queries = queries.withColumn("pass", F.pmod(F.xxhash64("vec_id"), F.lit(passes)).cast("int"))
+    queries = tables.saved(queries.repartitionByRange(min(passes, 1000), "pass").sortWithinPartitions("pass", "vec_id"), "queries")
+    for k in range(passes):
+        some = queries.where(F.col("pass") == k).select("vec_id", "v").toPandas().sort_values("vec_id")  # bounded by PASS_BYTES
+        if len(some):
+            yield some["vec_id"].to_numpy(np.int64), np.stack(some["v"].to_numpy()).astype(float)

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 import public_tokenizers
 
-from strataform.llm import additive_quantisation, block_pruning, common, huffman_files, language_id, merge_replay, minhash_forest, packing, passages, secret_scan, subwords, token_counts
+from strataform.llm import additive_quantisation, block_pruning, common, huffman_files, language_id, merge_replay, minhash_forest, packing, passages, secret_scan, subwords, token_counts, vector_blocks
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -314,6 +314,23 @@ def test_block_pruning_equals_brute_force(spark, vectors):
     assert len(block_pruning.search(few).collect()) == 1 and block_pruning.search(vectors.limit(0)).count() == 0
 
 
+def test_block_pruning_passes_over_most_ranges(spark, monkeypatch):
+    monkeypatch.setattr(vector_blocks, "PASS_BYTES", 16 * 8 * 40)  # several passes
+    r = np.random.default_rng(4)
+    middle = 3 * r.normal(size=(40, 16))
+    v = middle[r.integers(0, 40, 12_000)] + 0.1 * r.normal(size=(12_000, 16))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    share = block_pruning.pruned(df)
+    print(f"{share:.3f} of pairs of queries and ranges passed over")
+    assert share > 0.8
+    terms, want = np.floor(256 * v).astype(int), []
+    for i in range(0, 12_000, 50):
+        score = terms @ terms[i]
+        score[i] = -(1 << 60)
+        want += [(i, j + 1, int(k), int(score[k])) for j, k in enumerate(np.lexsort((np.arange(12_000), -score))[:5])]
+    assert sorted(tuple(x) for x in block_pruning.search(df).collect()) == want
+
+
 def tiktoken_of(name):
     import tiktoken
 
@@ -397,12 +414,13 @@ def test_every_language_is_learned(spark, monkeypatch):
 
 def test_phrases_equal_a_greedy_parse():
     r = random.Random(8)
-    sample = ["".join(r.choice("abc ") for _ in range(40)) for _ in range(5)]
+    sample = ["".join(r.choice("abc ") for _ in range(40)) for _ in range(5)] + ["a" * 7]
     codes = np.zeros(256, np.uint8)
     for k, c in enumerate(b"abc ", 1):
         codes[c] = k
     table = language_id.automaton([[int(codes[ord(c)]) for c in t] for t in sample], 6)
     texts = ["".join(r.choice("abcd ") for _ in range(r.randint(0, 60))) for _ in range(50)]
+    texts += ["".join(r.choice("abcd ") for _ in range(3000)), "a" * 5000, "ab" * 700 + "a" * 1000 + "c", sample[0] * 40]
     got = language_id.phrases(pa.array(texts), {"langs": ["x"], "codes": codes, "width": 6, "tables": [table]})[0]
     for text, n in zip(texts, got):
         count, piece = 0, ""
@@ -414,6 +432,16 @@ def test_phrases_equal_a_greedy_parse():
         assert n == (count + 1 if text else 0)
 
 
+def test_language_with_a_small_sample(spark):
+    vocabulary = {lang: prose(seed, 400).split() for lang, seed in (("large", 1), ("small", 2))}
+    line = lambda seed, lang: " ".join(random.Random(seed).choices(vocabulary[lang], k=60))
+    rows = [(i, line(i, "large"), "large") for i in range(64)] + [(100 + i, line(100 + i, "small"), "small") for i in range(4)]
+    model = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = [(1000 + i, line(1000 + i, ("large", "small")[i % 2])) for i in range(100)]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert sum(got[k] == ("large", "small")[k % 2] for k, _ in asked) >= 98
+
+
 def test_huffman_files(docs, empty):
     from tokenizers import Tokenizer
 
