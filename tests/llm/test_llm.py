@@ -121,6 +121,59 @@ def test_passages_of_two_stock_sentences(spark):
     assert cut == {k: t for k, t in rows} | {20: prose(120, 60) + " " + prose(220, 60)}
 
 
+def test_passages_between_later_holders(spark):
+    words = prose(41, 60).split()
+    pieces = [words[i : i + 25] for i in range(0, 36, 6)] + [words[35:]]
+    rows = [(2 * k + j, prose(300 + 2 * k + j, 80) + " " + " ".join(p) + " " + prose(400 + 2 * k + j, 80)) for k, p in enumerate(pieces) for j in range(2)]
+    rows += [(900, prose(42, 100) + " " + " ".join(words) + " " + prose(43, 40)), (901, prose(44, 30) + " " + " ".join(words) + " " + prose(45, 90))]
+    found = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert any((r["doc_id"], r["other_id"]) == (901, 900) and r["start"] <= 30 and r["end"] >= 90 for r in found)
+    assert all(r["doc_id"] == 901 and r["start"] >= 25 and r["end"] <= 95 for r in found)
+
+
+def test_passages_far_apart_are_several(spark):
+    one, two = prose(51, 600), prose(52, 600)
+    rows = [(1, one + " " + prose(53, 1000) + " " + two), (2, one + " " + prose(54, 3000) + " " + two)]
+    found = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["start"], r["end"], r["other_start"], r["other_end"]) for r in found) == [(0, 600, 0, 600), (3600, 4200, 1600, 2200)]
+
+
+def test_passages_with_changed_words(spark):
+    """Of fuzzy passages of 50 to 200 words, those with a change every twelve words or rarer are found; ones with more changes mostly."""
+    rows, cases, r = [], {}, random.Random(7)
+    for k in range(240):
+        n, every = r.choice([50, 100, 200]), r.choice([8, 12, 20, 30])
+        text = prose(1000 + k, n).split()
+        changed = [f"new{i}" if i % every == every // 2 else w for i, w in enumerate(text)]
+        rows += [(2 * k, prose(2000 + k, 60) + " " + " ".join(text) + " " + prose(3000 + k, 60)), (2 * k + 1, prose(4000 + k, 60) + " " + " ".join(changed) + " " + prose(5000 + k, 60))]
+        cases[2 * k + 1] = (n, every)
+    found = collections.defaultdict(list)
+    for x in passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert x["other_id"] == x["doc_id"] - 1
+        found[x["doc_id"]].append(x)
+    share = collections.defaultdict(list)
+    for k, (n, every) in cases.items():
+        share[every].append(sum(x["end"] - x["start"] for x in found[k]) >= 0.8 * n)
+    share = {every: sum(x) / len(x) for every, x in share.items()}
+    print(share)
+    assert share[12] >= 0.95 and share[20] >= 0.99 and share[30] == 1 and share[8] >= 0.8
+
+
+def test_matches_across_partitions(spark):
+    """However the sorted seeds are dealt, every later holder of a seed is linked with an earlier one."""
+    rows = [(i, i % 7, 5) for i in range(200)] + [(i, 3, 9) for i in range(5)] + [(3, 4, 9), (3, 8, 9), (4, 8, 9), (1, 1, 77)]
+    df = spark.createDataFrame(rows, "doc_id long, pos int, seed long")
+    tables = common.Tables(spark, "test")
+    links, shared = passages.linked(tables, tables.saved(df.repartition(3)))
+    assert sorted(tuple(r) for r in shared.distinct().collect()) == sorted(set(rows) - {(1, 1, 77)})
+    of = collections.defaultdict(set)
+    for doc, pos, other, at in links.collect():
+        assert other < doc and any((other, at, seed) in rows and (doc, pos, seed) in rows for seed in (5, 9))
+        of[doc, pos].add(other)
+    assert all(of[doc, pos] for doc, pos, seed in rows if seed == 5 and doc)
+    assert {(4, 8), (4, 3), (3, 4), (3, 8), (1, 3)} <= set(of)
+
+
 def test_chain_scores_equal_brute_force():
     r = random.Random(5)
     for _ in range(100):
