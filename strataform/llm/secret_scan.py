@@ -35,18 +35,42 @@ SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
 
+#: Elements of an array that are gone through one after another: longer arrays are cut into such chunks,
+#: as each step of a fold copies what it has put together so far.
+CHUNK = 256
+
+
+def let(name: str, value: str, body: str) -> str:
+    """SQL: body with a name for a value that is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def chunks(array: str) -> str:
+    """SQL: the array in chunks."""
+    return f"transform(sequence(0, greatest(0, (size({array}) - 1) div {CHUNK})), c -> slice({array}, c * {CHUNK} + 1, {CHUNK}))"
+
+
+def running(values: str, step: str, least: int) -> str:
+    """SQL: for each of an array of integers what step, of {a} and x, makes of those before it."""
+
+    def fold(array: str, start: str) -> str:
+        return f"aggregate({array}, named_struct('a', {start}, 'out', cast(array() AS array<int>)), (acc, x) -> named_struct('a', {step.format(a='acc.a')}, 'out', array_append(acc.out, acc.a)), acc -> acc.out)"
+
+    total = f"transform(parts, part -> aggregate(part, {least}, (a, x) -> {step.format(a='a')}))"
+    whole = f"flatten(transform(arrays_zip(parts, {fold(total, str(least))}), z -> {fold('z.parts', 'z.`1`')}))"
+    return let("v", values, let("parts", chunks("v"), whole))
+
+
 def places(text: str, pattern: str) -> str:
     """SQL: array of (start, match) of every leftmost match that doesn't overlap; code points.
 
     What lies between the matches tells where they are.
     """
     p = "r\"" + pattern.replace('"', r"\x22") + '"'
+    starts = running("transform(arrays_zip(gaps, hits), x -> length(x.gaps) + length(x.hits))", "{a} + x", 0)
+    found = f"transform(arrays_zip({starts}, gaps, hits), x -> named_struct('start', x.`0` + length(x.gaps), 'hit', x.hits))"
     return f"""CASE WHEN {text} RLIKE {p} THEN
-      aggregate(
-        arrays_zip(slice(split({text}, {p}, -1), 1, size(regexp_extract_all({text}, {p}, 0))), regexp_extract_all({text}, {p}, 0)),
-        named_struct('at', 0, 'found', cast(array() AS array<struct<start:int,hit:string>>)),
-        (acc, x) -> named_struct('at', acc.at + length(x.`0`) + length(x.`1`), 'found', array_append(acc.found, named_struct('start', acc.at + length(x.`0`), 'hit', x.`1`))),
-        acc -> acc.found)
+      {let('hits', f'regexp_extract_all({text}, {p}, 0)', let('gaps', f'slice(split({text}, {p}, -1), 1, size(hits))', found))}
       ELSE cast(array() AS array<struct<start:int,hit:string>>) END"""
 
 
@@ -168,8 +192,13 @@ def candidates(rows: DataFrame, text: str) -> DataFrame:
     rows = rows.withColumns({f"_p{k}": F.expr(places(text, p)) for k, p in enumerate((ASSIGN, ACCESS, HEX, RUN))})
     base = f"array_sort(concat({named(0, f'length({group}) >= {LEAST_ASSIGNED}')}, {named(1)}, {named(2)}))"
     rows = rows.withColumn("_base", F.expr(f"CASE WHEN size(_p0) + size(_p1) + size(_p2) > 0 THEN {base} ELSE cast(array() AS {SPANS}) END"))
-    alone = F.expr("filter(_p3, x -> NOT exists(_base, b -> b.start < x.start + length(x.hit) AND x.start < b.end))")
-    rows = rows.withColumn("_alone", alone).drop("_p0", "_p1", "_p2", "_p3")
+    # Base spans and runs in one order: a run is alone if no base span before it reaches it and none after it begins in it.
+    both = "array_sort(concat(transform(base, b -> named_struct('start', b.start, 'run', 0, 'end', b.end, 'hit', '')), transform(runs, x -> named_struct('start', x.start, 'run', 1, 'end', x.start + length(x.hit), 'hit', x.hit))))"
+    reached = running("transform(both, x -> if(x.run = 0, x.end, -1))", "greatest({a}, x)", -1)
+    begun = f"reverse({running('reverse(transform(both, x -> if(x.run = 0, x.start, 2147483647)))', 'least({a}, x)', 2147483647)})"
+    alone = f"transform(filter(arrays_zip(both, {reached}, {begun}), x -> x.both.run = 1 AND x.`1` <= x.both.start AND x.`2` >= x.both.end), x -> named_struct('start', x.both.start, 'hit', x.both.hit))"
+    alone = let("runs", "_p3", let("base", "_base", f"CASE WHEN size(runs) = 0 OR size(base) = 0 THEN runs ELSE {let('both', both, alone)} END"))
+    rows = rows.withColumn("_alone", F.expr(alone)).drop("_p0", "_p1", "_p2", "_p3")
     rows = rows.withColumn("_judged", battery(F.col("_alone")))
     binned = F.transform(
         F.filter("_judged", lambda x: x["random"] >= REJECT),
@@ -225,18 +254,20 @@ def secrets(docs: DataFrame) -> DataFrame:
 def masked(docs: DataFrame, mask: str = MASK) -> DataFrame:
     """The documents with every span of a secret replaced by a mark; columns as they were, n_chars counted anew."""
     rows = scanned(docs.select(whole_rows(docs), F.col("text").cast("string").alias("text")))
-    merged = F.expr(
-        """aggregate(_spans, cast(array() AS array<struct<start:int,end:int>>), (acc, x) ->
-             CASE WHEN size(acc) > 0 AND element_at(acc, -1).end >= x.start
-             THEN array_append(slice(acc, 1, size(acc) - 1), named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, x.end)))
-             ELSE array_append(acc, named_struct('start', x.start, 'end', x.end)) END)"""
-    )
-    rows = rows.withColumn("_merged", F.when(F.size("_spans") > 0, merged))
-    built = F.expr(
-        f"""aggregate(_merged, named_struct('at', 0, 'out', ''),
-              (acc, x) -> named_struct('at', x.end, 'out', concat(acc.out, substring(text, acc.at + 1, x.start - acc.at), '{mask}')),
-              acc -> concat(acc.out, substring(text, acc.at + 1)))"""
-    )
+    # A span that begins within an earlier one is part of it: heads are those that don't.
+    reached = running("transform(spans, x -> x.end)", "greatest({a}, x)", -1)
+    heads = f"filter(arrays_zip(spans, {reached}), x -> x.spans.start > x.`1`)"
+    last = "array_max(transform(spans, x -> x.end))"
+    ends = f"concat(transform(slice(heads, 2, size(heads)), x -> x.`1`), array({last}))"
+    merged = let("spans", "_spans", let("heads", heads, f"transform(arrays_zip(heads, {ends}), x -> named_struct('start', x.heads.spans.start, 'end', x.`1`))"))
+    rows = rows.withColumn("_merged", F.when(F.size("_spans") > 0, F.expr(merged)))
+    # The text is cut once a chunk of spans, and each piece of it by places from there on.
+    cut = "substring(text, z.`1` + 1, element_at(z.parts, -1).end - z.`1`)"
+    inner = f"transform(sequence(1, size(z.parts)), i -> {let('from', 'if(i = 1, z.`1`, z.parts[greatest(i - 2, 0)].end)', 'concat(substring(part, from - z.`1` + 1, z.parts[i - 1].start - from), mark)')})"
+    before = "concat(array(0), transform(slice(parts, 1, size(parts) - 1), x -> element_at(x, -1).end))"
+    pieces = f"transform(arrays_zip(parts, {before}), z -> {let('part', cut, f"array_join({inner}, '')")})"
+    built = let("mark", f"'{mask}'", let("parts", chunks("_merged"), f"concat(array_join({pieces}, ''), substring(text, element_at(_merged, -1).end + 1))"))
+    built = F.expr(built)
     changed = F.col("_merged").isNotNull()
     rows = rows.withColumn("text", F.when(changed, built).otherwise(F.col("row.text")))
     new = {"text": F.col("text")}

@@ -21,7 +21,7 @@ from .subwords import vocabulary
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
 BLOCK_BYTES = 8 << 20
-#: Words whose counts a task remembers; beyond them it starts anew, which changes nothing but speed.
+#: Words, tokens and pairs of tokens that a task remembers; beyond them it starts anew, which changes nothing but speed.
 REMEMBERED = 500_000
 
 
@@ -97,8 +97,9 @@ class PrefixCounts:
 
     def of_words(self, words: list[str]) -> list:
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
+        for memory in (known, self.alone, self.follows):
+            if len(memory) > REMEMBERED:
+                memory.clear()
         for mark in self.special:
             known[mark] = bytes([1] * len(mark.encode()))
         new = sorted(w.encode() for w in words if w not in known)

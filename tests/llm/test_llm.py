@@ -218,6 +218,24 @@ def test_secrets(spark, docs, empty):
     assert secret_scan.secrets(docs).count() == docs.count() and secret_scan.masked(docs).columns == docs.columns
 
 
+def test_many_secrets_in_one_text(spark):
+    r = random.Random(12)
+    part = lambda: r.choice(["é 😀 plain words", "token=" + "ab1" * r.randint(2, 9), "AKIA" + "Q7" * 9, "0a1b2c3d" * r.randint(3, 6), 'secret: "' + "f0" * 13 + '"', "passwd=AKIA" + "Z" * 16])
+    texts = [" ".join(part() for _ in range(n)) for n in (1, 255, 256, 257, 3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in secret_scan.secrets(df).collect()}
+    for r in secret_scan.masked(df).collect():
+        text, out, at = texts[r["doc_id"]], "", 0
+        own = sorted((int(a), int(b)) for _, a, b in (x.split(":") for x in spans[r["doc_id"]].split(",") if x))
+        assert [x for x in own] == sorted(set(own) | {(a, b) for a, _, b in by_hand_secrets(text)})
+        while own:
+            a, b = own.pop(0)
+            while own and own[0][0] <= b:
+                b = max(b, own.pop(0)[1])
+            out, at = out + text[at:a] + "[secret]", b
+        assert r["text"] == out + text[at:]
+
+
 def test_word_ids_equal_the_library():
     from tokenizers import Tokenizer
 
