@@ -6,6 +6,7 @@ import gc
 import hashlib
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -48,6 +49,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.folder, self.paths = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", {}
+        self.cleaned = 0.0
 
     def saved(self, df: DataFrame, name: str = "table", over: tuple[DataFrame, ...] = ()) -> DataFrame:
         """Write ``df``, read it back, and delete the tables in ``over``: nothing needs them any more."""
@@ -59,15 +61,16 @@ class Tables:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete tables of this run, and let Spark clean up shuffles that no plan holds any more."""
+        """Delete tables of this run; once in a while, let Spark clean up shuffles that no plan holds any more."""
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
         for table in tables:
             path, _ = self.paths[id(table)]
             where = hadoop(path)
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-        if tables:
+        if tables and time.monotonic() > self.cleaned + 5:
             gc.collect()
             self.spark._jvm.System.gc()
+            self.cleaned = time.monotonic()
 
     def keep_only(self, *tables: DataFrame) -> None:
         """Delete all tables of this run but these."""
