@@ -53,13 +53,15 @@ def without_citations(text: Column) -> Column:
 
 #: Written fractions and their signs (fixed values).
 FRACTIONS = {"1/2": "½", "1/3": "⅓", "2/3": "⅔", "1/4": "¼", "3/4": "¾", "1/8": "⅛", "3/8": "⅜", "5/8": "⅝", "7/8": "⅞"}
+#: Units before which a percent sign is a misread half (fixed values).
 UNITS = "cups?|tsp|tbsp|teaspoons?|tablespoons?|oz|lb|g|kg|ml|l"
 
 
 def with_fractions(text: Column) -> Column:
-    """Fractions as signs, Ib as lb."""
-    text = reduce(lambda t, x: F.regexp_replace(t, rf"(?<![0-9/]){x[0]}(?![0-9/])", x[1]), FRACTIONS.items(), text)
-    return F.regexp_replace(text, r"\bIbs?\b", "lb")
+    """Fractions as signs, Ib as lb, spoons without plural."""
+    text = reduce(lambda t, x: F.regexp_replace(t, r"\b" + x[0].replace("/", " ?/ ?") + r"\b", x[1]), FRACTIONS.items(), text)
+    text = F.regexp_replace(F.regexp_replace(text, r"(?i)\bIbs\b", "lbs"), r"\bIb\b", "lb")
+    return F.regexp_replace(F.regexp_replace(text, r"(?i)\btsps?\b", "tsp"), r"(?i)\btbsps?\b", "tbsp")
 
 
 def with_halves(text: Column) -> Column:
@@ -107,6 +109,11 @@ def escaped(text: Column) -> Column:
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
 
 
+def unescaped_twice(text: Column) -> Column:
+    """Entities read, and those that appear by it."""
+    return unescaped(unescaped(text))
+
+
 def unescaped(text: Column) -> Column:
     return reduce(lambda t, x: F.replace(t, F.lit(x[0]), F.lit(x[1])), ENTITIES.items(), text)
 
@@ -129,6 +136,21 @@ def safe_html(html: Column) -> Column:
     return F.regexp_replace(html, r"(?i)javascript:", "")
 
 
+#: Elements that stay in sanitised markup (fixed values).
+ALLOWED = ("b", "strong", "i", "em", "u", "ul", "ol", "li", "br", "p", "div")
+
+
+def allowed_html(html: Column) -> Column:
+    """Elements of a fixed list, without attributes; of links those to a record; the text of all others. Scripts and comments go."""
+    for pattern in ("(?is)<(script|style|noscript|template)[^>]*>.*?</(script|style|noscript|template)>", "(?s)<!--.*?-->"):
+        html = F.regexp_replace(html, pattern, "")
+    html = F.regexp_replace(html, r"""(?is)<a [^>]*href=["']#recipe-([0-9]+)["'][^>]*>(.*?)</a>""", "\u0001$1\u0002$2\u0003")
+    html = F.regexp_replace(html, rf"(?i)<(/?)({'|'.join(ALLOWED)})(?:[ \t\r\n/][^>]*)?>", "\u0004$1$2\u0005")
+    html = F.regexp_replace(F.regexp_replace(html, "<[^>]*>", ""), "\u0004([^\u0005]*)\u0005", "<$1>")
+    return F.regexp_replace(F.regexp_replace(html, "\u0001([0-9]+)\u0002", '<a href="#recipe-$1" data-recipe-id="$1">'), "\u0003", "</a>")
+
+
+#: Unicode blocks and their languages (fixed values) are listed in the function.
 def language_by_block(text: Column) -> Column:
     """The language by Unicode block; Devanagari is Marathi with its own letter, else Hindi; else English."""
     blocks = [("0980", "09FF", "Bengali"), ("0A00", "0A7F", "Punjabi"), ("0A80", "0AFF", "Gujarati"), ("0B80", "0BFF", "Tamil"), ("0C00", "0C7F", "Telugu"), ("0C80", "0CFF", "Kannada"), ("0D00", "0D7F", "Malayalam"), ("0600", "06FF", "Arabic"), ("3040", "30FF", "Japanese"), ("AC00", "D7AF", "Korean"), ("4E00", "9FFF", "Chinese"), ("0400", "04FF", "Russian")]
@@ -171,4 +193,7 @@ def capped(text: Column, most: int = 100, share: float = 0.65) -> Column:
     """At most so many words: cut at the last sentence end if that keeps enough, else with an ellipsis."""
     end = lambda short: F.length(short) - F.length(F.regexp_extract(short, r"[^.!?]*$", 0))
     cut = lambda short: let(end(short), lambda n: F.when(n >= F.length(short) * share, F.substring(short, F.lit(1), n)).otherwise(F.concat(short, F.lit("…"))))
-    return let(words(text), lambda w: F.when(F.size(w) <= most, text).otherwise(let(F.array_join(F.slice(w, F.lit(1), F.lit(most)), " "), cut)))
+    # Only the text's beginning is split: so many words, each with white space behind it.
+    head = F.regexp_extract(text, rf"^{SPACE}*(?:[^ \t\r\n\f\x0b\xa0]+{SPACE}+){{0,{most}}}", 0)
+    short = let(head, lambda h: F.when(F.length(h) < F.length(text), let(words(h), lambda w: F.when(F.size(w) == most, F.array_join(w, " ")))))
+    return let(short, lambda s: F.when(s.isNull(), text).otherwise(cut(s)))

@@ -19,13 +19,25 @@ def bases(recipes: DataFrame, key: str) -> DataFrame:
     return pairs.groupBy(key, "pos").agg(F.coalesce(F.max(F.when(named, F.col("b_pos"))), F.max("b_pos")).alias("base_pos"))
 
 
-def inherited(recipes: DataFrame, key: str, most_hops: int = 4) -> DataFrame:
-    """Records with empty lists filled from their base; a base may itself have one, up to so many hops."""
+def roots(links: DataFrame, key: str) -> DataFrame:
+    """(key, pos, base_pos) with the bases of bases added, as (key, pos, hop, base_pos): chains of any length, doubled in each round."""
+    every = links.select(key, "pos", F.lit(1).alias("hop"), "base_pos")
+    width = 1
+    while True:
+        far = every.where(F.col("hop") == width).select(key, F.col("base_pos").alias("pos"), F.col("pos").alias("_from"))
+        more = far.join(every, [key, "pos"]).select(key, F.col("_from").alias("pos"), (F.col("hop") + width).alias("hop"), "base_pos")
+        if more.isEmpty():
+            return every
+        every, width = every.union(more), width * 2
+
+
+def inherited(recipes: DataFrame, key: str) -> DataFrame:
+    """Records with empty lists filled from the nearest of their bases that has them; a base may itself have one, and so on."""
     links = bases(recipes, key)
-    out = recipes.join(links, [key, "pos"], "left")
-    for _ in range(most_hops):
-        base = out.select(key, F.col("pos").alias("base_pos"), F.col("name").alias("_name"), F.col("ingredients").alias("_ingredients"), F.col("method").alias("_method"))
-        out = out.join(base, [key, "base_pos"], "left")
-        fill = lambda c: F.when((F.size(c) == 0) & F.col(f"_{c}").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c))
-        out = out.select(key, "pos", "name", fill("ingredients").alias("ingredients"), fill("method").alias("method"), "base_pos", F.coalesce("base_name", "_name").alias("base_name") if "base_name" in out.columns else F.col("_name").alias("base_name"))
-    return out
+    content = recipes.select(key, F.col("pos").alias("base_pos"), F.col("name").alias("_name"), F.col("ingredients").alias("_ingredients"), F.col("method").alias("_method"))
+    above = roots(links, key).join(content, [key, "base_pos"])
+    nearest = lambda c: F.min_by(c, F.when(F.size(c) > 0, F.col("hop")))
+    found = above.groupBy(key, "pos").agg(nearest("_ingredients").alias("_ingredients"), nearest("_method").alias("_method"), F.min_by("_name", "hop").alias("base_name"))
+    out = recipes.join(links, [key, "pos"], "left").join(found, [key, "pos"], "left")
+    fill = lambda c: F.when((F.size(c) == 0) & F.col(f"_{c}").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c))
+    return out.select(key, "pos", "name", fill("ingredients").alias("ingredients"), fill("method").alias("method"), "base_pos", "base_name")

@@ -50,3 +50,12 @@ def under_titles(lines: DataFrame, titles: DataFrame, key: str, median_height: f
     best = pairs.withColumn("_turn", turn).where("_turn = 1")
     n = F.count("*").over(Window.partitionBy(key, "title_ord"))
     return best.withColumn("_n", n).where(F.col("_n") >= least_lines).select(*lines.columns, "title", "title_ord")
+
+
+def tallest(lines: DataFrame, key: str, share: float = 1.22) -> DataFrame:
+    """(key, y0, height): of each page's lines the tallest of those at least share times the upper median height, of equal ones the topmost; without such the tallest of all."""
+    heights = F.array_sort(F.collect_list("height"))
+    page = lines.groupBy(key).agg(F.element_at(heights, F.floor(F.count("*") / 2).cast("int") + 1).alias("_median"), F.collect_list(F.struct("height", "y0")).alias("_lines"))
+    tall = F.filter("_lines", lambda x: x["height"] >= F.col("_median") * share)
+    best = lambda some: F.array_max(F.transform(some, lambda x: F.struct(x["height"].alias("height"), (-x["y0"]).alias("up"))))
+    return page.select(key, F.coalesce(best(tall), best(F.col("_lines"))).alias("b")).select(key, (-F.col("b.up")).alias("y0"), F.col("b.height").alias("height"))

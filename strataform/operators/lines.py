@@ -1,11 +1,15 @@
-"""Texts as ordered lines, and computations along them. Every window is one document's, ordered by place."""
+"""Texts as ordered lines, and computations along them.
+
+What needs one document's lines only is done on an array of them, inside its row, without
+a shuffle; every window is one document's, ordered by place.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataform.functions.text import squeezed
+from strataform.functions.text import let, squeezed
 
 
 def exploded(df: DataFrame, key: str, text: str = "text", separator: str = "\n") -> DataFrame:
@@ -14,6 +18,17 @@ def exploded(df: DataFrame, key: str, text: str = "text", separator: str = "\n")
     return rows.withColumn("line", squeezed(F.col("line"))).where("line <> ''")
 
 
+def line_array(text: Column, separator: str = "\n") -> Column:
+    """array<struct<pos, line>>: lines that aren't blank, with their place among all lines."""
+    every = F.transform(F.split(text, separator), lambda x, i: F.struct(i.alias("pos"), squeezed(x).alias("line")))
+    return F.filter(every, lambda x: x["line"] != "")
+
+
+def arrays(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, lines): the lines of each row that has some, as an array."""
+    return df.select(key, line_array(F.col(text)).alias("lines")).where(F.size("lines") > 0)
+
+
 def along(key: str) -> Window:
     return Window.partitionBy(key).orderBy("pos")
 
@@ -28,10 +43,12 @@ def bounded(heads: DataFrame, key: str) -> DataFrame:
     return heads.withColumn("next_pos", F.lead("pos").over(along(key)))
 
 
-def first_after(df: DataFrame, key: str, first: Column, second: Column) -> DataFrame:
-    """(key, first_pos, second_pos): the first row of one kind, and the first of another kind below it."""
-    start = df.withColumn("_start", F.min(F.when(first, F.col("pos"))).over(Window.partitionBy(key)))
-    return start.groupBy(key).agg(F.min("_start").alias("first_pos"), F.min(F.when(second & (F.col("pos") > F.col("_start")), F.col("pos"))).alias("second_pos"))
+def first_after(df: DataFrame, key: str, first, second) -> DataFrame:
+    """(key, first_pos, second_pos) of line arrays: the first line of one kind, and the first of another kind below it."""
+    start = lambda lines: F.get(F.filter(lines, lambda x: first(x["line"])), F.lit(0))["pos"]
+    below = lambda lines, at: F.get(F.filter(lines, lambda x: (x["pos"] > at) & second(x["line"])), F.lit(0))["pos"]
+    both = let(F.struct(F.col("lines"), start(F.col("lines")).alias("at")), lambda x: F.struct(x["at"].alias("first_pos"), below(x["lines"], x["at"]).alias("second_pos")))
+    return df.select(key, both.alias("both")).select(key, "both.*")
 
 
 def joined_items(df: DataFrame, key: str, starts: Column) -> DataFrame:
@@ -53,16 +70,14 @@ def runs(df: DataFrame, key: str, tag: str) -> DataFrame:
     return numbered.groupBy(key, "run", tag).agg(F.count("*").alias("n"))
 
 
-def first_of_each(df: DataFrame, key: str, value: Column) -> DataFrame:
-    """Rows whose value, case aside, is the document's first such."""
-    turn = F.row_number().over(Window.partitionBy(key, F.lower(value)).orderBy("pos"))
-    return df.withColumn("_turn", turn).where("_turn = 1").drop("_turn")
+def distinct_lines(lines: Column) -> Column:
+    """The lines of an array of them, case aside, the first of each kept, in order; lower-cased."""
+    return F.array_distinct(F.transform(lines, lambda x: F.lower(x["line"])))
 
 
-def repeats(df: DataFrame, key: str, value: Column, alias: str = "repeats") -> DataFrame:
-    """(key, repeats): occurrences beyond the first of each line, case aside."""
-    counts = df.groupBy(key, F.lower(value).alias("_line")).agg(F.count("*").alias("_n"))
-    return counts.groupBy(key).agg(F.sum(F.col("_n") - 1).alias(alias))
+def repeats(df: DataFrame, key: str, alias: str = "repeats") -> DataFrame:
+    """(key, repeats) of line arrays: occurrences beyond the first of each line, case aside."""
+    return df.select(key, (F.size("lines") - F.size(distinct_lines(F.col("lines")))).cast("long").alias(alias))
 
 
 def without_shorter_repeat(df: DataFrame, key: str, number: Column) -> DataFrame:
@@ -73,8 +88,8 @@ def without_shorter_repeat(df: DataFrame, key: str, number: Column) -> DataFrame
 
 
 def at_end(df: DataFrame, key: str, most: int) -> DataFrame:
-    """The last lines of each document."""
-    return df.withColumn("_back", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("pos")))).where(F.col("_back") <= most).drop("_back")
+    """(key, pos, line) of line arrays: the last lines of each."""
+    return df.select(key, F.inline(F.slice("lines", F.greatest(F.lit(1), F.size("lines") - most + 1), F.lit(most))))
 
 
 def best(df: DataFrame, key: str, score: Column) -> DataFrame:
@@ -96,12 +111,20 @@ def preceding(df: DataFrame, key: str, is_base: Column, value: Column, alias: st
     return df.withColumn(alias, F.coalesce(found, F.lag(value).over(w)))
 
 
-def title_before(df: DataFrame, key: str, anchor: Column, is_title: Column, barrier: Column, reach: int = 60) -> DataFrame:
-    """(key, pos, title_pos): for each anchor the first title at most reach rows before it and after the last barrier."""
-    w = along(key).rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.withColumn("_wall", F.coalesce(F.last(F.when(barrier, F.col("pos")), ignorenulls=True).over(w), F.lit(-1)))
-    titles = F.collect_list(F.when(is_title, F.col("pos"))).over(along(key).rangeBetween(-reach, -1))
-    return rows.withColumn("_titles", titles).where(anchor).select(key, "pos", F.array_min(F.filter("_titles", lambda p: p > F.col("_wall"))).alias("title_pos"))
+def title_before(df: DataFrame, key: str, anchor, is_title, barrier, reach: int = 60) -> DataFrame:
+    """(key, pos, title_pos) of line arrays: for each anchor the first title at most reach places before it and after the last barrier.
+
+    Each anchor looks at the few lines before it, so the work grows with the lines.
+    """
+
+    def found(lines: Column, x: Column, i: Column) -> Column:
+        some = F.filter(F.slice(lines, F.greatest(F.lit(1), i + 1 - reach), F.least(i, F.lit(reach))), lambda y: y["pos"] >= x["pos"] - reach)
+        wall = lambda some: F.coalesce(F.array_max(F.transform(F.filter(some, lambda y: barrier(y["line"])), lambda y: y["pos"])), F.lit(-1))
+        title = let(some, lambda some: let(wall(some), lambda wall: F.get(F.filter(some, lambda y: (y["pos"] > wall) & is_title(y["line"])), F.lit(0))["pos"]))
+        return F.struct(x["pos"].alias("pos"), F.when(i > 0, title).alias("title_pos"))
+
+    marked = F.transform("lines", lambda x, i: F.when(anchor(x["line"]), found(F.col("lines"), x, i)))
+    return df.select(key, F.inline(F.filter(marked, lambda x: x.isNotNull())))
 
 
 def joined_sentences(df: DataFrame, key: str, ends: Column | None = None) -> DataFrame:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataform.functions.text import words
-from strataform.operators.lines import along, best
 
 
 def title_score(line: Column, distance: Column, nouns: str | None = None, verbs: str | None = None) -> Column:
@@ -22,18 +21,24 @@ def title_score(line: Column, distance: Column, nouns: str | None = None, verbs:
     return score
 
 
-def title_candidates(lines: DataFrame, key: str) -> DataFrame:
-    """(key, pos, line, distance, bonus): each line, and each with the next one, which gets 1.5 more."""
-    back = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("pos"))) - 1
-    rows = lines.withColumn("distance", back).withColumn("_next", F.lead("line").over(along(key)))
-    pair = F.struct(F.concat_ws(" ", "line", "_next").alias("line"), F.lit(1.5).alias("bonus"))
-    one = F.struct(F.col("line"), F.lit(0.0).alias("bonus"))
-    both = F.when(F.col("_next").isNull(), F.array(one)).otherwise(F.array(one, pair))
-    return rows.select(key, "pos", "distance", F.inline(both))
+def title_candidates(lines: Column) -> Column:
+    """array<struct<pos, line, distance, bonus>> of an array of lines: each line, and each with the next one, which gets 1.5 more."""
 
+    def both(x: Column, i: Column) -> Column:
+        after = F.get(lines, i + 1)["line"]
+        made = lambda line, bonus: F.struct(x["pos"].alias("pos"), line.alias("line"), (F.size(lines) - 1 - i).alias("distance"), F.lit(bonus).alias("bonus"))
+        one = F.array(made(x["line"], 0.0))
+        return F.when(after.isNull(), one).otherwise(F.concat(one, F.array(made(F.concat_ws(" ", x["line"], after), 1.5))))
 
-def titles(lines: DataFrame, key: str) -> DataFrame:
-    """(key, pos, title, score): the best candidate of each document; the first, and the single line, win ties."""
-    rows = title_candidates(lines, key).withColumn("score", title_score(F.col("line"), F.col("distance")) + F.col("bonus"))
-    rows = best(rows.withColumn("pos", F.col("pos") * 2 + F.when(F.col("bonus") > 0, 1).otherwise(0)), key, F.col("score"))
-    return rows.select(key, F.floor(F.col("pos") / 2).cast("int").alias("pos"), F.col("line").alias("title"), "score")
+    return F.flatten(F.transform(lines, both))
+
+
+def titles(df: DataFrame, key: str) -> DataFrame:
+    """(key, pos, title, score) of line arrays: the best candidate of each; the first, and the single line, win ties."""
+
+    def scored(x: Column, i: Column) -> Column:
+        score = F.round((title_score(x["line"], x["distance"]) + x["bonus"]).cast("double"), 6)
+        return F.struct(score.alias("score"), (-i).alias("turn"), x["pos"].alias("pos"), x["line"].alias("title"))
+
+    best = F.array_max(F.transform(title_candidates(F.col("lines")), scored))
+    return df.select(key, best.alias("best")).select(key, "best.pos", "best.title", "best.score")

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataform.functions.noise import nutrition_noise, page_noise, scan_garbage, step_line
 from strataform.functions.text import html_text, let, squeezed, without_citations, without_marker
 from strataform.operators.lines import along, carried, exploded
 
@@ -118,20 +119,104 @@ def html_sections(html: DataFrame, key: str, column: str = "html", tag: str = "h
     return rows.select(key, "pos", squeezed(html_text(heading)).alias("heading"), html_text(body).alias("body"))
 
 
-def linked_data(html: DataFrame, key: str, column: str = "html", wanted: str = "recipeIngredient") -> DataFrame:
-    """(key, payload): the first JSON-LD script of a page that has the wanted field and is JSON."""
-    scripts = F.regexp_extract_all(F.col(column), F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
-    good = F.filter(scripts, lambda s: F.contains(s, F.lit(wanted)) & F.try_parse_json(s).isNotNull())
-    return html.select(key, F.get(good, F.lit(0)).alias("payload")).where("payload IS NOT NULL")
+RECORD = "struct<name:string,ingredients:array<string>,method:array<string>>"
+
+
+def record(name: Column, ingredients: Column, method: Column) -> Column:
+    return F.struct(name.alias("name"), ingredients.alias("ingredients"), method.alias("method")).cast(RECORD)
+
+
+def linked_nodes(html: Column, depth: int = 4) -> Column:
+    """The JSON texts in a page's linked-data scripts and their inner objects, outermost first, to a depth."""
+    scripts = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
+
+    def inner(x: Column) -> Column:
+        fields = F.map_values(F.from_json(x, "map<string,string>"))
+        every = F.when(x.startswith("["), F.from_json(x, "array<string>")).when(x.startswith("{"), fields)
+        return F.coalesce(F.filter(every, lambda y: F.coalesce(y.rlike(r"^[{\[]"), F.lit(False))), F.array().cast("array<string>"))
+
+    level = F.transform(scripts, lambda x: F.trim(x))
+    every = level
+    for _ in range(depth):
+        level = F.flatten(F.transform(level, inner))
+        every = F.concat(every, level)
+    return every
+
+
+def linked_record(html: Column) -> Column:
+    """The record of the first linked-data object with ingredients and instructions; null without one."""
+    listed = lambda x, field: F.from_json(F.get_json_object(x, f"$.{field}"), "array<string>")
+    good = F.filter(linked_nodes(html), lambda x: x.startswith("{") & (F.size(listed(x, "recipeIngredient")) > 0) & F.get_json_object(x, "$.recipeInstructions").isNotNull())
+    step = lambda x: F.when(x.startswith("{"), F.get_json_object(x, "$.text")).otherwise(x)
+
+    def made(x: Column) -> Column:
+        told = F.get_json_object(x, "$.recipeInstructions")
+        method = F.when(told.startswith("["), F.transform(listed(x, "recipeInstructions"), step)).otherwise(F.split(told, "\n"))
+        return record(F.get_json_object(x, "$.name"), listed(x, "recipeIngredient"), method)
+
+    return let(F.get(good, F.lit(0)), lambda x: F.when(x.isNotNull(), made(x)))
 
 
 def class_values(html: Column, css_class: str) -> Column:
     """The texts of elements of a class, as an array."""
-    found = F.regexp_extract_all(html, F.lit(rf"""(?is)<([a-z0-9]+)[^>]*class=["'][^"']*\b{css_class}\b[^"']*["'][^>]*>(.*?)</\1>"""), F.lit(2))
+    found = F.regexp_extract_all(html, F.lit(rf"""(?is)<([a-z0-9]+)[^>]*class=["'](?:[^"']* )?{css_class}(?: [^"']*)?["'][^>]*>(.*?)</\1>"""), F.lit(2))
     return F.filter(F.transform(found, lambda x: squeezed(html_text(x))), lambda x: x != "")
 
 
-def many(lines: DataFrame, key: str, is_title: Column, headings: Headings = Headings(), reach: int = 60) -> DataFrame:
+def plugin_record(html: Column, prefix: str = "wprm-recipe-") -> Column:
+    """The record of a recipe plug-in's markup, by class; null with fewer than two ingredients or without a step."""
+    name, ingredients, method = (class_values(html, prefix + field) for field in ("name", "ingredient", "instruction"))
+    clean = lambda a, noisy: F.filter(a, lambda x: ~noisy(x) & (F.length(x) > 1))
+    found = record(F.get(name, F.lit(0)), clean(ingredients, nutrition_noise), F.transform(clean(method, page_noise), step_line))
+    return let(found, lambda r: F.when((F.size(r["ingredients"]) >= 2) & (F.size(r["method"]) >= 1) & r["name"].isNotNull(), r))
+
+
+def heading_record(html: Column, headings: Headings = Headings()) -> Column:
+    """The record under a page's first ingredients heading and the first method heading below it: list items, else lines."""
+    marked = F.regexp_replace(html, r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>", "\u0001$1\u0002")
+    parts = F.transform(F.split(marked, "\u0001"), lambda x, i: F.struct(i.alias("pos"), squeezed(html_text(F.substring_index(x, "\u0002", 1))).alias("heading"), F.substring_index(x, "\u0002", -1).alias("body")))
+    of = lambda parts, kind, after: F.get(F.filter(parts, lambda x: (x["pos"] > after) & (headings.kind(x["heading"]) == kind)), F.lit(0))
+    lines = lambda text: F.filter(F.transform(F.split(html_text(text), "\n"), squeezed), lambda x: x != "")
+    item = F.lit(r"(?is)<li[^>]*>(.*?)(?=</li>|<li[ >]|</[uo]l>|$)")
+    items = lambda body: let(F.regexp_extract_all(body, item, F.lit(1)), lambda x: F.when(F.size(x) > 0, F.filter(F.transform(x, lambda y: squeezed(html_text(y))), lambda y: y != "")).otherwise(lines(body)))
+    title = F.nullif(squeezed(html_text(F.regexp_extract(html, "(?is)<h1[^>]*>(.*?)</h1>", 1))), F.lit(""))
+
+    def made(parts: Column) -> Column:
+        return let(of(parts, "ingredients", F.lit(0)), lambda a: let(of(parts, "method", a["pos"]), lambda b: F.when(a.isNotNull() & b.isNotNull(), record(title, items(a["body"]), items(b["body"])))))
+
+    return let(parts, made)
+
+
+def numbered_record(text: Column, headings: Headings = Headings()) -> Column:
+    """The record of a text in which a numbered line, or one with a step's number, belongs to the method whatever heading is above it.
+
+    Lines before the first heading are ingredients; noise goes; lists are distinct.
+    """
+    every = F.filter(F.transform(F.split(text, "\n"), squeezed), lambda x: x != "")
+
+    def step(acc: Column, x: Column) -> Column:
+        kind = headings.kind(x)
+        section = F.when(kind.isNotNull(), kind).when(x.rlike(r"(?i)^([0-9]{1,2}[.)]|step ?[0-9]+)") & (acc["section"] != "notes"), F.lit("method")).otherwise(acc["section"])
+        into = lambda name: (section == "method") if name == "method" else (section != "method")
+        grown = {name: F.when(kind.isNull() & ~scan_garbage(x) & into(name), F.array_append(acc[name], x)).otherwise(acc[name]) for name in ("ingredients", "method")}
+        return F.struct(section.alias("section"), *(v.alias(k) for k, v in grown.items()))
+
+    none = F.array().cast("array<string>")
+    start = F.struct(F.lit("").alias("section"), none.alias("ingredients"), none.alias("method"))
+    return F.aggregate(every, start, step, lambda acc: record(F.lit(None).cast("string"), F.array_distinct(acc["ingredients"]), F.array_distinct(acc["method"])))
+
+
+def page_records(pages: DataFrame, key: str, html: str = "html", headings: Headings = Headings()) -> DataFrame:
+    """(key, parser, record) of web pages: linked data, then a plug-in's markup, headings with lists, labelled lines; the first that has one."""
+    told = records(lines_of(pages.select(key, html_text(F.col(html)).alias("text")), key), key, headings)
+    labelled_ = told.select(key, record(F.col("title"), F.col("ingredients"), F.col("method")).alias("_labelled"))
+    rows = pages.select(key, html).join(labelled_, key, "left")
+    both = lambda r: (F.size(r["ingredients"]) > 0) & (F.size(r["method"]) > 0)
+    parsers = [("linked_data", linked_record(F.col(html))), ("plugin", plugin_record(F.col(html))), ("headings", heading_record(F.col(html), headings)), ("labelled", F.col("_labelled"))]
+    return cascade(rows, key, [(name, r, both(r)) for name, r in parsers])
+
+
+def many(lines: DataFrame, key: str, is_title, headings: Headings = Headings(), reach: int = 60) -> DataFrame:
     """Lines of documents with several records: (key, record, pos, line).
 
     Each ingredients heading belongs to a record, which begins at the first title line at
@@ -140,15 +225,24 @@ def many(lines: DataFrame, key: str, is_title: Column, headings: Headings = Head
     """
     from strataform.operators.lines import title_before
 
-    kind = headings.kind(F.col("line"))
-    rows = lines.withColumn("_kind", kind)
-    starts = title_before(rows, key, F.coalesce(F.col("_kind") == "ingredients", F.lit(False)), is_title & F.col("_kind").isNull(), F.coalesce(F.col("_kind") == "method", F.lit(False)), reach)
+    rows = lines.withColumn("_kind", headings.kind(F.col("line")))
+    is_kind = lambda name: lambda line: F.coalesce(headings.kind(line) == name, F.lit(False))
+    every = lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"))
+    starts = title_before(every, key, is_kind("ingredients"), lambda line: is_title(line) & headings.kind(line).isNull(), is_kind("method"), reach)
     starts = starts.where("title_pos IS NOT NULL").select(key, F.col("title_pos").alias("pos"), F.lit(1).alias("_new")).distinct()
     marked = rows.join(starts, [key, "pos"], "left")
     record = F.sum(F.coalesce("_new", F.lit(0))).over(along(key).rowsBetween(Window.unboundedPreceding, 0))
     return marked.withColumn("record", record).where("record > 0").select(key, "record", "pos", "line")
 
 
+def separated(lines: DataFrame, key: str, is_title, headings: Headings = Headings(), least: int = 2) -> DataFrame:
+    """(key, record, title, ingredients, method, ...) of the parts of a document that many() finds; only of documents with at least so many whole records."""
+    parts = many(lines, key, is_title, headings).withColumn("_part", F.struct(key, "record"))
+    found = records(parts.select("_part", "pos", "line"), "_part", headings).where((F.size("ingredients") > 0) & (F.size("method") > 0))
+    found = found.select(f"_part.{key}", "_part.record", *(c for c in found.columns if c != "_part"))
+    return found.withColumn("_n", F.count("*").over(Window.partitionBy(key))).where(F.col("_n") >= least).drop("_n")
+
+
 def menu_blocks(text: Column) -> Column:
     """A menu's text as blocks: a line, or a divider for a row of dashes."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: squeezed(x)), lambda x: x != "")
@@ -184,7 +278,7 @@ def repaired(ingredients: Column, method: Column, label: str = r"(?<=[a-z.]) (?=
     return [F.array_distinct(F.filter(split, lambda x: ~x.rlike(instruction))), F.array_distinct(F.concat(method, moved))]
 
 
-def intro(lines: DataFrame, key: str, headings: Headings = Headings(), least: int = 80, most: int = 500) -> DataFrame:
-    """(key, intro): the first line of a document that is a paragraph and not a heading."""
-    good = F.length("line").between(least, most) & headings.kind(F.col("line")).isNull()
-    return lines.where(good).groupBy(key).agg(F.min_by("line", "pos").alias("intro"))
+def intro(df: DataFrame, key: str, headings: Headings = Headings(), least: int = 80, most: int = 500) -> DataFrame:
+    """(key, intro) of line arrays: the first line that is a paragraph and not a heading."""
+    good = F.filter("lines", lambda x: F.length(x["line"]).between(least, most) & headings.kind(x["line"]).isNull())
+    return df.select(key, F.get(good, F.lit(0))["line"].alias("intro")).where("intro IS NOT NULL")

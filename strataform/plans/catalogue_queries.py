@@ -399,21 +399,34 @@ def document_lines(spark, d):
     return lines.exploded(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
 
 
-def short():
+def document_arrays(spark, d):
+    """The same lines, an array in each row: nothing is shuffled."""
+    return lines.arrays(table(spark, d, "documents"), "doc_id")
+
+
+def is_short(line):
     """A line that can play a heading."""
-    return F.length("line") <= 30
+    return F.length(line) <= 30
+
+
+def short():
+    return is_short(F.col("line"))
+
+
+def has_digit(line):
+    return line.rlike("[0-9]")
 
 
 @query(f"""WITH {LINES} SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, lower(line) FROM l) GROUP BY 1""")
 def doc_line_distinct_ci(spark, d):
     """A document's distinct lines, case aside, the first of each kept."""
-    return lines.first_of_each(document_lines(spark, d), "doc_id", F.col("line")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return document_arrays(spark, d).select("doc_id", F.size(lines.distinct_lines(F.col("lines"))).cast("long").alias("n"))
 
 
 @query(f"""WITH {LINES} SELECT doc_id, (count(*) - count(DISTINCT lower(line)))::BIGINT AS repeats FROM l GROUP BY 1""")
 def doc_repeats(spark, d):
     """Occurrences of lines beyond the first."""
-    return lines.repeats(document_lines(spark, d), "doc_id", F.col("line"))
+    return lines.repeats(document_arrays(spark, d), "doc_id")
 
 
 @query(f"""WITH {LINES}, s AS (SELECT *, last_value(CASE WHEN length(line) <= 30 THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM l)
@@ -434,7 +447,7 @@ def segment_bounds(spark, d):
           SELECT f.doc_id, first_pos, min(pos) FILTER (regexp_matches(line, '[0-9]') AND pos > first_pos) AS second_pos FROM f JOIN l USING (doc_id) GROUP BY ALL""")
 def first_heading_after(spark, d):
     """the first heading, and the first line with a digit below it."""
-    return lines.first_after(document_lines(spark, d), "doc_id", short(), F.col("line").rlike("[0-9]"))
+    return lines.first_after(document_arrays(spark, d), "doc_id", is_short, has_digit)
 
 
 @query(f"""WITH {LINES}, g AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^(The|An|In|Es|La|De)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS item FROM l)
@@ -454,7 +467,7 @@ def same_tag_runs(spark, d):
 @query(f"""WITH {LINES}, b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos DESC) AS back FROM l) SELECT doc_id, pos, line FROM b WHERE back <= 3""")
 def last_lines(spark, d):
     """the last lines of each document."""
-    return lines.at_end(document_lines(spark, d), "doc_id", 3).select("doc_id", "pos", "line")
+    return lines.at_end(document_arrays(spark, d), "doc_id", 3)
 
 
 @query(f"""WITH {LINES}, n AS (SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos DESC) - 1 AS distance, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM l),
@@ -465,11 +478,8 @@ def last_lines(spark, d):
                  - CASE WHEN regexp_matches(line, '[.!?;:]') THEN 1 ELSE 0 END + bonus AS score FROM w)
           SELECT doc_id, (pos // 2)::INT AS pos, line AS title, round(score::DOUBLE, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score::DOUBLE, 6) DESC, s.pos) = 1""")
 def title_argmax(spark, d):
-    """The best title among lines and pairs of lines; the first wins ties."""
-    rows = scoring.title_candidates(document_lines(spark, d), "doc_id")
-    rows = rows.withColumn("score", F.round((scoring.title_score(F.col("line"), F.col("distance")) + F.col("bonus")).cast("double"), 6))
-    rows = rows.withColumn("pos", F.col("pos") * 2 + F.when(F.col("bonus") > 0, 1).otherwise(0))
-    return lines.best(rows, "doc_id", F.col("score")).select("doc_id", F.floor(F.col("pos") / 2).cast("int").alias("pos"), F.col("line").alias("title"), "score")
+    """The best title among lines and pairs of lines; the first wins ties."""
+    return scoring.titles(document_arrays(spark, d), "doc_id")
 
 
 @query("""WITH s AS (SELECT doc_id, generate_subscripts(string_split(text, '. '), 1) - 1 AS pos, unnest(string_split(text, '. ')) AS line FROM documents),
@@ -555,19 +565,21 @@ def url_variants(spark, d):
             len(list_filter(ing, lambda x: regexp_matches(x, '[0-9]') OR regexp_matches(x, '(?i)(^| )(of|de)( |$)') OR (len(string_split(x, ' ')) BETWEEN 1 AND 8 AND NOT regexp_matches(x, '(?i)(^| )(the|la|der|el)( |$)')))) >= least(3, len(ing)) AS c4,
             len(list_filter(string_split(steps, ' '), lambda x: x <> '')) >= 8 OR length(steps) >= 60 AS c5, len(list_filter(met, lambda x: regexp_matches(x, '(?i)(^| )(the|la|der|el)( |$)'))) >= 1 AS c6,
             length(regexp_replace(whole, '[^\p{{L}}]', '', 'g')) / greatest(1, length(whole))::DOUBLE >= 0.45 AS c7, NOT regexp_matches(whole, '[|~^]') AS c8,
+            NOT regexp_matches(name, '(?i)(^| )(and|und|et|y)( |$)') AS c12, NOT regexp_matches(name, '^(The|La|Der|El) \p{{L}}+ \p{{L}}+[.]?$') AS c13,
+            len(list_distinct(regexp_extract_all(lower(substring(name, 1, 60)), '(the|la|der|el|of|de) ', 1))) < 2 AS c14,
             len(ing) = len(list_distinct(list_transform(ing, lambda x: lower(x)))) AND len(met) = len(list_distinct(list_transform(met, lambda x: lower(x)))) AS c9, length(name) <= 70 AS c10,
             len(list_filter(ing, lambda x: length(x) >= 8 AND (regexp_matches(x, '[0-9]') OR regexp_matches(x, '(?i)(^| )(of|de)( |$)')) AND contains(lower(steps), lower(x)))) = 0 AS c11 FROM t),
           s AS (SELECT *, (CASE WHEN c1 THEN 20 ELSE 0 END + CASE WHEN c2 THEN 20 ELSE 0 END + CASE WHEN c4 THEN 15 ELSE 0 END + CASE WHEN NOT m OR c5 THEN 15 ELSE 0 END + CASE WHEN m AND c6 THEN 10 ELSE 0 END
-              + CASE WHEN c7 THEN 10 ELSE 0 END + CASE WHEN c8 THEN 5 ELSE 0 END + CASE WHEN c9 THEN 5 ELSE 0 END)::BIGINT AS score, c1 AND c2 AND c4 AND (NOT m OR (c5 AND c6)) AND c7 AND c8 AND c9 AND c10 AND c11 AS fine FROM c)
+              + CASE WHEN c7 THEN 10 ELSE 0 END + CASE WHEN c8 THEN 5 ELSE 0 END + CASE WHEN c9 THEN 5 ELSE 0 END)::BIGINT AS score, c1 AND c2 AND c4 AND (NOT m OR (c5 AND c6)) AND c7 AND c8 AND c9 AND c10 AND c11 AND c12 AND c13 AND c14 AS fine FROM c)
           SELECT doc_id, score, fine AND score >= 85 AS good FROM s""")
 def quality_verdict(spark, d):
     """§2.9: points and verdict of each document; short lines play ingredients, long ones the method."""
     from strataform.operators import quality
 
-    v = quality.Vocabulary(unit=r"(?i)(^| )(of|de)( |$)", quantity="[0-9]", instruction=r"(?i)(^| )(the|la|der|el)( |$)", section="(?i)unused", promotion="(?i)(unused)", junk="[|~^]", credit="^unused$")
-    of = lambda test: F.array_sort(F.filter(F.collect_list(F.when(test, F.struct("pos", "line"))), lambda x: x.isNotNull()))["line"]
-    rows = document_lines(spark, d).groupBy("doc_id").agg(F.min_by("line", "pos").alias("name"), of(short()).alias("ingredients"), of(~short()).alias("method"))
-    rows = rows.withColumns({"description": F.lit(""), "mode": F.lit("text")})
+    v = quality.Vocabulary(unit=r"(?i)(^| )(of|de)( |$)", quantity="[0-9]", instruction=r"(?i)(^| )(the|la|der|el)( |$)", section="(?i)(^| )(and|und|et|y)( |$)", promotion="(the|la|der|el|of|de) ", junk="[|~^]", credit=r"^(The|La|Der|El) \p{L}+ \p{L}+[.]?$")
+    of = lambda test: F.transform(F.filter("lines", lambda x: test(x["line"])), lambda x: x["line"])
+    rows = document_arrays(spark, d).select("doc_id", F.get("lines", F.lit(0))["line"].alias("name"), of(is_short).alias("ingredients"), of(lambda x: ~is_short(x)).alias("method"))
+    rows = rows.withColumns({"description": F.substring("name", 1, 60), "mode": F.lit("text")})
     return quality.checked(rows, v).select("doc_id", "score", "good")
 
 
@@ -594,10 +606,10 @@ def sentence_join(spark, d):
           WHERE regexp_matches(b.line, '[0-9]') GROUP BY 1, 2""")
 def title_lookback(spark, d):
     """For each line with a digit the first short line at most 60 above it and below the last barrier."""
-    return lines.title_before(document_lines(spark, d), "doc_id", F.col("line").rlike("[0-9]"), short(), F.contains("line", F.lit("|")))
+    return lines.title_before(document_arrays(spark, d), "doc_id", has_digit, is_short, lambda x: F.contains(x, F.lit("|")))
 
 
 @query(rf"""WITH {LINES} SELECT doc_id, first(line ORDER BY pos) AS intro FROM l WHERE length(line) BETWEEN 80 AND 500 GROUP BY 1""")
 def intro_paragraph(spark, d):
     """Each document's first paragraph."""
-    return segments.intro(document_lines(spark, d), "doc_id")
+    return segments.intro(document_arrays(spark, d), "doc_id")

@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataform.functions.noise import blocked_page  # noqa: F401
 from strataform.functions.text import file_title, first_filled, language_by_block, letter_share, words
 from strataform.operators.quality import Vocabulary, verdict
 from strataform.operators.segments import Headings, lines_of, records
 
 
-def blocked_page(text: Column) -> Column:
-    return F.coalesce((F.length(text) < 250) | text.rlike(r"(?i)\b(captcha|access denied|are you a robot|enable javascript)\b"), F.lit(True))
-
-
 def title_quality(title: Column) -> Column:
     """Letters by characters, with a little more for several words and a capital letter."""
     return letter_share(title) + F.when(F.size(words(title)).between(2, 9), 0.1).otherwise(0) + F.when(title.rlike(r"^\p{Lu}"), 0.05).otherwise(0)

@@ -106,7 +106,7 @@ def test_records(spark):
 def test_many_records(spark):
     text = "Book\nRed Dal\nIngredients\nlentils\nMethod\nBoil.\nGreen Dal\nIngredients\npeas\nMethod\nFry."
     df = spark.createDataFrame([(1, text)], "id int, text string")
-    rows = segments.many(segments.lines_of(df, "id"), "id", F.col("line").endswith("Dal")).collect()
+    rows = segments.many(segments.lines_of(df, "id"), "id", lambda line: line.endswith("Dal")).collect()
     got = {}
     for r in sorted(rows, key=lambda r: r["pos"]):
         got.setdefault(r["record"], []).append(r["line"])
@@ -120,11 +120,13 @@ def test_cascade(spark):
 
 
 def test_html(spark):
-    page = '<h1>Dal</h1><script type="application/ld+json">{"recipeIngredient":["a"]}</script><h2>Ingredients</h2><ul><li>one <b>x</li><li>two</ul><h2>Method</h2><p>Boil</p>'
+    page = '<h1>Dal</h1><script type="application/ld+json">[{"x":{"recipeIngredient":[]}},{"y":[{"name":"N","recipeIngredient":["a"],"recipeInstructions":"Boil"}]}]</script><h2>Ingredients</h2><ul><li>one <b>x</li><li>two</ul><h2>Method</h2><p>Boil</p>'
     df = spark.createDataFrame([(1, page), (2, None)], "id int, html string")
     assert [r["item"] for r in segments.html_lists(df, "id").orderBy("pos").collect()] == ["one x", "two"]
     assert [(r["heading"], r["body"]) for r in segments.html_sections(df, "id", tag="h2").orderBy("pos").collect()] == [("Ingredients", "one x\ntwo"), ("Method", "Boil")]
-    assert segments.linked_data(df, "id").first()["payload"] == '{"recipeIngredient":["a"]}'
+    got = df.select(segments.linked_record(F.col("html")).alias("r"), segments.heading_record(F.col("html")).alias("h")).collect()
+    assert [x["r"] and tuple(x["r"]) for x in got] == [("N", ["a"], ["Boil"]), None]
+    assert [x["h"] and tuple(x["h"]) for x in got] == [("Dal", ["one x", "two"], ["Boil"]), None]
 
 
 GOOD = dict(name="Plain Dal", description="", ingredients=["1 cup lentils", "2 cups water", "1 tsp salt"], method=["Boil the lentils in water with the salt until they are soft."], mode="text")
@@ -174,8 +176,8 @@ def test_line_windows(spark):
     df = spark.createDataFrame(rows, "id int, pos int, line string")
     kept = lines.without_shorter_repeat(df, "id", F.regexp_extract("line", "^[0-9]+", 0))
     assert sorted(r["line"] for r in kept.collect()) == ["1. ab", "2. c", "2. d"]
-    df = spark.createDataFrame([(1, 0, "the new bar in town is open"), (1, 1, "Red Lentil Dal"), (1, 2, "mix it all together with care and wait.")], "id int, pos int, line string")
-    assert scoring.titles(df, "id").first()["title"] == "Red Lentil Dal"
+    df = spark.createDataFrame([(1, "the new bar in town is open\nRed Lentil Dal\nmix it all together with care and wait.")], "id int, text string")
+    assert scoring.titles(lines.arrays(df, "id"), "id").first()["title"] == "Red Lentil Dal"
 
 
 def test_upper_median(spark):
