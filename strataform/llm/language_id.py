@@ -145,7 +145,7 @@ def parsed(table: np.ndarray, width: int, steps: np.ndarray, follows: np.ndarray
                     break
             continue
         # Texts like one letter again and again: parses never meet.
-        lane, quick = int(lanes[0]), table.tolist()
+        lane, quick = int(lanes[0]), memoryview(table)
         while lane < steps.shape[1]:
             now = int(states[-1, lane - 1]) if follows[lane] else 0
             if now != entry[lane]:
