@@ -86,6 +86,37 @@ def test_near_duplicates_of_a_large_group(spark):
     assert got == by_hand_components(dict(rows))
 
 
+def test_near_duplicates_beyond_regions(spark):
+    """Many texts with a common core, just not alike, and some pairs that are: regions of very few rows split them again and again."""
+    core = prose(12, 150).split()
+
+    def text(seed, own):
+        r = random.Random(seed)
+        words = list(core)
+        for k in r.sample(range(150), own):
+            words[k] = f"w{seed}x{k}"
+        return words
+
+    rows = [(i, " ".join(text(i, 6))) for i in range(400)]
+    for i in range(30):  # a pair shares the changed words of one, and has one more change
+        words = text(i, 6)
+        words[75] = f"pair{i}"
+        rows.append((1000 + i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = by_hand_components(dict(rows))
+    assert len({c for _, c, _ in want.values()}) > 200
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash_forest.near_duplicates(df, region=40, reach=1, trees=2).collect()}
+    assert got == want
+
+
+def test_near_duplicates_of_thousands_alike(spark):
+    """5,000 near copies that differ in one word each, and copies with a changed half: all minima of a tree alike in far more rows than a region has."""
+    base = prose(13, 60).split()
+    rows = [(i, " ".join([*base[: i % 60], f"n{i}", *base[i % 60 + 1 :]])) for i in range(5000)] + [(9000 + i, " ".join([*base[:30], *prose(700 + i, 30).split()])) for i in range(40)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), region=256).collect()}
+    assert {got[i] for i in range(5000)} == {0} and all(got[9000 + i] == 9000 + i for i in range(40))
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 200)] + [(500, 499), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in common.components(edges).collect()}
