@@ -27,6 +27,52 @@ def filtered(df: DataFrame, allowed: set[str], **wanted: str | None) -> DataFram
     return df
 
 
+#: Comparisons of a query string (fixed values).
+COMPARISONS = {"eq": "=", "neq": "<>", "gt": ">", "gte": ">=", "lt": "<", "lte": "<=", "like": "LIKE"}
+
+
+def from_query_string(df: DataFrame, query: str, allowed: set[str]) -> DataFrame:
+    """A query string such as ``select=a,b&a=eq.1&c=is.null&order=b.desc&limit=5`` over columns of a fixed list."""
+    from urllib.parse import parse_qsl
+
+    def column(name: str) -> Column:
+        if name not in allowed:
+            raise ValueError(f"{name} can't be used in a query")
+        return F.col(name)
+
+    wanted, order, limit = None, [], None
+    for name, value in parse_qsl(query, strict_parsing=True):
+        if name == "select":
+            wanted = [column(c) for c in value.split(",")]
+        elif name == "order":
+            order = [column(c.partition(".")[0]).desc() if c.endswith(".desc") else column(c.partition(".")[0]).asc() for c in value.split(",")]
+        elif name == "limit":
+            limit = int(value)
+        else:
+            how, _, operand = value.partition(".")
+            if how == "is" and operand == "null":
+                df = df.where(column(name).isNull())
+            elif how == "in":
+                df = df.where(column(name).isin(operand.strip("()").split(",")))
+            elif how == "like":
+                df = df.where(column(name).like(operand.replace("*", "%")))
+            elif how in COMPARISONS:
+                column(name)
+                df = df.where(F.expr(f"`{name}` {COMPARISONS[how]} '{operand.replace(chr(39), '')}'"))
+            else:
+                raise ValueError(f"{how} is no comparison")
+    if order:
+        df = df.orderBy(*order)
+    if wanted:
+        df = df.select(*wanted)
+    return df if limit is None else df.limit(limit)
+
+
+def readable(viewer: Column, role: Column, owner: Column, published: Column) -> Column:
+    """Who may read a row: its owner, a member with a role that sees all, or anyone once it's published."""
+    return F.coalesce(viewer == owner, F.lit(False)) | role.isin("owner", "admin") | F.coalesce(published, F.lit(False))
+
+
 def page(df: DataFrame, order: list[Column], offset: int = 0, size: int = 12) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(size)
 

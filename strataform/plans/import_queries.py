@@ -14,8 +14,9 @@ from strataform.functions import text as tx
 from strataform.operators import catalogue, inheritance, layout, lines, quality, segments
 from strataform.plans import import_flow
 from strataform.plans.catalogue_queries import query
-from strataform.sources import tables
+from strataform.sources import sinks, tables
 from strataform.sources.tables import table
+from strataform.streaming import status_log
 
 #: Lines of recipes, pages and scans.
 LINES = [
@@ -381,3 +382,59 @@ def file_named_titles(spark, d):
     name = F.concat(F.lit("doc_"), "doc_id", F.lit(".pdf"))
     n = F.size(F.split("text", "[.!?][ \n]+")).cast("long")
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", n.alias("n_split"), import_flow.title_for(F.lit("1"), F.col("text"), name).alias("title"))
+
+
+@query("""SELECT p_partkey, p_name FROM part WHERE p_type = 'ECONOMY' AND p_size >= 10 AND p_name LIKE '%widget%' ORDER BY p_partkey DESC LIMIT 5""")
+def query_string(spark, d):
+    """A10: a filter, an order and a limit from a query string."""
+    return catalogue.from_query_string(table(spark, d, "part"), "select=p_partkey,p_name&p_type=eq.ECONOMY&p_size=gte.10&p_name=like.*widget*&order=p_partkey.desc&limit=5", {"p_partkey", "p_name", "p_type", "p_size"})
+
+
+@query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 7 OR o_orderstatus = 'F'""")
+def readable_rows(spark, d):
+    """The rows that a viewer may read: their own, and those that are published."""
+    rows = table(spark, d, "orders")
+    return rows.where(catalogue.readable(F.lit(7), F.lit("member"), F.col("o_custkey"), F.col("o_orderstatus") == "F")).select("o_orderkey", "o_custkey")
+
+
+@query("""WITH n AS (SELECT c_custkey, c_name FROM customer ORDER BY c_custkey DESC LIMIT 50) SELECT c_custkey FROM n WHERE c_custkey % 5 = 0 AND contains(lower(c_name), '0')""")
+def newest_with_name(spark, d):
+    """Of the newest fifty payloads those that hold a record of some name."""
+    newest = table(spark, d, "customer").select("c_custkey", "c_name").orderBy(F.desc("c_custkey")).limit(50)
+    names = F.from_json(F.get_json_object(recipe_text(PAYLOADS), "$.recipes"), "array<struct<name:string>>")
+    return newest.where(F.coalesce(F.exists(names, lambda r: F.contains(F.lower(F.trim(r["name"])), F.lit("0"))), F.lit(False))).select("c_custkey")
+
+
+@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'O')""")
+def childless_parents(spark, d):
+    """Parents that are left without a child."""
+    children = table(spark, d, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'O'")
+    return sinks.orphans(table(spark, d, "customer"), children, "c_custkey", "o_custkey").select("c_custkey")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'stored' ELSE 'read' END AS source, CASE WHEN doc_id % 4 = 0 THEN 'kept ' || doc_id ELSE source END AS value FROM documents""")
+def reused_texts(spark, d):
+    """A stored text is taken again if it was made with the same profile; others are read anew."""
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    stored = docs.where("doc_id % 2 = 0").select("doc_id", F.concat(F.lit("kept "), "doc_id").alias("text"), F.when(F.col("doc_id") % 4 == 0, "v2").otherwise("v1").alias("profile"))
+    return sinks.reused(docs, stored, "doc_id", "v2", F.col("source")).select("doc_id", F.when(F.col("reused"), "stored").otherwise("read").alias("source"), "value")
+
+
+@query("""SELECT doc_id, length(substring(text, 1, 8000))::BIGINT AS chars, least(80, len(list_filter(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t\\r\\n\\f\\x0b\\xa0]+', ' ', 'g')) <> '')))::BIGINT AS n_lines FROM documents WHERE text IS NOT NULL""")
+def capped_texts(spark, d):
+    """At most 8000 characters and 80 lines of each text."""
+    kept = F.slice(lines.line_array(F.col("text")), 1, 80)
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.length(F.substring("text", 1, 8000)).cast("long").alias("chars"), F.size(kept).cast("long").alias("n_lines"))
+
+
+@query("""SELECT date_trunc('day', ts)::DATE AS start, event_type, count(*) AS n FROM events GROUP BY ALL""")
+def status_by_day(spark, d):
+    """The status log counted by day and kind; the same plan runs over a stream."""
+    counts = status_log.status_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), late=None)
+    return counts.withColumn("start", F.to_date("start"))
+
+
+@query(rf"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(text, chr(13), ''), '[ \t\xa0]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^{SPACES}|{SPACES}$', '', 'g') AS text FROM documents""")
+def cleaned_texts(spark, d):
+    """Texts without carriage returns, with blanks collapsed and at most two line ends together."""
+    return table(spark, d, "documents").select("doc_id", tx.cleaned(F.col("text")).alias("text"))

@@ -38,3 +38,10 @@ def inserted_unless_there(table: DataFrame, new: DataFrame, key: Column, order:
     known = table.select(key.alias("_key"), F.lit(True).alias("_there")).distinct()
     marked = ranked.join(known, "_key", "left").withColumn("_skip", F.col("_there").isNotNull() | (F.col("_turn") > 1))
     return tuple(marked.where(F.col("_skip") == side).select(*new.columns) for side in (False, True))
+
+
+def reused(rows: DataFrame, stored: DataFrame, key: str, profile: str, fresh: Column) -> DataFrame:
+    """rows with (value, reused): the text stored under the key if it has the profile and isn't blank, else what fresh gives."""
+    good = stored.where((F.col("profile") == profile) & (F.trim("text") != "")).groupBy(key).agg(F.max("text").alias("_stored"))
+    out = rows.join(good, key, "left")
+    return out.withColumn("value", F.coalesce("_stored", fresh)).withColumn("reused", F.col("_stored").isNotNull()).drop("_stored")
