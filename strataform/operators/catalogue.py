@@ -98,6 +98,19 @@ def facet(df: DataFrame, column: str, known: list[str] | None = None) -> DataFra
     return out.where("value <> ''").distinct()
 
 
+def ranked(df: DataFrame, name: str, alias: str, chars: int = 3) -> DataFrame:
+    """df with each name's rank in the order of a language, case aside.
+
+    Names with the same first letters are ranked among themselves, after all names of
+    earlier letters; only the table of these beginnings is sorted in one task.
+    """
+    rows = df.withColumn("_start", F.collate(F.substring(name, 1, chars), "UNICODE_CI_AI"))
+    upto = F.sum("_n").over(Window.orderBy("_start").rowsBetween(Window.unboundedPreceding, -1))
+    starts = rows.groupBy("_start").agg(F.count("*").alias("_n")).select("_start", F.coalesce(upto, F.lit(0)).alias("_before"))
+    within = F.rank().over(Window.partitionBy("_start").orderBy(F.collate(F.col(name), "UNICODE_CI")))
+    return rows.withColumn("_place", within).join(starts, "_start").withColumn(alias, F.col("_before") + F.col("_place")).drop("_start", "_place", "_before")
+
+
 def null_or(column: Column, value) -> Column:
     return column.isNull() | (column == value)
 

@@ -366,7 +366,7 @@ def order_nulls_last(spark, d):
 def collated_names(spark, d):
     """Names in the order of a language, case aside."""
     names = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
-    return names.select("name", F.rank().over(Window.orderBy(F.collate(F.col("name"), "UNICODE_CI"))).cast("long").alias("place"))
+    return catalogue.ranked(names, "name", "place").select("name", F.col("place").cast("long").alias("place"))
 
 
 @query("""SELECT o_orderpriority, o_orderkey, mode FROM (

@@ -219,3 +219,11 @@ def test_repaired(spark):
     given = [F.array(F.lit("Dough: flour Filling: cheese"), F.lit("salt"), F.lit("salt"), F.lit("Mix it well.")), F.array(F.lit("Bake."))]
     r = spark.range(1).select(*(c.alias(n) for c, n in zip(segments.repaired(*given), "im"))).first()
     assert (r["i"], r["m"]) == (["Dough: flour", "Filling: cheese", "salt"], ["Bake.", "Mix it well."])
+
+
+def test_ranked(spark):
+    names = ["Zoe", "éa", "Eb", "ea", "e", "EA", "cáfa", "cafb", "CAFZ", "a b", "a-b", "", "zoë"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    want = df.createOrReplaceTempView("names") or spark.sql("SELECT name, rank() OVER (ORDER BY name COLLATE UNICODE_CI) AS place FROM names")
+    got = catalogue.ranked(df, "name", "place", 2)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
