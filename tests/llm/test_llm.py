@@ -572,3 +572,16 @@ def test_huffman_codes():
     counts = np.zeros(1 << 16, np.int64)
     counts[:6] = [1, 1, 2, 3, 5, 8]
     assert (huffman_files.code_lengths(counts)[:6] * counts[:6]).sum() == 2 + 4 + 7 + 12 + 20  # the sums of Huffman's merges
+
+
+def test_null_and_repeated_ids(spark):
+    """A row for each row, whatever its doc_id; rows without one form no links."""
+    a = prose(61, 60)
+    rows = [(None, a), (None, a), (None, None), (1, a), (1, a), (2, a + " more"), (3, "x")]
+    df = spark.createDataFrame([(k, t, "en") for k, t in rows], "doc_id long, text string, lang string")
+    near = minhash_forest.near_duplicates(df).collect()
+    assert len(near) == len(rows)
+    assert {(r["doc_id"], r["component_id"]) for r in near if r["doc_id"] is not None} == {(1, 1), (2, 1), (3, 3)}
+    assert {(r["doc_id"], r["other_id"]) for r in passages.passages(df).collect()} == {(2, 1)}
+    for found in (secret_scan.secrets(df), packing.packed(df), merge_replay.digests(df), token_counts.counts(df), language_id.identify(df, language_id.learn(df)), huffman_files.round_trip(df)):
+        assert sorted(str(r["doc_id"]) for r in found.select("doc_id").collect()) == sorted(str(k) for k, _ in rows)
