@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataform.llm import language_id, minhash_forest, packing, passages, secret_scan
-from strataform.llm.common import saved
+from strataform.llm.common import Tables
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,6 +58,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    tables, before = Tables(spark, "pipeline"), ()
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = tables.saved(stage(spark, docs, sf_dir), name, before)  # the table of the stage before goes
+        before = (docs,)
     return STAGES[-1][1](spark, docs, sf_dir)
