@@ -585,3 +585,25 @@ def test_null_and_repeated_ids(spark):
     assert {(r["doc_id"], r["other_id"]) for r in passages.passages(df).collect()} == {(2, 1)}
     for found in (secret_scan.secrets(df), packing.packed(df), merge_replay.digests(df), token_counts.counts(df), language_id.identify(df, language_id.learn(df)), huffman_files.round_trip(df)):
         assert sorted(str(r["doc_id"]) for r in found.select("doc_id").collect()) == sorted(str(k) for k, _ in rows)
+
+
+def test_tables_go(spark):
+    import os
+
+    tables = common.Tables(spark, "test-tables")
+    one = tables.saved(spark.range(3), "one")
+    two = tables.saved(one.selectExpr("id + 1 AS id"), "two", (one,))
+    three = tables.saved(two.selectExpr("id + 1 AS id"), "three")
+    assert sorted(os.listdir(tables.folder)) == ["1-two", "2-three"]
+    tables.keep_only(three)
+    assert os.listdir(tables.folder) == ["2-three"] and sorted(r["id"] for r in three.collect()) == [2, 3, 4]
+
+
+def test_batches_are_bounded(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    for value, want in (("64m", common.BATCH_BYTES), ("1m", "1m"), ("1000", "1000")):
+        spark.conf.set(name, value)
+        common.bounded(spark.range(1))
+        assert spark.conf.get(name) == str(want)
+    spark.conf.set(name, before)
