@@ -58,16 +58,20 @@ class Tables:
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
         self.drop(*over)
+        self.clean()
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete tables of this run; once in a while, let Spark clean up shuffles that no plan holds any more."""
+        """Delete tables of this run."""
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
         for table in tables:
             path, _ = self.paths[id(table)]
             where = hadoop(path)
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-        if tables and time.monotonic() > self.cleaned + 5:
+
+    def clean(self) -> None:
+        """Let Spark delete the files of shuffles that no plan holds any more; not more often than every five seconds."""
+        if time.monotonic() > self.cleaned + 5:
             gc.collect()
             self.spark._jvm.System.gc()
             self.cleaned = time.monotonic()
