@@ -1,11 +1,11 @@
-"""The queries op1 to op10: each applies its operator to the whole table with production parameters."""
+"""The queries op1 to op13: each applies its operator to the whole table with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_quantisation, block_pruning, huffman_files, language_id, merge_replay, minhash_forest, packing, passages, secret_scan, token_counts
+from . import additive_quantisation, block_pruning, huffman_files, language_id, lloyd_clusters, merge_replay, minhash_forest, packing, passages, secret_scan, simhash_blocks, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,30 @@ def op10_block_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_pruning.search(table(spark, sf_dir, "embeddings"))
 
 
+def op11_pigeonhole_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_blocks.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_lloyd_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd_clusters.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def lloyd_sql(centroids: int, rounds: int) -> str:
+    """A step for each round: vectors meet all centroids, then whole means by component (floor, below zero as well)."""
+    steps = """
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS k, w FROM v QUALIFY k < {centroids})"""
+    step = """,
+a{r} AS MATERIALIZED (SELECT vec_id, v.w, k, list_sum(list_transform(list_zip(v.w, c.w), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{r} c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, k) = 1)"""
+    mean = """,
+m{r} AS (SELECT k, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT k, unnest(w) AS x, unnest(range(64)) AS i FROM a{r}) GROUP BY 1, 2),
+g{r} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS w FROM m{r} GROUP BY 1),
+c{next} AS MATERIALIZED (SELECT k, coalesce(g.w, c.w) AS w FROM c{r} c LEFT JOIN g{r} g USING (k))"""
+    text = steps.format(centroids=centroids) + "".join(step.format(r=r) + mean.format(r=r, next=r + 1) for r in range(rounds)) + step.format(r=rounds)
+    return text + f"""
+SELECT vec_id, k::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.w, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} c USING (k)"""
+
+
 SQL = {
     "op2_minhash_forest": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -69,6 +93,7 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS w FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.w, c.w)::BIGINT AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 5""",
+    "op12_lloyd_clusters": lloyd_sql(lloyd_clusters.CENTROIDS, lloyd_clusters.ROUNDS),
 }
 
 
