@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_quantisation, block_pruning, huffman_files, language_id, lloyd_clusters, merge_replay, minhash_forest, packing, passages, secret_scan, simhash_blocks, token_counts
+from . import additive_quantisation, block_pruning, huffman_files, language_id, lloyd_clusters, merge_replay, minhash_forest, packing, passages, phrase_growth, secret_scan, simhash_blocks, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op12_lloyd_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lloyd_clusters.clusters(table(spark, sf_dir, "embeddings"))
 
 
+def op13_pattern_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_growth.collocations(table(spark, sf_dir, "documents"))
+
+
 def lloyd_sql(centroids: int, rounds: int) -> str:
     """A step for each round: vectors meet all centroids, then whole means by component (floor, below zero as well)."""
     steps = """
@@ -93,6 +97,17 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS w FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.w, c.w)::BIGINT AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 5""",
+    "op13_pattern_growth": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g FROM w, (VALUES (1), (2), (3)) s(k)),
+f AS MATERIALIZED (SELECT lang, k, g, string_split(g, ' ') AS w, count(*) AS a FROM g GROUP BY ALL),
+t AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1),
+o AS (SELECT * FROM f WHERE k > 1 AND a >= 10),
+h AS (SELECT lang, g, max(b) AS b FROM (SELECT lang, w[1] || ' ' || w[2] AS g, a AS b FROM o WHERE k = 3 UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM o WHERE k = 3) GROUP BY 1, 2),
+c AS (SELECT o.lang, o.g, o.a, i, array_to_string(o.w[:i], ' ') AS x, array_to_string(o.w[i + 1:], ' ') AS y FROM o LEFT JOIN h USING (lang, g), (VALUES (1), (2)) s(i) WHERE i < k AND (k = 3 OR b IS NULL OR 100 * b < 50 * o.a)),
+s AS (SELECT c.lang, c.g AS phrase, c.a, l.a AS l, r.a AS r, (1000000::HUGEINT * c.a * c.a // (l.a::HUGEINT * r.a))::BIGINT AS score FROM c JOIN f l ON l.lang = c.lang AND l.g = x JOIN f r ON r.lang = c.lang AND r.g = y QUALIFY row_number() OVER (PARTITION BY c.lang, c.g ORDER BY score, i) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM s JOIN t USING (lang) QUALIFY rank <= 2000""",
     "op12_lloyd_clusters": lloyd_sql(lloyd_clusters.CENTROIDS, lloyd_clusters.ROUNDS),
 }
 
