@@ -6,8 +6,9 @@ Neighbours in a sorted order that share a prefix are candidates, the longest pre
 nearest; they are confirmed on the full sets and joined to components. Where a prefix
 has more rows than that reaches, its region is gone through whole, but only across
 components, and at a depth at which it has a bounded number of rows. Documents of regions
-that were split for it meet once more, however the trees part them: those whose rarest
-shingles, as many as two alike sets can't do without, have one in common. Components of
+that were split for it, or are larger at every depth, meet once more, however the trees
+part them: those whose rarest shingles, as many as two alike sets can't do without, have
+one in common, whatever number of documents has it. Components of
 all confirmed links are the result.
 """
 
@@ -24,8 +25,10 @@ from .common import SHINGLE, Tables, Words, components, mixed, pieces, rolling,
 
 TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS = 24, 8, 2, 4
 PERCENT = 75
-#: Rows of a region that is gone through whole; a larger one is split at its next depth, if there is one.
+#: Rows of a region that is gone through whole; a larger one is split at its next depth, and its rows meet by their rarest shingles.
 REGION = 1024
+#: Buckets of shingles whose documents are counted, a power of two: what the driver and each task hold.
+BUCKETS = 1 << 20
 #: Shingles of a block of a region's rows.
 BLOCK = 1 << 15
 #: Shingles are hashes of so many bits; beside them fits a text's place in a slice.
@@ -150,12 +153,14 @@ def neighbours(tables: Tables, forest: DataFrame, depth: int, least_depth: int,
             yield out([], tuple(x[-min(reach, seen - reach) :] for x in last), part, seen)
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = [b for b in batches if b.num_rows]
-        if not some:
-            return
-        rows = pa.Table.from_batches(some)  # a few rows of each partition
-        key = np.frombuffer(b"".join(rows.column("label").to_pylist()), ">u2").reshape(-1, depth + 1)
-        yield out(paired(rows.column("a").to_numpy(), rows.column("b").to_numpy(), key, part=rows.column("part").to_numpy()))
+        last = None
+        for batch in batches:  # a few rows of each partition, one stretch after another
+            if batch.num_rows:
+                key = np.frombuffer(b"".join(batch.column("label").to_pylist()), ">u2").reshape(-1, depth + 1)
+                rows = (batch.column("a").to_numpy(), batch.column("b").to_numpy(), key, batch.column("part").to_numpy())
+                both, old = (rows, 0) if last is None else (tuple(np.concatenate(x) for x in zip(last, rows)), len(last[0]))
+                yield out(paired(*both[:3], old=old, part=both[3]))
+                last = tuple(x[-reach:] for x in both)
 
     schema = "a long, b long, prefix int, label binary, part int, place long"
     near = tables.saved(forest.mapInArrow(run, schema), "neighbours")
@@ -207,76 +212,109 @@ def overlaps(a_n: np.ndarray, a_keys: np.ndarray, b_n: np.ndarray, b_keys: np.nd
 def regions(tables: Tables, forest: DataFrame, depth: int, least_depth: int, reach: int, most: int) -> tuple[DataFrame, DataFrame | None]:
     """(region, doc_id, n_shingles): rows that share a prefix with more others than neighbours reach; (doc_id): those of regions that were split, or None.
 
-    A region is the shortest prefix, from least_depth on, that at most so many rows have,
-    or all rows alike in all places, however many they are. It begins with its tree's number.
+    A region is the shortest prefix, from least_depth on, that at most so many rows have.
+    It begins with its tree's number. Rows of larger ones at the last depth are in none.
     """
     rest, out, counts, split = forest.select("doc_id", "n_shingles", "label"), None, [], None
     for d in range(least_depth, depth + 1):
         rows = rest.withColumn("region", F.substring("label", 1, 2 * (d + 1)))
         count = tables.saved(rows.groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") > reach + 1), "counts")
         counts.append(count)
-        final = rows.join(count if d == depth else count.where(F.col("n") <= most), "region").select("region", "doc_id", "n_shingles")
+        final = rows.join(count.where(F.col("n") <= most), "region").select("region", "doc_id", "n_shingles")
         out = final if out is None else out.union(final)
         large = count.where(F.col("n") > most).select("region")
-        if d == depth or large.isEmpty():
+        if large.isEmpty():
             break
         rest = rows.join(large, "region", "left_semi").select("doc_id", "n_shingles", "label")
         if split is None:
             split = tables.saved(rest.select("doc_id").distinct(), "split")
+    out = out.withColumn("lead", F.lit(True))  # every row meets every other
     return tables.saved(out, "regions", tuple(counts)), split
 
 
-def rare_members(tables: Tables, split: DataFrame, found: DataFrame, sets: DataFrame, percent: int, most: int) -> DataFrame:
-    """(region, doc_id, n_shingles): documents by their rarest shingles, of those that several components and at most so many documents have.
+def rare_members(tables: Tables, split: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(region, doc_id, component, n_shingles, lead): documents by their rarest shingles.
 
-    Of n shingles, n - ceil(n * percent / 100) + 1 are taken, rarest first: two sets that
-    are alike share at least one of so many, if they share one of these at all.
+    All shingles have one order, by the number of documents in their bucket (of BUCKETS),
+    then by hash. Two alike sets share a shingle among the first n - ceil(n * percent / 100)
+    + 1 of each, and of the smaller one, which leads, even among its first
+    n - ceil(2 * n * percent / (100 + percent)) + 1, as their sizes bound what they share.
+    Shingles whose whole bucket is in one component take their places but link nothing.
     """
+    named = found.withColumnRenamed("node", "doc_id")
+    docs = sets.join(split, "doc_id", "left_semi").join(named, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "keys")
+    docs = tables.saved(docs, "split-sets")
+    bucket_of = lambda keys: (keys & (BUCKETS - 1)).astype(np.int64)
 
-    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 2 << 20, 4000, "keys"):
             keys = [np.frombuffer(k.as_buffer(), np.int64) for k in batch.column("keys")]
-            n = np.array([len(k) for k in keys], np.int64)
-            wide = [np.repeat(batch.column(c).to_numpy(), n) for c in ("doc_id", "component")]
-            yield pa.RecordBatch.from_arrays([pa.array(wide[0]), pa.array(wide[1]), pa.array(np.repeat(n, n)), pa.array(np.concatenate(keys))], ["doc_id", "component", "n_shingles", "shingle"])
-
-    named = found.withColumnRenamed("node", "doc_id")
-    docs = sets.join(split, "doc_id", "left_semi").join(named, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "keys")
-    each = tables.saved(docs.mapInArrow(exploded, "doc_id long, component long, n_shingles long, shingle long"), "shingles")
-    count = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    count = tables.saved(count.where((F.col("low") < F.col("high")) & (F.col("n") <= most)).select("shingle", "n"), "frequencies")
-    shared = F.array_sort(F.collect_list(F.struct("n", "shingle")))
-    rows = each.join(count, "shingle").groupBy("doc_id", "n_shingles").agg(shared.alias("shared"))
-    enough = F.col("n_shingles") - F.expr(f"(n_shingles * {percent} + 99) div 100") + 1
-    members = rows.select("doc_id", "n_shingles", F.explode(F.slice("shared", F.lit(1), enough.cast("int"))).alias("x"))
-    return tables.saved(members.select(F.unhex(F.hex("x.shingle")).alias("region"), "doc_id", "n_shingles"), "rare", (each, count))
+            component = np.repeat(batch.column("component").to_numpy(), [len(k) for k in keys])
+            bucket = bucket_of(np.concatenate(keys))
+            order = np.argsort(bucket, kind="stable")
+            bucket, component = bucket[order], component[order]
+            at = np.flatnonzero(np.diff(bucket, prepend=-1))
+            n = np.diff(np.append(at, len(bucket)))
+            columns = [bucket[at], n, *(f.reduceat(component, at) if len(at) else at for f in (np.minimum, np.maximum))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["bucket", "n", "low", "high"])
+
+    sizes = docs.mapInArrow(counted, "bucket long, n long, low long, high long").groupBy("bucket").agg(F.sum("n").alias("n"), (F.min("low") < F.max("high")).alias("several"))
+    sizes = sizes.where("n > 1").toPandas()  # BUCKETS rows at most
+    count, several = np.ones(BUCKETS, np.int64), np.zeros(BUCKETS, bool)
+    count[sizes["bucket"]], several[sizes["bucket"]] = sizes["n"], sizes["several"].astype(bool)
+    shared = tables.spark.sparkContext.broadcast((count, several))
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, several = shared.value
+        for batch in pieces(batches, 2 << 20, 4000, "keys"):
+            out = [(np.zeros(0, np.int64),) * 5]
+            for doc, component, keys in zip(*(batch.column(c) for c in ("doc_id", "component", "keys"))):
+                keys = np.frombuffer(keys.as_buffer(), np.int64)
+                n = len(keys)
+                first, lead = n - -(-n * percent // 100) + 1, n - -(-2 * n * percent // (100 + percent)) + 1
+                bucket = bucket_of(keys)
+                at = np.lexsort((keys, count[bucket]))[:first]
+                use = several[bucket[at]]
+                place = np.flatnonzero(use)
+                out.append((keys[at[use]], *(np.full(len(place), x) for x in (doc.as_py(), component.as_py(), n)), place < lead))
+            columns = [np.concatenate(x) for x in zip(*out)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns[:4]), pa.array(columns[4].astype(bool))], ["shingle", "doc_id", "component", "n_shingles", "lead"])
+
+    rows = docs.mapInArrow(taken, "shingle long, doc_id long, component long, n_shingles long, lead boolean")
+    return tables.saved(rows.select(F.unhex(F.hex("shingle")).alias("region"), "doc_id", "component", "n_shingles", "lead"), "rare", (docs,))
 
 
 def across_components(tables: Tables, members: DataFrame, found: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame | None:
     """(a, b): confirmed links between rows of a region that are in different components; None if no region has several.
 
-    Rows of the region's largest component meet the others only. Rows are in blocks of
-    like sizes, and a block meets those that its sizes can match. Block pairs are dealt
-    evenly, so a region of any size is shared by all tasks.
+    Rows of the region's largest component meet the others only, and of two rows one has
+    to lead. Rows are in blocks of like sizes, dealt by hash, and a block meets those that
+    its sizes can match. Block pairs are dealt evenly, so a region of any size is shared by all tasks.
     """
-    at = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("region", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
-    at = held = tables.saved(at, "members")
-    sizes = at.groupBy("region", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("region").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("components")).where("components > 1").select("region", "main")
+    if "component" in members.columns:
+        at = held = members
+    else:
+        at = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("region", "doc_id", "n_shingles", "lead", F.coalesce("component", "doc_id").alias("component"))
+        at = held = tables.saved(at, "members")
+    sizes = at.groupBy("region", "component").agg(F.count("*").alias("n"), F.max("lead").alias("leads"))
+    main = sizes.groupBy("region").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("components"), F.max("leads").alias("leads")).where("components > 1 and leads").select("region", "main")
     main = tables.saved(main, "main")
     if main.isEmpty():
         tables.drop(at, main)
         return None
-    at = at.join(main, "region").withColumn("side", (F.col("component") == F.col("main")).cast("int"))
-    order = Window.partitionBy("region", "side").orderBy("n_shingles", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    at = at.withColumn("number", F.floor(F.sum("n_shingles").over(order) / block))
-    rows = at.join(sets, "doc_id").groupBy("region", "side", "number").agg(F.collect_list(F.struct("doc_id", "component", "keys")).alias("rows"), F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+    at = at.join(main, "region").withColumn("side", (F.col("component") == F.col("main")).cast("int")).withColumn("like", F.floor(F.log2(F.col("n_shingles").cast("double")) * 4).cast("int"))
+    kind = ["region", "side", "lead", "like"]
+    sides = tables.saved(at, "sides")
+    blocks = sides.groupBy(kind).agg(F.ceil(F.sum("n_shingles") / block).alias("blocks"))
+    at = sides.join(blocks, kind).withColumn("number", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    rows = at.join(sets, "doc_id").groupBy(*kind, "number").agg(F.collect_list(F.struct("doc_id", "component", "keys")).alias("rows"), F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
     rows = tables.saved(rows.withColumn("block", F.monotonically_increasing_id()), "blocks")
-    ends = rows.select("region", "side", "number", "low", "high", "block")
-    left = ends.where("side = 0").select("region", F.col("block").alias("x_block"), F.col("number").alias("i"), F.col("low").alias("x_low"), F.col("high").alias("x_high"))
-    right = ends.select("region", F.col("block").alias("y_block"), F.col("number").alias("j"), "side", F.col("low").alias("y_low"), F.col("high").alias("y_high"))
+    ends = rows.select("region", "side", "lead", "low", "high", "block")
+    left = ends.where("side = 0").select("region", F.col("block").alias("x_block"), F.col("lead").alias("x_lead"), F.col("low").alias("x_low"), F.col("high").alias("x_high"))
+    right = ends.select("region", F.col("block").alias("y_block"), "side", F.col("lead").alias("y_lead"), F.col("low").alias("y_low"), F.col("high").alias("y_high"))
     alike = (F.col("x_high") * 100 >= F.col("y_low") * percent) & (F.col("y_high") * 100 >= F.col("x_low") * percent)
-    pairs = left.join(right, "region").where(((F.col("side") == 1) | (F.col("i") <= F.col("j"))) & alike).select("x_block", "y_block")
+    leading = (F.col("x_lead") & (F.col("x_low") <= F.col("y_high"))) | (F.col("y_lead") & (F.col("y_low") <= F.col("x_high")))
+    pairs = left.join(right, "region").where(((F.col("side") == 1) | (F.col("x_block") <= F.col("y_block"))) & alike & leading).select("x_block", "y_block")
     numbers = tables.saved(pairs, "block-pairs")
     pairs = numbers.join(rows.select(F.col("block").alias("x_block"), F.col("rows").alias("x")), "x_block").join(rows.select(F.col("block").alias("y_block"), F.col("rows").alias("y")), "y_block").select("x", "y")
 
@@ -295,7 +333,7 @@ def across_components(tables: Tables, members: DataFrame, found: DataFrame, sets
                 i, j = np.nonzero(good)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[i], b[j])), pa.array(np.maximum(a[i], b[j]))], ["a", "b"])
 
-    return tables.saved(pairs.mapInArrow(run, "a long, b long"), "links", (held, main, rows, numbers))
+    return tables.saved(pairs.mapInArrow(run, "a long, b long"), "links", (held, sides, main, rows, numbers))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, trees: int = TREES, depth: int = DEPTH, least_depth: int = LEAST_DEPTH, reach: int = NEIGHBOURS, region: int = REGION) -> DataFrame:
@@ -354,7 +392,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     found = with_more(found, links if dense is None else links.union(dense))
     tables.drop(left, members)
     if split is not None:
-        rare = rare_members(tables, split, found, sets, percent, region)
+        rare = rare_members(tables, split, found, sets, percent)
         links = across_components(tables, rare, found, sets, percent, BLOCK)
         if links is not None:
             found = with_more(found, links)

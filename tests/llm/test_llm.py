@@ -109,6 +109,21 @@ def test_near_duplicates_beyond_regions(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("varied", [2, 14, 26])
+def test_near_duplicates_of_one_template(spark, varied):
+    """Texts of one template, most of them not alike, with pairs that are: no region is small, and shingles of the template have more documents than any region."""
+    core = prose(700, 80).split()
+    r, rows = random.Random(varied), []
+    for k in range(0, 600, 2):
+        own = prose(8000 + 100 * varied + k, varied).split()
+        rows.append((k, " ".join(core + own)))
+        again = own[: varied - 1] + ["new"] if r.random() < 0.3 else prose(9000 + 100 * varied + k, varied).split()
+        rows.append((k + 1, " ".join(core + again)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash_forest.near_duplicates(df, region=32, trees=3, depth=3).collect()}
+    assert got == by_hand_components(dict(rows))
+
+
 def test_near_duplicates_of_thousands_alike(spark):
     """5,000 near copies that differ in one word each, and copies with a changed half: all minima of a tree alike in far more rows than a region has."""
     base = prose(13, 60).split()
