@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Tables
-from .vector_blocks import asked, blocks, matrix, usual_length, vectors
+from .vector_blocks import asked, blocks, lengths, matrix, union_of, vectors
 
 BOOKS, WORDS, BEAM = 32, 256, 4
 #: Vectors that codebooks are fitted on: those with the smallest hashes of vec_id.
@@ -126,17 +126,24 @@ def largest(score: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
 def search(rows: DataFrame, every: int = 50, nearest: int = NEAREST, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): for vec_ids divisible by every, the nearest other vectors by cosine.
 
-    Which vectors take part: see vectors(). Ties go to the smaller vec_id; with fewer
-    other vectors all are returned. An empty table, or one without queries, gives no rows.
+    Which vectors take part: see vectors(); those of each length are searched among
+    themselves. Ties go to the smaller vec_id; with fewer other vectors all are returned.
+    An empty table, or one without queries, gives no rows.
     """
     spark = rows.sparkSession
     tables = Tables(spark, "additive-quantisation")
-    schema = "query_id long, rank int, vec_id long, score double"
-    good = tables.saved(vectors(rows, nonzero=True), "vectors")
-    d = usual_length(good)
-    if not d:
-        return spark.createDataFrame([], schema)
-    good = good.where(F.size("v") == d)
+    good, parts = tables.saved(vectors(rows, nonzero=True), "vectors"), []
+    for d in lengths(good):
+        before = set(tables.paths)
+        parts.append(searched(tables, good.where(F.size("v") == d), d, every, nearest, rerank, sample))
+        tables.drop(*(t for k, (_, t) in tables.paths.items() if k not in before and t is not parts[-1]))
+    tables.drop(good)
+    return union_of(parts, spark.createDataFrame([], "query_id long, rank int, vec_id long, score double"))
+
+
+def searched(tables: Tables, good: DataFrame, d: int, every: int, nearest: int, rerank: int, sample: int) -> DataFrame | None:
+    """search() among vectors of length d, as a saved table; None without queries."""
+    spark = tables.spark
     members = tables.saved(alike(good, nearest + 1), "alike")  # one more than are returned, as a query leaves itself out
     distinct = members.where("vec_id = one").select("vec_id", "v")
     most = rerank + 1  # a query's own vector is one of them
@@ -159,11 +166,10 @@ def search(rows: DataFrame, every: int = 50, nearest: int = NEAREST, rerank: int
         best = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
         found = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most)
         passes.append(tables.saved(found.select("query_id", "vec_id"), "candidates"))
+        asking.unpersist()
     if not passes:
-        return spark.createDataFrame([], schema)
-    found = passes[0]
-    for more in passes[1:]:
-        found = found.union(more)
+        return None
+    found = union_of(passes, None)
     pairs = found.join(distinct, "vec_id").join(good.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,9 +183,7 @@ def search(rows: DataFrame, every: int = 50, nearest: int = NEAREST, rerank: int
     ranked = ranked.withColumnRenamed("vec_id", "one").join(members.select("one", "vec_id"), "one").where("vec_id <> query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
-    out = tables.saved(out, "found")
-    tables.keep_only(out)
-    return out
+    return tables.saved(out, "found")
 
 
 def scored_by(books, asking, most: int, d: int):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Tables
-from .vector_blocks import ROWS, asked, blocks, matrix, usual_length, vectors
+from .vector_blocks import ROWS, asked, blocks, lengths, matrix, union_of, vectors
 
 SCALE, HIGHEST, RANGE = 256, 5, 64
 #: Centres by which rows are laid out, and rows on which they are fitted: a layout only, results don't depend on it.
@@ -159,9 +159,10 @@ def search(rows: DataFrame, every: int = 50, highest: int = HIGHEST, scale: int
     """(query_id, rank, vec_id, score): for vec_ids divisible by every, the other rows with the highest integer products.
 
     Components are floor(scale * x). Which vectors take part: see vectors(); zero vectors
-    do. Ties go to the smaller vec_id; with fewer other rows all are returned. An empty
-    table, or one without queries, gives no rows. Scores fit 64 bits. The result is a
-    table in the shared folder.
+    do; those of each length are searched among themselves. Ties go to the smaller vec_id;
+    with fewer other rows all are returned. An empty table, or one without queries, gives
+    no rows. Components so large that a score may pass 64 bits raise a ValueError. The
+    result is a table in the shared folder.
     """
     found = searched(rows, every, highest, scale).where("query_id is not null")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -178,12 +179,20 @@ def searched(rows: DataFrame, every: int, highest: int, scale: int) -> DataFrame
     """(query_id, vec_id, score) of the best rows that each task sees; without query_id the ranges scored, and all."""
     spark = rows.sparkSession
     tables = Tables(spark, "block-pruning")
-    schema = "query_id long, vec_id long, score long"
-    good = tables.saved(vectors(rows, nonzero=False), "vectors")
-    d = usual_length(good)
-    if not d:
-        return spark.createDataFrame([], schema)
-    good = good.where(F.size("v") == d)
+    good, parts = tables.saved(vectors(rows, nonzero=False), "vectors"), []
+    for d in lengths(good):
+        some = good.where(F.size("v") == d)
+        largest = some.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(F.floor(F.lit(float(scale)) * x).cast("double")))))).first()[0]
+        if largest * largest * d >= 2.0**62:
+            raise ValueError(f"inner products of components up to {largest:.3g} may pass 64 bits")
+        parts += searched_among(tables, some, d, every, highest, scale)
+    tables.keep_only(*parts)
+    return union_of(parts, spark.createDataFrame([], "query_id long, vec_id long, score long"))
+
+
+def searched_among(tables: Tables, good: DataFrame, d: int, every: int, highest: int, scale: int) -> list[DataFrame]:
+    """searched() for vectors of length d, a saved table for each pass of queries."""
+    spark = tables.spark
     sample = np.stack(good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()["v"].to_numpy()).astype(float)
     middle = spark.sparkContext.broadcast(centres(sample))  # CENTRES * d numbers
 
@@ -210,8 +219,4 @@ def searched(rows: DataFrame, every: int, highest: int, scale: int) -> DataFrame
         kth = seen.withColumn("place", F.row_number().over(order)).where(F.col("place") == highest).select("query", "score").toPandas()  # one row a query
         least[kth["query"].to_numpy(np.int64)] = kth["score"].to_numpy(np.int64)
         out.append(tables.saved(scanned(data, ids, q, least, None, highest).select("query_id", "vec_id", "score"), "found"))
-    tables.keep_only(*out)
-    found = out[0] if out else spark.createDataFrame([], schema)
-    for more in out[1:]:
-        found = found.union(more)
-    return found
+    return out

@@ -25,7 +25,9 @@ LENGTH, END = 2048, 0
 #: Sequences with at most so many places left are nearly full.
 SLACK = 8
 #: Items of a partition, and partitions whose emptiest sequences, as many as make up ITEMS again, meet in one.
-#: (Best-fit leaves at most one sequence of a partition half empty, so fuller ones have little to meet.)
+#: That loses no room: best-fit leaves at most one sequence of a partition no more than half full, and two that are
+#: more than half full never fit together, so at most FAN sequences of a round can go into others; of these the emptiest
+#: ITEMS // FAN of each partition are there.
 ITEMS, FAN = 20_000, 16
 
 
@@ -103,7 +105,7 @@ def packed(docs: DataFrame, length: int = LENGTH, end: int = END, slack: int = S
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece.
 
     A null or empty text is its end id alone. Rows that repeat a doc_id are pieces of
-    their own, as are those of null doc_ids.
+    their own, as are those of null doc_ids. The result is a table in the shared folder.
     """
     tables = Tables(docs.sparkSession, "packing")
     pieces_ = tables.saved(pieced(docs, length, end).withColumn("item", F.monotonically_increasing_id()), "pieces")
@@ -122,7 +124,12 @@ def packed(docs: DataFrame, length: int = LENGTH, end: int = END, slack: int = S
             break
         items = moved.where("again").groupBy(F.col("target").alias("item")).agg(F.max("fill").alias("length"))
         count, turn, parts = items.count(), turn + 1, -(-parts // FAN)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     if place is None:
-        return pieces_.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    out = pieces_.join(place.select("item", "sequence", "at"), "item", "left")
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("sequence", "item").alias("sequence_id"), F.coalesce("at", F.lit(0)).cast("long").alias("offset"))
+        out = pieces_.select(*names, F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    else:
+        out = pieces_.join(place.select("item", "sequence", "at"), "item", "left")
+        out = out.select(*names, F.coalesce("sequence", "item").alias("sequence_id"), F.coalesce("at", F.lit(0)).cast("long").alias("offset"))
+    out = tables.saved(out, "packed")
+    tables.keep_only(out)
+    return out

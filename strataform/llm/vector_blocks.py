@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ ROWS, PASS_BYTES = 4096, 8 << 20
 
 
 def vectors(rows: DataFrame, nonzero: bool) -> DataFrame:
-    """(vec_id, v array<double>): vectors with finite components, of the most frequent length.
+    """(vec_id, v array<double>): vectors with finite components.
 
     Null ids, null vectors, vectors with null or non-finite components, and with nonzero
     zero vectors, take no part. Rows that repeat a vec_id count as one: the smallest vector.
@@ -29,9 +30,15 @@ def vectors(rows: DataFrame, nonzero: bool) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def usual_length(rows: DataFrame) -> int:
-    top = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return top["d"] if top else 0
+def lengths(rows: DataFrame) -> list[int]:
+    """The lengths of the vectors, the most frequent first. Nearness has a meaning among vectors of one length only, so each one is a search of its own."""
+    return [r["d"] for r in rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").collect()]
+
+
+def union_of(parts: list[DataFrame | None], empty: DataFrame) -> DataFrame:
+    """All rows of the parts that are there; the empty table if none is."""
+    found = [p for p in parts if p is not None]
+    return reduce(DataFrame.union, found) if found else empty
 
 
 def matrix(column: pa.Array, d: int) -> np.ndarray:
