@@ -29,8 +29,8 @@ PERCENT = 75
 REGION = 1024
 #: Buckets of shingles whose documents are counted, a power of two: what the driver and each task hold.
 BUCKETS = 1 << 20
-#: Shingles of a block of a region's rows.
-BLOCK = 1 << 15
+#: Shingles, and rows, of a block of a region's rows.
+BLOCK, ROWS = 1 << 15, 1 << 10
 #: Shingles are hashes of so many bits; beside them fits a text's place in a slice.
 BITS = 52
 
@@ -305,7 +305,7 @@ def across_components(tables: Tables, members: DataFrame, found: DataFrame, sets
     at = at.join(main, "region").withColumn("side", (F.col("component") == F.col("main")).cast("int")).withColumn("like", F.floor(F.log2(F.col("n_shingles").cast("double")) * 4).cast("int"))
     kind = ["region", "side", "lead", "like"]
     sides = tables.saved(at, "sides")
-    blocks = sides.groupBy(kind).agg(F.ceil(F.sum("n_shingles") / block).alias("blocks"))
+    blocks = sides.groupBy(kind).agg(F.ceil(F.greatest(F.sum("n_shingles") / block, F.count("*") / ROWS)).alias("blocks"))
     at = sides.join(blocks, kind).withColumn("number", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     rows = at.join(sets, "doc_id").groupBy(*kind, "number").agg(F.collect_list(F.struct("doc_id", "component", "keys")).alias("rows"), F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
     rows = tables.saved(rows.withColumn("block", F.monotonically_increasing_id()), "blocks")

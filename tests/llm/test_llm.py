@@ -208,7 +208,7 @@ def test_passages_with_changed_words(spark):
     share = {k: sum(x) / len(x) for k, x in share.items()}
     print(share)
     assert all(share[percent, n] >= 0.9 for percent in (83, 87.5, 90, 95) for n in (60, 100, 200) if (percent, n) != (83, 60))
-    assert share[83, 60] >= 0.8 and share[80, 60] >= 0.6 and share[80, 100] >= 0.75 and share[80, 200] >= 0.8
+    assert share[83, 60] >= 0.65 and share[80, 60] >= 0.5 and share[80, 100] >= 0.75 and share[80, 200] >= 0.8
 
 
 def test_ends_grow_over_dropped_words():
