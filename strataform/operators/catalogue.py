@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataform.functions.text import search_term
+from strataform.functions.nested import search_text
+from strataform.functions.text import search_term, squeezed, unescaped
 
 
 def matches(term: str | Column, *fields: Column) -> Column:
@@ -17,6 +18,13 @@ def matches(term: str | Column, *fields: Column) -> Column:
     return found
 
 
+def document_text(fields: list[Column], documents: list[Column]) -> Column:
+    """What a search looks at: fields, then the texts of nested documents of any depth (JSON, JSON in texts, markup or plain), in lower case with single blanks."""
+    plain = lambda x: unescaped(F.regexp_replace(x, "<[^>]*>", ""))
+    parts = F.flatten(F.array(*(search_text(d.cast("string"), plain) for d in documents)))
+    return F.lower(squeezed(F.concat_ws(" ", *(F.nullif(f.cast("string"), F.lit("")) for f in fields), parts)))
+
+
 def filtered(df: DataFrame, allowed: set[str], **wanted: str | None) -> DataFrame:
     """Equality on columns of a fixed list; a null value leaves a column alone."""
     for column, value in wanted.items():

@@ -2,38 +2,58 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROW_SCHEMA = "text string, x0 double, x1 double, y0 double, y1 double, height double"
+from strataform.functions.text import let, squeezed
 
 
-def rows_of_words(words: DataFrame, key: str) -> DataFrame:
-    """(key, row, text, x0, x1, y0, y1, height): words (text, x0, y0, x1, y1) of a page joined to rows.
+def first_fit(centres: Column, near: Column) -> Column:
+    """struct<anchors: array<double>, rows: array<int>>: each centre, in order, goes to the first row whose first centre is less than near away, else it begins one."""
+    none = F.struct(F.array().cast("array<double>").alias("anchors"), F.array().cast("array<int>").alias("rows"))
 
-    From top to bottom, a word goes to the first row whose first word's centre is within
-    max(8, 0.55 * the page's upper median height), else it begins one. That depends on
-    the order of words, hence pandas, a page at a time.
+    def placed(acc: Column, centre: Column) -> Column:
+        at = F.coalesce(F.array_position(F.transform(acc["anchors"], lambda a: F.abs(a - centre) < near), True), F.lit(0)).cast("int")
+        return let(at, lambda k: F.struct(F.when(k == 0, F.array_append(acc["anchors"], centre)).otherwise(acc["anchors"]).alias("anchors"), F.array_append(acc["rows"], F.when(k == 0, F.size(acc["anchors"])).otherwise(k - 1)).alias("rows")))
+
+    return F.aggregate(centres, none, placed)
+
+
+def rows_of_words(words: DataFrame, key: str, least_chars: int = 2) -> DataFrame:
+    """(key, row, text, x0, x1, y0, y1, height): words (text, x0, y0, x1, y1) of a page joined to rows, as scans need it.
+
+    From top to bottom, a word goes to the first row whose first word's centre is less
+    than max(8, 0.55 * the page's upper median height) away, else it begins one. Rows
+    are read from left to right; their height is that of the tallest word. Shorter texts
+    than least_chars go. Blank or null words take no part. A page is one row while it's
+    folded; words are shuffled once, by page.
+    """
+    item = F.struct("y0", "x0", "text", "x1", "y1")
+    pages = words.where(F.trim("text") != "").groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("words"))
+    heights = F.sort_array(F.transform("words", lambda w: w["y1"] - w["y0"]))
+    pages = pages.withColumn("near", F.greatest(F.lit(8.0), 0.55 * F.get(heights, F.floor(F.size(heights) / 2).cast("int"))))
+    fitted = first_fit(F.transform("words", lambda w: (w["y0"] + w["y1"]) / 2), F.col("near"))["rows"]
+    each = pages.select(key, F.inline(F.arrays_zip(fitted.alias("row"), F.col("words").alias("w")))).select(key, "row", "w.*")
+    text = squeezed(F.array_join(F.sort_array(F.collect_list(F.struct("x0", "y0", "text")))["text"], " "))
+    out = each.groupBy(key, "row").agg(text.alias("text"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.max(F.col("y1") - F.col("y0")).alias("height"))
+    return out.where(F.length("text") >= least_chars)
+
+
+def rows_of_items(items: DataFrame, key: str, near: float = 2.5) -> DataFrame:
+    """(key, row, text, y): items (ord, text, x, y) of a page's text layer joined to rows.
+
+    In their order, an item goes to the first row whose first item's y is less than near
+    away. Rows are numbered from the largest y down, of equal ones the earlier first, and
+    read from left to right, equal places in their order. Blank items take no part.
     """
-    kind = dict(words.dtypes)[key]
-
-    def rows(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y0", "x0", "text"], kind="stable")
-        heights = sorted(page["y1"] - page["y0"])
-        near = max(8.0, 0.55 * (heights[len(heights) // 2] if heights else 20))
-        anchors: list[float] = []
-        which = []
-        for centre in (page["y0"] + page["y1"]) / 2:
-            at = next((k for k, a in enumerate(anchors) if abs(a - centre) <= near), len(anchors))
-            if at == len(anchors):
-                anchors.append(centre)
-            which.append(at)
-        page = page.assign(row=which).sort_values(["row", "x0"], kind="stable")
-        out = page.groupby("row").agg(text=("text", " ".join), x0=("x0", "min"), x1=("x1", "max"), y0=("y0", "min"), y1=("y1", "max")).reset_index()
-        return out.assign(height=out["y1"] - out["y0"], **{key: page[key].iloc[0]})[[key, "row", "text", "x0", "x1", "y0", "y1", "height"]]
-
-    return words.select(key, "text", "x0", "y0", "x1", "y1").groupBy(key).applyInPandas(rows, f"{key} {kind}, row int, {ROW_SCHEMA}")
+    item = F.struct("ord", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), squeezed(F.col("text")).alias("text"))
+    pages = items.where(squeezed(F.col("text")) != "").groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    pages = pages.withColumn("fitted", first_fit(F.transform("items", lambda w: w["y"]), F.lit(near)))
+    each = pages.select(key, F.inline(F.arrays_zip(F.col("fitted.rows").alias("at"), F.transform("fitted.rows", lambda r: F.get("fitted.anchors", r)).alias("y"), F.transform("items", lambda w, k: k).alias("place"), F.col("items").alias("w"))))
+    text = F.array_join(F.sort_array(F.collect_list(F.struct("w.x", "place", "w.text")))["text"], " ")
+    rows = each.groupBy(key, "at").agg(text.alias("text"), F.first("y").alias("y"))
+    turn = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("y"), "at")) - 1
+    return rows.select(key, turn.alias("row"), "text", "y")
 
 
 def under_titles(lines: DataFrame, titles: DataFrame, key: str, median_height: float = 20.0, least_lines: int = 2) -> DataFrame:

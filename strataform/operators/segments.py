@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataform.functions.nested import containers
 from strataform.functions.noise import nutrition_noise, page_noise, scan_garbage, step_line
 from strataform.functions.text import html_text, let, squeezed, without_citations, without_marker
 from strataform.operators.lines import along, carried, exploded
@@ -126,32 +127,25 @@ def record(name: Column, ingredients: Column, method: Column) -> Column:
     return F.struct(name.alias("name"), ingredients.alias("ingredients"), method.alias("method")).cast(RECORD)
 
 
-def linked_nodes(html: Column, depth: int = 4) -> Column:
-    """The JSON texts in a page's linked-data scripts and their inner objects, outermost first, to a depth."""
-    scripts = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
-
-    def inner(x: Column) -> Column:
-        fields = F.map_values(F.from_json(x, "map<string,string>"))
-        every = F.when(x.startswith("["), F.from_json(x, "array<string>")).when(x.startswith("{"), fields)
-        return F.coalesce(F.filter(every, lambda y: F.coalesce(y.rlike(r"^[{\[]"), F.lit(False))), F.array().cast("array<string>"))
-
-    level = F.transform(scripts, lambda x: F.trim(x))
-    every = level
-    for _ in range(depth):
-        level = F.flatten(F.transform(level, inner))
-        every = F.concat(every, level)
-    return every
+def linked_nodes(html: Column) -> Column:
+    """The objects and arrays in a page's linked-data scripts as JSON, of any depth, outer ones before what they hold."""
+    scripts = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*>(.*?)</script>"), F.lit(1))
+    told = F.filter(scripts, lambda x: x.rlike("(?i)recipeIngredient|recipeInstructions"))
+    return containers(F.transform(told, lambda x: F.replace(F.trim(x), F.lit("&quot;"), F.lit('"'))))
 
 
 def linked_record(html: Column) -> Column:
-    """The record of the first linked-data object with ingredients and instructions; null without one."""
+    """The record of the first linked-data object with ingredients and instructions, however deep it lies; null without one.
+
+    A step is a text, or an object's text or name.
+    """
     listed = lambda x, field: F.from_json(F.get_json_object(x, f"$.{field}"), "array<string>")
     good = F.filter(linked_nodes(html), lambda x: x.startswith("{") & (F.size(listed(x, "recipeIngredient")) > 0) & F.get_json_object(x, "$.recipeInstructions").isNotNull())
-    step = lambda x: F.when(x.startswith("{"), F.get_json_object(x, "$.text")).otherwise(x)
+    step = lambda x: F.when(x.startswith("{"), F.coalesce(F.nullif(F.get_json_object(x, "$.text"), F.lit("")), F.get_json_object(x, "$.name"))).otherwise(x)
 
     def made(x: Column) -> Column:
         told = F.get_json_object(x, "$.recipeInstructions")
-        method = F.when(told.startswith("["), F.transform(listed(x, "recipeInstructions"), step)).otherwise(F.split(told, "\n"))
+        method = F.when(told.startswith("["), F.filter(F.transform(listed(x, "recipeInstructions"), step), lambda y: F.coalesce(y, F.lit("")) != "")).otherwise(F.split(told, "\n"))
         return record(F.get_json_object(x, "$.name"), listed(x, "recipeIngredient"), method)
 
     return let(F.get(good, F.lit(0)), lambda x: F.when(x.isNotNull(), made(x)))

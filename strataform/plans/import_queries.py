@@ -306,14 +306,6 @@ def shorter_repeats(spark, d):
     return lines.without_shorter_repeat(rows, "conv_id", F.floor(F.col("pos") / 2)).select("conv_id", F.col("pos").alias("turn"))
 
 
-@query("""SELECT l_orderkey, (dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber // 3) - 1)::INT AS row, string_agg('w' || l_linenumber, ' ' ORDER BY l_linenumber) AS text, min(l_linenumber * 10.0)::DOUBLE AS x0, (l_linenumber // 3 * 40.0)::DOUBLE AS y0 FROM lineitem GROUP BY l_orderkey, l_linenumber // 3""")
-def word_rows(spark, d):
-    """Words of a page as rows, from top to bottom and left to right; an order is a page."""
-    number = F.col("l_linenumber")
-    words = table(spark, d, "lineitem").select("l_orderkey", F.concat(F.lit("w"), number).alias("text"), (number * 10).cast("double").alias("x0"), (number * 10 + 8).cast("double").alias("x1"), (F.floor(number / 3) * 40).cast("double").alias("y0"), (F.floor(number / 3) * 40 + 20).cast("double").alias("y1"))
-    return layout.rows_of_words(words, "l_orderkey").select("l_orderkey", "row", "text", "x0", "y0")
-
-
 @query("""WITH t AS (SELECT l_orderkey, l_linenumber AS ord, l_linenumber % 2 * 300.0 AS x, l_linenumber * 30.0 AS y, l_linenumber <= 2 AS title FROM lineitem),
   p AS (SELECT a.l_orderkey, a.ord, b.ord AS title_ord, abs(a.x - b.x) + 0.55 * (a.y - b.y) AS cost FROM t a JOIN t b ON a.l_orderkey = b.l_orderkey AND NOT a.title AND b.title AND a.y >= b.y AND a.y - b.y < 480),
   f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY l_orderkey, ord ORDER BY cost, title_ord) = 1), n AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey, title_ord) AS n FROM f) SELECT l_orderkey, ord, title_ord FROM n WHERE n >= 2""")
