@@ -136,20 +136,6 @@ def safe_html(html: Column) -> Column:
     return F.regexp_replace(html, r"(?i)javascript:", "")
 
 
-#: Elements that stay in sanitised markup (fixed values).
-ALLOWED = ("b", "strong", "i", "em", "u", "ul", "ol", "li", "br", "p", "div")
-
-
-def allowed_html(html: Column) -> Column:
-    """Elements of a fixed list, without attributes; of links those to a record; the text of all others. Scripts and comments go."""
-    for pattern in ("(?is)<(script|style|noscript|template)[^>]*>.*?</(script|style|noscript|template)>", "(?s)<!--.*?-->"):
-        html = F.regexp_replace(html, pattern, "")
-    html = F.regexp_replace(html, r"""(?is)<a [^>]*href=["']#recipe-([0-9]+)["'][^>]*>(.*?)</a>""", "\u0001$1\u0002$2\u0003")
-    html = F.regexp_replace(html, rf"(?i)<(/?)({'|'.join(ALLOWED)})(?:[ \t\r\n/][^>]*)?>", "\u0004$1$2\u0005")
-    html = F.regexp_replace(F.regexp_replace(html, "<[^>]*>", ""), "\u0004([^\u0005]*)\u0005", "<$1>")
-    return F.regexp_replace(F.regexp_replace(html, "\u0001([0-9]+)\u0002", '<a href="#recipe-$1" data-recipe-id="$1">'), "\u0003", "</a>")
-
-
 #: Unicode blocks and their languages (fixed values) are listed in the function.
 def language_by_block(text: Column) -> Column:
     """The language by Unicode block; Devanagari is Marathi with its own letter, else Hindi; else English."""

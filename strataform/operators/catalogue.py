@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataform.functions.nested import search_text
 from strataform.functions.text import search_term, squeezed, unescaped
+from strataform.sources.staging import saved
 
 
 def matches(term: str | Column, *fields: Column) -> Column:
@@ -36,7 +39,7 @@ def filtered(df: DataFrame, allowed: set[str], **wanted: str | None) -> DataFram
 
 
 #: Comparisons of a query string (fixed values).
-COMPARISONS = {"eq": "=", "neq": "<>", "gt": ">", "gte": ">=", "lt": "<", "lte": "<=", "like": "LIKE"}
+COMPARISONS = {"eq": operator.eq, "neq": operator.ne, "gt": operator.gt, "gte": operator.ge, "lt": operator.lt, "lte": operator.le}
 
 
 def from_query_string(df: DataFrame, query: str, allowed: set[str]) -> DataFrame:
@@ -48,6 +51,9 @@ def from_query_string(df: DataFrame, query: str, allowed: set[str]) -> DataFrame
             raise ValueError(f"{name} can't be used in a query")
         return F.col(name)
 
+    def typed(name: str, operand: str) -> Column:
+        return F.lit(operand).cast(df.schema[name].dataType)  # never a part of SQL text
+
     wanted, order, limit = None, [], None
     for name, value in parse_qsl(query, strict_parsing=True):
         if name == "select":
@@ -61,12 +67,12 @@ def from_query_string(df: DataFrame, query: str, allowed: set[str]) -> DataFrame
             if how == "is" and operand == "null":
                 df = df.where(column(name).isNull())
             elif how == "in":
-                df = df.where(column(name).isin(operand.strip("()").split(",")))
+                df = df.where(column(name).isin(*(typed(name, x) for x in operand.strip("()").split(","))))
             elif how == "like":
-                df = df.where(column(name).like(operand.replace("*", "%")))
+                parts = [F.replace(F.replace(F.replace(F.lit(x), F.lit("\\"), F.lit("\\\\")), F.lit("%"), F.lit("\\%")), F.lit("_"), F.lit("\\_")) for x in operand.split("*")]
+                df = df.where(F.like(column(name), F.concat_ws("%", *parts)))
             elif how in COMPARISONS:
-                column(name)
-                df = df.where(F.expr(f"`{name}` {COMPARISONS[how]} '{operand.replace(chr(39), '')}'"))
+                df = df.where(COMPARISONS[how](column(name), typed(name, operand)))
             else:
                 raise ValueError(f"{how} is no comparison")
     if order:
@@ -106,17 +112,86 @@ def facet(df: DataFrame, column: str, known: list[str] | None = None) -> DataFra
     return out.where("value <> ''").distinct()
 
 
-def ranked(df: DataFrame, name: str, alias: str, chars: int = 3) -> DataFrame:
-    """df with each name's rank in the order of a language, case aside.
+def placed(df: DataFrame, *order: Column, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(df with part, place and position, from 0; (part, n, before) of each range) in an order, without sorting in one task.
+
+    Rows are dealt into ranges of the order and sorted there; a row's position is its
+    place plus the rows of all earlier ranges, of which there is one row each. Ranges are
+    folders of a saved table, so a page is read from the ranges that hold it. The order
+    has to be total, or equal rows share out their positions by chance.
+    """
+    number = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(number, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    rows = rows.withColumns({"part": F.shiftright("_id", 33).cast("int"), "place": F.col("_id").bitwiseAND((1 << 33) - 1)}).drop("_id")
+    rows = saved(rows, "placed", ["part"])
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = saved(rows.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", before), "ranges")  # a row for each range
+    return rows.join(F.broadcast(ranges.select("part", "before")), "part").withColumn("position", F.col("before") + F.col("place")).drop("before"), ranges
+
+
+def placed_page(rows: DataFrame, ranges: DataFrame, number: int, size: int = 12) -> DataFrame:
+    """The rows of a page, from 0, of placed(): only the ranges that hold it are read."""
+    low, high = number * size, (number + 1) * size
+    parts = [r["part"] for r in ranges.where((F.col("before") < high) & (F.col("before") + F.col("n") > low)).collect()]
+    return rows.where(F.col("part").isin(parts) & (F.col("position") >= low) & (F.col("position") < high)).orderBy("position")
+
+
+def after(df: DataFrame, order: list[tuple[str, bool]], last: dict | None, size: int = 12) -> DataFrame:
+    """The next page behind the last row of the page before, by its values of the order's columns (name, ascending); the first page without one. Columns without nulls."""
+    if last:
+        behind, same = F.lit(False), F.lit(True)
+        for name, up in order:
+            value = F.lit(last[name])
+            behind, same = behind | (same & (F.col(name) > value if up else F.col(name) < value)), same & (F.col(name) == value)
+        df = df.where(behind)
+    return df.orderBy(*(F.col(name).asc() if up else F.col(name).desc() for name, up in order)).limit(size)
+
+
+def ranked(df: DataFrame, name: str, alias: str) -> DataFrame:
+    """df with each name's rank in the order of a language, case aside; equal names share one. Null names come first.
+
+    Names are dealt into ranges of the order, so beginnings that many names share don't
+    meet in one task.
+    """
+    key = F.collate(F.col(name), "UNICODE_CI")
+    names = df.groupBy(key.alias("_name")).agg(F.count("*").alias("_n"))
+    rows, ranges = placed(names.withColumn("_name", F.col("_name").cast("string")), F.collate("_name", "UNICODE_CI"))
+    upto = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_within", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+    of_range = rows.groupBy("part").agg(F.sum("_n").alias("_all"))
+    before = F.coalesce(F.sum("_all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = of_range.select("part", before.alias("_before"))  # a row for each range
+    ranks = rows.join(F.broadcast(starts), "part").select(F.collate("_name", "UNICODE_CI").alias("_ranked"), (F.col("_before") + F.col("_within") + 1).alias(alias))
+    return df.withColumn("_name", key).join(ranks, F.col("_name").eqNullSafe(F.col("_ranked")), "left").select(*df.columns, alias)
+
+
+def grams(text: Column, size: int = 3) -> Column:
+    """array<string>: the distinct substrings of so many characters of a text in lower case; none of a shorter one."""
+    low = F.lower(text)
+    return F.when(F.length(low) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - size + 1), lambda k: F.substring(low, k, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
+
+def postings(df: DataFrame, key: str, text: str, size: int = 3) -> tuple[DataFrame, DataFrame]:
+    """((gram, key), (gram, n)): where each gram occurs, sorted by gram in a saved table, and in how many rows."""
+    each = df.select(F.explode(grams(F.col(text), size)).alias("gram"), key)
+    index = saved(each.repartitionByRange("gram", key).sortWithinPartitions("gram"), "postings")
+    return index, saved(index.groupBy("gram").agg(F.count("*").alias("n")), "gram-counts")
+
+
+def found_by_grams(df: DataFrame, key: str, text: str, terms: DataFrame, term: str, index: DataFrame, counts: DataFrame, size: int = 3) -> DataFrame:
+    """(term, key): rows whose text contains a term, whatever the case.
 
-    Names with the same first letters are ranked among themselves, after all names of
-    earlier letters; only the table of these beginnings is sorted in one task.
+    Rows with the term's rarest gram are candidates, confirmed on the text. A term with
+    a gram that no row has finds nothing; terms shorter than a gram look at all grams that contain them.
     """
-    rows = df.withColumn("_start", F.collate(F.substring(name, 1, chars), "UNICODE_CI_AI"))
-    upto = F.sum("_n").over(Window.orderBy("_start").rowsBetween(Window.unboundedPreceding, -1))
-    starts = rows.groupBy("_start").agg(F.count("*").alias("_n")).select("_start", F.coalesce(upto, F.lit(0)).alias("_before"))
-    within = F.rank().over(Window.partitionBy("_start").orderBy(F.collate(F.col(name), "UNICODE_CI")))
-    return rows.withColumn("_place", within).join(starts, "_start").withColumn(alias, F.col("_before") + F.col("_place")).drop("_start", "_place", "_before")
+    wanted = terms.select(F.col(term).alias("_term"), F.lower(F.col(term)).alias("_low")).where("_low <> ''").distinct()
+    each = wanted.where(F.length("_low") >= size).select("_term", "_low", F.explode(grams(F.col("_low"), size)).alias("gram")).join(counts, "gram", "left")
+    rarest = each.groupBy("_term", "_low").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    short = wanted.where(F.length("_low") < size).join(counts.select("gram"), F.contains("gram", F.col("_low"))).select("_term", "_low", "gram")
+    pairs = rarest.union(short).join(index, "gram").select("_term", "_low", key).distinct()
+    tiny = wanted.where(F.length("_low") < size).join(df.where(F.length(text) < size).select(key, text), F.contains(F.lower(F.col(text)), F.col("_low"))).select(F.col("_term").alias(term), key)  # texts without a gram
+    hits = pairs.join(df.select(key, text), key).where(F.contains(F.lower(F.col(text)), F.col("_low"))).select(F.col("_term").alias(term), key)
+    return hits.union(tiny)
 
 
 def null_or(column: Column, value) -> Column:

@@ -5,39 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataform.sources.staging import saved
+
 REFERS = r"(?i)\b(same (method|dough|batter|base|recipe)|(the )?above (dough|batter|base|recipe|mixture))\b"
 
 
 def bases(recipes: DataFrame, key: str) -> DataFrame:
     """(key, pos, base_pos): the latest earlier record named as a word in this one's text, else the one before; only for records that refer to one."""
     text = F.lower(F.concat_ws(" ", "name", F.array_join("ingredients", " "), F.array_join("method", " ")))
-    here = recipes.select(key, "pos", text.alias("text")).where(F.col("text").rlike(REFERS))
-    there = recipes.select(key, F.col("pos").alias("b_pos"), F.lower("name").alias("b_name"))
+    padded = lambda c: F.concat(F.lit(" "), F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    here = recipes.select(key, "pos", text.alias("text")).where(F.col("text").rlike(REFERS)).select(key, "pos", padded("text").alias("text"))
+    there = recipes.select(key, F.col("pos").alias("b_pos"), padded(F.lower("name")).alias("b_name"))
     pairs = here.join(there, key).where("b_pos < pos")
-    padded = F.concat(F.lit(" "), F.regexp_replace("text", r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    named = F.contains(padded, F.concat(F.lit(" "), F.regexp_replace("b_name", r"[^\p{L}\p{N}]+", " "), F.lit(" ")))
+    named = F.contains("text", F.col("b_name"))
     return pairs.groupBy(key, "pos").agg(F.coalesce(F.max(F.when(named, F.col("b_pos"))), F.max("b_pos")).alias("base_pos"))
 
 
-def roots(links: DataFrame, key: str) -> DataFrame:
-    """(key, pos, base_pos) with the bases of bases added, as (key, pos, hop, base_pos): chains of any length, doubled in each round."""
-    every = links.select(key, "pos", F.lit(1).alias("hop"), "base_pos")
-    width = 1
-    while True:
-        far = every.where(F.col("hop") == width).select(key, F.col("base_pos").alias("pos"), F.col("pos").alias("_from"))
-        more = far.join(every, [key, "pos"]).select(key, F.col("_from").alias("pos"), (F.col("hop") + width).alias("hop"), "base_pos")
-        if more.isEmpty():
-            return every
-        every, width = every.union(more), width * 2
+def pointed(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Rows (key, pos, base_pos, arrays) whose empty arrays are filled from the nearest base that has them.
+
+    Every row without a value points to its base. In each round it takes its base's value,
+    or where that has none its base's pointer, so a chain of n bases takes log n rounds;
+    each round reads the table that the one before wrote, and joins by the whole key.
+    """
+    next_of = lambda c: f"_next_{c}"
+    rows = saved(rows.withColumns({next_of(c): F.when(F.size(c) == 0, F.col("base_pos")) for c in fields}), "pointers")
+    while not rows.where(" OR ".join(f"{next_of(c)} IS NOT NULL" for c in fields)).isEmpty():
+        out = rows
+        for c in fields:
+            there = rows.select(key, F.col("pos").alias(next_of(c)), F.col(c).alias("_value"), F.col(next_of(c)).alias("_far"))
+            out = out.join(there, [key, next_of(c)], "left")
+            has = F.size(F.coalesce("_value", F.array())) > 0
+            out = out.withColumns({c: F.when(has, F.col("_value")).otherwise(F.col(c)), next_of(c): F.when(~has, F.col("_far"))}).drop("_value", "_far")
+        rows = saved(out.select(*rows.columns), "pointers")
+    return rows.drop(*(next_of(c) for c in fields))
 
 
 def inherited(recipes: DataFrame, key: str) -> DataFrame:
     """Records with empty lists filled from the nearest of their bases that has them; a base may itself have one, and so on."""
-    links = bases(recipes, key)
-    content = recipes.select(key, F.col("pos").alias("base_pos"), F.col("name").alias("_name"), F.col("ingredients").alias("_ingredients"), F.col("method").alias("_method"))
-    above = roots(links, key).join(content, [key, "base_pos"])
-    nearest = lambda c: F.min_by(c, F.when(F.size(c) > 0, F.col("hop")))
-    found = above.groupBy(key, "pos").agg(nearest("_ingredients").alias("_ingredients"), nearest("_method").alias("_method"), F.min_by("_name", "hop").alias("base_name"))
-    out = recipes.join(links, [key, "pos"], "left").join(found, [key, "pos"], "left")
-    fill = lambda c: F.when((F.size(c) == 0) & F.col(f"_{c}").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c))
-    return out.select(key, "pos", "name", fill("ingredients").alias("ingredients"), fill("method").alias("method"), "base_pos", "base_name")
+    rows = recipes.select(key, "pos", "name", "ingredients", "method").join(bases(recipes, key), [key, "pos"], "left")
+    filled = pointed(rows, key, ["ingredients", "method"])
+    names = recipes.select(key, F.col("pos").alias("base_pos"), F.col("name").alias("base_name"))
+    return filled.join(names, [key, "base_pos"], "left").select(key, "pos", "name", "ingredients", "method", "base_pos", "base_name")

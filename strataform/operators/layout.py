@@ -19,7 +19,7 @@ def first_fit(centres: Column, near: Column) -> Column:
     return F.aggregate(centres, none, placed)
 
 
-def rows_of_words(words: DataFrame, key: str, least_chars: int = 2) -> DataFrame:
+def rows_of_words(words: DataFrame, key: str, least_chars: int = 1) -> DataFrame:
     """(key, row, text, x0, x1, y0, y1, height): words (text, x0, y0, x1, y1) of a page joined to rows, as scans need it.
 
     From top to bottom, a word goes to the first row whose first word's centre is less

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataform.functions.markup import folded, marked, texts_with
 from strataform.functions.nested import containers
 from strataform.functions.noise import nutrition_noise, page_noise, scan_garbage, step_line
 from strataform.functions.text import html_text, let, squeezed, without_citations, without_marker
@@ -120,11 +121,13 @@ def html_sections(html: DataFrame, key: str, column: str = "html", tag: str = "h
     return rows.select(key, "pos", squeezed(html_text(heading)).alias("heading"), html_text(body).alias("body"))
 
 
-RECORD = "struct<name:string,ingredients:array<string>,method:array<string>>"
+RECORD = "struct<name:string,description:string,ingredients:array<string>,method:array<string>,notes:array<string>,servings:string>"
 
 
-def record(name: Column, ingredients: Column, method: Column) -> Column:
-    return F.struct(name.alias("name"), ingredients.alias("ingredients"), method.alias("method")).cast(RECORD)
+def record(name: Column, ingredients: Column, method: Column, description: Column | None = None, notes: Column | None = None, servings: Column | None = None) -> Column:
+    none = F.lit(None)
+    fields = {"name": name, "description": none if description is None else description, "ingredients": ingredients, "method": method, "notes": F.array() if notes is None else notes, "servings": none if servings is None else servings}
+    return F.struct(*(v.alias(k) for k, v in fields.items())).cast(RECORD)
 
 
 def linked_nodes(html: Column) -> Column:
@@ -151,18 +154,33 @@ def linked_record(html: Column) -> Column:
     return let(F.get(good, F.lit(0)), lambda x: F.when(x.isNotNull(), made(x)))
 
 
-def class_values(html: Column, css_class: str) -> Column:
-    """The texts of elements of a class, as an array."""
-    found = F.regexp_extract_all(html, F.lit(rf"""(?is)<([a-z0-9]+)[^>]*class=["'](?:[^"']* )?{css_class}(?: [^"']*)?["'][^>]*>(.*?)</\1>"""), F.lit(2))
-    return F.filter(F.transform(found, lambda x: squeezed(html_text(x))), lambda x: x != "")
+#: Names that a plug-in puts where a page gives none.
+PLACEHOLDER = r"(?i)^#?(wprm[- ]recipe[- ]container|recipe container)\b"
+
+
+def page_title(html: Column) -> Column:
+    """The text of a page's first heading, else of its title; null without either."""
+    of = lambda tag: F.nullif(squeezed(html_text(F.regexp_extract(html, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1))), F.lit(""))
+    return F.coalesce(of("h1"), of("title"))
 
 
 def plugin_record(html: Column, prefix: str = "wprm-recipe-") -> Column:
-    """The record of a recipe plug-in's markup, by class; null with fewer than two ingredients or without a step."""
-    name, ingredients, method = (class_values(html, prefix + field) for field in ("name", "ingredient", "instruction"))
+    """The record of a recipe plug-in's markup, by class; null with fewer than two ingredients or without a step.
+
+    Elements keep their extent however they are nested. Without a name of its own, or
+    with a placeholder for one, it has the page's title. Servings are the first that hold a digit.
+    """
+    first = lambda a: F.get(a, F.lit(0))
     clean = lambda a, noisy: F.filter(a, lambda x: ~noisy(x) & (F.length(x) > 1))
-    found = record(F.get(name, F.lit(0)), clean(ingredients, nutrition_noise), F.transform(clean(method, page_noise), step_line))
-    return let(found, lambda r: F.when((F.size(r["ingredients"]) >= 2) & (F.size(r["method"]) >= 1) & r["name"].isNotNull(), r))
+
+    def made(found: Column) -> Column:
+        field = lambda name: texts_with(found, prefix + name)
+        name = F.coalesce(first(F.filter(field("name"), lambda x: ~x.rlike(PLACEHOLDER))), page_title(html))
+        summary = F.nullif(F.array_join(field("summary"), "\n"), F.lit(""))
+        return record(name, F.slice(clean(field("ingredient"), nutrition_noise), 1, 200), F.transform(clean(field("instruction"), page_noise), step_line), summary, field("notes"), first(F.filter(field("servings"), lambda x: x.rlike("[0-9]"))))
+
+    whole = let(let(let(folded(html), lambda parts: marked(parts, prefix)), made), lambda r: F.when((F.size(r["ingredients"]) >= 2) & (F.size(r["method"]) >= 1) & r["name"].isNotNull(), r))
+    return F.when(F.coalesce(html.contains(f"{prefix}ingredient") & html.contains(f"{prefix}instruction"), F.lit(False)), whole)
 
 
 def heading_record(html: Column, headings: Headings = Headings()) -> Column:
@@ -237,12 +255,6 @@ def separated(lines: DataFrame, key: str, is_title, headings: Headings = Heading
     return found.withColumn("_n", F.count("*").over(Window.partitionBy(key))).where(F.col("_n") >= least).drop("_n")
 
 
-def menu_blocks(text: Column) -> Column:
-    """A menu's text as blocks: a line, or a divider for a row of dashes."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: squeezed(x)), lambda x: x != "")
-    return F.transform(lines, lambda x: F.struct(F.when(x.rlike("^[-_*=]{3,}$"), "divider").otherwise("line").alias("type"), F.when(x.rlike("^[-_*=]{3,}$"), "").otherwise(x).alias("html")))
-
-
 def lines_of(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return exploded(df, key, text)
 

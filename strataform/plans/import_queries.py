@@ -181,23 +181,6 @@ def scalar_forms(spark, d):
     return sample(spark, d).select("p_partkey", *(v.alias(k) for k, v in out.items()))
 
 
-#: Pieces of stored markup with what is left of them.
-MARKUP = [
-    ('<p class="x">a <b>b</b></p>', "<p>a <b>b</b></p>"),
-    ('<a href="#recipe-7" onclick="x()">c</a> <a href="http://q">d</a>', '<a href="#recipe-7" data-recipe-id="7">c</a> d'),
-    ('<h2>t</h2><ul><li style="k">e<br/></li></ul><script>f()</script>', "t<ul><li>e<br></li></ul>"),
-    ("<!-- g --><table><tr><td>h</td></tr></table><em>i</em><blockquote>j</blockquote>", "h<em>i</em>j"),
-]
-
-
-@query(f"SELECT c_custkey, replace(({literal([b for _, b in MARKUP])})[1 + c_custkey % {len(MARKUP)}], 'b', c_name) AS html FROM customer")
-def sanitised_markup(spark, d):
-    """Markup of a fixed list of elements; links to records stay."""
-    raw = F.replace(chosen([a.replace("<b>b</b>", "<b>%</b>") for a, _ in MARKUP], "c_custkey"), F.lit("%"), F.lit("b"))
-    clean = tx.allowed_html(raw)
-    return table(spark, d, "customer").select("c_custkey", F.replace(clean, F.lit("b"), F.col("c_name")).alias("html"))
-
-
 #: Texts of recipes with the record of each: title, description, ingredients, method, notes.
 RECIPES = [
     ("%\nSlow and mild\nIngredients:\n- 500 g lamb\ncoconut2 cloves\n- 500 g lamb\nMethod\n1. Soak the lamb\nin water.\n2. Boil. Note: keep the stock\nNotes\nRest it.", ("%", "Slow and mild", ["500 g lamb", "coconut", "2 cloves"], ["Soak the lamb in water.", "Boil."], ["Rest it.", "keep the stock"])),
@@ -316,17 +299,6 @@ def lines_under_titles(spark, d):
     return layout.under_titles(rows.where("ord > 2"), rows.where("ord <= 2"), "l_orderkey").select("l_orderkey", "ord", "title_ord")
 
 
-#: Menus as text, with their blocks: l for a line, d for a divider.
-MENUS = ["Lunch\n---\n%\n\n  Tea ", "***\n***\nA_B\n=====", "%"]
-
-
-@query(f"SELECT c_custkey, replace(({literal(['l:Lunch|d:|l:%|l:Tea', 'd:|d:|l:A_B|d:', 'l:%'])})[1 + c_custkey % 3], '%', c_name) AS blocks FROM customer")
-def menu_parts(spark, d):
-    """A menu's text as lines and dividers."""
-    blocks = segments.menu_blocks(recipe_text(MENUS))
-    return table(spark, d, "customer").select("c_custkey", F.array_join(F.transform(blocks, lambda x: F.concat(F.substring(x["type"], 1, 1), F.lit(":"), x["html"])), "|").alias("blocks"))
-
-
 #: Ingredients as they are stored.
 STORED = ['["1 egg", " salt "]', '[{"quantity":"2","unit":"cups","name":"%"},{"quantity":"","unit":"","name":"tea"}]', '{"html":"<p>a <b>%</b></p><p>c</p>"}', "x\n\n%"]
 

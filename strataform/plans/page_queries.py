@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strataform.functions import nested
+from strataform.functions import markup, nested
+from strataform.functions import text as tx
 from strataform.operators import catalogue, layout, segments
 from strataform.plans.catalogue_queries import query
 from strataform.sources.tables import table
@@ -41,14 +42,14 @@ def item_rows(spark, d):
 # ---- nested values ---------------------------------------------------------------------
 
 
-@query("""WITH t AS (SELECT c_custkey, repeat('{"a":[1,', (c_custkey % 50)::INT) || '{"k":' || c_nationkey || ',"t":"' || c_name || ' [1, 2]"}' || repeat(']}', (c_custkey % 50)::INT) AS j FROM customer)
-  SELECT c_custkey, count(*) FILTER (x.type IN ('OBJECT', 'ARRAY')) AS containers, max(x.value ->> '$') FILTER (x.type = 'VARCHAR') AS text, replace(any_value(j), ' [1, 2]', '') AS cleaned FROM t, json_tree(j) x GROUP BY 1""")
+@query("""WITH t AS (SELECT s_suppkey, repeat('{"a":[1,', (s_suppkey % 50)::INT) || '{"k":' || s_nationkey || ',"t":"' || s_name || ' [1, 2]"}' || repeat(']}', (s_suppkey % 50)::INT) AS j FROM supplier)
+  SELECT s_suppkey, count(*) FILTER (x.type IN ('OBJECT', 'ARRAY')) AS containers, max(x.value ->> '$') FILTER (x.type = 'VARCHAR') AS text, replace(any_value(j), ' [1, 2]', '') AS cleaned FROM t, json_tree(j) x GROUP BY 1""")
 def nested_values(spark, d):
     """Objects and arrays of any depth, the texts in them, and these without citations."""
-    depth = (F.col("c_custkey") % 50).cast("int")
-    inner = F.concat(F.lit('{"k":'), "c_nationkey", F.lit(',"t":"'), "c_name", F.lit(' [1, 2]"}'))
-    rows = table(spark, d, "customer").select("c_custkey", F.concat(F.repeat(F.lit('{"a":[1,'), depth), inner, F.repeat(F.lit("]}"), depth)).alias("j"))
-    return rows.select("c_custkey", F.size(nested.containers(F.array("j"))).cast("long").alias("containers"), F.array_join(nested.search_text(F.col("j"), lambda x: x), "|").alias("text"), nested.without_citations(F.col("j")).alias("cleaned"))
+    depth = (F.col("s_suppkey") % 50).cast("int")
+    inner = F.concat(F.lit('{"k":'), "s_nationkey", F.lit(',"t":"'), "s_name", F.lit(' [1, 2]"}'))
+    rows = table(spark, d, "supplier").select("s_suppkey", F.concat(F.repeat(F.lit('{"a":[1,'), depth), inner, F.repeat(F.lit("]}"), depth)).alias("j"))
+    return rows.select("s_suppkey", F.size(nested.containers(F.array("j"))).cast("long").alias("containers"), F.array_join(nested.search_text(F.col("j"), lambda x: x), "|").alias("text"), nested.without_citations(F.col("j")).alias("cleaned"))
 
 
 @query("""SELECT event_id, '{"v":[1,2],"a":[{"t":"' || event_type || '","p":' || props || '},["' || user_id || ' [1/2]"]]}' AS cleaned FROM events""")
@@ -73,12 +74,47 @@ def linked_pages(spark, d):
     return table(spark, d, "pages").select("page_id", found.alias("r")).select("page_id", F.col("r.name").alias("name"), F.array_join("r.ingredients", "|").alias("ingredients"), F.array_join("r.method", "|").alias("method"))
 
 
-@query("""WITH t AS (SELECT o_orderkey, lower(c_name || ' ' || o_orderdate::DATE || ' ' || c_mktsegment || ' ' || o_orderpriority || ' & ' || o_custkey) AS text, o_orderstatus FROM orders JOIN customer ON c_custkey = o_custkey)
-  SELECT o_orderkey FROM t WHERE contains(text, '-03-1') AND contains(text, 'urgent & 1')""")
+@query("""WITH t AS (SELECT c_custkey, lower(c_name || ' ' || c_mktsegment || ' nation & ' || c_nationkey) AS text FROM customer)
+  SELECT c_custkey FROM t WHERE contains(text, 'auto') AND contains(text, 'nation & 1')""")
 def nested_search(spark, d):
     """Menus found by what is written anywhere in their nested documents; keys, versions and types don't count."""
-    rows = table(spark, d, "orders").join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment"), "o_custkey")
-    inner = F.concat(F.lit('{\\"b\\":[\\"<i>'), "o_orderpriority", F.lit('</i> &amp; \\",[\\"'), "o_custkey", F.lit('\\"]]}'))
-    document = F.concat(F.lit('{"version":"-03-1 urgent & 1","blocks":[{"html":"<p>'), "c_mktsegment", F.lit('</p>","type":"urgent"},{"html":"'), inner, F.lit('"}]}'))
-    text = catalogue.document_text([F.col("c_name"), F.col("o_orderdate").cast("date")], [document])
-    return rows.where(F.contains(text, F.lit("-03-1")) & F.contains(text, F.lit("urgent & 1"))).select("o_orderkey")
+    inner = F.concat(F.lit('{\\"b\\":[\\"<i>nation</i> &amp; \\",[\\"'), "c_nationkey", F.lit('\\"]]}'))
+    document = F.concat(F.lit('{"version":"auto nation & 1","blocks":[{"html":"<p>'), "c_mktsegment", F.lit('</p>","type":"auto"},{"html":"'), inner, F.lit('"}]}'))
+    text = catalogue.document_text([F.col("c_name")], [document])
+    return table(spark, d, "customer").where(F.contains(text, F.lit("auto")) & F.contains(text, F.lit("nation & 1"))).select("c_custkey")
+
+
+# ---- markup ----------------------------------------------------------------------------
+
+#: DuckDB: a page without scripts, styles and comments.
+BARE = r"regexp_replace(html, '(?s)<(?:script|style)[^>]*>.*?</(?:script|style)>|<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g')"
+
+
+@query(rf"""WITH t AS (SELECT page_id, {BARE} AS x FROM pages)
+  SELECT page_id, len(regexp_extract_all(x, '<li[ >]'))::BIGINT AS items, len(regexp_extract_all(x, '<p[ >]'))::BIGINT AS paragraphs, trim(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '[ \t\r\n\f\x0b\xa0]+', ' ', 'g')) AS text FROM t""")
+def sanitised_markup(spark, d):
+    """Pages as markup of a fixed list of elements, each closed where it ends; their items, paragraphs and text."""
+    clean = table(spark, d, "pages").select("page_id", markup.sanitised(F.col("html")).alias("x"))
+    text = tx.squeezed(F.regexp_replace("x", "<[^>]*>", ""))
+    count = lambda tag: F.size(F.regexp_extract_all("x", F.lit(tag), F.lit(0))).cast("long")
+    return clean.select("page_id", count("</li>").alias("items"), count("</p>").alias("paragraphs"), text.alias("text"))
+
+
+@query("""SELECT c_custkey, 'line:<p>' || c_name || ' <b>' || c_mktsegment || '</b></p>|divider:|line:<ul><li>' || c_nationkey || '</li><li><a href="#recipe-' || c_custkey || '" data-recipe-id="' || c_custkey || '">' || c_name || '</a></li></ul>' AS blocks FROM customer""")
+def menu_parts(spark, d):
+    """A menu's markup as blocks, each sanitised, with its links to records."""
+    html = F.concat(F.lit('<p style="x">'), "c_name", F.lit(" <b>"), "c_mktsegment", F.lit('</p><script>f()</script><hr><ul><li onclick="g()">'), "c_nationkey", F.lit('<li><a class="y" href="#recipe-'), "c_custkey", F.lit('">'), "c_name", F.lit("</a></ul>"))
+    blocks = F.transform(markup.blocks(html), lambda x: F.concat(x["type"], F.lit(":"), x["html"]))
+    return table(spark, d, "customer").select("c_custkey", F.array_join(blocks, "|").alias("blocks"))
+
+
+@query("""SELECT page_id, regexp_extract(html, '<title>([^<]*)', 1) <> '' AS titled, 'About ' || url AS description, length(url) || ' cups ' || page_id || '|eggs and milk' AS ingredients, 'Mix ' || length(url) || ' times.|Serve to ' || page_id || '.' AS method, 'Keep ' || page_id AS notes, 'Serves ' || page_id AS servings FROM pages""")
+def plugin_pages(spark, d):
+    """The record in a plug-in's markup: nested elements, a placeholder for a name, summary, notes and servings."""
+    x = lambda name, *inner: [F.lit(f'<div class="a wprm-recipe-{name} b">'), *inner, F.lit("</div>")]
+    parts = [*x("name", F.lit("wprm recipe container")), *x("summary", F.lit("<div>About</div> "), F.col("url")), *x("ingredient", F.lit("<div><div>"), F.length("url"), F.lit("</div> cups</div> "), F.col("page_id"))]
+    parts += [*x("ingredient", F.lit("eggs <b>and <i>milk</b>")), *x("instruction", F.lit("<ul><li>Mix "), F.length("url"), F.lit(" times.</ul>")), *x("instruction", F.lit("Serve <div>to</div> "), F.col("page_id"), F.lit("."))]
+    parts += [*x("notes", F.lit("Keep "), F.col("page_id")), *x("servings", F.lit("some")), *x("servings", F.lit("Serves <span>"), F.col("page_id"), F.lit("</span>"))]
+    r = segments.plugin_record(F.concat("html", *parts))
+    rows = table(spark, d, "pages").select("page_id", r.alias("r"))
+    return rows.select("page_id", F.coalesce(F.col("r.name") != "", F.lit(False)).alias("titled"), F.col("r.description").alias("description"), *(F.array_join(f"r.{c}", "|").alias(c) for c in ("ingredients", "method", "notes")), F.col("r.servings").alias("servings"))

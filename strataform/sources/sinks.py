@@ -26,9 +26,11 @@ def orphans(parents: DataFrame, children: DataFrame, parent_key: str, child_key:
     return parents.join(children.select(F.col(child_key).alias(parent_key)), parent_key, "left_anti")
 
 
-def upserted(table: DataFrame, new: DataFrame, on: list[str]) -> DataFrame:
-    """Found by key: the new row; else inserted. New rows that repeat a key count once."""
-    return table.join(new, on, "left_anti").unionByName(new.dropDuplicates(on))
+def upserted(table: DataFrame, new: DataFrame, on: list[str], order: list[str] | None = None) -> DataFrame:
+    """Found by key: the new row; else inserted. Of new rows that repeat a key the one with the largest values of order counts, by default of all columns as they come."""
+    last = Window.partitionBy(*on).orderBy(*(F.desc(c) for c in (order or []) + [c for c in new.columns if c not in on]))
+    one = new.withColumn("_turn", F.row_number().over(last)).where("_turn = 1").drop("_turn")
+    return table.join(new, on, "left_anti").unionByName(one)
 
 
 def inserted_unless_there(table: DataFrame, new: DataFrame, key: Column, order: str) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from strataform.functions import markup
 from strataform.functions import text as tx
 from strataform.operators import catalogue, inheritance, layout, lines, quality, scoring, segments
 from strataform.sources import sinks, tables
@@ -72,8 +73,8 @@ CASES = [
     (lambda: segments.split_quantity(s("2 cloves garlic")), ["2 cloves garlic"]),
     (lambda: segments.split_notes(F.array(F.lit("Serves: 1–2 Note: chill")))[0], ["Serves: 1–2"]),
     (lambda: segments.split_notes(F.array(F.lit("Serves: 1–2 Note: chill")))[1], ["chill"]),
-    (lambda: F.to_json(segments.menu_blocks(s("Soup\n---\n Fish "))), '[{"type":"line","html":"Soup"},{"type":"divider","html":""},{"type":"line","html":"Fish"}]'),
-    (lambda: segments.class_values(s('<div class="x wprm-name">Dal</div><span class="y">n</span>'), "wprm-name"), ["Dal"]),
+    (lambda: F.to_json(markup.blocks(s("Soup\n---\n Fish "))), '[{"type":"line","html":"Soup"},{"type":"divider","html":""},{"type":"line","html":"Fish"}]'),
+    (lambda: markup.class_texts(s('<div class="x wprm-name">Dal</div><span class="y">n</span>'), "wprm-name"), ["Dal"]),
     (lambda: tx.category(s("Tomato soup"), [("soup", "soups"), ("cake", "cakes")], "other"), "soups"),
 ]
 
@@ -125,8 +126,8 @@ def test_html(spark):
     assert [r["item"] for r in segments.html_lists(df, "id").orderBy("pos").collect()] == ["one x", "two"]
     assert [(r["heading"], r["body"]) for r in segments.html_sections(df, "id", tag="h2").orderBy("pos").collect()] == [("Ingredients", "one x\ntwo"), ("Method", "Boil")]
     got = df.select(segments.linked_record(F.col("html")).alias("r"), segments.heading_record(F.col("html")).alias("h")).collect()
-    assert [x["r"] and tuple(x["r"]) for x in got] == [("N", ["a"], ["Boil"]), None]
-    assert [x["h"] and tuple(x["h"]) for x in got] == [("Dal", ["one x", "two"], ["Boil"]), None]
+    assert [x["r"] and tuple(x["r"][c] for c in ("name", "ingredients", "method")) for x in got] == [("N", ["a"], ["Boil"]), None]
+    assert [x["h"] and tuple(x["h"][c] for c in ("name", "ingredients", "method")) for x in got] == [("Dal", ["one x", "two"], ["Boil"]), None]
 
 
 GOOD = dict(name="Plain Dal", description="", ingredients=["1 cup lentils", "2 cups water", "1 tsp salt"], method=["Boil the lentils in water with the salt until they are soft."], mode="text")
@@ -225,5 +226,5 @@ def test_ranked(spark):
     names = ["Zoe", "éa", "Eb", "ea", "e", "EA", "cáfa", "cafb", "CAFZ", "a b", "a-b", "", "zoë"]
     df = spark.createDataFrame([(n,) for n in names], "name string")
     want = df.createOrReplaceTempView("names") or spark.sql("SELECT name, rank() OVER (ORDER BY name COLLATE UNICODE_CI) AS place FROM names")
-    got = catalogue.ranked(df, "name", "place", 2)
+    got = catalogue.ranked(df, "name", "place")
     assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
