@@ -18,7 +18,7 @@ TOKEN = r"""(?is)<!--.*?(?:-->|$)|<(script|style|noscript|template)\b(?:[^>"']|"
 #: Elements without an end (fixed values).
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 #: Elements that end where one of the others begins, inside the element that bounds them (fixed values).
-IMPLIED = {"li": ("li",), "p": ("p", "div", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "header", "footer", "nav", "li"), "td": ("td", "th", "tr"), "th": ("td", "th", "tr"), "tr": ("tr", "tbody", "tfoot")}
+IMPLIED = {"li": ("li",), "p": ("p", "div", "ul", "ol", "dl", "table", "hr", "pre", "blockquote", "form", "main", "aside", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "header", "footer", "nav", "li"), "td": ("td", "th", "tr"), "th": ("td", "th", "tr"), "tr": ("tr", "tbody", "tfoot")}
 BOUNDS = {"li": ("ul", "ol"), "td": ("table",), "th": ("table",), "tr": ("table",)}
 
 

@@ -10,6 +10,7 @@ from strataform.operators import catalogue, inheritance
 from strataform.plans.catalogue_queries import query
 from strataform.sources.staging import Versions, shared_dir
 from strataform.sources.tables import table
+from strataform.streaming import status_machine
 
 
 @query("""WITH p AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS position FROM orders)
@@ -72,3 +73,21 @@ def partial_save(spark, d):
     saves.save(orders, "finished")  # a replay
     saves.undo_batches([report["saved"][1]])
     return saves.read()
+
+
+#: What may follow what in the events of a user, and the statuses that time out after six hours.
+FOLLOWS = {"": ("signup", "view"), "signup": ("view",), "view": ("click", "error"), "click": ("purchase", "view", "error"), "error": ("view", "signup"), "purchase": ("view",), "timed out": ("view", "signup")}
+WAITING, SECONDS = ("view", "click"), 6 * 3600
+ALLOWED = "[" + ", ".join(f"'{a}>{b}'" for a, after in FOLLOWS.items() for b in after) + "]"
+
+
+@query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+  f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::VARCHAR AS said, '' AS before, false AS accepted, '' AS status, NULL::TIMESTAMP AS since FROM events
+    UNION ALL SELECT user_id, i, event_id, event_type, met, ok, CASE WHEN ok THEN event_type ELSE met END, CASE WHEN ok THEN ts WHEN met = status THEN since ELSE since + INTERVAL {SECONDS} SECOND END FROM (
+      SELECT *, list_contains({ALLOWED}, met || '>' || event_type) AS ok FROM (
+        SELECT e.*, f.status, f.since, CASE WHEN f.status IN {WAITING} AND e.ts - f.since >= INTERVAL {SECONDS} SECOND THEN 'timed out' ELSE f.status END AS met FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)))
+  SELECT user_id, event_id, said AS status, before, accepted FROM f WHERE i > 0""")
+def status_transitions(spark, d):
+    """The events of each user, judged by what may follow what; waiting statuses time out."""
+    events = table(spark, d, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("status"))
+    return status_machine.transitions(events, "user_id", FOLLOWS, SECONDS, WAITING).select("user_id", "event_id", "status", "before", "accepted")
