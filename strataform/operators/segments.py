@@ -17,15 +17,22 @@ from strataform.functions.text import html_text, let, squeezed, without_citation
 from strataform.operators.lines import along, carried, exploded
 
 
+#: What a heading line may end with.
+HEADING_END = r"(?: ?\([^()]*\))?[ :,\x{2013}\x{2014}-]*$"
+
+
 @dataclass(frozen=True)
 class Headings:
-    """Patterns of heading lines, for a line without its marks and closing colon."""
+    """Patterns of heading lines (fixed values), for a line without its marks, closing colon or dash; what follows in brackets doesn't count."""
 
-    ingredients: str = r"(?i)^(ingredients|you will need|what you need)$"
-    method: str = r"(?i)^(method|instructions|directions|preparation|steps|how to make)$"
-    notes: str = r"(?i)^(notes?|tips?|chef.s tips?)$"
-    description: str = r"(?i)^(description|about|introduction)$"
-    stop: str = r"(?i)^(nutrition.*|comments?|share.*|subscribe.*|related.*)$"
+    ingredients: str = r"(?i)^(?:(?:the |general )?ingredients?(?: (?:list|profile|section|needed|required))?|shopping list|you will need|what you need|साहित्य)$"
+    method: str = (
+        r"(?i)^(?:(?:the )?(?:method|instructions?|directions?|preparations?|steps?|stages?)|procedure|how to make|(?:cooking|recipe|preparation) (?:steps|method|instructions)"
+        r"|step[- ]by[- ]step(?: [a-z0-9&/ -]+)?|(?:[a-z0-9&/ -]+ )?(?:cooking|pressure cooker) instructions?|प्रक्रिया)$"
+    )
+    notes: str = r"(?i)^(?:the )?(?:notes?|tips?|storage|serving suggestions?|chef.s tips?)$"
+    description: str = r"(?i)^(?:description|about|introduction)$"
+    stop: str = r"(?i)^(?:nutrition.*|special equipment|make[- ]?ahead(?: and storage)?|video|comments?|reviews?.*|share.*|subscribe.*|related.*|more ideas|most helpful.*|featured tweaks.*)$"
 
     def kind(self, line: Column) -> Column:
         def named(bare: Column) -> Column:
@@ -35,7 +42,7 @@ class Headings:
                 out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
             return out
 
-        return let(F.regexp_replace(without_marker(line), r"[ :]+$", ""), named)
+        return let(F.regexp_replace(without_marker(line), HEADING_END, ""), named)
 
 
 def labelled(lines: DataFrame, key: str, headings: Headings = Headings()) -> DataFrame:
@@ -259,9 +266,34 @@ def lines_of(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return exploded(df, key, text)
 
 
-def best_block(lines: DataFrame, key: str, headings: Headings = Headings(), quantity: str = "[0-9]", verb: str = r"(?i)\b(add|bake|boil|cook|fry|mix|pour|serve|stir)\b", prose: int = 80) -> DataFrame:
-    """(key, block, score, ingredients, method): of the parts that begin with an ingredients heading and hold a method
-    heading before a stop, the one with the highest 5 * lines + 4 * lines with a quantity + 2 * min(verbs, 8) - long lines."""
+@dataclass(frozen=True)
+class Scoring:
+    """Points of a block: for each ingredient, each with a quantity, and each method line (up to most_steps, with verb only those that match it); less for long lines without a quantity.
+
+    The defaults are those of web pages; PDF and SCAN those of texts from pages and scans.
+    """
+
+    ingredient: int = 5
+    quantity: int = 4
+    step: int = 2
+    most_steps: int = 8
+    verb: str | None = r"(?i)\b(add|bake|boil|cook|fry|mix|pour|serve|stir)\b"
+    prose: int = 1
+    prose_chars: int = 80
+    without_method: int | None = None  # points of a block without a method; None: it has none
+    least_ingredients: int = 1
+    least_method_chars: int = 0
+
+
+PDF = Scoring(quantity=2, step=1, verb=None, prose=0, without_method=2, least_ingredients=3, least_method_chars=40)
+SCAN = Scoring(quantity=3, step=2, verb=None, prose=0, without_method=2, least_ingredients=2)
+
+
+def best_block(lines: DataFrame, key: str, headings: Headings = Headings(), quantity: str = "[0-9]", scoring: Scoring = Scoring()) -> DataFrame:
+    """(key, block, score, ingredients, method): of the parts that begin with an ingredients heading the one with the most points, of equal ones the first.
+
+    A part ends at the next ingredients heading or at a stop; see Scoring for what it must have.
+    """
     kind = headings.kind(F.col("line"))
     rows = lines.withColumn("_kind", kind)
     upto = along(key).rowsBetween(Window.unboundedPreceding, 0)
@@ -270,11 +302,16 @@ def best_block(lines: DataFrame, key: str, headings: Headings = Headings(), quan
     rows = rows.withColumn("section", F.last("_kind", ignorenulls=True).over(inside)).withColumn("_stopped", F.count_if(F.col("_kind") == "stop").over(inside) > 0)
     rows = rows.where("NOT _stopped AND _kind IS NULL")
     of = lambda name: F.array_sort(F.filter(F.collect_list(F.when(F.col("section") == name, F.struct("pos", "line"))), lambda x: x.isNotNull()))["line"]
-    out = rows.groupBy(key, "block").agg(of("ingredients").alias("ingredients"), of("method").alias("method")).where((F.size("ingredients") > 0) & (F.size("method") > 0))
+    out = rows.groupBy(key, "block").agg(of("ingredients").alias("ingredients"), of("method").alias("method"))
     count = lambda c, test: F.size(F.filter(c, test))
-    score = 5 * F.size("ingredients") + 4 * count("ingredients", lambda x: x.rlike(quantity)) + 2 * F.least(count("method", lambda x: x.rlike(verb)), F.lit(8)) - count("ingredients", lambda x: F.length(x) > prose)
+    has, chars = F.size("method") > 0, F.length(F.array_join("method", "\n"))
+    whole = has & (chars >= scoring.least_method_chars) if scoring.without_method is None else ~has | (chars >= scoring.least_method_chars)
+    steps = F.size("method") if scoring.verb is None else count("method", lambda x: x.rlike(scoring.verb))
+    score = scoring.ingredient * F.size("ingredients") + scoring.quantity * count("ingredients", lambda x: x.rlike(quantity)) + scoring.step * F.least(steps, F.lit(scoring.most_steps))
+    score = score - scoring.prose * count("ingredients", lambda x: F.length(x) > scoring.prose_chars) + F.when(has, 0).otherwise(scoring.without_method or 0)
     turn = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "block"))
-    return out.withColumn("score", score).withColumn("_turn", turn).where("_turn = 1").select(key, "block", "score", "ingredients", "method")
+    out = out.where((F.size("ingredients") >= scoring.least_ingredients) & whole).withColumn("score", score)
+    return out.withColumn("_turn", turn).where("_turn = 1").select(key, "block", "score", "ingredients", "method")
 
 
 def repaired(ingredients: Column, method: Column, label: str = r"(?<=[a-z.]) (?=\p{Lu}[a-z]+( [a-z]+)?: )", instruction: str = r"(?i)^(add|bake|boil|cook|fry|heat|mix|pour|serve|stir)\b.*\.$") -> list[Column]:

@@ -94,7 +94,7 @@ def title_sql(words: int, chars: int) -> str:
 
 
 @query(rf"""WITH {SAMPLE}, q AS (SELECT p_partkey, line, {Q} AS x, list_filter(string_split({Q}, ' '), lambda y: y <> '') AS w FROM s),
-  b AS (SELECT *, regexp_replace({squeezed(r"regexp_replace(line, '^[ \t\xa0]*(#+[ \t]*|[-*\x{2022}\x{25aa}\x{25cf}]+[ \t]*|[0-9]{1,3}[.)][ \t]+)', '')")}, '[ :]+$', '') AS bare FROM q)
+  b AS (SELECT *, regexp_replace({squeezed(r"regexp_replace(line, '^[ \t\xa0]*(#+[ \t]*|[-*\x{2022}\x{25aa}\x{25cf}]+[ \t]*|[0-9]{1,3}[.)][ \t]+)', '')")}, '{segments.HEADING_END}', '') AS bare FROM q)
   SELECT p_partkey, ({hit('line', '^[0-9]+[.)] ')} OR ({hit('line', '[0-9¼½¾⅓⅔⅛⅜⅝⅞]')} AND {hit('line', noise.UNIT)}) OR {hit('line', noise.AMOUNT)}) AND NOT {hit('line', noise.GENERIC)} AND NOT {hit('line', noise.STEP)} AS ingredient,
   {hit('line', quality.Vocabulary.instruction)} AS instruction, coalesce({title_sql(12, 90)}, false) AS title, coalesce({title_sql(8, 70)}, false) AS short_title,
   CASE WHEN {hit('bare', segments.Headings.ingredients)} THEN 'ingredients' WHEN {hit('bare', segments.Headings.method)} THEN 'method' WHEN {hit('bare', segments.Headings.notes)} THEN 'notes'

@@ -118,3 +118,45 @@ def plugin_pages(spark, d):
     r = segments.plugin_record(F.concat("html", *parts))
     rows = table(spark, d, "pages").select("page_id", r.alias("r"))
     return rows.select("page_id", F.coalesce(F.col("r.name") != "", F.lit(False)).alias("titled"), F.col("r.description").alias("description"), *(F.array_join(f"r.{c}", "|").alias(c) for c in ("ingredients", "method", "notes")), F.col("r.servings").alias("servings"))
+
+
+# ---- scores ----------------------------------------------------------------------------
+
+#: DuckDB: numbers of ingredients, quantities and steps of two blocks of a customer's text, and whether they have a method.
+BLOCKS = """c_custkey, unnest([
+  {'block': 1, 'n': 1 + c_nationkey % 4, 'q': 1 + c_nationkey % 4, 'steps': 2, 'chars': 2 * (9 + length(c_name)) + 1},
+  {'block': 2, 'n': 3, 'q': 1 + (c_nationkey % 2), 'steps': CASE WHEN c_acctbal < 0 THEN 0 ELSE 3 + c_nationkey % 8 END, 'chars': CASE WHEN c_acctbal < 0 THEN 0 ELSE (3 + c_nationkey % 8) * (8 + length(c_mktsegment)) + 2 + c_nationkey % 8 END}]) AS b FROM customer"""
+
+
+def scored_sql(points: str, good: str) -> str:
+    return f"""WITH t AS (SELECT {BLOCKS}), s AS (SELECT c_custkey, b.block::BIGINT AS block, ({points})::INT AS score, b.n::INT AS ingredients, b.steps::INT AS method FROM t WHERE {good})
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, block) = 1"""
+
+
+def scored(spark, d, scoring):
+    nation = F.col("c_nationkey")
+    first = F.concat_ws("\n", F.lit("Ingredients needed (for 4):"), F.transform(F.sequence(F.lit(1), (1 + nation % 4).cast("int")), lambda k: F.concat(k, F.lit(" cups of it"))), F.lit("Cooking method"), F.array_repeat(F.concat(F.lit("Cook the "), "c_name"), 2), F.lit("Reviews"), F.lit("9 stars"))
+    steps = F.array_repeat(F.concat(F.lit("Wait on "), "c_mktsegment"), (3 + nation % 8).cast("int"))
+    lines = F.when(F.col("c_acctbal") < 0, F.array().cast("array<string>")).otherwise(F.concat(F.array(F.lit("The Directions -")), steps))
+    second = F.concat_ws("\n", F.lit("SHOPPING LIST"), F.concat(F.col("c_mktsegment"), F.lit(" 1")), F.when(nation % 2 == 1, "2 of them").otherwise("some"), F.lit("salt"), lines)
+    rows = table(spark, d, "customer").select("c_custkey", F.concat_ws("\n", first, second).alias("text"))
+    found = segments.best_block(segments.lines_of(rows, "c_custkey"), "c_custkey", scoring=scoring)
+    return found.select("c_custkey", "block", "score", F.size("ingredients").alias("ingredients"), F.size("method").alias("method"))
+
+
+@query(scored_sql("5 * b.n + 4 * b.q + 2 * least(CASE WHEN b.block = 1 THEN b.steps ELSE 0 END, 8)", "b.steps > 0"))
+def best_page_blocks(spark, d):
+    """Of two blocks of a web page's text the one with the most points; steps count by their verbs."""
+    return scored(spark, d, segments.Scoring())
+
+
+@query(scored_sql("5 * b.n + 2 * b.q + least(b.steps, 8) + CASE WHEN b.steps = 0 THEN 2 ELSE 0 END", "b.n >= 3 AND (b.steps = 0 OR b.chars >= 40)"))
+def best_pdf_blocks(spark, d):
+    """As best_page_blocks, by the points of a PDF's text: three ingredients at least, a method of 40 characters or none."""
+    return scored(spark, d, segments.PDF)
+
+
+@query(scored_sql("5 * b.n + 3 * b.q + 2 * least(b.steps, 8) + CASE WHEN b.steps = 0 THEN 2 ELSE 0 END", "b.n >= 2"))
+def best_scan_blocks(spark, d):
+    """As best_page_blocks, by the points of a scan's text."""
+    return scored(spark, d, segments.SCAN)
