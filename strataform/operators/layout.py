@@ -56,6 +56,60 @@ def rows_of_items(items: DataFrame, key: str, near: float = 2.5) -> DataFrame:
     return rows.select(key, turn.alias("row"), "text", "y")
 
 
+WORD = "array<struct<y0:double,x0:double,text:string,x1:double,y1:double>>"
+
+
+def widest_gap(words: Column, low: str, high: str) -> Column:
+    """struct<gap, at>: the widest stretch along an axis that no word covers, of equal ones the first, and where it ends; gap 0 without one."""
+    spans = F.sort_array(F.transform(words, lambda w: F.struct(w[low].alias("low"), w[high].alias("high"))))
+    start = F.struct(F.get(spans, F.lit(0))["high"].alias("end"), F.lit(0.0).alias("gap"), F.lit(0.0).alias("at"))
+
+    def step(acc: Column, x: Column) -> Column:
+        wider = x["low"] - acc["end"] > acc["gap"]
+        return F.struct(F.greatest(acc["end"], x["high"]).alias("end"), F.when(wider, x["low"] - acc["end"]).otherwise(acc["gap"]).alias("gap"), F.when(wider, x["low"]).otherwise(acc["at"]).alias("at"))
+
+    return F.aggregate(spans, start, step, lambda acc: F.struct(acc["gap"].alias("gap"), acc["at"].alias("at")))
+
+
+def page_blocks(words: DataFrame, key: str, column_gap: float = 40.0, block_gap: float = 30.0) -> DataFrame:
+    """(key, block, words): words (text, x0, y0, x1, y1) of a page cut into blocks, in the order in which they are read.
+
+    A part is cut at its widest empty stretch: between columns where one is column_gap wide
+    or more, else between what stands above and below where one is block_gap high or more;
+    each side is cut again, left before right, upper before lower. Two pages of a spread
+    are two columns. Blank words take no part. A page is one row while it's cut.
+    """
+    item = F.struct(*(F.col(c).cast("double").alias(c) if c != "text" else F.col(c) for c in ("y0", "x0", "text", "x1", "y1")))
+    pages = words.where(F.trim("text") != "").groupBy(key).agg(F.sort_array(F.collect_list(item)).cast(WORD).alias("words"))
+    none = F.struct(F.array("words").alias("stack"), F.array().cast(f"array<{WORD}>").alias("blocks"))
+
+    def step(acc: Column, _: Column) -> Column:
+        def cut(part: Column) -> Column:
+            rest = F.slice(acc["stack"], F.lit(2), F.greatest(F.size(acc["stack"]) - 1, F.lit(0)))
+
+            def sides(axis: str, at: Column) -> Column:
+                halves = F.array(F.filter(part, lambda w: w[axis] < at), F.filter(part, lambda w: w[axis] >= at))
+                return F.struct(F.concat(halves, rest).alias("stack"), acc["blocks"].alias("blocks"))
+
+            whole = F.struct(rest.alias("stack"), F.array_append(acc["blocks"], part).alias("blocks"))
+            down = let(widest_gap(part, "y0", "y1"), lambda y: F.when(y["gap"] >= block_gap, sides("y0", y["at"])).otherwise(whole))
+            return let(widest_gap(part, "x0", "x1"), lambda x: F.when(x["gap"] >= column_gap, sides("x0", x["at"])).otherwise(down))
+
+        return F.when(F.size(acc["stack"]) == 0, acc).otherwise(let(F.get(acc["stack"], F.lit(0)), cut))
+
+    # n words give at most n blocks and n - 1 cuts.
+    found = F.aggregate(F.sequence(F.lit(1), 2 * F.size("words")), none, step, lambda acc: acc["blocks"])
+    return pages.select(key, F.posexplode(found).alias("block", "words"))
+
+
+def reading_lines(words: DataFrame, key: str, column_gap: float = 40.0, block_gap: float = 30.0) -> DataFrame:
+    """(key, pos, line): a page's lines in the order in which they are read, block by block, each block's rows as rows_of_words() joins them."""
+    blocks = page_blocks(words, key, column_gap, block_gap).select(F.struct(key, "block").alias("_part"), F.inline("words"))
+    rows = rows_of_words(blocks, "_part").select(F.col(f"_part.{key}").alias(key), "_part.block", "row", "text")
+    turn = F.row_number().over(Window.partitionBy(key).orderBy("block", "row")) - 1
+    return rows.select(key, turn.alias("pos"), F.col("text").alias("line"))
+
+
 def under_titles(lines: DataFrame, titles: DataFrame, key: str, median_height: float = 20.0, least_lines: int = 2) -> DataFrame:
     """Lines with their title above: the smallest of |x centre distance| + 0.55 * y distance, the first title on ties.
 

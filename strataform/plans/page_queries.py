@@ -160,3 +160,29 @@ def best_pdf_blocks(spark, d):
 def best_scan_blocks(spark, d):
     """As best_page_blocks, by the points of a scan's text."""
     return scored(spark, d, segments.SCAN)
+
+
+# ---- page layout -----------------------------------------------------------------------
+
+
+@query("""WITH t AS (SELECT l_orderkey, 'w' || l_linenumber AS text, l_linenumber % 2 AS side, l_quantity * 12 AS y0, l_quantity * 12 + 10 AS y1 FROM lineitem),
+  g AS (SELECT *, max(y1) OVER (PARTITION BY l_orderkey, side ORDER BY y0, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS over FROM t),
+  n AS (SELECT *, sum(CASE WHEN y0 - over >= 30 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey, side ORDER BY y0, text) AS k FROM g)
+  SELECT l_orderkey, (dense_rank() OVER (PARTITION BY l_orderkey ORDER BY side, k) - 1)::INT AS block, string_agg(text, ' ' ORDER BY y0, text) AS text FROM n GROUP BY l_orderkey, side, k""")
+def page_blocks(spark, d):
+    """Pages of two columns cut into blocks, in the order in which they are read; an order is a page, its items are words."""
+    x = (F.col("l_linenumber") % 2) * 300.0
+    words = table(spark, d, "lineitem").select("l_orderkey", F.concat(F.lit("w"), "l_linenumber").alias("text"), x.alias("x0"), (x + 50).alias("x1"), (F.col("l_quantity") * 12).alias("y0"), (F.col("l_quantity") * 12 + 10).alias("y1"))
+    found = layout.page_blocks(words, "l_orderkey")
+    return found.select("l_orderkey", F.col("block").cast("int").alias("block"), F.array_join("words.text", " ").alias("text"))
+
+
+@query("""SELECT c_custkey, c_name AS title, c_nationkey || ' cups ' || c_mktsegment || '|salt' AS ingredients, 'Mix ' || c_name || '.|Serve.' AS method FROM customer""")
+def page_records(spark, d):
+    """Records of pages of two columns, a title above both: ingredients on the left, the method on the right."""
+    words = [(F.col("c_name"), 0, 0, 400), (F.lit("Ingredients"), 0, 60, 90), (F.col("c_nationkey").cast("string"), 0, 80, 20), (F.concat(F.lit("cups "), "c_mktsegment"), 24, 82, 110), (F.lit("salt"), 0, 100, 40)]
+    words += [(F.lit("Method"), 200, 60, 260), (F.concat(F.lit("Mix "), "c_name", F.lit(".")), 200, 81, 380), (F.lit("Serve."), 200, 100, 250)]
+    items = F.array(*(F.struct(t.alias("text"), F.lit(float(x)).alias("x0"), F.lit(float(y)).alias("y0"), F.lit(float(e)).alias("x1"), F.lit(y + 12.0).alias("y1")) for t, x, y, e in words))
+    lines = layout.reading_lines(table(spark, d, "customer").select("c_custkey", F.inline(items)), "c_custkey")
+    found = segments.records(lines, "c_custkey")
+    return found.select("c_custkey", "title", *(F.array_join(c, "|").alias(c) for c in ("ingredients", "method")))

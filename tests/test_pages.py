@@ -214,3 +214,30 @@ def test_a_replayed_stream_saves_once(spark, tmp_path):
     spark.range(5, 7).write.mode("append").parquet(source)
     run("one")
     assert sorted(r["id"] for r in v.read().collect()) == list(range(7))
+
+
+def cut_by_hand(words, column_gap, block_gap):
+    """Blocks of (y0, x0, text, x1, y1), in reading order."""
+
+    def widest(low, high):
+        best, at, end = 0.0, 0.0, None
+        for a, b in sorted((w[low], w[high]) for w in words):
+            if end is not None and a - end > best:
+                best, at = a - end, a
+            end = b if end is None else max(end, b)
+        return best, at
+
+    for (gap, at), least, axis in ((widest(1, 3), column_gap, 1), (widest(0, 4), block_gap, 0)):
+        if gap >= least:
+            return [b for side in ([w for w in words if w[axis] < at], [w for w in words if w[axis] >= at]) for b in cut_by_hand(side, column_gap, block_gap)]
+    return [words]
+
+
+def test_blocks_equal_recursive_cuts(spark):
+    r, rows, want = random.Random(12), [], {}
+    for page in range(30):
+        words = sorted({(float(y := r.randint(0, 40) * 10), float(x := r.randint(0, 60) * 10), f"w{k}", x + r.choice([20.0, 60.0]), y + 10.0) for k in range(r.randint(1, 25))})
+        rows += [(page, t, x0, y0, x1, y1) for y0, x0, t, x1, y1 in words]
+        want |= {(page, k): [w[2] for w in sorted(b)] for k, b in enumerate(cut_by_hand(words, 40.0, 30.0))}
+    df = spark.createDataFrame(rows, "page int, text string, x0 double, y0 double, x1 double, y1 double").repartition(3)
+    assert {(x["page"], x["block"]): [w["text"] for w in x["words"]] for x in layout.page_blocks(df, "page").collect()} == want
