@@ -181,6 +181,29 @@ def test_a_long_chain_of_bases(spark):
     assert all(got[1, k][0] == ["flour"] for k in range(400))
 
 
+def test_bases_grow_with_records_not_pairs(spark):
+    """Each record's base by brute force, marks around names aside; records meet by equal names, never pair by pair."""
+    import random
+    import re
+
+    some, words = random.Random(3), ["rye", "oat", "plain", "dough", "sweet", "bun"]
+    rows = [(d, p, " ".join(some.choices(words, k=some.randint(1, 2))) + some.choice(["", "!", " (1)"]), [], [some.choice(["Same dough as ", "Above base: ", "Own "]) + " ".join(some.choices(words, k=3)) + "."]) for d in (1, 2) for p in range(40)]
+    rows += [(3, 0, "!", [], []), (3, 1, None, [], ["Same dough."]), (3, 2, "Bun", [], ["Same dough."]), (None, 1, "Bun", [], ["Same dough."])]
+    df = spark.createDataFrame(rows, "doc int, pos int, name string, ingredients array<string>, method array<string>")
+    told = lambda text: " " + " ".join(re.findall(r"[^\W_]+", text.lower())) + " "
+    want = {}
+    for d, p, name, _, method in rows:
+        before = [r for r in rows if d and r[0] == d and r[1] < p]
+        text = " ".join([*([name] if name else []), *method])
+        if before and re.search(inheritance.REFERS[4:], text, re.I):
+            named = [r[1] for r in before if r[2] and told(r[2]).strip() and told(r[2]) in told(text)]
+            want[d, p] = max(named or [r[1] for r in before])
+    found = inheritance.bases(df, "doc")
+    assert {(r["doc"], r["pos"]): r["base_pos"] for r in found.collect()} == want and len(want) > 40
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert joins and not any("<" in line or ">" in line for line in joins)
+
+
 def test_versions(spark, tmp_path):
     """A failed save leaves the old version, a replayed batch changes nothing, undo takes back one part, late commits fail."""
     rows = lambda v, n=None: sorted(r["id"] for r in v.read(n).collect())
