@@ -120,12 +120,12 @@ def html_lists(html: DataFrame, key: str, column: str = "html") -> DataFrame:
     return rows.withColumn("item", squeezed(html_text(F.col("item")))).where("item <> ''")
 
 
-def html_sections(html: DataFrame, key: str, column: str = "html", tag: str = "h[1-6]") -> DataFrame:
-    """(key, pos, heading, body): each heading of a page and the text up to the next one."""
+def html_sections(html: DataFrame, key: str, column: str = "html", tag: str = "h[1-6]", read=lambda markup: squeezed(html_text(markup))) -> DataFrame:
+    """(key, pos, heading, body): each heading of a page, its markup read as text, and the text up to the next one."""
     marked = F.regexp_replace(F.col(column), rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", "\u0001$1\u0002")
     rows = html.select(key, F.posexplode(F.split(marked, "\u0001")).alias("pos", "part")).where("pos > 0")
     heading, body = F.substring_index("part", "\u0002", 1), F.substring_index("part", "\u0002", -1)
-    return rows.select(key, "pos", squeezed(html_text(heading)).alias("heading"), html_text(body).alias("body"))
+    return rows.select(key, "pos", read(heading).alias("heading"), html_text(body).alias("body"))
 
 
 RECORD = "struct<name:string,description:string,ingredients:array<string>,method:array<string>,notes:array<string>,servings:string>"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strataform.functions import markup, nested
 from strataform.functions import text as tx
 from strataform.operators import catalogue, inheritance, layout
+from strataform.plans import catalogue_queries, page_queries  # noqa: F401  (page_queries registers its queries)
 from strataform.sources import staging
 
 
@@ -181,6 +182,19 @@ def test_a_long_chain_of_bases(spark):
     assert all(got[1, k][0] == ["flour"] for k in range(400))
 
 
+def test_headings_and_texts_as_pages_write_them(spark, tmp_path):
+    """Entities that a heading holds, and ampersands that begin none, as the SQL of the queries has them."""
+    import duckdb
+
+    pages = [(1, "<h1>a &quot;b&quot; &amp; &lt;c</h1><p>x &am<li>y &amp; z"), (2, "<h1> t <i>u</i>&nbsp;</h1>R&D &a"), (3, "<p>none</p>"), (4, None)]
+    spark.createDataFrame(pages, "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("html_headings",):
+        got = [tuple(r) for r in catalogue_queries.queries()[name](spark, str(tmp_path)).collect()]
+        assert sorted(got) == sorted(duck.execute(catalogue_queries.oracle_sql()[name]).fetchall()), name
+
+
 def test_bases_grow_with_records_not_pairs(spark):
     """Each record's base by brute force, marks around names aside; records meet by equal names, never pair by pair."""
     import random
