@@ -41,13 +41,13 @@ def last_of(stack: Column, names) -> Column:
 
 def kept_before(stack: Column, name: Column) -> Column:
     """How many open elements stay when one of this name begins: those before the ones that it ends."""
-    out = F.size(stack)
-    for ended, by in IMPLIED.items():
+
+    def before(ended: str, by: tuple[str, ...]) -> Column:
         bound = BOUNDS.get(ended, ())
-        at = last_of(stack, lambda x, e=ended: x == e)
-        wall = last_of(stack, lambda x, b=bound: x.isin(*b)) if bound else F.lit(0)
-        out = F.when(name.isin(*by) & F.array_contains(stack, F.lit(ended)), F.when(at > wall, F.least(out, at - 1)).otherwise(out)).otherwise(out)
-    return F.when(name.isin(*sorted({x for by in IMPLIED.values() for x in by})), out).otherwise(F.size(stack))
+        at, wall = last_of(stack, lambda x: x == ended), last_of(stack, lambda x: x.isin(*bound)) if bound else F.lit(0)
+        return F.when(name.isin(*by) & F.array_contains(stack, F.lit(ended)), let(at, lambda at: F.when(at > wall, at - 1)))
+
+    return F.least(F.size(stack), *(before(ended, by) for ended, by in IMPLIED.items()))
 
 
 def folded(html: Column) -> Column:
@@ -154,6 +154,11 @@ def written(parts: Column, allowed: tuple[str, ...] = ALLOWED) -> Column:
     return F.aggregate(parts, none, step, lambda acc: F.array_join(acc["out"], ""))
 
 
+def source_text(parts: Column) -> Column:
+    """The text of folded() tokens as the page writes it: neither read nor escaped."""
+    return F.array_join(F.transform(F.filter(parts, lambda x: x["kind"] == "text"), lambda x: x["text"]), "")
+
+
 def escaped_text(text: Column) -> Column:
     """Text as it stands in markup: entities stay, lone marks become entities."""
     return reduce(lambda t, x: F.regexp_replace(t, x[0], x[1]), [("&(?!#?[A-Za-z0-9]+;)", "&amp;"), ("<", "&lt;"), (">", "&gt;")], text)

@@ -190,7 +190,7 @@ def test_headings_and_texts_as_pages_write_them(spark, tmp_path):
     spark.createDataFrame(pages, "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
-    for name in ("html_headings",):
+    for name in ("html_headings", "sanitised_markup"):
         got = [tuple(r) for r in catalogue_queries.queries()[name](spark, str(tmp_path)).collect()]
         assert sorted(got) == sorted(duck.execute(catalogue_queries.oracle_sql()[name]).fetchall()), name
 
