@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from strataform.functions.text import squeezed, words
+from strataform.functions.text import let, squeezed, words
 
 #: Whole lines of a page's own controls and counters.
 PAGE_NOISE = (
@@ -70,11 +70,14 @@ def nutrition_noise(line: Column) -> Column:
 
 def scan_garbage(line: Column) -> Column:
     """Marks of ownership, calls to action without a unit, many odd signs with few letters, next to no letters, bare headings."""
-    line = squeezed(line)
-    count = lambda kept: F.length(F.regexp_replace(line, f"[^{kept}]", ""))
-    letters, digits, odd = count("A-Za-z"), count("0-9"), count("@©®™|")
-    called = line.rlike(CALLS) & ~line.rlike(SCAN_UNIT)
-    return (line == "") | line.rlike(GENERIC) | ((odd >= 2) & (letters < 18)) | line.rlike("[©®™]") | called | ((letters < 2) & (digits < 1))
+
+    def found(line: Column) -> Column:
+        count = lambda kept: F.length(F.regexp_replace(line, f"[^{kept}]", ""))
+        letters, digits, odd = count("A-Za-z"), count("0-9"), count("@©®™|")
+        called = line.rlike(CALLS) & ~line.rlike(SCAN_UNIT)
+        return (line == "") | line.rlike(GENERIC) | ((odd >= 2) & (letters < 18)) | line.rlike("[©®™]") | called | ((letters < 2) & (digits < 1))
+
+    return let(squeezed(line), found)
 
 
 def document_garbage(line: Column) -> Column:

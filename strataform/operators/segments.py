@@ -213,12 +213,15 @@ def numbered_record(text: Column, headings: Headings = Headings()) -> Column:
     """
     every = F.filter(F.transform(F.split(text, "\n"), squeezed), lambda x: x != "")
 
+    told = lambda x, kind: F.struct(x.alias("line"), kind.alias("kind"), x.rlike(r"(?i)^([0-9]{1,2}[.)]|step ?[0-9]+)").alias("numbered"), F.when(kind.isNull(), ~scan_garbage(x)).otherwise(F.lit(False)).alias("stays"))
+    every = F.transform(every, lambda x: let(headings.kind(x), lambda kind: told(x, kind)))
+
     def step(acc: Column, x: Column) -> Column:
-        kind = headings.kind(x)
-        section = F.when(kind.isNotNull(), kind).when(x.rlike(r"(?i)^([0-9]{1,2}[.)]|step ?[0-9]+)") & (acc["section"] != "notes"), F.lit("method")).otherwise(acc["section"])
-        into = lambda name: (section == "method") if name == "method" else (section != "method")
-        grown = {name: F.when(kind.isNull() & ~scan_garbage(x) & into(name), F.array_append(acc[name], x)).otherwise(acc[name]) for name in ("ingredients", "method")}
-        return F.struct(section.alias("section"), *(v.alias(k) for k, v in grown.items()))
+        def grown(section: Column) -> Column:
+            put = lambda name, here: F.when(x["stays"] & here, F.array_append(acc[name], x["line"])).otherwise(acc[name]).alias(name)
+            return F.struct(section.alias("section"), put("ingredients", section != "method"), put("method", section == "method"))
+
+        return let(F.when(x["kind"].isNotNull(), x["kind"]).when(x["numbered"] & (acc["section"] != "notes"), F.lit("method")).otherwise(acc["section"]), grown)
 
     none = F.array().cast("array<string>")
     start = F.struct(F.lit("").alias("section"), none.alias("ingredients"), none.alias("method"))

@@ -15,7 +15,7 @@ from strataform.operators import catalogue, inheritance, layout, lines, quality,
 from strataform.plans import import_flow
 from strataform.plans.catalogue_queries import query
 from strataform.sources import sinks, tables
-from strataform.sources.tables import table
+from strataform.sources.tables import spread, table
 from strataform.streaming import status_log
 
 #: Lines of recipes, pages and scans.
@@ -202,7 +202,7 @@ def recipe_text(texts: list[str]) -> Column:
 @query(f"SELECT c_custkey, {fields(0)} AS title, {fields(1)} AS description, {fields(2)} AS ingredients, {fields(3)} AS method, {fields(4)} AS notes FROM customer")
 def labelled_records(spark, d):
     """Texts with headings as records."""
-    rows = table(spark, d, "customer").select("c_custkey", recipe_text([t for t, _ in RECIPES]).alias("text"))
+    rows = spread(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey").select("c_custkey", recipe_text([t for t, _ in RECIPES]).alias("text"))
     found = segments.records(segments.lines_of(rows, "c_custkey"), "c_custkey")
     return found.select("c_custkey", "title", "description", *(F.array_join(c, "|").alias(c) for c in ("ingredients", "method", "notes")))
 
@@ -218,7 +218,7 @@ NUMBERED = [
 def numbered_records(spark, d):
     """A numbered line belongs to the method whatever is above it."""
     found = segments.numbered_record(recipe_text([a for a, _, _ in NUMBERED]))
-    return table(spark, d, "customer").select("c_custkey", found.alias("r")).select("c_custkey", F.array_join("r.ingredients", "|").alias("ingredients"), F.array_join("r.method", "|").alias("method"))
+    return spread(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey").select("c_custkey", found.alias("r")).select("c_custkey", F.array_join("r.ingredients", "|").alias("ingredients"), F.array_join("r.method", "|").alias("method"))
 
 
 #: Texts of several records, with each one's title and numbers of lines.
@@ -232,7 +232,7 @@ SEVERAL = [
 @query("SELECT c_custkey, r.record::BIGINT AS record, r.title AS title, r.i::INT AS ingredients, r.m::INT AS method FROM (SELECT c_custkey, unnest(CASE c_custkey % 3 " + " ".join(f"WHEN {k} THEN [" + ", ".join(f"{{'record': {j}, 'title': '{t}', 'i': {i}, 'm': {m}}}" for j, (t, i, m) in enumerate(found, 1)) + "]" for k, (_, found) in enumerate(SEVERAL) if found) + " ELSE [] END) AS r FROM customer)")
 def several_records(spark, d):
     """Texts parted at numbered titles with ingredients below; only those that give two records or more."""
-    rows = table(spark, d, "customer").select("c_custkey", recipe_text([t for t, _ in SEVERAL]).alias("text"))
+    rows = spread(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey").select("c_custkey", recipe_text([t for t, _ in SEVERAL]).alias("text"))
     found = segments.separated(segments.lines_of(rows, "c_custkey"), "c_custkey", lambda line: line.rlike("^[0-9]{1,2}[.)] "))
     return found.select("c_custkey", "record", "title", F.size("ingredients").alias("ingredients"), F.size("method").alias("method"))
 
@@ -255,7 +255,7 @@ def site(k: int) -> str:
 def page_parsers(spark, d):
     """The record of the first parser that has one, in order."""
     html = F.replace(F.get(F.array(*(F.lit(x) for x, _ in SITES)), (F.col("page_id") % 5).cast("int")), F.lit("%"), F.concat(F.lit("P"), "page_id"))
-    found = segments.page_records(table(spark, d, "pages").select("page_id", html.alias("html")), "page_id")
+    found = segments.page_records(spread(table(spark, d, "pages").select("page_id"), "page_id").select("page_id", html.alias("html")), "page_id")
     return found.select("page_id", "parser", F.col("record.name").alias("title"), F.array_join("record.ingredients", "|").alias("ingredients"), F.array_join("record.method", "|").alias("method"))
 
 
@@ -269,7 +269,7 @@ BLOCKS = [
 @query(f"SELECT c_custkey, " + ", ".join(f"(CASE c_custkey % 2 WHEN 0 THEN {BLOCKS[0][1][k]} ELSE {BLOCKS[1][1][k]} END)::{t} AS {n}" for k, (n, t) in enumerate((("block", "BIGINT"), ("score", "INT"), ("ingredients", "INT"), ("method", "INT")))) + " FROM customer")
 def best_blocks(spark, d):
     """Of several blocks with ingredients and a method the one with the most points."""
-    rows = table(spark, d, "customer").select("c_custkey", recipe_text([t for t, _ in BLOCKS]).alias("text"))
+    rows = spread(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey").select("c_custkey", recipe_text([t for t, _ in BLOCKS]).alias("text"))
     found = segments.best_block(segments.lines_of(rows, "c_custkey"), "c_custkey")
     return found.select("c_custkey", "block", "score", F.size("ingredients").alias("ingredients"), F.size("method").alias("method"))
 

@@ -10,6 +10,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by key, for much work a row: a small table lies in few row groups, each of which one task reads."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): txt, md and csv files, each as one text; nothing in them is parsed."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strataform.functions import markup, nested
 from strataform.functions import text as tx
 from strataform.operators import catalogue, inheritance, layout
-from strataform.plans import catalogue_queries, page_queries  # noqa: F401  (page_queries registers its queries)
+from strataform.plans import catalogue_queries, import_queries, page_queries  # noqa: F401  (they register their queries)
 from strataform.sources import staging
 
 
@@ -218,6 +218,13 @@ def test_bases_grow_with_records_not_pairs(spark):
     assert joins and not any("<" in line or ">" in line for line in joins)
 
 
+@pytest.mark.parametrize("name", ["numbered_records"])
+def test_work_inside_a_row_is_dealt_first(spark, name):
+    """A table in one row group is dealt to all tasks before the work on a row, and moves only once."""
+    plan = catalogue_queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan and "Window" not in plan
+
+
 def test_versions(spark, tmp_path):
     """A failed save leaves the old version, a replayed batch changes nothing, undo takes back one part, late commits fail."""
     rows = lambda v, n=None: sorted(r["id"] for r in v.read(n).collect())
