@@ -14,7 +14,7 @@ from strataform.functions.markup import folded, marked, texts_with
 from strataform.functions.nested import containers
 from strataform.functions.noise import nutrition_noise, page_noise, scan_garbage, step_line
 from strataform.functions.text import html_text, let, squeezed, without_citations, without_marker
-from strataform.operators.lines import along, carried, exploded
+from strataform.operators.lines import along, carried, exploded, line_array
 
 
 #: What a heading line may end with.
@@ -269,6 +269,11 @@ def lines_of(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return exploded(df, key, text)
 
 
+def line_arrays(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, lines): each row's lines as an array, empty without any."""
+    return df.select(key, line_array(F.col(text)).alias("lines"))
+
+
 @dataclass(frozen=True)
 class Scoring:
     """Points of a block: for each ingredient, each with a quantity, and each method line (up to most_steps, with verb only those that match it); less for long lines without a quantity.
@@ -292,29 +297,53 @@ PDF = Scoring(quantity=2, step=1, verb=None, prose=0, without_method=2, least_in
 SCAN = Scoring(quantity=3, step=2, verb=None, prose=0, without_method=2, least_ingredients=2)
 
 
+def parted(lines: Column, headings: Headings = Headings()) -> Column:
+    """array<struct<kind, body>> of an array of lines: each heading's kind and the lines below it, up to the next one."""
+
+    def of(lines: Column, heads: Column) -> Column:
+        return F.transform(heads, lambda h, j: F.struct(h["kind"].alias("kind"), F.slice(lines, h["at"] + 2, F.coalesce(F.get(heads, j + 1)["at"], F.size(lines)) - h["at"] - 1).alias("body")))
+
+    every = lambda lines: F.transform(lines, lambda x, i: F.struct(headings.kind(x).alias("kind"), i.alias("at")))
+    return let(lines, lambda lines: let(F.filter(every(lines), lambda h: h["kind"].isNotNull()), lambda heads: of(lines, heads)))
+
+
 def best_block(lines: DataFrame, key: str, headings: Headings = Headings(), quantity: str = "[0-9]", scoring: Scoring = Scoring()) -> DataFrame:
-    """(key, block, score, ingredients, method): of the parts that begin with an ingredients heading the one with the most points, of equal ones the first.
+    """best_of() of documents whose lines are rows: shuffled once, by document."""
+    docs = lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"))
+    return best_of(docs, key, headings, quantity, scoring)
+
+
+def best_of(docs: DataFrame, key: str, headings: Headings = Headings(), quantity: str = "[0-9]", scoring: Scoring = Scoring()) -> DataFrame:
+    """(key, block, score, ingredients, method) of line arrays: of the parts that begin with an ingredients heading the one with the most points, of equal ones the first.
 
-    A part ends at the next ingredients heading or at a stop; see Scoring for what it must have.
+    A part ends at the next ingredients heading or at a stop; see Scoring for what it must have. All inside the row.
     """
-    kind = headings.kind(F.col("line"))
-    rows = lines.withColumn("_kind", kind)
-    upto = along(key).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("block", F.sum(F.when(F.col("_kind") == "ingredients", 1).otherwise(0)).over(upto)).where("block > 0")
-    inside = Window.partitionBy(key, "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("section", F.last("_kind", ignorenulls=True).over(inside)).withColumn("_stopped", F.count_if(F.col("_kind") == "stop").over(inside) > 0)
-    rows = rows.where("NOT _stopped AND _kind IS NULL")
-    of = lambda name: F.array_sort(F.filter(F.collect_list(F.when(F.col("section") == name, F.struct("pos", "line"))), lambda x: x.isNotNull()))["line"]
-    out = rows.groupBy(key, "block").agg(of("ingredients").alias("ingredients"), of("method").alias("method"))
     count = lambda c, test: F.size(F.filter(c, test))
-    has, chars = F.size("method") > 0, F.length(F.array_join("method", "\n"))
-    whole = has & (chars >= scoring.least_method_chars) if scoring.without_method is None else ~has | (chars >= scoring.least_method_chars)
-    steps = F.size("method") if scoring.verb is None else count("method", lambda x: x.rlike(scoring.verb))
-    score = scoring.ingredient * F.size("ingredients") + scoring.quantity * count("ingredients", lambda x: x.rlike(quantity)) + scoring.step * F.least(steps, F.lit(scoring.most_steps))
-    score = score - scoring.prose * count("ingredients", lambda x: F.length(x) > scoring.prose_chars) + F.when(has, 0).otherwise(scoring.without_method or 0)
-    turn = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "block"))
-    out = out.where((F.size("ingredients") >= scoring.least_ingredients) & whole).withColumn("score", score)
-    return out.withColumn("_turn", turn).where("_turn = 1").select(key, "block", "score", "ingredients", "method")
+
+    def block(own: Column, n: Column) -> Column:
+        stop = F.array_position(F.transform(own, lambda p: p["kind"]), "stop").cast("int")
+        method = F.transform(F.filter(F.when(stop > 0, F.slice(own, F.lit(1), stop - 1)).otherwise(own), lambda p: p["kind"] == "method"), lambda p: p["body"])
+        return F.struct(n.cast("long").alias("block"), F.get(own, F.lit(0))["body"].alias("ingredients"), F.flatten(method).alias("method"))
+
+    def scored(b: Column) -> Column:
+        ingredients, method = b["ingredients"], b["method"]
+        has, chars = F.size(method) > 0, F.length(F.array_join(method, "\n"))
+        whole = has & (chars >= scoring.least_method_chars) if scoring.without_method is None else ~has | (chars >= scoring.least_method_chars)
+        steps = F.size(method) if scoring.verb is None else count(method, lambda x: x.rlike(scoring.verb))
+        score = scoring.ingredient * F.size(ingredients) + scoring.quantity * count(ingredients, lambda x: x.rlike(quantity)) + scoring.step * F.least(steps, F.lit(scoring.most_steps))
+        score = score - scoring.prose * count(ingredients, lambda x: F.length(x) > scoring.prose_chars) + F.when(has, 0).otherwise(scoring.without_method or 0)
+        return F.when((F.size(ingredients) >= scoring.least_ingredients) & whole, F.struct(score.alias("score"), (-b["block"]).alias("before"), ingredients.alias("ingredients"), method.alias("method")))
+
+    def best(parts: Column) -> Column:
+        starts = F.filter(F.transform(parts, lambda p, i: F.when(p["kind"] == "ingredients", i)), lambda i: i.isNotNull())
+        own = lambda starts, at, j: F.slice(parts, at + 1, F.coalesce(F.get(starts, j + 1), F.size(parts)) - at)
+        blocks = let(starts, lambda starts: F.transform(starts, lambda at, j: let(own(starts, at, j), lambda some: block(some, j + 1))))
+        return F.array_max(F.transform(blocks, scored))
+
+    lines = F.transform("lines", lambda x: x["line"])
+    # A generator computes its rows once; a filter on the best would do so again.
+    found = docs.select(key, F.inline(F.filter(F.array(let(parted(lines, headings), best)), lambda b: b.isNotNull())))
+    return found.select(key, (-F.col("before")).alias("block"), "score", "ingredients", "method")
 
 
 def repaired(ingredients: Column, method: Column, label: str = r"(?<=[a-z.]) (?=\p{Lu}[a-z]+( [a-z]+)?: )", instruction: str = r"(?i)^(add|bake|boil|cook|fry|heat|mix|pour|serve|stir)\b.*\.$") -> list[Column]:

@@ -270,7 +270,7 @@ BLOCKS = [
 def best_blocks(spark, d):
     """Of several blocks with ingredients and a method the one with the most points."""
     rows = spread(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey").select("c_custkey", recipe_text([t for t, _ in BLOCKS]).alias("text"))
-    found = segments.best_block(segments.lines_of(rows, "c_custkey"), "c_custkey")
+    found = segments.best_of(segments.line_arrays(rows, "c_custkey"), "c_custkey")
     return found.select("c_custkey", "block", "score", F.size("ingredients").alias("ingredients"), F.size("method").alias("method"))
 
 

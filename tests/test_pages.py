@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strataform.functions import markup, nested
 from strataform.functions import text as tx
-from strataform.operators import catalogue, inheritance, layout
+from strataform.operators import catalogue, inheritance, layout, segments
 from strataform.plans import catalogue_queries, import_queries, page_queries  # noqa: F401  (they register their queries)
 from strataform.sources import staging
 
@@ -218,13 +218,24 @@ def test_bases_grow_with_records_not_pairs(spark):
     assert joins and not any("<" in line or ">" in line for line in joins)
 
 
-@pytest.mark.parametrize("name", ["numbered_records"])
+@pytest.mark.parametrize("name", ["numbered_records", "best_page_blocks", "best_pdf_blocks", "best_scan_blocks", "best_blocks"])
 def test_work_inside_a_row_is_dealt_first(spark, name):
     """A table in one row group is dealt to all tasks before the work on a row, and moves only once."""
     plan = catalogue_queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan and "Window" not in plan
 
 
+def test_parts_of_lines(spark):
+    """Blocks inside a row and of lines that are rows; stops, headings without lines, documents without blocks."""
+    texts = {1: "x\nMethod\nno\nIngredients\n1 egg\n\nNotes\nn\nMethod\nMix.\nMethod\nFry.\nShare this\nMethod\nStir.", 2: "Ingredients\nIngredients\nsalt\nMethod\nCook.", 3: "nothing", 4: "", 5: None, 6: "Ingredients\nsalt\nShare this\nMethod\nCook."}
+    df = spark.createDataFrame(list(texts.items()), "id int, text string")
+    want = [(1, 1, 13, ["1 egg"], ["Mix.", "Fry."]), (2, 2, 7, ["salt"], ["Cook."])]
+    for found in (segments.best_of(segments.line_arrays(df, "id"), "id"), segments.best_block(segments.lines_of(df, "id"), "id")):
+        assert sorted(tuple(r) for r in found.collect()) == want
+    parts = df.where("id = 2").select(segments.parted(F.split("text", "\n")).alias("p")).first()["p"]
+    assert [(p["kind"], p["body"]) for p in parts] == [("ingredients", []), ("ingredients", ["salt"]), ("method", ["Cook."])]
+
+
 def test_versions(spark, tmp_path):
     """A failed save leaves the old version, a replayed batch changes nothing, undo takes back one part, late commits fail."""
     rows = lambda v, n=None: sorted(r["id"] for r in v.read(n).collect())
