@@ -25,13 +25,12 @@ BOUNDS = {"li": ("ul", "ol"), "td": ("table",), "th": ("table",), "tr": ("table"
 def tokens(html: Column) -> Column:
     """array<struct<kind, name, text>>: open, close, void, text or raw (comments, scripts, declarations), in order."""
 
-    def made(x: Column) -> Column:
-        name = F.lower(F.regexp_extract(x, "^</?([A-Za-z][A-Za-z0-9]*)", 1))
+    def made(x: Column, name: Column) -> Column:
         raw = x.startswith("<!") | name.isin("script", "style", "noscript", "template")
         kind = F.when(name == "", F.when(raw, "raw").otherwise("text")).when(raw, "raw").when(x.startswith("</"), "close").when(name.isin(*VOID), "void").otherwise("open")
         return F.struct(kind.alias("kind"), name.alias("name"), x.alias("text"))
 
-    return F.transform(F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0)), made)
+    return F.transform(F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0)), lambda x: let(F.lower(F.regexp_extract(x, "^</?([A-Za-z][A-Za-z0-9]*)", 1)), lambda name: made(x, name)))
 
 
 def last_of(stack: Column, names) -> Column:

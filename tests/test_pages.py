@@ -218,7 +218,7 @@ def test_bases_grow_with_records_not_pairs(spark):
     assert joins and not any("<" in line or ">" in line for line in joins)
 
 
-@pytest.mark.parametrize("name", ["numbered_records", "best_page_blocks", "best_pdf_blocks", "best_scan_blocks", "best_blocks"])
+@pytest.mark.parametrize("name", ["numbered_records", "best_page_blocks", "best_pdf_blocks", "best_scan_blocks", "best_blocks", "menu_parts", "sanitised_markup"])
 def test_work_inside_a_row_is_dealt_first(spark, name):
     """A table in one row group is dealt to all tasks before the work on a row, and moves only once."""
     plan = catalogue_queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
