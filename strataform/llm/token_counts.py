@@ -1,7 +1,8 @@
 """Exact token counts of every prefix, by dynamic programming.
 
 For each prefix of a word the last token of its encoding is stored: the one token that
-ends there, encodes to itself, and can follow the last token of the prefix before it.
+ends there, encodes to itself, and can follow the last token of the prefix before it. Tokens
+that end at a byte are those of an automaton's state, which grows as words need it.
 Its count is one more than that prefix's. So budgets and truncations need no encoding.
 """
 
@@ -43,68 +44,109 @@ class PrefixCounts:
         self.vocabulary = {raw(token): k for token, k in data["model"]["vocab"].items() if token not in special}
         pairs = (m.split(" ") if isinstance(m, str) else m for m in data["model"]["merges"])
         self.merges = {(raw(a), raw(b)): k for k, (a, b) in enumerate(pairs)}
-        self.longest = max(map(len, self.vocabulary))
-        self.alone: dict[bytes, bool] = {}
-        self.follows: dict[tuple[bytes, bytes], bool] = {}
+        self.starts = {token[:k] for token in self.vocabulary for k in range(1, len(token) + 1)}
         self.known: dict[str, bytes | np.ndarray] = {}
+        #: Merges of tokens that encode to themselves.
+        self.steps: dict[bytes, list[tuple[int, bytes, bytes]]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        #: For each token the tokens before it, and whether it can follow them; how many there are.
+        self.before: dict[bytes, dict[bytes, bool]] = {}
+        self.pairs = 0
+        #: States of the automaton, by the longest end of what was read that begins a token: next states by byte, tokens that end here.
+        self.states: dict[bytes, tuple] = {}
+        self.root: tuple = ({}, [], b"")
 
     def encoded(self, text: bytes) -> list[bytes]:
         """Merges of a short text, lowest rank first."""
-        parts = [text[i : i + 1] for i in range(len(text))]
+        return self.merged(text)[0]
+
+    def merged(self, text: bytes) -> tuple[list[bytes], list[tuple[int, bytes, bytes]]]:
+        """(tokens of a short text, its merges in order): each merge's rank, and the first and last part after it."""
+        parts, steps = [text[i : i + 1] for i in range(len(text))], []
         ranks = self.merges
         while len(parts) > 1:
             best, at = min((ranks.get(pair, 1 << 30), i) for i, pair in enumerate(zip(parts, parts[1:])))
             if best == 1 << 30:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def stands(self, token: bytes) -> bool:
-        if (known := self.alone.get(token)) is None:
-            known = self.alone[token] = self.encoded(token) == [token]
-        return known
-
-    def fits(self, a: bytes, b: bytes) -> bool:
-        if (known := self.follows.get((a, b))) is None:
-            known = self.follows[a, b] = self.encoded(a + b) == [a, b]
-        return known
+            steps.append((best, parts[0], parts[-1]))
+        return parts, steps
+
+    def whole(self, token: bytes) -> bool:
+        """Whether a token encodes to itself; its merges are kept for fits()."""
+        parts, steps = self.merged(token)
+        if parts == [token]:
+            self.steps[token] = [*steps, (1 << 30, token, token)]
+        return parts == [token]
+
+    def step(self, state: tuple, byte: int) -> tuple:
+        """The state after one more byte. Its tokens encode to themselves and come with what is known of those before them, longest first."""
+        end = state[2] + bytes([byte])
+        while end not in self.starts and end:
+            end = end[1:]
+        if (found := self.states.get(end)) is None:
+            tokens = [end[k:] for k in range(len(end)) if end[k:] in self.vocabulary and (end[k:] in self.steps or self.whole(end[k:]))]
+            found = self.states[end] = ({}, [(len(x), x, self.before.setdefault(x, {})) for x in tokens], end)
+        state[0][byte] = found
+        return found
+
+    def fits(self, a: bytes, b: bytes, known: dict[bytes, bool]) -> bool:
+        """Whether a + b encodes to [a, b]: both merge as they do alone, unless the pair between them comes first.
+
+        Of equal ranks the left one is first.
+        """
+        left, right, get = self.steps[a], self.steps[b], self.merges.get
+        i, j, x, y = 0, 0, a[-1:], b[:1]
+        while (across := get((x, y), 1 << 30)) >= left[i][0] or across > right[j][0]:
+            if left[i][0] <= right[j][0]:
+                if left[i][0] == 1 << 30:
+                    break
+                x, i = left[i][2], i + 1
+            else:
+                y, j = right[j][1], j + 1
+        found = known[a] = across == 1 << 30
+        self.pairs += 1
+        return found
 
     def prefixes(self, words: list[bytes]) -> Iterator[np.ndarray | bytes]:
         """For each of the words, in ascending order, the number of tokens of word[:1], word[:2] and so on.
 
         What a word shares with the one before it is known already.
         """
-        tokens, longest, follows, alone = self.vocabulary, self.longest, self.follows, self.alone
-        last, count, before_it = [b""], [0], b""
+        last, count, states, before_it = [b""], [0], [self.root], b""
         for word in words:
             n, same = len(word), 0
             for a, b in zip(word, before_it):
                 if a != b:
                     break
                 same += 1
-            del last[same + 1 :], count[same + 1 :]
-            for i in range(same + 1, n + 1):
-                for j in range(max(0, i - longest), i):
-                    token = word[j:i]
-                    if token in tokens and (alone[token] if token in alone else self.stands(token)):
-                        left = last[j]
-                        if not j or (follows[left, token] if (left, token) in follows else self.fits(left, token)):
-                            last.append(token)
-                            count.append(count[j] + 1)
-                            break
+            del last[same + 1 :], count[same + 1 :], states[same + 1 :]
+            state = states[-1]
+            for i, byte in enumerate(word[same:], same + 1):
+                state = state[0].get(byte) or self.step(state, byte)
+                states.append(state)
+                for size, token, known in state[1]:
+                    left = last[i - size]
+                    if i == size or (known[left] if left in known else self.fits(left, token, known)):
+                        last.append(token)
+                        count.append(count[i - size] + 1)
+                        break
             before_it = word
             yield bytes(count[1:]) if n < 256 else np.array(count[1:])
 
     def of_words(self, words: list[str]) -> list:
         known = self.known
-        for memory in (known, self.alone, self.follows):
-            if len(memory) > REMEMBERED:
-                memory.clear()
+        if len(known) > REMEMBERED:
+            known.clear()
+        if self.pairs > REMEMBERED or len(self.states) > REMEMBERED:
+            self.forget()
         for mark in self.special:
             known[mark] = bytes([1] * len(mark.encode()))
-        new = sorted(w.encode() for w in words if w not in known)
-        for word, found in zip(new, self.prefixes(new)):
-            known[word.decode()] = found
+        new = sorted((w.encode(), w) for w in words if w not in known)
+        for (_, word), found in zip(new, self.prefixes([x for x, _ in new])):
+            known[word] = found
         return [known[w] for w in words]
 
 
