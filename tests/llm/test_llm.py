@@ -157,6 +157,22 @@ def test_passages(spark, docs, empty):
     assert {(8, 7), (9, 7), (10, 7), (11, 7), (14, 7)} <= pairs and not any(a in (15, 16, 18) for a, _ in pairs)
 
 
+def test_passages_deal_texts_once(spark, monkeypatch):
+    """Joins by document find the texts in buckets and don't shuffle them; table and files go with the run."""
+    read = []
+    monkeypatch.setattr(passages, "text_of", lambda docs: read.append(docs) or common.text_of(docs))
+    words = prose(61, 60)
+    df = spark.createDataFrame([(k, prose(600 + k, 60) + " " + words) for k in range(3)], "doc_id long, text string")
+    assert passages.passages(df).count() == 3 and len(read) == 2  # for the seeds, and for the buckets
+    tables = common.Tables(spark, "test")
+    texts = tables.bucketed(df, "doc_id", 8, "texts")
+    both = texts.join(spark.range(3).withColumnRenamed("id", "doc_id").hint("merge"), "doc_id")
+    assert both._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1 and both.count() == 3
+    name, = tables.named.values()
+    tables.keep_only()
+    assert not spark.catalog.tableExists(name) and not any(t.name.startswith("texts_") for t in spark.catalog.listTables())
+
+
 def test_passages_of_two_stock_sentences(spark):
     one, two = prose(31, 30), prose(32, 30)
     texts = {1: one, 2: one, 3: two, 4: two, 10: one + " " + two, 20: one + " " + two}
