@@ -194,6 +194,18 @@ def test_passages_between_later_holders(spark):
     assert all(r["doc_id"] == 901 and r["start"] >= 25 and r["end"] <= 95 for r in found)
 
 
+def test_fuzzy_passages_between_later_holders(spark):
+    """Each half of a passage with changed words is in other documents first, so that neither the first holder nor the one before has enough of it."""
+    words = prose(71, 64).split()
+    changed = [f"new{i}" if i % 16 == 8 else w for i, w in enumerate(words)]
+    part = lambda k, a: (k, prose(700 + k, 80) + " " + " ".join(words[a : a + 32]) + " " + prose(800 + k, 80))
+    rows = [part(1, 0), part(2, 32), part(11, 0), part(12, 32)]
+    rows += [(k, prose(700 + k, 80) + " " + " ".join(x) + " " + prose(800 + k, 80)) for k, x in ((10, words), (20, changed))]
+    found = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["other_id"]) for r in found] == [(20, 10)]
+    assert found[0]["start"] <= 81 and found[0]["end"] >= 143 and found[0]["n_matched"] == 60
+
+
 def test_passages_far_apart_are_several(spark):
     one, two = prose(51, 600), prose(52, 600)
     rows = [(1, one + " " + prose(53, 1000) + " " + two), (2, one + " " + prose(54, 3000) + " " + two)]
