@@ -206,6 +206,18 @@ def test_fuzzy_passages_between_later_holders(spark):
     assert found[0]["start"] <= 81 and found[0]["end"] >= 143 and found[0]["n_matched"] == 60
 
 
+def test_frequent_seeds_are_seen_where_they_lie(spark):
+    """Of a seed with very many places, only the few rows at the ends of batches aren't known to be such."""
+    rows = [(i, 0, 5) for i in range(30000)] + [(i, 1, 6) for i in range(3)]
+    tables = common.Tables(spark, "test")
+    _, shared = passages.counted(tables, tables.saved(spark.createDataFrame(rows, "doc_id long, pos int, seed long")), 3)
+    n, few = collections.Counter(), collections.Counter()
+    for r in shared.collect():
+        n[r["seed"]] += 1
+        few[r["seed"]] += r["seen"] <= passages.HOLDERS
+    assert n[6] == few[6] == 3 and n[5] >= 30000 and few[5] <= 400
+
+
 def test_passages_far_apart_are_several(spark):
     one, two = prose(51, 600), prose(52, 600)
     rows = [(1, one + " " + prose(53, 1000) + " " + two), (2, one + " " + prose(54, 3000) + " " + two)]
