@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SHINGLE, Tables, Words, components, mixed, pieces, rolling, text_of
@@ -210,24 +210,32 @@ def overlaps(a_n: np.ndarray, a_keys: np.ndarray, b_n: np.ndarray, b_keys: np.nd
 
 
 def regions(tables: Tables, forest: DataFrame, depth: int, least_depth: int, reach: int, most: int) -> tuple[DataFrame, DataFrame | None]:
-    """(region, doc_id, n_shingles): rows that share a prefix with more others than neighbours reach; (doc_id): those of regions that were split, or None.
+    """(region, doc_id, n_shingles): rows that share a prefix with more others than neighbours reach; (doc_id): those of regions that were split, once for each, or None.
 
     A region is the shortest prefix, from least_depth on, that at most so many rows have.
     It begins with its tree's number. Rows of larger ones at the last depth are in none.
     """
-    rest, out, counts, split = forest.select("doc_id", "n_shingles", "label"), None, [], None
-    for d in range(least_depth, depth + 1):
-        rows = rest.withColumn("region", F.substring("label", 1, 2 * (d + 1)))
-        count = tables.saved(rows.groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") > reach + 1), "counts")
-        counts.append(count)
-        final = rows.join(count.where(F.col("n") <= most), "region").select("region", "doc_id", "n_shingles")
-        out = final if out is None else out.union(final)
-        large = count.where(F.col("n") > most).select("region")
-        if large.isEmpty():
-            break
-        rest = rows.join(large, "region", "left_semi").select("doc_id", "n_shingles", "label")
-        if split is None:
-            split = tables.saved(rest.select("doc_id").distinct(), "split")
+    out, counts, split = None, [], None
+
+    def counted(rows: DataFrame) -> DataFrame:
+        counts.append(tables.saved(rows.groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") > reach + 1), "counts"))
+        return counts[-1]
+
+    rows = forest.select("doc_id", "n_shingles", "label", F.substring("label", 1, 2 * (least_depth + 1)).alias("region"))
+    count = counted(rows)
+    out = rows.join(count.where(F.col("n") <= most), "region").select("region", "doc_id", "n_shingles")
+    large = count.where(F.col("n") > most).select("region")
+    if not large.isEmpty():
+        rest = tables.saved(rows.join(large, "region", "left_semi").select("doc_id", "n_shingles", "label"), "rest")
+        counts.append(rest)
+        split = tables.saved(rest.select("doc_id"), "split")
+        if depth > least_depth:  # all longer prefixes are counted at once
+            longer = F.explode(F.expr(f"transform(sequence({least_depth + 2}, {depth + 1}), d -> substring(label, 1, 2 * d))"))
+            rows = rest.select("doc_id", "n_shingles", longer.alias("region"))
+            count = counted(rows)
+            above = large.union(count.where(F.col("n") > most).select("region")).withColumnRenamed("region", "above")
+            final = count.where(F.col("n") <= most).withColumn("above", F.expr("substring(region, 1, length(region) - 2)")).join(above, "above", "left_semi").select("region")
+            out = out.union(rows.join(final, "region").select("region", "doc_id", "n_shingles"))
     out = out.withColumn("lead", F.lit(True))  # every row meets every other
     return tables.saved(out, "regions", tuple(counts)), split
 
@@ -371,14 +379,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([flat[8 * i : 8 * j] for i, j in zip(offsets, offsets[1:])], pa.binary())], ["doc_id", "keys"])
 
     # The candidates' ids grow with the corpus, so they are never broadcast.
-    once = text_of(docs).join(ids.hint("merge"), "doc_id")
-    sets = tables.saved(once.select("doc_id", "text").mapInArrow(sets_of, "doc_id long, keys binary"), "sets").dropDuplicates(["doc_id"])
+    once = text_of(docs).join(ids.hint("merge"), "doc_id").dropDuplicates(["doc_id"])
+    sets = tables.saved(once.select("doc_id", "text").mapInArrow(sets_of, "doc_id long, keys binary"), "sets")
 
     # First each document's most promising candidate; then whatever still joins two components.
-    best = Window.partitionBy("a").orderBy(F.desc("weight"), "b")
-    first = pairs.withColumn("rank", F.row_number().over(best)).where("rank = 1").select("a", "b")
-    other = Window.partitionBy("b").orderBy(F.desc("weight"), "a")
-    first = tables.saved(first.union(pairs.withColumn("rank", F.row_number().over(other)).where("rank = 1").select("a", "b")).distinct(), "first")
+    ends = F.explode(F.array(*(F.struct(F.lit(low).alias("low"), F.col(x).alias("node"), F.col(y).alias("other"), "weight") for low, x, y in ((True, "a", "b"), (False, "b", "a")))))
+    best = pairs.select(ends.alias("end")).select("end.*").groupBy("low", "node").agg(F.max_by("other", F.struct("weight", -F.col("other"))).alias("other"))
+    first = tables.saved(best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "first")
     found = components(confirmed(first, sets, percent), tables)
 
     def with_more(found: DataFrame, links: DataFrame) -> DataFrame:

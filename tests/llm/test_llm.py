@@ -133,6 +133,52 @@ def test_near_duplicates_of_thousands_alike(spark):
     assert {got[i] for i in range(5000)} == {0} and all(got[9000 + i] == 9000 + i for i in range(40))
 
 
+def test_regions_of_few_tables(spark):
+    """The shortest prefix that few enough rows have, whatever the depth; all depths are counted in two tables."""
+    r, rows = random.Random(7), []
+    for k in range(600):
+        for tree in range(3):
+            rows.append((k, 9, bytes([0, tree]) + b"".join(bytes([0, 0 if r.random() < 0.8 else r.randrange(3)]) for _ in range(6))))
+    rows += [(1000 + k, 9, bytes([0, 5]) + bytes(12)) for k in range(90)]  # alike at every depth: in no region
+    forest = spark.createDataFrame(rows, "doc_id long, n_shingles long, label binary")
+    many = collections.Counter(label[:n] for _, _, label in rows for n in range(6, 15, 2))
+    want, large = set(), set()
+    for doc, _, label in rows:
+        n = next((n for n in range(6, 15, 2) if many[label[:n]] <= 40), None)
+        if n and many[label[:n]] > 3:
+            want.add((label[:n], doc))
+        if many[label[:6]] > 40:
+            large.add(doc)
+    tables = common.Tables(spark, "test-regions")
+    members, split = minhash_forest.regions(tables, forest, 6, 2, 2, 40)
+    got = [(bytes(x["region"]), x["doc_id"]) for x in members.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {x["doc_id"] for x in split.collect()} == large and len({len(x) for x, _ in want}) > 2
+    assert sum(path.endswith("-counts") for path, _ in tables.paths.values()) <= 2
+
+
+def test_components_of_few_links_take_no_rounds(spark):
+    """Links that one task can hold are joined at once: a step of shuffles over all partitions costs seconds even where it moves next to nothing."""
+    tables = common.Tables(spark, "test-components")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1000)], "a long, b long")
+    assert {r["component"] for r in common.components(edges, tables).collect()} == {0}
+    assert len(tables.paths) <= 3
+
+
+@pytest.mark.parametrize("most", [4, 40, 400])
+def test_components_in_rounds(spark, most):
+    """More links than a task may hold: rounds over tables end at the same components."""
+    r = random.Random(most)
+    links = [(i, i + 1) for i in range(0, 100)] + [(200, k) for k in range(201, 260)] + [(r.randrange(300, 700), r.randrange(300, 700)) for _ in range(190)] + [(900 + i, 950 - i) for i in range(25)]
+    root = {x: x for link in links for x in link}
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    got = [(x["node"], x["component"]) for x in common.components(spark.createDataFrame(links, "a long, b long").repartition(7), most=most).collect()]
+    alone = {a for a, b in links if a == b} - {x for a, b in links if a != b for x in (a, b)}
+    assert len(got) == len(dict(got)) and dict(got) == {x: root[x] for x in root if x not in alone}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 200)] + [(500, 499), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in common.components(edges).collect()}
