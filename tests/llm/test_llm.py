@@ -219,6 +219,22 @@ def test_passages_deal_texts_once(spark, monkeypatch):
     assert not spark.catalog.tableExists(name) and not any(t.name.startswith("texts_") for t in spark.catalog.listTables())
 
 
+def test_passages_broadcast_no_table_that_grows(spark, monkeypatch):
+    """Small tables are broadcast unless a hint says otherwise; only the ends of partitions may be, however small the others are."""
+    plans, write = {}, common.Tables.saved
+
+    def saved(self, df, name="table", over=()):
+        plans[len(plans), name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(self, df, name, over)
+
+    monkeypatch.setattr(common.Tables, "saved", saved)
+    one, two = prose(91, 30), prose(92, 30)
+    rows = [(k, prose(920 + k, 60) + " " + t + " " + prose(940 + k, 60)) for k, t in enumerate([one, one, two, two, one + " " + two, one + " " + two])]
+    assert [(r["doc_id"], r["other_id"]) for r in passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [(5, 4)]
+    assert {"spans", "asked", "runs", "cuts", "found"} <= {name for _, name in plans}
+    assert [k for k, plan in plans.items() if "Broadcast" in plan and k[1] != "edges"] == []
+
+
 def test_passages_of_two_stock_sentences(spark):
     one, two = prose(31, 30), prose(32, 30)
     texts = {1: one, 2: one, 3: two, 4: two, 10: one + " " + two, 20: one + " " + two}
